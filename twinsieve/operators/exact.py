@@ -39,7 +39,7 @@ def size_semi_join(targets: DataFrame, ref: DataFrame) -> DataFrame:
 
 
 def flag_size_hits(targets: DataFrame, ref: DataFrame) -> DataFrame:
-    """Adds boolean ``size_hit`` (size occurs in ref) without dropping rows."""
+    """Adds boolean ``size_hit`` (size occurs in ``ref``, a frame with ``size``) without dropping rows."""
     hits = ref_sizes(ref).withColumn("size_hit", F.lit(True))
     return targets.join(hits, "size", "left").withColumn("size_hit", F.coalesce(F.col("size_hit"), F.lit(False)))
 
@@ -90,13 +90,15 @@ def exact_lookup(index: DataFrame) -> DataFrame:
     return index.groupBy("content_hash").agg(F.min("path").alias("exact_path"))
 
 
-def exact_matches(targets: DataFrame, ref: DataFrame, algo: str = "sha256", index: DataFrame | None = None) -> DataFrame:
+def exact_matches(targets: DataFrame, ref: DataFrame | None, algo: str = "sha256", index: DataFrame | None = None) -> DataFrame:
     """Size-gated hash of the targets, left-joined to the exact lookup.
 
     Adds ``size_hit``, ``content_hash`` (NULL when not computed) and
-    ``exact_path`` (NULL when no byte-identical ref file exists).
+    ``exact_path`` (NULL when no byte-identical ref file exists).  With a
+    persisted ``index`` the size buckets come from it (readable ref files only,
+    as in the mirrored tool) and ``ref`` may be None.
     """
-    flagged = flag_size_hits(targets, ref)
-    hashed = with_content_hash(flagged, algo, gate="size_hit")
     idx = index if index is not None else hash_index(ref, algo)
+    flagged = flag_size_hits(targets, idx if index is not None else ref)
+    hashed = with_content_hash(flagged, algo, gate="size_hit")
     return hashed.join(exact_lookup(idx), "content_hash", "left")

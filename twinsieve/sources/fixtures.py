@@ -26,7 +26,12 @@ FIXTURE_EPOCH_SECONDS = 1704067200  # 2024-01-01 00:00:00 UTC
 
 
 def documents_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return files_from_documents(read_table(spark, sf_dir, "documents"))
+
+
+def files_from_documents(documents: DataFrame) -> DataFrame:
+    """The ``files`` rows of any frame with documents' columns (also a streaming one)."""
+    docs = documents.select("doc_id", "text", "lang", "source")
     i = F.col("doc_id")
     m50 = i % 50
     m5 = i % 5

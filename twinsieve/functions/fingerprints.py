@@ -97,9 +97,14 @@ def neighbour_masks(width: int, radius: int) -> list[int]:
 
 # --- SimHash over text --------------------------------------------------------
 
+def raw_tokens(text: str | Column) -> Column:
+    """Newline and tab become spaces, split on one space (empty tokens kept)."""
+    return F.split(F.translate(_c(text), "\n\t", "  "), " ")
+
+
 def tokens(text: str | Column) -> Column:
     """Newline and tab become spaces, split on one space, drop empty tokens."""
-    return F.filter(F.split(F.regexp_replace(_c(text), "[\n\t]", " "), " "), lambda w: w != "")
+    return F.filter(raw_tokens(text), lambda w: w != "")
 
 
 def token_hash(token: str | Column) -> Column:
@@ -111,7 +116,7 @@ def _majority_to_fp(sum_cols: Sequence[Column], n: Column) -> Column:
     """Bit i set when more than half of the n tokens have it set."""
     acc = None
     for i, s in enumerate(sum_cols):
-        term = F.when(s * 2 > n, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+        term = F.shiftleft((s * 2 > n).cast("bigint"), i)
         acc = term if acc is None else acc.bitwiseOR(term)
     return acc
 
@@ -123,8 +128,10 @@ def simhash_table(df: DataFrame, key: str, text: str, out: str = "fp") -> DataFr
     partial-combined inside each task (all tokens of a row live in the task that
     read it), so only 65 ints per row are shuffled.  ``key`` must be unique.
     """
-    exploded = df.select(F.col(key), F.explode_outer(tokens(text)).alias("_tok")).select(
-        key, F.when(F.col("_tok").isNotNull(), token_hash("_tok")).alias("_h")
+    # Empty tokens become NULL rather than being filtered (a plain CASE, no lambda);
+    # explode_outer keeps rows without tokens: NULL hash -> count 0 -> NULL fp.
+    exploded = df.select(F.col(key), F.explode_outer(raw_tokens(text)).alias("_tok")).select(
+        key, token_hash(F.when(F.col("_tok") != "", F.col("_tok"))).alias("_h")
     )
     sums = [
         F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1).cast("bigint")).cast("int")).alias(f"_s{i}")
@@ -137,22 +144,28 @@ def simhash_table(df: DataFrame, key: str, text: str, out: str = "fp") -> DataFr
 
 # --- vector median bits -------------------------------------------------------
 
-def median_bits(vec: str | Column, dims: int = FINGERPRINT_BITS) -> Column:
-    """bit i = (vec[i] > median(vec)), element i -> bit i (lowest first).
-
-    The median is the mean of the two middle values in double; comparisons are
-    strict.  Row-local, codegen'd element access: no shuffle.
-    """
+def vector_median(vec: str | Column) -> Column:
+    """Median in double: the mean of the two middle values of the sorted vector."""
     v = _c(vec)
-    s = F.array_sort(v)
+    srt = F.array_sort(v)
     n = F.size(v)
-    lo = F.get(s, F.floor((n - 1) / 2).cast("int")).cast("double")
-    hi = F.get(s, F.floor(n / 2).cast("int")).cast("double")
-    med = (lo + hi) / 2.0
+    lo = F.get(srt, F.floor((n - 1) / 2).cast("int")).cast("double")
+    hi = F.get(srt, F.floor(n / 2).cast("int")).cast("double")
+    return (lo + hi) / 2.0
+
+
+def median_bits(vec: str | Column, med: str | Column, dims: int = FINGERPRINT_BITS) -> Column:
+    """bit i = (vec[i] > med), element i -> bit i (lowest first); strict comparison."""
+    v, m = _c(vec), _c(med)
     acc = None
     for i in range(dims):
-        term = F.when(F.get(v, i).cast("double") > med, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(
-            F.lit(0).cast("bigint")
-        )
+        term = F.shiftleft(F.coalesce(F.get(v, i).cast("double") > m, F.lit(False)).cast("bigint"), i)
         acc = term if acc is None else acc.bitwiseOR(term)
-    return F.when(n > 0, acc)
+    return F.when(F.size(v) > 0, acc)
+
+
+def with_median_bits(df: DataFrame, vec: str, out: str = "fp") -> DataFrame:
+    """Adds ``out`` = vector median bits.  The median is projected first so the
+    sort runs once per row (Catalyst does not inline a non-trivial alias that
+    is referenced 64 times).  Row-local: no shuffle."""
+    return df.withColumn("_med", vector_median(vec)).withColumn(out, median_bits(vec, "_med")).drop("_med")

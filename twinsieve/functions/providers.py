@@ -11,14 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fingerprints import median_bits, simhash_table
+from ..sources.tables import spread
+from .fingerprints import simhash_table, with_median_bits
 
 FingerprintProvider = Callable[[DataFrame], DataFrame]
 
 
 def text_simhash(text_col: str = "content") -> FingerprintProvider:
     def provide(df: DataFrame) -> DataFrame:
-        return simhash_table(df.select("path", text_col), "path", text_col)
+        # Tokenising is the CPU-heavy step: make sure it runs on every core.
+        return simhash_table(spread(df.select("path", text_col)), "path", text_col)
 
     provide.__name__ = "text_simhash"
     return provide
@@ -26,7 +28,7 @@ def text_simhash(text_col: str = "content") -> FingerprintProvider:
 
 def vector_median_bits(vec_col: str = "embedding") -> FingerprintProvider:
     def provide(df: DataFrame) -> DataFrame:
-        return df.select("path", median_bits(vec_col).alias("fp"))
+        return with_median_bits(df.select("path", vec_col), vec_col).select("path", "fp")
 
     provide.__name__ = "vector_median_bits"
     return provide

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_THRESHOLD
-from ..functions.fingerprints import chunk_columns, median_bits, simhash_table
+from ..functions.fingerprints import chunk_columns, simhash_table, with_median_bits
 from ..functions.hashing import content_hash
 from ..functions.paths import parent_of, stem_of, suffix_of
 from ..functions.providers import text_simhash
@@ -125,7 +125,7 @@ def fingerprint64(spark, sf):
 
 def fingerprint64_vectors(spark, sf):
     emb = read_table(spark, sf, "embeddings")
-    return emb.select("vec_id", median_bits("embedding").alias("fp")).select("vec_id", *chunk_columns("fp"))
+    return with_median_bits(emb.select("vec_id", "embedding"), "embedding").select("vec_id", *chunk_columns("fp"))
 
 
 def _near_setup(spark, sf):
@@ -242,17 +242,22 @@ def run_stats(spark, sf):
 
 
 def unique_rows(spark, sf):
+    """Targets with neither an exact nor a perceptual match (bag semantics)."""
     ref, tgt = _sides(spark, sf)
-    res = classify(ref, tgt, fingerprint=text_simhash(), out_dir=OUT_DIR)
-    sel = res.filter(F.col("action") == "copied").select(F.col("target_path").alias("path"))
-    return tgt.join(sel, "path", "left_semi").select("path", "rel_path", "size")
+    m = match_targets(ref, tgt, fingerprint=text_simhash())
+    return m.filter(F.col("exact_path").isNull() & F.col("near_path").isNull()).select("path", "rel_path", "size")
 
 
 def copy_plan_q(spark, sf):
     ref, tgt = _sides(spark, sf)
     m = match_targets(ref, tgt, fingerprint=text_simhash())
-    selected = m.filter(F.col("exact_path").isNull() & F.col("near_path").isNull())
-    return copy_plan(selected, existing_destinations(tgt))
+    # The plan reads the selection several times (collision join, occupied names,
+    # renames): materialise it once in the shared checkpoint folder.
+    selected = m.filter(F.col("exact_path").isNull() & F.col("near_path").isNull()).select(
+        "path", "rel_path", "size", "content", "content_hash"
+    ).checkpoint(eager=True)
+    existing = existing_destinations(tgt).checkpoint(eager=True)
+    return copy_plan(selected, existing)
 
 
 def results_csv_roundtrip(spark, sf):

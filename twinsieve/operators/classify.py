@@ -87,7 +87,9 @@ def to_results(matched: DataFrame, *, dry_run: bool = True, out_dir: str = "out"
         copied_reason = F.concat(F.lit("Copied to "), destination(out_dir, F.coalesce(F.col("final_dst"), F.col("rel_path"))))
         too_many = F.coalesce(F.col("op") == "too_many", F.lit(False))
     skipped = err.isNotNull() | (~exact & ~near & too_many)
-    skip_reason = F.when(err.isNotNull(), F.concat(F.lit("Error: "), err)).otherwise(
+    skip_reason = F.when(F.startswith(err, F.lit("Cannot stat file:")), err).when(
+        err.isNotNull(), F.concat(F.lit("Error: "), err)
+    ).otherwise(
         F.concat(F.lit("Error: Too many collisions for "), planned_dest)
     )
     action = (

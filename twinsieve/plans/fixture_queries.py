@@ -308,4 +308,19 @@ def all_queries() -> dict[str, Query]:
         "copy_plan": copy_plan_q,
         "results_csv_roundtrip": results_csv_roundtrip,
         "stream_classify": stream_classify,
+        "image_phash": image_phash,
     }
+
+
+def image_phash(spark, sf):
+    """S3 + P7 on images Spark derives from the ``embeddings`` table: every vector is
+    rendered as a greyscale PNG by the executors into the shared folder, decoded by
+    the ``image`` source and hashed (rows-only check: no oracle decodes images)."""
+    from ..sources.images import image_fingerprints, write_vector_images
+
+    folder = _scratch(spark, "images")
+    written = write_vector_images(read_table(spark, sf, "embeddings"), folder)
+    written.write.mode("overwrite").parquet(folder + "-manifest")
+    fps = image_fingerprints(spark, folder)
+    manifest = spark.read.parquet(folder + "-manifest")
+    return manifest.join(fps, "path", "left").select("vec_id", *chunk_columns("fp"))

@@ -38,7 +38,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder, setting a local one only if unset."""
+    """Return the cluster's shared checkpoint folder, setting a local one only if unset
+    (tests, bench).  Also makes sure the executors can import this package."""
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
         current = tempfile.mkdtemp(prefix="twinsieve-ckpt-")
@@ -46,9 +47,45 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
+    ship_package(spark, current)
     return current
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession, folder: str) -> None:
+    """Zip this package once per SparkContext and ``addPyFile`` it, so Python UDFs
+    and ``mapInArrow``/``mapInPandas`` functions can import it on every executor."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import io
+    import uuid
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, dirnames, filenames in os.walk(pkg_dir):
+            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+            for name in filenames:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    zf.write(full, os.path.relpath(full, root))
+    target = f"{folder.rstrip('/')}/twinsieve-pkg-{uuid.uuid4().hex}.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:

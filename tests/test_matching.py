@@ -81,3 +81,26 @@ def test_candidate_counts_zero_for_no_candidates(spark):
     tdf = spark.createDataFrame([("t/x.jpg", -1), ("t/y.jpg", 1)], "path string, fp long")
     got = {r.path: r.n_candidates for r in N.candidate_counts(tdf, N.fingerprint_index(rdf)).collect()}
     assert got == {"t/x.jpg": 0, "t/y.jpg": 1}
+
+
+@pytest.mark.parametrize("threshold", [8, 5])
+def test_hot_band_refinement_is_exact(spark, threshold):
+    # Many distinct fingerprints sharing chunk 0 (a hot band group on both sides).
+    rnd = random.Random(5)
+    hot_chunk = 0xBEEF
+    ref, tgt = [], []
+    for i in range(150):
+        v = (rnd.getrandbits(48) << 16) | hot_chunk
+        ref.append((f"r/{i:04d}.jpg", _to_signed(v)))
+    for i in range(100):
+        v = ref[rnd.randrange(150)][1] & ((1 << 64) - 1)
+        for b in rnd.sample(range(16, 64), rnd.randrange(0, 12)):
+            v ^= 1 << b
+        tgt.append((f"t/{i:04d}.jpg", _to_signed(v)))
+    rdf = spark.createDataFrame(ref, "path string, fp long")
+    tdf = spark.createDataFrame(tgt, "path string, fp long")
+    idx = N.fingerprint_index(rdf)
+    # hot_ref_group=10 forces the refined path for the shared chunk
+    best = N.best_matches(tdf, idx, threshold=threshold, mode="lsh", hot_ref_group=10)
+    got = {r.path: (r.distance, r.near_path) for r in tdf.join(best, "fp").collect()}
+    assert got == _brute(ref, tgt, threshold, lsh=True)

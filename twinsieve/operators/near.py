@@ -23,6 +23,7 @@ hash/sort-merge join, never a nested loop:
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,10 @@ from ..config import DEFAULT_THRESHOLD, LSH_BANDS
 from ..functions.fingerprints import band_array, band_layout, hamming, neighbour_masks
 
 MATCH_MODES = ("lsh", "complete")
+# A (band, value) group is "hot" when more distinct ref fingerprints than this share
+# it; every target then meets at most 4x this many unrefined candidates.
+# 0 disables the hot-group split (plain band join).
+HOT_REF_GROUP = int(os.environ.get("TWINSIEVE_HOT_REF_GROUP", "5000"))
 
 
 def fingerprint_index(ref_fps: DataFrame) -> DataFrame:
@@ -104,17 +109,74 @@ def candidates(targets: DataFrame, index: DataFrame, mode: str = "lsh", threshol
     return pairs.withColumn("distance", hamming("fp", "ref_fp"))
 
 
-def best_matches(targets: DataFrame, index: DataFrame, threshold: int = DEFAULT_THRESHOLD, mode: str = "lsh", bands: int | None = None) -> DataFrame:
+def _lsh_pairs_hot_split(targets: DataFrame, index: DataFrame, threshold: int, hot_ref_group: int) -> DataFrame:
+    """LSH candidate pairs that can pass the threshold, without emitting all pairs
+    of a hot (band, value) group.
+
+    Cold groups join on (band, value) as usual.  In a hot group every pair already
+    shares chunk ``band``; if its distance is <= t, the other three chunks differ
+    in at most t bits together, so one of them differs in at most floor(t/3) bits
+    (pigeonhole).  Hot groups therefore join on (band, value, j, probe) where the
+    target probes every value within that radius of its chunk j != band - exact
+    for every pair within the threshold, and each sub-group is ~65536/C(16,<=r)
+    times smaller.  Group sizes come from one partial-combined aggregation of the
+    ref bands (the A4 inverted index); only ref rows are filtered by it.
+    """
+    layout = band_layout(LSH_BANDS)
+    tb = targets.select("fp", F.posexplode(band_array("fp", layout)).alias("band", "val"))
+    rb = _ref_bands(index, layout)
+    key = ["band", "val"]
+    hot = rb.groupBy(*key).agg(F.count(F.lit(1)).alias("r_n")).filter(F.col("r_n") > F.lit(hot_ref_group)).select(*key)
+    cold = tb.join(rb.join(hot, key, "left_anti"), key).select("fp", "ref_fp", "ref_path")
+
+    radius = max(threshold, 0) // (LSH_BANDS - 1)
+    masks = F.array(*[F.lit(m) for m in neighbour_masks(16, radius)])
+    others = F.array(*[F.lit(j) for j in range(LSH_BANDS)])
+
+    def chunk_j(col):
+        return F.element_at(band_array(col, layout), F.col("j") + 1)
+
+    th = (
+        tb.join(hot, key, "left_semi")
+        .select("fp", "band", "val", F.explode(others).alias("j"))
+        .filter(F.col("j") != F.col("band"))
+        .select("fp", "band", "val", "j", chunk_j("fp").alias("w0"), F.explode(masks).alias("_m"))
+        .select("fp", "band", "val", "j", F.col("w0").bitwiseXOR(F.col("_m")).alias("w"))
+    )
+    rh = (
+        rb.join(hot, key, "left_semi")
+        .select("ref_fp", "ref_path", "band", "val", F.explode(others).alias("j"))
+        .filter(F.col("j") != F.col("band"))
+        .select("ref_fp", "ref_path", "band", "val", "j", chunk_j("ref_fp").alias("w"))
+    )
+    hot_pairs_df = th.join(rh, ["band", "val", "j", "w"]).select("fp", "ref_fp", "ref_path")
+    return cold.unionByName(hot_pairs_df)
+
+
+def best_matches(
+    targets: DataFrame,
+    index: DataFrame,
+    threshold: int = DEFAULT_THRESHOLD,
+    mode: str = "lsh",
+    bands: int | None = None,
+    hot_ref_group: int = HOT_REF_GROUP,
+) -> DataFrame:
     """R3 (J3+J4/J5+P10+F8+A9): per distinct target fingerprint, the closest ref within
     the threshold, ties to the smallest path: (fp, near_path, distance).
 
     Equal fingerprints (distance 0) always match, even for a negative threshold.
     The arg-min is ``min(struct(distance, path))``, which combines partially
     before its shuffle; duplicate pairs from several bands do not change a min,
-    so no separate de-duplication shuffle is needed.
+    so no separate de-duplication shuffle is needed.  In ``lsh`` mode hot band
+    groups are refined (see :func:`_lsh_pairs_hot_split`) - same answer, bounded
+    pair output.
     """
     t = targets.select("fp").filter(F.col("fp").isNotNull()).distinct()
-    pairs = _candidate_pairs(t, index, mode, threshold, bands).withColumn("distance", hamming("fp", "ref_fp"))
+    if mode == "lsh" and (bands in (None, LSH_BANDS)) and threshold >= 0 and hot_ref_group > 0:
+        raw = _lsh_pairs_hot_split(t, index, threshold, hot_ref_group)
+    else:
+        raw = _candidate_pairs(t, index, mode, threshold, bands)
+    pairs = raw.withColumn("distance", hamming("fp", "ref_fp"))
     ok = pairs.filter((F.col("distance") <= F.lit(threshold)) | (F.col("distance") == 0))
     best = ok.groupBy("fp").agg(F.min(F.struct("distance", "ref_path")).alias("_b"))
     return best.select("fp", F.col("_b.ref_path").alias("near_path"), F.col("_b.distance").alias("distance"))

@@ -9,8 +9,15 @@ per target - identical target files that are absent from the ref are all
 
 Physical shape: targets are shuffled once by content hash (exact lookup), the
 non-exact images are fingerprinted, collapsed to distinct fingerprints for the
-band join, and the answers are joined back by path.  No action runs here; the
-result is a lazy DataFrame.
+band join, and the answers are joined back by path.
+
+Freshly computed fingerprint tables - the ref index and the target
+``(path, fp)`` rows - are each read by several branches of the plan (band
+join, hot-band refinement, join back by value), and Spark does not reuse the
+exchanges of a tokenising/decoding subtree across them.  They are therefore
+materialised once with a reliable ``checkpoint()`` (the session's shared
+checkpoint folder): narrow rows, computed once, and a lineage cut so a lost
+executor does not re-run fingerprinting.  Everything else stays lazy.
 """
 
 from __future__ import annotations
@@ -56,11 +63,11 @@ def match_targets(
     """Targets with ``size_hit``, ``content_hash``, ``exact_path``, ``near_path``, ``distance``."""
     ex = exact_matches(targets, ref, algo=algo, index=exact_index)
     if enable_near and (fingerprint is not None or fp_index is not None):
-        idx = fp_index if fp_index is not None else near_index(ref, fingerprint)
+        idx = fp_index if fp_index is not None else near_index(ref, fingerprint).checkpoint(eager=True)
         cand = ex.filter(F.col("exact_path").isNull() & is_image("ext"))
         if "error" in cand.columns:
             cand = cand.filter(F.col("error").isNull())
-        tfp = fingerprint(cand) if fingerprint is not None else cand.select("path", "fp")
+        tfp = fingerprint(cand).checkpoint(eager=True) if fingerprint is not None else cand.select("path", "fp")
         best = best_matches(tfp, idx, threshold=threshold, mode=match_mode, bands=bands)
         near = tfp.join(best, "fp").select("path", "near_path", "distance")
         return ex.join(near, "path", "left")

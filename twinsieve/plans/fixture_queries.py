@@ -131,10 +131,11 @@ def fingerprint64_vectors(spark, sf):
 def _near_setup(spark, sf):
     ref, tgt = _sides(spark, sf)
     fp = text_simhash()
-    idx = near_index(ref, fp)
+    # Both sides feed several joins: fingerprint each once (see operators.classify).
+    idx = near_index(ref, fp).checkpoint(eager=True)
     m = X.exact_matches(tgt, ref)
     cand = m.filter(F.col("exact_path").isNull() & is_image("ext"))
-    tfp = fp(cand).filter(F.col("fp").isNotNull())
+    tfp = fp(cand).filter(F.col("fp").isNotNull()).checkpoint(eager=True)
     return idx, tfp
 
 

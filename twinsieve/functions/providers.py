@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import spread
 from .fingerprints import simhash_table, with_median_bits
 
 FingerprintProvider = Callable[[DataFrame], DataFrame]
@@ -19,8 +18,10 @@ FingerprintProvider = Callable[[DataFrame], DataFrame]
 
 def text_simhash(text_col: str = "content") -> FingerprintProvider:
     def provide(df: DataFrame) -> DataFrame:
-        # Tokenising is the CPU-heavy step: make sure it runs on every core.
-        return simhash_table(spread(df.select("path", text_col)), "path", text_col)
+        # No repartitioning here: the input is a scan (spread at the source when it
+        # has too few splits) or the output of a shuffle, and asking an adaptive
+        # plan for its partition count would run its shuffle stages twice.
+        return simhash_table(df.select("path", text_col), "path", text_col)
 
     provide.__name__ = "text_simhash"
     return provide

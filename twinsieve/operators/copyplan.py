@@ -57,6 +57,24 @@ def _taken_numbers(occupied: DataFrame) -> DataFrame:
     return both.select(*KEY, F.col("k").cast("int").alias("k")).distinct()
 
 
+def selection(matched: DataFrame, algo: str = "sha256") -> DataFrame:
+    """The targets to copy (no exact and no perceptual match), as narrow rows
+    (path, rel_path, size[, content_hash]).
+
+    In-table content is reduced to its hash here (kept from the exact pass where
+    it ran, computed otherwise), so materialising the selection - the plan reads
+    it several times - never writes file bytes to the checkpoint folder.
+    """
+    sel = matched.filter(F.col("exact_path").isNull() & F.col("near_path").isNull())
+    cols = ["path", "rel_path", "size"]
+    if "content" in sel.columns:
+        h = content_hash("content", algo)
+        if "content_hash" in sel.columns:
+            h = F.coalesce(F.col("content_hash"), h)
+        return sel.select(*cols, h.alias("content_hash"))
+    return sel.select(*cols, *(["content_hash"] if "content_hash" in sel.columns else []))
+
+
 def copy_plan(selected: DataFrame, existing: DataFrame, algo: str = "sha256") -> DataFrame:
     """(src, planned_dst, final_dst, op) for every selected target.
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_CHUNK_SIZE, DEFAULT_THRESHOLD, RESULT_COLUMNS
 from ..functions.providers import FingerprintProvider
 from ..operators.classify import match_targets, to_results
-from ..operators.copyplan import copy_plan
+from ..operators.copyplan import copy_plan, selection
 from ..operators.filters import prepare_side
 from ..operators.stats import run_stats
 from ..session import checkpoint_dir
@@ -135,13 +135,11 @@ def dedupe(
 
     plan = None
     if not dry_run:
-        # Materialise the selection once: the plan reads it several times.
-        selected = matched.filter(F.col("exact_path").isNull() & F.col("near_path").isNull()).select(
-            "path", "rel_path", "size", *[c for c in ("content", "content_hash") if c in matched.columns]
-        ).checkpoint(eager=True)
+        # Materialise the (narrow) selection once: the plan reads it several times.
+        selected = selection(matched, algo=hash_algo).checkpoint(eager=True)
         existing = _existing_tree(spark, out_dir, selected, hash_algo, chunk_size)
         plan = copy_plan(selected, existing, algo=hash_algo).checkpoint(eager=True)
-        if "content" not in selected.columns:
+        if "content" not in matched.columns:
             failed = copy_files(plan, out_dir).filter(F.col("error").isNotNull())
             failed.write.mode("overwrite").parquet(f"{results_dir}/copy_errors")
 

@@ -22,7 +22,7 @@ from ..operators import exact as X
 from ..operators import near as N
 from ..operators import stats as S
 from ..operators.classify import classify, match_targets, near_index
-from ..operators.copyplan import copy_plan
+from ..operators.copyplan import copy_plan, selection
 from ..operators.filters import drop_ignored, filter_extensions, is_image, prepare_side
 from ..session import checkpoint_dir
 from ..sources.fixtures import documents_files, existing_destinations
@@ -253,10 +253,8 @@ def copy_plan_q(spark, sf):
     ref, tgt = _sides(spark, sf)
     m = match_targets(ref, tgt, fingerprint=text_simhash())
     # The plan reads the selection several times (collision join, occupied names,
-    # renames): materialise it once in the shared checkpoint folder.
-    selected = m.filter(F.col("exact_path").isNull() & F.col("near_path").isNull()).select(
-        "path", "rel_path", "size", "content", "content_hash"
-    ).checkpoint(eager=True)
+    # renames): materialise its narrow rows once in the shared checkpoint folder.
+    selected = selection(m).checkpoint(eager=True)
     existing = existing_destinations(tgt).checkpoint(eager=True)
     return copy_plan(selected, existing)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash
 from ..functions.paths import ext_of, name_of, parent_of, stem_of, suffix_of
-from .tables import read_table
+from .tables import read_table, spread
 
 # fixed values of the fixture layout
 FIXTURE_SUFFIXES = (".JPG", ".jpg", ".png", ".mov", ".heic")
@@ -26,7 +26,9 @@ FIXTURE_EPOCH_SECONDS = 1704067200  # 2024-01-01 00:00:00 UTC
 
 
 def documents_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files_from_documents(read_table(spark, sf_dir, "documents"))
+    # The driver tables are one row group each (one scan task): spread the scan so
+    # hashing and tokenising use every core; a no-op on a table with many splits.
+    return files_from_documents(spread(read_table(spark, sf_dir, "documents")))
 
 
 def files_from_documents(documents: DataFrame) -> DataFrame:

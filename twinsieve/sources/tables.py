@@ -24,6 +24,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores when it has fewer partitions.
+
+    Apply it to a scan (or narrow transformations of one): there the partition
+    count is file-split planning.  On a plan containing a shuffle, AQE would
+    execute the shuffle stages just to report the count.
+    """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:

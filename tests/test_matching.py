@@ -104,3 +104,27 @@ def test_hot_band_refinement_is_exact(spark, threshold):
     best = N.best_matches(tdf, idx, threshold=threshold, mode="lsh", hot_ref_group=10)
     got = {r.path: (r.distance, r.near_path) for r in tdf.join(best, "fp").collect()}
     assert got == _brute(ref, tgt, threshold, lsh=True)
+
+
+def _hot_data(seed=7, n_ref=150, n_tgt=100, max_flips=12):
+    # Many distinct fingerprints sharing their lowest 16 bits: one hot band group.
+    rnd = random.Random(seed)
+    ref = [(f"r/{i:04d}.jpg", _to_signed((rnd.getrandbits(48) << 16) | 0xBEEF)) for i in range(n_ref)]
+    tgt = []
+    for i in range(n_tgt):
+        v = ref[rnd.randrange(n_ref)][1] & ((1 << 64) - 1)
+        for b in rnd.sample(range(64), rnd.randrange(0, max_flips)):
+            v ^= 1 << b
+        tgt.append((f"t/{i:04d}.jpg", _to_signed(v)))
+    return ref, tgt
+
+
+@pytest.mark.parametrize("threshold,bands", [(8, None), (6, 9), (-1, None)])
+def test_hot_band_refinement_complete_is_exact(spark, threshold, bands):
+    ref, tgt = _hot_data()
+    rdf = spark.createDataFrame(ref, "path string, fp long")
+    tdf = spark.createDataFrame(tgt, "path string, fp long")
+    idx = N.fingerprint_index(rdf)
+    best = N.best_matches(tdf, idx, threshold=threshold, mode="complete", bands=bands, hot_ref_group=10)
+    got = {r.path: (r.distance, r.near_path) for r in tdf.join(best, "fp").collect()}
+    assert got == _brute(ref, tgt, threshold, lsh=False)

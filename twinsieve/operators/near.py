@@ -71,31 +71,42 @@ def default_complete_bands(threshold: int) -> int:
     return max(LSH_BANDS, math.ceil((max(threshold, 0) + 1) / 3))
 
 
-def _candidate_pairs(targets: DataFrame, index: DataFrame, mode: str, threshold: int, bands: int | None) -> DataFrame:
-    """(fp, ref_fp, ref_path) for every candidate pair; a pair may repeat across bands."""
+def _width_masks(layout, band_col, radius: int):
+    """array<int> of all masks of popcount <= radius for the width of band ``band_col``."""
+    widths = sorted({w for _, w in layout})
+    mask_arr = {w: F.array(*[F.lit(x) for x in neighbour_masks(w, radius)]) for w in widths}
+    if len(widths) == 1:
+        return mask_arr[widths[0]]
+    width_of_band = F.element_at(F.array(*[F.lit(w) for _, w in layout]), band_col + 1)
+    masks = None
+    for w in widths:
+        masks = F.when(width_of_band == w, mask_arr[w]) if masks is None else masks.when(width_of_band == w, mask_arr[w])
+    return masks
+
+
+def _probes(targets: DataFrame, mode: str, threshold: int, bands: int | None):
+    """(probe rows (fp, band, val), band layout) of the candidate generator."""
     if mode == "lsh":
         layout = band_layout(bands or LSH_BANDS)
-        probes = targets.select("fp", F.posexplode(band_array("fp", layout)).alias("band", "val"))
-    elif mode == "complete":
+        return targets.select("fp", F.posexplode(band_array("fp", layout)).alias("band", "val")), layout
+    if mode == "complete":
         m = bands or default_complete_bands(threshold)
         layout = band_layout(m)
         radius = max(threshold, 0) // m
         t = targets.select("fp", F.posexplode(band_array("fp", layout)).alias("band", "val0"))
         if radius == 0:
-            probes = t.withColumnRenamed("val0", "val")
-        else:
-            # One mask list per distinct band width; pick by width, XOR onto the value.
-            widths = sorted({w for _, w in layout})
-            mask_arr = {w: F.array(*[F.lit(x) for x in neighbour_masks(w, radius)]) for w in widths}
-            width_of_band = F.element_at(F.array(*[F.lit(w) for _, w in layout]), F.col("band") + 1)
-            masks = None
-            for w in widths:
-                masks = F.when(width_of_band == w, mask_arr[w]) if masks is None else masks.when(width_of_band == w, mask_arr[w])
-            probes = t.select("fp", "band", F.explode(masks).alias("_m"), "val0").select(
-                "fp", "band", F.col("val0").bitwiseXOR(F.col("_m")).alias("val")
-            )
-    else:
-        raise ValueError(f"match_mode must be one of {MATCH_MODES}, got {mode!r}")
+            return t.withColumnRenamed("val0", "val"), layout
+        # One mask list per distinct band width; pick by width, XOR onto the value.
+        probes = t.select("fp", "band", F.explode(_width_masks(layout, F.col("band"), radius)).alias("_m"), "val0").select(
+            "fp", "band", F.col("val0").bitwiseXOR(F.col("_m")).alias("val")
+        )
+        return probes, layout
+    raise ValueError(f"match_mode must be one of {MATCH_MODES}, got {mode!r}")
+
+
+def _candidate_pairs(targets: DataFrame, index: DataFrame, mode: str, threshold: int, bands: int | None) -> DataFrame:
+    """(fp, ref_fp, ref_path) for every candidate pair; a pair may repeat across bands."""
+    probes, layout = _probes(targets, mode, threshold, bands)
     return probes.join(_ref_bands(index, layout), ["band", "val"]).select("fp", "ref_fp", "ref_path")
 
 
@@ -109,48 +120,49 @@ def candidates(targets: DataFrame, index: DataFrame, mode: str = "lsh", threshol
     return pairs.withColumn("distance", hamming("fp", "ref_fp"))
 
 
-def _lsh_pairs_hot_split(targets: DataFrame, index: DataFrame, threshold: int, hot_ref_group: int) -> DataFrame:
-    """LSH candidate pairs that can pass the threshold, without emitting all pairs
-    of a hot (band, value) group.
-
-    Cold groups join on (band, value) as usual.  In a hot group every pair already
-    shares chunk ``band``; if its distance is <= t, the other three chunks differ
-    in at most t bits together, so one of them differs in at most floor(t/3) bits
-    (pigeonhole).  Hot groups therefore join on (band, value, j, probe) where the
-    target probes every value within that radius of its chunk j != band - exact
-    for every pair within the threshold, and each sub-group is ~65536/C(16,<=r)
-    times smaller.  Group sizes come from one partial-combined aggregation of the
-    ref bands (the A4 inverted index); only ref rows are filtered by it.
+def _pairs_hot_refined(targets: DataFrame, index: DataFrame, mode: str, threshold: int, bands: int | None, hot_ref_group: int) -> DataFrame:
+    """Candidate pairs that can pass the threshold, without emitting all pairs of a
+    hot (band, value) group.
+
+    Cold groups join on (band, value) as usual.  In a hot group every pair shares
+    band ``band`` (lsh) or differs there by at most the probe radius (complete);
+    if its distance is <= t, the other m - 1 bands differ in at most t bits
+    together, so one of them differs in at most floor(t / (m - 1)) bits
+    (pigeonhole).  Hot groups therefore join on (band, value, j, probe), where
+    the target probes every value within that radius of its band j != band -
+    exact for every pair within the threshold, and each sub-group is about
+    2^w / C(w, <=r) times smaller.  Group sizes come from one partial-combined
+    aggregation of the ref bands (the A4 inverted index); only ref rows are
+    filtered by it.
     """
-    layout = band_layout(LSH_BANDS)
-    tb = targets.select("fp", F.posexplode(band_array("fp", layout)).alias("band", "val"))
+    probes, layout = _probes(targets, mode, threshold, bands)
     rb = _ref_bands(index, layout)
     key = ["band", "val"]
     hot = rb.groupBy(*key).agg(F.count(F.lit(1)).alias("r_n")).filter(F.col("r_n") > F.lit(hot_ref_group)).select(*key)
-    cold = tb.join(rb.join(hot, key, "left_anti"), key).select("fp", "ref_fp", "ref_path")
+    cold = probes.join(rb.join(hot, key, "left_anti"), key).select("fp", "ref_fp", "ref_path")
 
-    radius = max(threshold, 0) // (LSH_BANDS - 1)
-    masks = F.array(*[F.lit(m) for m in neighbour_masks(16, radius)])
-    others = F.array(*[F.lit(j) for j in range(LSH_BANDS)])
+    m = len(layout)
+    radius = max(threshold, 0) // (m - 1)
+    others = F.array(*[F.lit(j) for j in range(m)])
 
-    def chunk_j(col):
+    def band_j(col):
         return F.element_at(band_array(col, layout), F.col("j") + 1)
 
     th = (
-        tb.join(hot, key, "left_semi")
+        probes.join(hot, key, "left_semi")
         .select("fp", "band", "val", F.explode(others).alias("j"))
         .filter(F.col("j") != F.col("band"))
-        .select("fp", "band", "val", "j", chunk_j("fp").alias("w0"), F.explode(masks).alias("_m"))
+        .select("fp", "band", "val", "j", band_j("fp").alias("w0"), F.explode(_width_masks(layout, F.col("j"), radius)).alias("_m"))
         .select("fp", "band", "val", "j", F.col("w0").bitwiseXOR(F.col("_m")).alias("w"))
     )
     rh = (
         rb.join(hot, key, "left_semi")
         .select("ref_fp", "ref_path", "band", "val", F.explode(others).alias("j"))
         .filter(F.col("j") != F.col("band"))
-        .select("ref_fp", "ref_path", "band", "val", "j", chunk_j("ref_fp").alias("w"))
+        .select("ref_fp", "ref_path", "band", "val", "j", band_j("ref_fp").alias("w"))
     )
-    hot_pairs_df = th.join(rh, ["band", "val", "j", "w"]).select("fp", "ref_fp", "ref_path")
-    return cold.unionByName(hot_pairs_df)
+    hot_pairs = th.join(rh, ["band", "val", "j", "w"]).select("fp", "ref_fp", "ref_path")
+    return cold.unionByName(hot_pairs)
 
 
 def best_matches(
@@ -167,13 +179,14 @@ def best_matches(
     Equal fingerprints (distance 0) always match, even for a negative threshold.
     The arg-min is ``min(struct(distance, path))``, which combines partially
     before its shuffle; duplicate pairs from several bands do not change a min,
-    so no separate de-duplication shuffle is needed.  In ``lsh`` mode hot band
-    groups are refined (see :func:`_lsh_pairs_hot_split`) - same answer, bounded
-    pair output.
+    so no separate de-duplication shuffle is needed.  Hot band groups are
+    refined (see :func:`_pairs_hot_refined`) - same answer, bounded pair output;
+    ``hot_ref_group=0`` turns that off.
     """
     t = targets.select("fp").filter(F.col("fp").isNotNull()).distinct()
-    if mode == "lsh" and (bands in (None, LSH_BANDS)) and threshold >= 0 and hot_ref_group > 0:
-        raw = _lsh_pairs_hot_split(t, index, threshold, hot_ref_group)
+    n_bands = len(_probes(t, mode, threshold, bands)[1])
+    if hot_ref_group > 0 and n_bands > 1:
+        raw = _pairs_hot_refined(t, index, mode, threshold, bands, hot_ref_group)
     else:
         raw = _candidate_pairs(t, index, mode, threshold, bands)
     pairs = raw.withColumn("distance", hamming("fp", "ref_fp"))

@@ -128,3 +128,23 @@ def test_hot_band_refinement_complete_is_exact(spark, threshold, bands):
     best = N.best_matches(tdf, idx, threshold=threshold, mode="complete", bands=bands, hot_ref_group=10)
     got = {r.path: (r.distance, r.near_path) for r in tdf.join(best, "fp").collect()}
     assert got == _brute(ref, tgt, threshold, lsh=False)
+
+
+def _brute_counts(ref, tgt, bands):
+    width = 64 // bands
+    mask = (1 << width) - 1
+    ref_fps = {v & ((1 << 64) - 1) for _, v in ref}
+    out = {}
+    for tp, tv in tgt:
+        u = tv & ((1 << 64) - 1)
+        out[tp] = sum(any((u >> (width * k)) & mask == (r >> (width * k)) & mask for k in range(bands)) for r in ref_fps)
+    return out
+
+
+@pytest.mark.parametrize("hot,bands", [(False, 4), (True, 4), (True, 8)])
+def test_candidate_counts_inclusion_exclusion_equals_brute(spark, hot, bands):
+    ref, tgt = _hot_data() if hot else _data()
+    rdf = spark.createDataFrame(ref, "path string, fp long")
+    tdf = spark.createDataFrame(tgt, "path string, fp long")
+    got = {r.path: r.n_candidates for r in N.candidate_counts(tdf, N.fingerprint_index(rdf), bands=bands).collect()}
+    assert got == _brute_counts(ref, tgt, bands)

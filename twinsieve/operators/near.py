@@ -195,14 +195,67 @@ def best_matches(
     return best.select("fp", F.col("_b.ref_path").alias("near_path"), F.col("_b.distance").alias("distance"))
 
 
+def _band_subsets(layout) -> list[tuple[int, int, int]]:
+    """(subset id, 64-bit mask of its bands as signed bigint, inclusion-exclusion sign)
+    for every non-empty subset of the bands."""
+    out = []
+    for sub in range(1, 1 << len(layout)):
+        mask = 0
+        for b, (off, w) in enumerate(layout):
+            if sub >> b & 1:
+                mask |= ((1 << w) - 1) << off
+        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
+        out.append((sub, signed, 1 if bin(sub).count("1") % 2 else -1))
+    return out
+
+
+# Inclusion-exclusion needs 2^bands - 1 masked keys per row; above this many bands
+# the candidate pairs are counted instead.
+MAX_COUNT_BANDS = 8
+
+
+def _lsh_candidate_counts(targets: DataFrame, index: DataFrame, layout) -> DataFrame:
+    """(fp, n_candidates) for LSH candidates without emitting any pair.
+
+    The refs sharing *every* band of a subset B with a target are the refs whose
+    bits under mask(B) equal the target's, so |S_0 u ... u S_m-1| is
+    sum over B of (-1)^(|B|+1) * #{ref : ref & mask(B) = fp & mask(B)}.  The ref
+    side is one count per (subset, masked value) - a partial-combined
+    aggregation - and each target meets one row per subset: output and shuffle
+    stay linear in the inputs even when one band value is shared by a third of
+    all refs.
+    """
+    subs = F.array(
+        *[F.struct(F.lit(k).alias("s"), F.lit(mask).cast("bigint").alias("mask"), F.lit(sign).alias("sign")) for k, mask, sign in _band_subsets(layout)]
+    )
+    ref_keys = (
+        index.select("fp", F.explode(subs).alias("x"))
+        .select(F.col("x.s").alias("s"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"))
+        .groupBy("s", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    t = targets.select("fp").filter(F.col("fp").isNotNull()).distinct()
+    tk = t.select("fp", F.explode(subs).alias("x")).select(
+        "fp", F.col("x.s").alias("s"), F.col("x.sign").alias("sign"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("key")
+    )
+    return tk.join(ref_keys, ["s", "key"]).groupBy("fp").agg(F.sum(F.col("sign") * F.col("n")).alias("n_candidates"))
+
+
 def candidate_counts(targets: DataFrame, index: DataFrame, mode: str = "lsh", threshold: int = DEFAULT_THRESHOLD, bands: int | None = None) -> DataFrame:
     """A10: number of distinct candidate ref fingerprints per target file: (path, n_candidates).
 
-    Targets without a fingerprint or without candidates get 0.
+    Targets without a fingerprint or without candidates get 0.  In ``lsh`` mode
+    the count comes from :func:`_lsh_candidate_counts` (no pairs); in
+    ``complete`` mode, whose probe balls do not decompose into masked keys, the
+    distinct candidate pairs are counted.
     """
-    per_fp = candidates(targets, index, mode, threshold, bands).groupBy("fp").agg(
-        F.count(F.lit(1)).alias("n_candidates")
-    )
+    layout = band_layout(bands or LSH_BANDS)
+    if mode == "lsh" and len(layout) <= MAX_COUNT_BANDS:
+        per_fp = _lsh_candidate_counts(targets, index, layout)
+    else:
+        per_fp = candidates(targets, index, mode, threshold, bands).groupBy("fp").agg(
+            F.count(F.lit(1)).alias("n_candidates")
+        )
     return targets.select("path", "fp").join(per_fp, "fp", "left").select(
         "path", F.coalesce(F.col("n_candidates"), F.lit(0)).cast("bigint").alias("n_candidates")
     )

@@ -49,9 +49,10 @@ def trees(tmpdir_path):
     return ref, tgt, tmpdir_path
 
 
-def test_listing_rules(spark, trees):
+@pytest.mark.parametrize("method", ["walk", "source"])
+def test_listing_rules(spark, trees, method):
     ref, _, _ = trees
-    got = {r.rel_path for r in prepare_side(scan_tree(spark, ref)).collect()}
+    got = {r.rel_path for r in prepare_side(scan_tree(spark, ref, method=method)).collect()}
     assert got == {"a.JPG", "sub/b.png", "empty.txt", ".hidden.jpg", "_under.jpg", "_u/in.jpg", "a b#%é.jpg"}
     # binaryFile differs exactly where documented: hidden/underscore names and empty files vanish
     bf = {r.rel_path for r in prepare_side(scan_binary(spark, ref)).collect()}
@@ -106,3 +107,21 @@ def test_empty_target(spark, trees, tmpdir_path):
     os.makedirs(f"{base}/empty_target")
     run = dedupe(spark, ref, f"{base}/empty_target", f"{base}/o2")
     assert run.results.count() == 0 and run.stats.first().total_scanned == 0
+
+
+def test_walk_splits_a_hot_deep_subtree(spark, tmpdir_path):
+    # One deep subtree holds most files; the walk must list the same rows as the
+    # subtree source, with sizes and mtimes from lstat.
+    root = os.path.join(tmpdir_path, "deep")
+    expected = {}
+    for i in range(40):
+        rel = "hot/" + "/".join(f"l{j}" for j in range(i % 7)) + f"/f{i}.bin"
+        _w(f"{root}/{rel}", b"x" * i)
+        expected[rel.replace("//", "/")] = i
+    _w(f"{root}/cold/one.txt", b"1")
+    expected["cold/one.txt"] = 1
+    os.mkdir(f"{root}/empty_dir")
+    walk = {r.rel_path: (r.size, r.mtime) for r in scan_tree(spark, root, partitions=3).collect()}
+    src = {r.rel_path: (r.size, r.mtime) for r in scan_tree(spark, root, method="source").collect()}
+    assert walk == src
+    assert {k: v[0] for k, v in walk.items()} == expected

@@ -1,14 +1,23 @@
 """File-tree listing as a Spark data source.
 
-Two ways to scan a tree into the ``files`` schema (metadata only; content is
-read later, on executors, only for the rows that need it):
-
-* :func:`scan_tree` - a Python Data Source ``filetree``.  Partitions are
-  directory subtrees planned on the driver by listing only the top levels;
-  each task walks its subtree with ``os.lstat`` semantics: directory links are
-  not followed, symlinks and non-regular files are skipped, ignored
-  directories are pruned during the walk, hidden, ``_``-prefixed and empty
-  files are kept.  Needs the tree mounted at the same path on every executor.
+Ways to scan a tree into the ``files`` schema (metadata only; content is read
+later, on executors, only for the rows that need it).  All follow ``os.lstat``
+semantics: directory links are not followed, symlinks and non-regular files
+are skipped, ignored directories are pruned during the walk, hidden,
+``_``-prefixed and empty files are kept.  They need the tree mounted at the
+same path on every executor.
+
+* :func:`scan_tree` (default ``method="walk"``) - a breadth-first walk run as
+  Spark jobs, one per depth: the frontier directories are spread over all
+  tasks, each task lists its directories, and the level is written to a table
+  in the shared checkpoint folder (lineage cut; the next frontier is read
+  back from it).  A subtree holding a third of the tree is thus split across
+  tasks at every level.  ``lstat`` - the costly call on a network filesystem -
+  runs afterwards over the spread list of found files, so even one huge flat
+  directory is stat-ed by many tasks (only its ``scandir`` is one task).
+* ``method="source"`` - the Python Data Source ``filetree``: subtrees planned on
+  the driver by listing the top levels, each walked whole by one task; fine
+  for small and even trees.
 * :func:`scan_binary` - Spark's ``binaryFile`` source with only metadata
   columns selected (content is pruned from the read).  Works on any Hadoop
   filesystem, but drops names starting with ``.``/``_`` and empty files and
@@ -21,12 +30,16 @@ import os
 import stat as st
 from datetime import datetime, timezone
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import IGNORED_DIR_NAMES
 from ..functions.paths import ext_of, name_of, normalise_uri, relative_to
+from ..session import checkpoint_dir
+from .tables import spread
 
 LISTING_SCHEMA = "path string, size bigint, mtime timestamp, error string"
 # Split the tree on the driver until there are this many subtrees per core.
@@ -140,8 +153,58 @@ def _as_files(listing: DataFrame, root: str, side: str | None) -> DataFrame:
     return df
 
 
-def scan_tree(spark: SparkSession, root: str, side: str | None = None, partitions: int | None = None) -> DataFrame:
-    """``files`` rows of a local/mounted tree via the ``filetree`` data source."""
+def _list_children(batches):
+    """mapInPandas: (dir) -> (path, is_dir) for every entry below each directory."""
+    import pandas as pd
+
+    for pdf in batches:
+        paths, is_dir = [], []
+        for d in pdf["dir"]:
+            files, dirs = _list_dir(d)
+            paths.extend(files)
+            is_dir.extend([False] * len(files))
+            paths.extend(dirs)
+            is_dir.extend([True] * len(dirs))
+        yield pd.DataFrame({"path": pd.Series(paths, dtype=object), "is_dir": pd.Series(is_dir, dtype=bool)})
+
+
+def _stat_files(batches):
+    """mapInPandas: (path) -> LISTING_SCHEMA rows; links and non-regular files dropped."""
+    import pandas as pd
+
+    for pdf in batches:
+        rows = [r for r in (_stat_row(p) for p in pdf["path"]) if r is not None]
+        yield pd.DataFrame(
+            {
+                "path": pd.Series([r[0] for r in rows], dtype=object),
+                "size": pd.Series([r[1] for r in rows], dtype="Int64"),
+                "mtime": pd.Series([r[2] for r in rows], dtype="datetime64[us, UTC]"),
+                "error": pd.Series([r[3] for r in rows], dtype=object),
+            }
+        )
+
+
+def walk_tree(spark: SparkSession, root: str, tasks: int | None = None, max_depth: int = 4096) -> DataFrame:
+    """LISTING_SCHEMA rows of every regular file below ``root`` (distributed BFS)."""
+    n = tasks or spark.sparkContext.defaultParallelism * PARTITIONS_PER_CORE
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/twinsieve-listing-{uuid.uuid4().hex}"
+    frontier = spark.createDataFrame([(os.path.abspath(root),)], "dir string")
+    for depth in range(max_depth):
+        level = f"{folder}/depth={depth}"
+        frontier.repartition(n).mapInPandas(_list_children, "path string, is_dir boolean").write.parquet(level)
+        frontier = spark.read.parquet(level).filter(F.col("is_dir")).select(F.col("path").alias("dir"))
+        if frontier.isEmpty():
+            break
+    found = spark.read.parquet(folder).filter(~F.col("is_dir")).select("path")
+    return spread(found).mapInPandas(_stat_files, LISTING_SCHEMA)
+
+
+def scan_tree(spark: SparkSession, root: str, side: str | None = None, partitions: int | None = None, method: str = "walk") -> DataFrame:
+    """``files`` rows of a local/mounted tree (see the module notes for ``method``)."""
+    if method == "walk":
+        return _as_files(walk_tree(spark, root, partitions), root, side)
+    if method != "source":
+        raise ValueError(f"method must be 'walk' or 'source', got {method!r}")
     register(spark)
     n = partitions or spark.sparkContext.defaultParallelism * PARTITIONS_PER_CORE
     listing = spark.read.format("filetree").option("path", root).option("partitions", str(n)).load()

@@ -125,3 +125,17 @@ def test_walk_splits_a_hot_deep_subtree(spark, tmpdir_path):
     src = {r.rel_path: (r.size, r.mtime) for r in scan_tree(spark, root, method="source").collect()}
     assert walk == src
     assert {k: v[0] for k, v in walk.items()} == expected
+
+
+def test_image_scan_reads_only_image_names(spark, tmpdir_path):
+    from twinsieve.sources.images import image_extensions, read_images
+
+    root = os.path.join(tmpdir_path, "imgs")
+    _w(f"{root}/a.JPG", png_bytes(_img(3)))      # PNG bytes under a .JPG name still decode
+    _w(f"{root}/s/b.png", png_bytes(_img(4)))
+    _w(f"{root}/s/c.mov", b"not an image, never read")
+    _w(f"{root}/d.Jpeg.txt", b"text")
+    got = {os.path.relpath(r.path, root) for r in read_images(spark, root).collect()}
+    assert got == {"a.JPG", "s/b.png"}
+    only_png = {os.path.relpath(r.path, root) for r in read_images(spark, root, image_extensions(".png")).collect()}
+    assert only_png == {"s/b.png"}

@@ -101,7 +101,7 @@ def dedupe(
         return DedupeRun(empty, run_stats(empty), None, None, {})
 
     if fingerprint is None and enable_phash and isinstance(ref, str) and isinstance(target, str):
-        fingerprint = phash_provider(spark, [ref, target], max_image_pixels)
+        fingerprint = phash_provider(spark, [ref, target], max_image_pixels, extensions)
 
     reused = {}
     exact_index = fp_index = None

@@ -6,6 +6,11 @@ to ``copied``, as images the mirrored tool cannot open do).  Undecodable files
 are kept as rows with no data (``dropInvalid`` off) so they get a NULL
 fingerprint instead of vanishing.  The pixel limit is a column predicate
 applied before the hashing UDF.
+
+The source is pointed at whole trees, so it is restricted to image names by a
+case-insensitive Hadoop glob (``pathGlobFilter``, character classes per
+letter): videos and other files are never read or decoded, and neither are
+images the user's extension filter excludes.
 """
 
 from __future__ import annotations
@@ -18,36 +23,60 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_MAX_IMAGE_PIXELS
+from ..config import DEFAULT_MAX_IMAGE_PIXELS, IMAGE_EXTENSIONS
 from ..functions.paths import normalise_uri
 from ..functions.phash import image_phash
-from ..operators.filters import within_pixel_limit
+from ..operators.filters import normalise_extensions, within_pixel_limit
+
+_GLOB_SPECIAL = set("{}[]*?,\\")
+
+
+def extension_glob(extensions) -> str:
+    """Case-insensitive Hadoop glob for names ending in one of ``extensions``
+    (``('.jpg', '.png')`` -> ``*.{[jJ][pP][gG],[pP][nN][gG]}``)."""
+
+    def one(ext: str) -> str:
+        return "".join(
+            f"[{c.lower()}{c.upper()}]" if c.isalpha() else ("\\" + c if c in _GLOB_SPECIAL else c) for c in ext.lstrip(".")
+        )
+
+    return "*.{" + ",".join(one(e) for e in extensions) + "}"
+
+
+def image_extensions(extensions=None) -> tuple[str, ...]:
+    """Image extensions to decode: the image set, narrowed by a user extension filter."""
+    user = normalise_extensions(extensions)
+    return tuple(e for e in IMAGE_EXTENSIONS if not user or e in user)
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
+def read_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
     return (
         spark.read.format("image")
         .option("dropInvalid", False)
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", extension_glob(extensions))
         .load(root)
         .select(normalise_uri("image.origin").alias("path"), "image")
     )
 
 
-def image_fingerprints(spark: SparkSession, root: str, max_image_pixels: int | None = None) -> DataFrame:
-    """(path, fp) for every file the image source lists under ``root``."""
+def image_fingerprints(spark: SparkSession, root: str, max_image_pixels: int | None = None, extensions=None) -> DataFrame:
+    """(path, fp) for every image file (by extension) the image source lists under ``root``."""
     limit = max_image_pixels or DEFAULT_MAX_IMAGE_PIXELS
-    imgs = read_images(spark, root)
+    exts = image_extensions(extensions)
+    if not exts:
+        return spark.createDataFrame([], "path string, fp bigint")
+    imgs = read_images(spark, root, exts)
     ok = within_pixel_limit("image.width", "image.height", limit) & (F.col("image.height") > 0)
     return imgs.select("path", F.when(ok, image_phash(F.when(ok, F.col("image")))).alias("fp"))
 
 
-def phash_provider(spark: SparkSession, roots, max_image_pixels: int | None = None):
+def phash_provider(spark: SparkSession, roots, max_image_pixels: int | None = None, extensions=None):
     """Fingerprint provider for the classifier: left-joins decoded-image hashes by path."""
     roots = [roots] if isinstance(roots, str) else list(roots)
     table = None
     for r in roots:
-        t = image_fingerprints(spark, r, max_image_pixels)
+        t = image_fingerprints(spark, r, max_image_pixels, extensions)
         table = t if table is None else table.unionByName(t)
 
     def provide(df: DataFrame) -> DataFrame:

@@ -17,7 +17,10 @@ join, hot-band refinement, join back by value), and Spark does not reuse the
 exchanges of a tokenising/decoding subtree across them.  They are therefore
 materialised once with a reliable ``checkpoint()`` (the session's shared
 checkpoint folder): narrow rows, computed once, and a lineage cut so a lost
-executor does not re-run fingerprinting.  Everything else stays lazy.
+executor does not re-run fingerprinting.  For file trees the exact-pass rows
+(hashed by reading the files) are materialised too, so no file is read twice;
+in-table content is re-hashed instead of being written out.  Everything else
+stays lazy.
 """
 
 from __future__ import annotations
@@ -63,6 +66,11 @@ def match_targets(
     """Targets with ``size_hit``, ``content_hash``, ``exact_path``, ``near_path``, ``distance``."""
     ex = exact_matches(targets, ref, algo=algo, index=exact_index)
     if enable_near and (fingerprint is not None or fp_index is not None):
+        if "content" not in ex.columns:
+            # File trees: hashes come from reading the files on executors, and both the
+            # near candidates and the final join read ``ex`` - materialise its narrow
+            # rows so every file is read and hashed once.
+            ex = ex.checkpoint(eager=True)
         idx = fp_index if fp_index is not None else near_index(ref, fingerprint).checkpoint(eager=True)
         cand = ex.filter(F.col("exact_path").isNull() & is_image("ext"))
         if "error" in cand.columns:

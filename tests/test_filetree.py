@@ -139,3 +139,28 @@ def test_image_scan_reads_only_image_names(spark, tmpdir_path):
     assert got == {"a.JPG", "s/b.png"}
     only_png = {os.path.relpath(r.path, root) for r in read_images(spark, root, image_extensions(".png")).collect()}
     assert only_png == {"s/b.png"}
+
+
+def test_phash_properties_corrupt_and_pixel_limit(spark, tmpdir_path):
+    from twinsieve.sources.images import image_fingerprints
+
+    root = os.path.join(tmpdir_path, "ph")
+    _w(f"{root}/good.png", png_bytes(_img(5)))
+    _w(f"{root}/copy.png", png_bytes(_img(5)))
+    _w(f"{root}/resized.png", png_bytes(np.kron(_img(5), np.ones((2, 2)))))  # 128x128
+    _w(f"{root}/other.png", png_bytes(_img(77)))
+    _w(f"{root}/corrupt.png", b"\x89PNG\r\n\x1a\n not really a png")
+    _w(f"{root}/warn.png", png_bytes(_img(6, size=40)))  # 1,600 px: between 1x and 2x of 1,000
+    fps = {os.path.basename(r.path): r.fp for r in image_fingerprints(spark, root, max_image_pixels=1000).collect()}
+
+    def dist(a, b):
+        return ((fps[a] ^ fps[b]) & ((1 << 64) - 1)).bit_count()
+
+    # pixel limit: 64x64 = 4,096 px is above 2 x 1,000 -> no fingerprint; 1,600 px only warns
+    assert fps["good.png"] is None and fps["resized.png"] is None and fps["warn.png"] is not None
+    assert fps["corrupt.png"] is None  # kept as a row, no fingerprint
+    fps = {os.path.basename(r.path): r.fp for r in image_fingerprints(spark, root).collect()}
+    assert fps["corrupt.png"] is None and set(fps) == {"good.png", "copy.png", "resized.png", "other.png", "corrupt.png", "warn.png"}
+    assert dist("good.png", "copy.png") == 0
+    assert dist("good.png", "resized.png") <= 8
+    assert dist("good.png", "other.png") > 8

@@ -38,13 +38,22 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder, setting a local one only if unset
-    (tests, bench).  Also makes sure the executors can import this package."""
+    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``, else the
+    context's checkpoint dir).  A local folder is created only when neither is set
+    and the master is ``local`` (tests, bench); a cluster without one is an error.
+    Also makes sure the executors can import this package."""
     current = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    if not current:
+        current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            # A machine-local folder is not visible to the other executors and is
+            # lost with its machine: refuse rather than checkpoint somewhere unsafe.
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the whole cluster")
         current = tempfile.mkdtemp(prefix="twinsieve-ckpt-")
+    if not spark.conf.get(CHECKPOINT_CONF, None):
         spark.conf.set(CHECKPOINT_CONF, current)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     ship_package(spark, current)

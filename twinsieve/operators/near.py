@@ -84,26 +84,28 @@ def _width_masks(layout, band_col, radius: int):
     return masks
 
 
-def _probes(targets: DataFrame, mode: str, threshold: int, bands: int | None):
-    """(probe rows (fp, band, val), band layout) of the candidate generator."""
+def _layout(mode: str, threshold: int, bands: int | None):
     if mode == "lsh":
-        layout = band_layout(bands or LSH_BANDS)
-        return targets.select("fp", F.posexplode(band_array("fp", layout)).alias("band", "val")), layout
+        return band_layout(bands or LSH_BANDS)
     if mode == "complete":
-        m = bands or default_complete_bands(threshold)
-        layout = band_layout(m)
-        radius = max(threshold, 0) // m
-        t = targets.select("fp", F.posexplode(band_array("fp", layout)).alias("band", "val0"))
-        if radius == 0:
-            return t.withColumnRenamed("val0", "val"), layout
-        # One mask list per distinct band width; pick by width, XOR onto the value.
-        probes = t.select("fp", "band", F.explode(_width_masks(layout, F.col("band"), radius)).alias("_m"), "val0").select(
-            "fp", "band", F.col("val0").bitwiseXOR(F.col("_m")).alias("val")
-        )
-        return probes, layout
+        return band_layout(bands or default_complete_bands(threshold))
     raise ValueError(f"match_mode must be one of {MATCH_MODES}, got {mode!r}")
 
 
+def _probes(targets: DataFrame, mode: str, threshold: int, bands: int | None):
+    """(probe rows (fp, band, val), band layout) of the candidate generator."""
+    layout = _layout(mode, threshold, bands)
+    t = targets.select("fp", F.posexplode(band_array("fp", layout)).alias("band", "val"))
+    radius = max(threshold, 0) // len(layout) if mode == "complete" else 0
+    if radius == 0:
+        return t, layout
+    # complete: XOR every mask within the radius (by band width) onto the band value.
+    probes = t.select("fp", "band", F.explode(_width_masks(layout, F.col("band"), radius)).alias("_m"), F.col("val").alias("val0")).select(
+        "fp", "band", F.col("val0").bitwiseXOR(F.col("_m")).alias("val")
+    )
+    return probes, layout
+
+
 def _candidate_pairs(targets: DataFrame, index: DataFrame, mode: str, threshold: int, bands: int | None) -> DataFrame:
     """(fp, ref_fp, ref_path) for every candidate pair; a pair may repeat across bands."""
     probes, layout = _probes(targets, mode, threshold, bands)
@@ -184,8 +186,7 @@ def best_matches(
     ``hot_ref_group=0`` turns that off.
     """
     t = targets.select("fp").filter(F.col("fp").isNotNull()).distinct()
-    n_bands = len(_probes(t, mode, threshold, bands)[1])
-    if hot_ref_group > 0 and n_bands > 1:
+    if hot_ref_group > 0 and len(_layout(mode, threshold, bands)) > 1:
         raw = _pairs_hot_refined(t, index, mode, threshold, bands, hot_ref_group)
     else:
         raw = _candidate_pairs(t, index, mode, threshold, bands)

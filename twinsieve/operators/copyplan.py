@@ -34,13 +34,17 @@ def _join_dir(d, name):
     return F.when(d == "", name).otherwise(F.concat(d, F.lit("/"), name))
 
 
-def _taken_numbers(occupied: DataFrame) -> DataFrame:
-    """(dir, stem, suffix, k) for every occupied name of the form ``<stem>_<k><suffix>``.
+def _taken_numbers(occupied: DataFrame, groups: DataFrame) -> DataFrame:
+    """(dir, stem, suffix, k) for every occupied name of the form ``<stem>_<k><suffix>``
+    whose (dir, stem, suffix) is in ``groups``.
 
     A name is read both with its own suffix and with an empty suffix, which
-    covers original names with and without a suffix.
+    covers original names with and without a suffix.  Names are filtered by
+    the counter pattern and semi-joined to the rename groups *before* the
+    distinct, so only counter-named files of groups that need a rename are
+    shuffled - not every name of the output tree.
     """
-    o = occupied.select(parent_of("rel_path").alias("dir"), name_of("rel_path").alias("nm")).distinct()
+    o = occupied.select(parent_of("rel_path").alias("dir"), name_of("rel_path").alias("nm"))
     with_sfx = o.select(
         "dir",
         F.regexp_extract(stem_of("nm"), COUNTER_PATTERN, 1).alias("stem"),
@@ -54,7 +58,7 @@ def _taken_numbers(occupied: DataFrame) -> DataFrame:
         F.lit("").alias("suffix"),
     )
     both = with_sfx.unionByName(no_sfx).filter(F.col("k") != "")
-    return both.select(*KEY, F.col("k").cast("int").alias("k")).distinct()
+    return both.select(*KEY, F.col("k").cast("int").alias("k")).join(groups, KEY, "left_semi").distinct()
 
 
 def selection(matched: DataFrame, algo: str = "sha256") -> DataFrame:
@@ -117,7 +121,7 @@ def copy_plan(selected: DataFrame, existing: DataFrame, algo: str = "sha256") ->
     )
     occupied = existing.select("rel_path").unionByName(sel.select(F.col("planned_dst").alias("rel_path")))
     groups = renames.select(*KEY).distinct()
-    taken = _taken_numbers(occupied).join(groups, KEY, "left_semi")
+    taken = _taken_numbers(occupied, groups)
     cands = groups.withColumn("k", F.lit(1)).unionByName(taken.select(*KEY, (F.col("k") + 1).alias("k")))
     first_free = cands.join(taken, KEY + ["k"], "left_anti").groupBy(*KEY).agg(F.min("k").alias("k"))
     renamed = renames.join(first_free, KEY, "left").select(

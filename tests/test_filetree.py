@@ -89,6 +89,8 @@ def test_dedupe_copies_and_renames(spark, trees, tmpdir_path):
         assert f.read() == b"new text"
     assert os.path.exists(f"{out}/x/other.png") and os.path.exists(f"{out}/y/twin2.mov")
     assert not os.path.exists(f"{out}/x/a_copy.jpg")
+    leftovers = [n for _, _, names in os.walk(out) for n in names if ".part-" in n]
+    assert leftovers == []  # copies land under their final names only
 
 
 def test_validate_paths(trees):

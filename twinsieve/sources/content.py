@@ -75,9 +75,15 @@ def hash_paths(df: DataFrame, algo: str = "blake2b", gate: str | None = None, ch
 
 def copy_files(plan: DataFrame, out_root: str) -> DataFrame:
     """K3 for real trees: copy ``src`` to ``out_root/final_dst`` on the executors for
-    rows planned ``write`` or ``rename``; returns (src, dst, error) per attempted row."""
+    rows planned ``write`` or ``rename``; returns (src, dst, error) per attempted row.
+
+    Each file is copied to a unique temporary name next to its destination and
+    moved into place with ``os.replace`` (atomic), so a task lost mid-copy never
+    leaves a partial file under a final name; its retry simply copies again.
+    """
     import os
     import shutil
+    import uuid
 
     schema = T.StructType(
         [T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("error", T.StringType())]
@@ -89,12 +95,16 @@ def copy_files(plan: DataFrame, out_root: str) -> DataFrame:
             srcs, dsts, errs = [], [], []
             for s, d in zip(b.column("src").to_pylist(), b.column("final_dst").to_pylist()):
                 dst = os.path.join(out_root, d)
+                tmp = f"{dst}.part-{uuid.uuid4().hex}"
                 try:
                     os.makedirs(os.path.dirname(dst), exist_ok=True)
-                    shutil.copy2(s, dst)
+                    shutil.copy2(s, tmp)
+                    os.replace(tmp, dst)
                     err = None
                 except Exception as ex:  # noqa: BLE001
                     err = str(ex)
+                    if os.path.exists(tmp):
+                        os.remove(tmp)
                 srcs.append(s)
                 dsts.append(dst)
                 errs.append(err)

@@ -1,4 +1,5 @@
 """Index reuse / invalidation and the streaming classifier."""
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -51,3 +52,14 @@ def test_stream_equals_batch(spark, tmpdir_path):
     # restarting from the same checkpoint adds no rows
     again = classify_documents_stream(spark, SF0001, scratch).count()
     assert again == len(batch)
+
+
+def test_cluster_without_shared_checkpoint_folder_is_refused():
+    from types import SimpleNamespace
+
+    from twinsieve.session import ensure_checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default, set=lambda *a: None)
+    sc = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=sc))

@@ -1,6 +1,6 @@
 """Index reuse / invalidation and the streaming classifier."""
-import pytest
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF0001

@@ -148,3 +148,30 @@ def test_candidate_counts_inclusion_exclusion_equals_brute(spark, hot, bands):
     tdf = spark.createDataFrame(tgt, "path string, fp long")
     got = {r.path: r.n_candidates for r in N.candidate_counts(tdf, N.fingerprint_index(rdf), bands=bands).collect()}
     assert got == _brute_counts(ref, tgt, bands)
+
+
+def _brute_pairs(ref, tgt, layout, radius):
+    ref_fps = {v & ((1 << 64) - 1) for _, v in ref}
+    out = set()
+    for _, tv in tgt:
+        u = tv & ((1 << 64) - 1)
+        for r in ref_fps:
+            if any((((u ^ r) >> off) & ((1 << w) - 1)).bit_count() <= radius for off, w in layout):
+                out.add((_to_signed(u), _to_signed(r), ((u ^ r)).bit_count()))
+    return out
+
+
+@pytest.mark.parametrize("mode,threshold,bands", [("lsh", 8, None), ("complete", 8, None), ("complete", 6, 9)])
+def test_candidates_are_distinct_and_complete(spark, mode, threshold, bands):
+    from twinsieve.functions.fingerprints import band_layout
+
+    ref, tgt = _hot_data(seed=11, max_flips=20)
+    ref += _data(seed=4)[0]
+    rdf = spark.createDataFrame(ref, "path string, fp long")
+    tdf = spark.createDataFrame(tgt, "path string, fp long")
+    rows = N.candidates(tdf, N.fingerprint_index(rdf), mode=mode, threshold=threshold, bands=bands).collect()
+    got = [(r.fp, r.ref_fp, r.distance) for r in rows]
+    assert len(got) == len(set(got))  # no duplicate pairs without a distinct
+    m = bands or (4 if mode == "lsh" else N.default_complete_bands(threshold))
+    radius = 0 if mode == "lsh" else max(threshold, 0) // m
+    assert set(got) == _brute_pairs(ref, tgt, band_layout(m), radius)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_THRESHOLD, LSH_BANDS
-from ..functions.fingerprints import band_array, band_layout, hamming, neighbour_masks
+from ..functions.fingerprints import band_array, band_layout, bits_field, hamming, neighbour_masks
 
 MATCH_MODES = ("lsh", "complete")
 # A (band, value) group is "hot" when more distinct ref fingerprints than this share
@@ -115,11 +115,21 @@ def _candidate_pairs(targets: DataFrame, index: DataFrame, mode: str, threshold:
 def candidates(targets: DataFrame, index: DataFrame, mode: str = "lsh", threshold: int = DEFAULT_THRESHOLD, bands: int | None = None) -> DataFrame:
     """J4/J5 + A8: distinct candidate pairs with their distance: (fp, ref_fp, ref_path, distance).
 
-    ``targets`` needs a column ``fp``; duplicates are removed first.
+    ``targets`` needs a column ``fp``; duplicates are removed first.  Both sides
+    hold distinct fingerprints, so a pair repeats only across the bands that
+    qualify it; it is kept at its *first* qualifying band (every lower band
+    differs by more than the probe radius) - a row-local filter instead of a
+    de-duplication shuffle of all pairs.
     """
     t = targets.select("fp").filter(F.col("fp").isNotNull()).distinct()
-    pairs = _candidate_pairs(t, index, mode, threshold, bands).distinct()
-    return pairs.withColumn("distance", hamming("fp", "ref_fp"))
+    probes, layout = _probes(t, mode, threshold, bands)
+    radius = max(threshold, 0) // len(layout) if mode == "complete" else 0
+    first = F.lit(True)
+    for j, (off, w) in enumerate(layout[:-1]):
+        diff = hamming(bits_field("fp", off, w), bits_field("ref_fp", off, w))
+        first = first & ((F.col("band") <= j) | (diff > radius))
+    pairs = probes.join(_ref_bands(index, layout), ["band", "val"]).filter(first)
+    return pairs.select("fp", "ref_fp", "ref_path", hamming("fp", "ref_fp").alias("distance"))
 
 
 def _pairs_hot_refined(targets: DataFrame, index: DataFrame, mode: str, threshold: int, bands: int | None, hot_ref_group: int) -> DataFrame:

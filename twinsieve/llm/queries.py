@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import line_runs
+from twinsieve.llm import line_runs, mixture_packing
 from twinsieve.llm.common import read
 
 
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_packing.pack(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).pieces()
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op4_mixture_packing": op4_mixture_packing,
     "op7_line_dedup": op7_line_dedup,
 }

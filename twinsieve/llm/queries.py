@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import line_runs, mixture_packing
+from twinsieve.llm import line_runs, mixture_packing, simhash_pivot
 from twinsieve.llm.common import read
 
 
+def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_pivot.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", simhash_pivot.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).pieces()
 
@@ -19,6 +24,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_pivots": op1_simhash_pivots,
     "op4_mixture_packing": op4_mixture_packing,
     "op7_line_dedup": op7_line_dedup,
 }

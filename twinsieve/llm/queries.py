@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import line_runs, mixture_packing, simhash_pivot
+from twinsieve.llm import line_runs, mixture_packing, quality_qda, simhash_pivot
 from twinsieve.llm.common import read
 
 
@@ -14,6 +14,14 @@ def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash_pivot.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_qda.train(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    out = quality_qda.score(docs, model)
+    return out.select("doc_id", quality_qda.held_out(F.col("doc_id")).alias("held_out"), F.col("out").alias("score"),
+                      F.when(F.col("out") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).pieces()
 
@@ -25,6 +33,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
+    "op2_quality_qda": op2_quality_qda,
     "op4_mixture_packing": op4_mixture_packing,
     "op7_line_dedup": op7_line_dedup,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import line_runs, mixture_packing, quality_qda, simhash_pivot
+from twinsieve.llm import line_runs, mixture_packing, quality_qda, secret_cnn, simhash_pivot
 from twinsieve.llm.common import read
 
 
@@ -31,9 +31,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secret_cnn.scan(docs, secret_cnn.train(docs))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_quality_qda": op2_quality_qda,
     "op4_mixture_packing": op4_mixture_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op10_secret_cnn": op10_secret_cnn,
 }

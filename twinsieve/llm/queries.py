@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import line_runs, mixture_packing, quality_qda, secret_cnn, simhash_pivot
+from twinsieve.llm import line_runs, mixture_packing, pii_weak, quality_qda, secret_cnn, simhash_pivot
 from twinsieve.llm.common import read
 
 
@@ -31,6 +31,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_weak.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *[pii_weak.count_of("base", k).alias(f"n_{k}") for k in pii_weak.KINDS],
+                      F.sha2(pii_weak.joined("base"), 256).alias("base_sha256"), pii_weak.joined("spans").alias("spans"))
+
+
 def op10_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = secret_cnn.scan(docs, secret_cnn.train(docs))
@@ -42,5 +48,6 @@ QUERIES = {
     "op2_quality_qda": op2_quality_qda,
     "op4_mixture_packing": op4_mixture_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op9_pii_weak": op9_pii_weak,
     "op10_secret_cnn": op10_secret_cnn,
 }

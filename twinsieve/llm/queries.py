@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import line_runs, mixture_packing, pii_weak, quality_qda, secret_cnn, simhash_pivot
+from twinsieve.llm import line_runs, mixture_packing, pii_weak, quality_qda, secret_cnn, simhash_pivot, warc_zstd
 from twinsieve.llm.common import read
 
 
@@ -26,6 +26,11 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).pieces()
 
 
+def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_zstd.archive_and_read(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_quality_qda": op2_quality_qda,
     "op4_mixture_packing": op4_mixture_packing,
+    "op6_warc_zstd": op6_warc_zstd,
     "op7_line_dedup": op7_line_dedup,
     "op9_pii_weak": op9_pii_weak,
     "op10_secret_cnn": op10_secret_cnn,

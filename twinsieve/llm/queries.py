@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import line_runs, mixture_packing, pii_weak, quality_qda, secret_cnn, simhash_pivot, warc_zstd
+from twinsieve.llm import cap_filters, line_runs, mixture_packing, pii_weak, quality_qda, secret_cnn, simhash_pivot, warc_zstd
 from twinsieve.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).pieces()
 
 
+def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc_zstd.archive_and_read(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_quality_qda": op2_quality_qda,
     "op4_mixture_packing": op4_mixture_packing,
+    "op5_cap_filters": op5_cap_filters,
     "op6_warc_zstd": op6_warc_zstd,
     "op7_line_dedup": op7_line_dedup,
     "op9_pii_weak": op9_pii_weak,

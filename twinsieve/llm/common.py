@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,10 @@ class Scratch:
         out = self.spark.read.schema(df.schema).parquet(path)
         if old:
             self.drop(old)
+            # Shuffle files go when the driver's JVM collects the plans that made them: a long
+            # iteration asks for that, so that it keeps about one round on disk.
+            gc.collect()
+            self._jvm.System.gc()
         return out, path
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import cap_filters, line_runs, mixture_packing, pii_weak, quality_qda, secret_cnn, simhash_pivot, warc_zstd
+from twinsieve.llm import cap_filters, line_runs, mixture_packing, nn_descent, pii_weak, quality_qda, secret_cnn, simhash_pivot, warc_zstd
 from twinsieve.llm.common import read
 
 
@@ -40,6 +40,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 50 == 0)
+
+
 def op9_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii_weak.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *[pii_weak.count_of("base", k).alias(f"n_{k}") for k in pii_weak.KINDS],
@@ -59,6 +63,7 @@ QUERIES = {
     "op5_cap_filters": op5_cap_filters,
     "op6_warc_zstd": op6_warc_zstd,
     "op7_line_dedup": op7_line_dedup,
+    "op8_nn_descent": op8_nn_descent,
     "op9_pii_weak": op9_pii_weak,
     "op10_secret_cnn": op10_secret_cnn,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import cap_filters, line_runs, mixture_packing, nn_descent, pii_weak, quality_qda, secret_cnn, simhash_pivot, warc_zstd
+from twinsieve.llm import cap_filters, line_runs, mixture_packing, nn_descent, pii_weak, quality_qda, secret_cnn, simhash_pivot, spm_nbest, warc_zstd
 from twinsieve.llm.common import read
 
 
@@ -22,6 +22,11 @@ def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("out") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op3_spm_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every text: score, pieces, a digest of the ids and of the text decoded from them."""
+    return spm_nbest.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), n=4, digest=True)
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).pieces()
 
@@ -59,6 +64,7 @@ def op10_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_quality_qda": op2_quality_qda,
+    "op3_spm_nbest": op3_spm_nbest,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_cap_filters": op5_cap_filters,
     "op6_warc_zstd": op6_warc_zstd,

@@ -52,7 +52,13 @@ def test_planned_destinations_are_occupied(spark):
     assert _plan(spark, sel, ex) == {"t/a.jpg": ("a_2.jpg", "rename"), "t/a_1.jpg": ("a_1.jpg", "write")}
 
 
-def test_too_many(spark):
-    sel = [("t/m.jpg", "m.jpg", 1, "A")]
-    ex = [("m.jpg", 5, "h")] + [(f"m_{k}.jpg", 5, "h") for k in range(1, 10001)]
-    assert _plan(spark, sel, ex) == {"t/m.jpg": ("", "too_many")}
+def test_no_limit_on_numbers(spark):
+    sel = [("t/m.jpg", "m.jpg", 1, "A"), ("t/n.jpg", "n.jpg", 1, "A")]
+    ex = [("m.jpg", 5, "h")] + [(f"m_{k}.jpg", 5, "h") for k in range(1, 12001)]
+    ex += [("n.jpg", 5, "h"), ("n_1.jpg", 5, "h"), ("n_" + "9" * 40 + ".jpg", 5, "h"), ("n_1234567890123.jpg", 5, "h")]
+    assert _plan(spark, sel, ex) == {"t/m.jpg": ("m_12001.jpg", "rename"), "t/n.jpg": ("n_2.jpg", "rename")}
+
+
+def test_entries_without_size_are_occupied(spark):
+    # A link or a directory at the destination: never equal, never overwritten.
+    assert _plan(spark, [("t/a", "a", 1, "A")], [("a", None, None)]) == {"t/a": ("a_1", "rename")}

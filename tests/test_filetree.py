@@ -1,6 +1,7 @@
 """Real trees: listing rules, chunked hashing by path, images + pHash, and dedupe() end to end."""
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -49,10 +50,9 @@ def trees(tmpdir_path):
     return ref, tgt, tmpdir_path
 
 
-@pytest.mark.parametrize("method", ["walk", "source"])
-def test_listing_rules(spark, trees, method):
+def test_listing_rules(spark, trees):
     ref, _, _ = trees
-    got = {r.rel_path for r in prepare_side(scan_tree(spark, ref, method=method)).collect()}
+    got = {r.rel_path for r in prepare_side(scan_tree(spark, ref)).collect()}
     assert got == {"a.JPG", "sub/b.png", "empty.txt", ".hidden.jpg", "_under.jpg", "_u/in.jpg", "a b#%é.jpg"}
     # binaryFile differs exactly where documented: hidden/underscore names and empty files vanish
     bf = {r.rel_path for r in prepare_side(scan_binary(spark, ref)).collect()}
@@ -112,8 +112,8 @@ def test_empty_target(spark, trees, tmpdir_path):
 
 
 def test_walk_splits_a_hot_deep_subtree(spark, tmpdir_path):
-    # One deep subtree holds most files; the walk must list the same rows as the
-    # subtree source, with sizes and mtimes from lstat.
+    # One deep subtree holds most files; the walk must list the rows that
+    # os.lstat shows.
     root = os.path.join(tmpdir_path, "deep")
     expected = {}
     for i in range(40):
@@ -124,8 +124,9 @@ def test_walk_splits_a_hot_deep_subtree(spark, tmpdir_path):
     expected["cold/one.txt"] = 1
     os.mkdir(f"{root}/empty_dir")
     walk = {r.rel_path: (r.size, r.mtime) for r in scan_tree(spark, root, partitions=3).collect()}
-    src = {r.rel_path: (r.size, r.mtime) for r in scan_tree(spark, root, method="source").collect()}
-    assert walk == src
+    for rel, (size, mtime) in walk.items():
+        s = os.lstat(f"{root}/{rel}")
+        assert size == s.st_size and abs(mtime.timestamp() - s.st_mtime) < 1e-3
     assert {k: v[0] for k, v in walk.items()} == expected
 
 
@@ -166,3 +167,130 @@ def test_phash_properties_corrupt_and_pixel_limit(spark, tmpdir_path):
     assert dist("good.png", "copy.png") == 0
     assert dist("good.png", "resized.png") <= 8
     assert dist("good.png", "other.png") > 8
+
+
+def _run(spark, ref, tgt, out, **kw):
+    run = dedupe(spark, ref, tgt, out, dry_run=False, **kw)
+    return {os.path.relpath(r.target_path, tgt): r for r in run.results.collect()}, run
+
+
+def _tree(root):
+    return sorted(os.path.relpath(os.path.join(d, n), root) for d, _, names in os.walk(root) for n in names)
+
+
+def test_second_run_finds_everything_present(spark, trees, tmpdir_path):
+    ref, tgt, base = trees
+    out = f"{base}/twice"
+    _w(f"{tgt}/y/odd.bin", b"size that no ref file has")
+    _run(spark, ref, tgt, out)
+    before = _tree(out)
+    res, run = _run(spark, ref, tgt, out)
+    assert _tree(out) == before
+    assert {r.op for r in run.plan.collect()} == {"already_present"}
+    assert res["y/odd.bin"].reason == f"Copied to {out}/y/odd.bin"
+
+
+def test_failed_copy_is_skipped(spark, trees, tmpdir_path):
+    ref, tgt, base = trees
+    out = f"{base}/blocked"
+    _w(f"{out}/y", b"a file where a directory is needed")
+    res, run = _run(spark, ref, tgt, out)
+    row = res["y/notes.txt"]
+    assert row.action == "skipped" and row.reason.startswith("Error: ") and row.match_type == ""
+    assert run.stats.first().skipped == 3 and res["x/other.png"].action == "copied"
+
+
+def test_unreadable_targets_are_never_copied(spark, trees, tmpdir_path):
+    from twinsieve.operators.copyplan import selection
+
+    rows = [("a", "a", 1, None, None, None, "boom"), ("b", "b", 1, None, None, None, None)]
+    df = spark.createDataFrame(rows, "path string, rel_path string, size long, content_hash string, exact_path string, near_path string, error string")
+    assert [r.path for r in selection(df).collect()] == ["b"]
+
+
+def test_link_at_destination_stays(spark, trees, tmpdir_path):
+    ref, tgt, base = trees
+    out = f"{base}/linked"
+    os.makedirs(f"{out}/y")
+    _w(f"{base}/elsewhere", b"other")
+    os.symlink(f"{base}/elsewhere", f"{out}/y/notes.txt")
+    res, _ = _run(spark, ref, tgt, out)
+    assert os.path.islink(f"{out}/y/notes.txt") and res["y/notes.txt"].reason == f"Copied to {out}/y/notes_1.txt"
+
+
+def test_file_uris_and_other_schemes(spark, trees, tmpdir_path):
+    ref, tgt, base = trees
+    run = dedupe(spark, f"file://{ref}", f"file://{tgt}", f"file://{base}/out")
+    assert run.stats.first().exact_duplicates == 2
+    with pytest.raises(ValueError):
+        dedupe(spark, "hdfs://nowhere/ref", tgt, f"{base}/out")
+    with pytest.raises(OSError):
+        scan_tree(spark, f"{base}/missing")
+
+
+def test_hidden_images_are_matched(spark, tmpdir_path):
+    ref, tgt = f"{tmpdir_path}/r", f"{tmpdir_path}/t"
+    _w(f"{ref}/sub/_ref.png", png_bytes(_img(11)))
+    for name in ("plain.png", ".hidden.png", "_under.png", "_u/in.png"):
+        _w(f"{tgt}/{name}", png_bytes(np.kron(_img(11), np.ones((2, 2)))))
+    run = dedupe(spark, ref, tgt, f"{tmpdir_path}/o")
+    assert {r.action for r in run.results.collect()} == {"phash_dup"} and run.results.count() == 4
+
+
+def test_table_sides_need_a_provider_and_write_content(spark):
+    rows = [("a.png", "a.png", "a.png", ".png", 5, None, "hello")]
+    schema = "path string, rel_path string, name string, ext string, size long, mtime timestamp, content string"
+    ref = spark.createDataFrame(rows, schema)
+    tgt = spark.createDataFrame([("b.txt", "b.txt", "b.txt", ".txt", 3, None, "new"), *rows], schema)
+    with pytest.raises(ValueError):
+        dedupe(spark, ref, tgt)
+    run = dedupe(spark, ref, tgt, enable_phash=False, dry_run=False)
+    assert sorted((r.target_path, r.action) for r in run.results.collect()) == [("a.png", "exact_dup"), ("b.txt", "copied")]
+    assert [(r.rel_path, r.content) for r in spark.read.parquet(run.accepted_dir).collect()] == [("b.txt", "new")]
+
+
+def test_oversized_header_is_never_decoded(spark, tmpdir_path):
+    import struct
+    import zlib
+
+    from twinsieve.sources.images import header_size, phash_provider
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    bomb = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 60000, 60000, 8, 0, 0, 0, 0)) + chunk(b"IDAT", b"") + chunk(b"IEND", b"")
+    _w(f"{tmpdir_path}/bomb.png", bomb)
+    _w(f"{tmpdir_path}/ok.png", png_bytes(_img(2)))
+    assert header_size(f"{tmpdir_path}/bomb.png") == (60000, 60000)
+    df = spark.createDataFrame([(f"{tmpdir_path}/bomb.png",), (f"{tmpdir_path}/ok.png",)], "path string")
+    got = {os.path.basename(r.path): r.fp for r in phash_provider(spark)(df).collect()}
+    assert got["bomb.png"] is None and got["ok.png"] is not None
+    assert phash_provider(spark, 0)(df).where("fp is not null").count() == 0  # a limit of 0 is a limit
+
+
+def test_content_is_never_shuffled(spark):
+    from conftest import SF0001
+
+    from twinsieve.functions.providers import text_simhash
+    from twinsieve.operators.classify import match_targets
+    from twinsieve.plans.fixture_queries import _sides
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ref, tgt = _sides(spark, SF0001)
+        df = match_targets(ref, tgt, fingerprint=text_simhash())
+        text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    inputs = re.findall(r"\) Exchange\s+Input \[\d+\]: (.*)", text)
+    assert inputs and not any(re.search(r"\b(content|text)#", x) for x in inputs)
+
+
+def test_contract_values():
+    from twinsieve import config as C
+
+    assert C.IGNORED_FILE_NAMES == (".DS_Store",) and C.IGNORED_NAME_PREFIXES == ("._",)
+    assert C.IGNORED_DIR_NAMES == (".Trash", ".Spotlight-V100", ".fseventsd")
+    assert C.IMAGE_EXTENSIONS == (".jpg", ".jpeg", ".png", ".heic", ".webp", ".tif", ".tiff")
+    assert C.DEFAULT_THRESHOLD == 8 and C.DEFAULT_CHUNK_SIZE == 262144

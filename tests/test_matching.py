@@ -100,8 +100,8 @@ def test_hot_band_refinement_is_exact(spark, threshold):
     rdf = spark.createDataFrame(ref, "path string, fp long")
     tdf = spark.createDataFrame(tgt, "path string, fp long")
     idx = N.fingerprint_index(rdf)
-    # hot_ref_group=10 forces the refined path for the shared chunk
-    best = N.best_matches(tdf, idx, threshold=threshold, mode="lsh", hot_ref_group=10)
+    # refine="always" forces the refined path for the shared chunk
+    best = N.best_matches(tdf, idx, threshold=threshold, mode="lsh", refine="always")
     got = {r.path: (r.distance, r.near_path) for r in tdf.join(best, "fp").collect()}
     assert got == _brute(ref, tgt, threshold, lsh=True)
 
@@ -125,7 +125,7 @@ def test_hot_band_refinement_complete_is_exact(spark, threshold, bands):
     rdf = spark.createDataFrame(ref, "path string, fp long")
     tdf = spark.createDataFrame(tgt, "path string, fp long")
     idx = N.fingerprint_index(rdf)
-    best = N.best_matches(tdf, idx, threshold=threshold, mode="complete", bands=bands, hot_ref_group=10)
+    best = N.best_matches(tdf, idx, threshold=threshold, mode="complete", bands=bands, refine="always")
     got = {r.path: (r.distance, r.near_path) for r in tdf.join(best, "fp").collect()}
     assert got == _brute(ref, tgt, threshold, lsh=False)
 
@@ -175,3 +175,35 @@ def test_candidates_are_distinct_and_complete(spark, mode, threshold, bands):
     m = bands or (4 if mode == "lsh" else N.default_complete_bands(threshold))
     radius = 0 if mode == "lsh" else max(threshold, 0) // m
     assert set(got) == _brute_pairs(ref, tgt, band_layout(m), radius)
+
+
+def test_refinement_modes_agree_on_a_shared_band(spark):
+    import random
+
+    from twinsieve.operators import near as N
+
+    rnd = random.Random(7)
+    hot = 0x1234
+    refs = [(f"r{i}", (rnd.getrandbits(47) << 16) | (hot if i % 3 == 0 else rnd.getrandbits(16))) for i in range(300)]
+    tgts = [(f"t{i}", refs[i][1] ^ (1 << (20 + i % 30)) if i < 150 else (rnd.getrandbits(47) << 16) | hot) for i in range(200)]
+    idx = N.fingerprint_index(spark.createDataFrame(refs, "path string, fp long"))
+    tdf = spark.createDataFrame(tgts, "path string, fp long")
+    for mode in N.MATCH_MODES:
+        got = [sorted(map(tuple, N.best_matches(tdf, idx, mode=mode, refine=r).collect())) for r in N.REFINE_MODES]
+        assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_refused_parameters(spark):
+    import pytest
+
+    from twinsieve.functions.fingerprints import with_median_bits
+    from twinsieve.operators import near as N
+
+    empty = spark.createDataFrame([], "path string, fp long")
+    with pytest.raises(ValueError):
+        N.best_matches(empty, N.fingerprint_index(empty), refine="sometimes")
+    with pytest.raises(ValueError):
+        N.candidate_counts(empty, N.fingerprint_index(empty), bands=16)
+    wide = spark.createDataFrame([([float(x) for x in range(65)],)], "v array<double>")
+    with pytest.raises(Exception, match="64 elements"):
+        with_median_bits(wide, "v").collect()

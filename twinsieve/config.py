@@ -1,8 +1,8 @@
 """Fixed values of the matching contract and engine defaults.
 
 Everything in the first block must stay equal to the behaviour we mirror:
-which names are ignored, which suffixes count as images, the default
-Hamming threshold and the collision-rename cap.
+which names are ignored, which suffixes count as images and the default
+Hamming threshold.
 """
 
 # --- fixed values (contract; do not change) ---------------------------------
@@ -12,7 +12,6 @@ IGNORED_DIR_NAMES = (".Trash", ".Spotlight-V100", ".fseventsd")
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".heic", ".webp", ".tif", ".tiff")
 DEFAULT_THRESHOLD = 8
 DEFAULT_CHUNK_SIZE = 256 * 1024
-MAX_COLLISION_ATTEMPTS = 10000
 RESULT_COLUMNS = (
     "target_path",
     "action",

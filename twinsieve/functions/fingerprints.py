@@ -48,15 +48,6 @@ def chunk_columns(fp: str | Column, bands: int = LSH_BANDS, prefix: str = "c") -
     return [chunk(fp, k, bands).alias(f"{prefix}{k}") for k in range(bands)]
 
 
-def from_chunks(cols: Sequence[str | Column], width: int = 16) -> Column:
-    """Inverse of :func:`chunk_columns`."""
-    acc = None
-    for k, c in enumerate(cols):
-        term = F.shiftleft(_c(c).cast("bigint"), k * width)
-        acc = term if acc is None else acc.bitwiseOR(term)
-    return acc
-
-
 def hamming(a: str | Column, b: str | Column) -> Column:
     """Hamming distance = popcount(a xor b); correct for negative (top-bit) values."""
     return F.bit_count(_c(a).bitwiseXOR(_c(b))).cast("int")
@@ -155,13 +146,17 @@ def vector_median(vec: str | Column) -> Column:
 
 
 def median_bits(vec: str | Column, med: str | Column, dims: int = FINGERPRINT_BITS) -> Column:
-    """bit i = (vec[i] > med), element i -> bit i (lowest first); strict comparison."""
+    """bit i = (vec[i] > med), element i -> bit i (lowest first); strict comparison.
+
+    A vector of more than ``dims`` elements is an error (a prefix would silently drop elements);
+    a shorter one leaves the upper bits 0; null and empty vectors have no fingerprint."""
     v, m = _c(vec), _c(med)
     acc = None
     for i in range(dims):
         term = F.shiftleft(F.coalesce(F.get(v, i).cast("double") > m, F.lit(False)).cast("bigint"), i)
         acc = term if acc is None else acc.bitwiseOR(term)
-    return F.when(F.size(v) > 0, acc)
+    wrong = F.raise_error(F.concat(F.lit(f"median bits take at most {dims} elements, got "), F.size(v).cast("string")))
+    return F.when(F.size(v) > dims, wrong.cast("bigint")).when(F.size(v) > 0, acc)
 
 
 def with_median_bits(df: DataFrame, vec: str, out: str = "fp") -> DataFrame:

@@ -51,19 +51,24 @@ def resample_matrix(in_size: int, out_size: int) -> np.ndarray:
     return w
 
 
-def luma(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    px = np.frombuffer(data, dtype=np.uint8)
-    if channels == 1:
-        return px.reshape(height, width).astype(np.int64)
-    px = px.reshape(height, width, channels).astype(np.int64)
-    b, g, r = px[..., 0], px[..., 1], px[..., 2]
+STRIP = 256  # image rows widened at a time
+
+
+def luma(px: np.ndarray) -> np.ndarray:
+    """Grey of (rows, width[, channels]) 8-bit pixels."""
+    if px.ndim == 2:
+        return px.astype(np.int64)
+    b, g, r = (px[..., i].astype(np.int64) for i in range(3))
     return (r * 19595 + g * 38470 + b * 7471 + 32768) >> 16
 
 
-def phash_luma(grey: np.ndarray) -> int:
-    """Signed 64-bit pHash of a 2-D luma array."""
-    h, w = grey.shape
-    tmp = np.clip(np.round(grey @ resample_matrix(w, IMG_SIZE).T), 0, 255)
+def phash_pixels(px: np.ndarray) -> int:
+    """Signed 64-bit pHash of 8-bit pixels; widened to 64 bits in strips of rows only."""
+    h, w = px.shape[:2]
+    across = resample_matrix(w, IMG_SIZE).T
+    tmp = np.empty((h, IMG_SIZE))
+    for y in range(0, h, STRIP):
+        tmp[y : y + STRIP] = np.clip(np.round(luma(px[y : y + STRIP]) @ across), 0, 255)
     small = np.clip(np.round(resample_matrix(h, IMG_SIZE) @ tmp), 0, 255)
     dct = DCT_MATRIX @ small @ DCT_MATRIX.T
     low = dct[:HASH_SIZE, :HASH_SIZE]
@@ -81,7 +86,8 @@ def phash_image(img: pd.DataFrame) -> pd.Series:
             out.append(None)
             continue
         try:
-            out.append(phash_luma(luma(d, int(h), int(w), int(c))))
+            px = np.frombuffer(d, dtype=np.uint8, count=h * w * c)
+            out.append(phash_pixels(px.reshape(h, w) if c == 1 else px.reshape(h, w, c)))
         except Exception:  # noqa: BLE001 - an odd image falls through, it never fails the task
             out.append(None)
     return pd.Series(out, dtype="Int64")

@@ -7,9 +7,12 @@ chain with a ``CASE``, so the result is a disjoint bag with exactly one row
 per target - identical target files that are absent from the ref are all
 ``copied`` (there is no de-duplication inside the target side).
 
-Physical shape: targets are shuffled once by content hash (exact lookup), the
-non-exact images are fingerprinted, collapsed to distinct fingerprints for the
-band join, and the answers are joined back by path.
+Physical shape: the exact pass works on narrow rows written once (see
+:mod:`.exact`); the non-exact images are fingerprinted, collapsed to distinct
+fingerprints for the band join, and the answers are joined back by path.  In-table
+content is fingerprinted in its scan for every image and joined to the
+candidates as (path, fp); files of a tree are decoded only where they are
+candidates.
 
 Freshly computed fingerprint tables - the ref index and the target
 ``(path, fp)`` rows - are each read by several branches of the plan (band
@@ -17,10 +20,7 @@ join, hot-band refinement, join back by value), and Spark does not reuse the
 exchanges of a tokenising/decoding subtree across them.  They are therefore
 materialised once with a reliable ``checkpoint()`` (the session's shared
 checkpoint folder): narrow rows, computed once, and a lineage cut so a lost
-executor does not re-run fingerprinting.  For file trees the exact-pass rows
-(hashed by reading the files) are materialised too, so no file is read twice;
-in-table content is re-hashed instead of being written out.  Everything else
-stays lazy.
+executor does not re-run fingerprinting.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_THRESHOLD
+from ..config import DEFAULT_CHUNK_SIZE, DEFAULT_THRESHOLD
 from ..functions.hashing import hash_prefix
 from ..functions.paths import destination
 from ..functions.providers import FingerprintProvider
@@ -62,73 +62,70 @@ def match_targets(
     algo: str = "sha256",
     exact_index: DataFrame | None = None,
     fp_index: DataFrame | None = None,
+    chunk_size: int = DEFAULT_CHUNK_SIZE,
 ) -> DataFrame:
     """Targets with ``size_hit``, ``content_hash``, ``exact_path``, ``near_path``, ``distance``."""
-    ex = exact_matches(targets, ref, algo=algo, index=exact_index)
-    if enable_near and (fingerprint is not None or fp_index is not None):
-        if "content" not in ex.columns:
-            # File trees: hashes come from reading the files on executors, and both the
-            # near candidates and the final join read ``ex`` - materialise its narrow
-            # rows so every file is read and hashed once.
-            ex = ex.checkpoint(eager=True)
-        idx = fp_index if fp_index is not None else near_index(ref, fingerprint).checkpoint(eager=True)
-        cand = ex.filter(F.col("exact_path").isNull() & is_image("ext"))
-        if "error" in cand.columns:
-            cand = cand.filter(F.col("error").isNull())
-        tfp = fingerprint(cand).checkpoint(eager=True) if fingerprint is not None else cand.select("path", "fp")
-        best = best_matches(tfp, idx, threshold=threshold, mode=match_mode, bands=bands)
-        near = tfp.join(best, "fp").select("path", "near_path", "distance")
-        return ex.join(near, "path", "left")
-    return ex.withColumn("near_path", F.lit(None).cast("string")).withColumn("distance", F.lit(None).cast("int"))
+    ex = exact_matches(targets, ref, algo=algo, index=exact_index, chunk_size=chunk_size)
+    if not (enable_near and (fingerprint is not None or fp_index is not None)):
+        return ex.withColumn("near_path", F.lit(None).cast("string")).withColumn("distance", F.lit(None).cast("int"))
+    idx = fp_index if fp_index is not None else near_index(ref, fingerprint).checkpoint(eager=True)
+    tfp = candidate_fingerprints(targets, ex, fingerprint)
+    best = best_matches(tfp, idx, threshold=threshold, mode=match_mode, bands=bands)
+    near = tfp.join(best, "fp").select("path", "near_path", "distance")
+    return ex.join(near, "path", "left")
+
+
+def candidate_fingerprints(targets: DataFrame, ex: DataFrame, fingerprint: FingerprintProvider | None) -> DataFrame:
+    """(path, fp) of the near pass's candidates: readable images without an exact match; written once."""
+    cand = ex.filter(F.col("exact_path").isNull() & is_image("ext"))
+    if "error" in cand.columns:
+        cand = cand.filter(F.col("error").isNull())
+    if fingerprint is None:
+        return cand.select("path", "fp")
+    if "content" in targets.columns:
+        # In the scan, before any join: content is never shuffled to the candidates.
+        fps = fingerprint(targets.filter(is_image("ext")))
+        return fps.join(cand.select("path"), "path", "left_semi").checkpoint(eager=True)
+    return fingerprint(cand).checkpoint(eager=True)
 
 
 def to_results(matched: DataFrame, *, dry_run: bool = True, out_dir: str = "out", plan: DataFrame | None = None) -> DataFrame:
     """The six result strings ('' for none).
 
     ``plan`` (from :func:`twinsieve.operators.copyplan.copy_plan`) supplies the real
-    destination of copied rows when not a dry run; ``too_many`` rows become ``skipped``.
+    destination of copied rows when not a dry run; a row of it with ``error`` (the copy
+    failed) is reported ``skipped``.
     """
     err = F.col("error") if "error" in matched.columns else F.lit(None).cast("string")
     exact = F.col("exact_path").isNotNull()
     near = F.col("near_path").isNotNull()
     h16 = F.coalesce(hash_prefix("content_hash"), F.lit(""))
     planned_dest = destination(out_dir, "rel_path")
+    df = matched
+    failed = F.lit(None).cast("string")
     if dry_run or plan is None:
         copied_reason = F.concat(F.lit("[DRY-RUN] Would copy to " if dry_run else "Copied to "), planned_dest)
-        too_many = F.lit(False)
-        df = matched
     else:
-        df = matched.join(plan.select(F.col("src").alias("path"), "final_dst", "op"), "path", "left")
+        outcome = F.col("error") if "error" in plan.columns else F.lit(None).cast("string")
+        df = matched.join(plan.select(F.col("src").alias("path"), "final_dst", outcome.alias("copy_error")), "path", "left")
         copied_reason = F.concat(F.lit("Copied to "), destination(out_dir, F.coalesce(F.col("final_dst"), F.col("rel_path"))))
-        too_many = F.coalesce(F.col("op") == "too_many", F.lit(False))
-    skipped = err.isNotNull() | (~exact & ~near & too_many)
-    skip_reason = F.when(F.startswith(err, F.lit("Cannot stat file:")), err).when(
-        err.isNotNull(), F.concat(F.lit("Error: "), err)
-    ).otherwise(
-        F.concat(F.lit("Error: Too many collisions for "), planned_dest)
-    )
-    action = (
-        F.when(err.isNotNull(), "skipped")
-        .when(exact, "exact_dup")
-        .when(near, "phash_dup")
-        .when(too_many, "skipped")
-        .otherwise("copied")
-    )
+        failed = F.when(~exact & ~near, F.col("copy_error"))
+    problem = F.coalesce(err, failed)
+    skipped = problem.isNotNull()
+    skip_reason = F.when(F.startswith(problem, F.lit("Cannot stat file:")), problem).otherwise(F.concat(F.lit("Error: "), problem))
     return df.select(
         F.col("path").alias("target_path"),
-        action.alias("action"),
+        F.when(skipped, "skipped").when(exact, "exact_dup").when(near, "phash_dup").otherwise("copied").alias("action"),
         F.when(skipped, "").otherwise(F.coalesce(F.col("exact_path"), F.col("near_path"), F.lit(""))).alias("match_path"),
-        F.when(err.isNotNull(), "").when(exact, "exact").when(near, "phash").when(too_many, "").otherwise("none").alias("match_type"),
-        F.when(err.isNotNull(), "")
+        F.when(skipped, "").when(exact, "exact").when(near, "phash").otherwise("none").alias("match_type"),
+        F.when(skipped, "")
         .when(exact, hash_prefix("content_hash"))
         .when(near, F.col("distance").cast("string"))
-        .when(too_many, "")
         .otherwise(h16)
         .alias("distance_or_hash"),
-        F.when(err.isNotNull(), skip_reason)
+        F.when(skipped, skip_reason)
         .when(exact, F.lit("Byte-identical match in reference"))
         .when(near, F.concat(F.lit("Perceptual match (distance="), F.col("distance").cast("string"), F.lit(")")))
-        .when(too_many, skip_reason)
         .otherwise(copied_reason)
         .alias("reason"),
     )

@@ -7,10 +7,8 @@ Plan shape (why it is written this way):
   without a hint.  AQE turns the join into a broadcast when the runtime size
   of the distinct-size side is under the broadcast threshold, and keeps a
   shuffle join otherwise - the broadcast is always behind a measured size.
-* The hash is computed only where the size matched.  ``sha2`` sits in a
-  ``CASE`` that codegen evaluates lazily; a Python hash UDF is given a nulled
-  argument instead (a UDF inside a CASE would be lifted below it and run on
-  every row).
+* In-table content becomes a hash in the scan; files are hashed by path only where
+  the size matched.  Joins carry narrow rows, never content.
 * The exact lookup side is pre-aggregated to one row per hash (smallest path),
   so a hash shared by a third of the ref is one row and the target side of the
   join can be split by AQE's skew handling without multiplying output.
@@ -21,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT_CHUNK_SIZE
 from ..functions.hashing import content_hash
 
 
@@ -44,32 +43,27 @@ def flag_size_hits(targets: DataFrame, ref: DataFrame) -> DataFrame:
     return targets.join(hits, "size", "left").withColumn("size_hit", F.coalesce(F.col("size_hit"), F.lit(False)))
 
 
-def with_content_hash(df: DataFrame, algo: str = "sha256", gate: str | None = None) -> DataFrame:
-    """Adds ``content_hash`` from the ``content`` column, only where ``gate`` is true.
-
-    Frames without in-table content (real file trees) are hashed by the
-    executor-side path reader in :mod:`twinsieve.sources.content`.
-    """
-    if "content" not in df.columns:
-        from ..sources.content import hash_paths
-
-        return hash_paths(df, algo=algo, gate=gate)
-    if gate is None:
-        return df.withColumn("content_hash", content_hash("content", algo))
-    if algo == "sha256":
-        h = F.when(F.col(gate), content_hash("content", algo))
-    else:
-        h = content_hash(F.when(F.col(gate), F.col("content")), algo)
-    return df.withColumn("content_hash", h)
+def narrow_rows(files: DataFrame, algo: str = "sha256") -> DataFrame:
+    """``files`` without ``content``: one scan turns in-table content into ``full_hash``, so
+    no join or shuffle ever carries file bytes.  Frames without content pass through."""
+    if "content" not in files.columns:
+        return files
+    return files.select(*[c for c in files.columns if c != "content"], content_hash("content", algo).alias("full_hash"))
 
 
-def hash_index(ref: DataFrame, algo: str = "sha256") -> DataFrame:
+def hash_index(ref: DataFrame, algo: str = "sha256", chunk_size: int = DEFAULT_CHUNK_SIZE) -> DataFrame:
     """The exact index, one row per readable ref file: (content_hash, size, path)."""
-    hashed = with_content_hash(ref, algo)
-    cols = ["content_hash", "size", "path"]
-    if "error" in hashed.columns:
-        hashed = hashed.filter(F.col("error").isNull())
-    return hashed.filter(F.col("content_hash").isNotNull()).select(*cols)
+    if "content" in ref.columns:
+        # Filter on the content, not on its hash: the filter would be pushed below the
+        # projection and the hash computed twice.
+        readable = ref.filter(F.col("content").isNotNull())
+        if "error" in ref.columns:
+            readable = readable.filter(F.col("error").isNull())
+        return readable.select(content_hash("content", algo).alias("content_hash"), "size", "path")
+    from ..sources.content import hash_paths
+
+    hashed = hash_paths(ref, algo=algo, chunk_size=chunk_size)
+    return hashed.filter(F.col("error").isNull() & F.col("content_hash").isNotNull()).select("content_hash", "size", "path")
 
 
 def hash_groups(index: DataFrame) -> DataFrame:
@@ -90,15 +84,32 @@ def exact_lookup(index: DataFrame) -> DataFrame:
     return index.groupBy("content_hash").agg(F.min("path").alias("exact_path"))
 
 
-def exact_matches(targets: DataFrame, ref: DataFrame | None, algo: str = "sha256", index: DataFrame | None = None) -> DataFrame:
-    """Size-gated hash of the targets, left-joined to the exact lookup.
-
-    Adds ``size_hit``, ``content_hash`` (NULL when not computed) and
-    ``exact_path`` (NULL when no byte-identical ref file exists).  With a
-    persisted ``index`` the size buckets come from it (readable ref files only,
-    as in the mirrored tool) and ``ref`` may be None.
+def exact_matches(
+    targets: DataFrame,
+    ref: DataFrame | None,
+    algo: str = "sha256",
+    index: DataFrame | None = None,
+    chunk_size: int = DEFAULT_CHUNK_SIZE,
+) -> DataFrame:
+    """Size-gated hash of the targets and the exact lookup, on narrow rows.
+
+    Adds ``size_hit``, ``content_hash`` (NULL when the size does not occur) and
+    ``exact_path`` (NULL when no byte-identical ref file exists); ``content`` is
+    replaced by ``full_hash``.  The hashed rows are written once (checkpoint): every
+    file is read and hashed once, whatever reads them later.  Rows without a
+    size match - normally most - go round the hash join by ``union``, so they never
+    meet in one partition as a NULL key.  With a persisted ``index`` the size buckets
+    come from it (readable ref files only, as in the mirrored tool) and ``ref`` may be None.
     """
-    idx = index if index is not None else hash_index(ref, algo)
-    flagged = flag_size_hits(targets, idx if index is not None else ref)
-    hashed = with_content_hash(flagged, algo, gate="size_hit")
-    return hashed.join(exact_lookup(idx), "content_hash", "left")
+    idx = index if index is not None else hash_index(ref, algo, chunk_size)
+    flagged = flag_size_hits(narrow_rows(targets, algo), (idx if index is not None else ref).select("size"))
+    if "full_hash" in flagged.columns:
+        hashed = flagged.withColumn("content_hash", F.when(F.col("size_hit"), F.col("full_hash")))
+    else:
+        from ..sources.content import hash_paths
+
+        hashed = hash_paths(flagged, algo=algo, gate="size_hit", chunk_size=chunk_size)
+    hashed = hashed.checkpoint(eager=True)
+    found = hashed.filter(F.col("content_hash").isNotNull()).join(exact_lookup(idx), "content_hash", "left")
+    rest = hashed.filter(F.col("content_hash").isNull()).withColumn("exact_path", F.lit(None).cast("string"))
+    return found.unionByName(rest)

@@ -23,7 +23,6 @@ hash/sort-merge join, never a nested loop:
 from __future__ import annotations
 
 import math
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +31,7 @@ from ..config import DEFAULT_THRESHOLD, LSH_BANDS
 from ..functions.fingerprints import band_array, band_layout, bits_field, hamming, neighbour_masks
 
 MATCH_MODES = ("lsh", "complete")
-# A (band, value) group is "hot" when more distinct ref fingerprints than this share
-# it; every target then meets at most 4x this many unrefined candidates.
-# 0 disables the hot-group split (plain band join).
-HOT_REF_GROUP = int(os.environ.get("TWINSIEVE_HOT_REF_GROUP", "5000"))
+REFINE_MODES = ("work", "always", "never")
 
 
 def fingerprint_index(ref_fps: DataFrame) -> DataFrame:
@@ -132,7 +128,7 @@ def candidates(targets: DataFrame, index: DataFrame, mode: str = "lsh", threshol
     return pairs.select("fp", "ref_fp", "ref_path", hamming("fp", "ref_fp").alias("distance"))
 
 
-def _pairs_hot_refined(targets: DataFrame, index: DataFrame, mode: str, threshold: int, bands: int | None, hot_ref_group: int) -> DataFrame:
+def _pairs_hot_refined(targets: DataFrame, index: DataFrame, mode: str, threshold: int, bands: int | None, refine: str) -> DataFrame:
     """Candidate pairs that can pass the threshold, without emitting all pairs of a
     hot (band, value) group.
 
@@ -143,18 +139,23 @@ def _pairs_hot_refined(targets: DataFrame, index: DataFrame, mode: str, threshol
     (pigeonhole).  Hot groups therefore join on (band, value, j, probe), where
     the target probes every value within that radius of its band j != band -
     exact for every pair within the threshold, and each sub-group is about
-    2^w / C(w, <=r) times smaller.  Group sizes come from one partial-combined
-    aggregation of the ref bands (the A4 inverted index); only ref rows are
-    filtered by it.
+    2^w / C(w, <=r) times smaller.  Each group is refined when
+    that is estimated to be less work: refs x targets against the rows and probes of
+    the refinement, both counted by one partial-combined aggregation a side
+    (``refine="work"``; "always" and "never" give the same pairs).
     """
     probes, layout = _probes(targets, mode, threshold, bands)
     rb = _ref_bands(index, layout)
     key = ["band", "val"]
-    hot = rb.groupBy(*key).agg(F.count(F.lit(1)).alias("r_n")).filter(F.col("r_n") > F.lit(hot_ref_group)).select(*key)
-    cold = probes.join(rb.join(hot, key, "left_anti"), key).select("fp", "ref_fp", "ref_path")
-
     m = len(layout)
     radius = max(threshold, 0) // (m - 1)
+    ball = len(neighbour_masks(max(w for _, w in layout), radius))
+    sizes = rb.groupBy(*key).agg(F.count(F.lit(1)).alias("r_n")).join(probes.groupBy(*key).agg(F.count(F.lit(1)).alias("t_n")), key)
+    if refine == "work":
+        sizes = sizes.filter(F.col("r_n") * F.col("t_n") > (m - 1) * (F.col("r_n") + ball * F.col("t_n")))
+    hot = sizes.select(*key)
+    cold = probes.join(rb.join(hot, key, "left_anti"), key).select("fp", "ref_fp", "ref_path")
+
     others = F.array(*[F.lit(j) for j in range(m)])
 
     def band_j(col):
@@ -183,7 +184,7 @@ def best_matches(
     threshold: int = DEFAULT_THRESHOLD,
     mode: str = "lsh",
     bands: int | None = None,
-    hot_ref_group: int = HOT_REF_GROUP,
+    refine: str = "work",
 ) -> DataFrame:
     """R3 (J3+J4/J5+P10+F8+A9): per distinct target fingerprint, the closest ref within
     the threshold, ties to the smallest path: (fp, near_path, distance).
@@ -192,12 +193,13 @@ def best_matches(
     The arg-min is ``min(struct(distance, path))``, which combines partially
     before its shuffle; duplicate pairs from several bands do not change a min,
     so no separate de-duplication shuffle is needed.  Hot band groups are
-    refined (see :func:`_pairs_hot_refined`) - same answer, bounded pair output;
-    ``hot_ref_group=0`` turns that off.
+    refined (see :func:`_pairs_hot_refined`) - same answer, bounded pair output.
     """
+    if refine not in REFINE_MODES:
+        raise ValueError(f"refine must be one of {REFINE_MODES}, got {refine!r}")
     t = targets.select("fp").filter(F.col("fp").isNotNull()).distinct()
-    if hot_ref_group > 0 and len(_layout(mode, threshold, bands)) > 1:
-        raw = _pairs_hot_refined(t, index, mode, threshold, bands, hot_ref_group)
+    if refine != "never" and len(_layout(mode, threshold, bands)) > 1:
+        raw = _pairs_hot_refined(t, index, mode, threshold, bands, refine)
     else:
         raw = _candidate_pairs(t, index, mode, threshold, bands)
     pairs = raw.withColumn("distance", hamming("fp", "ref_fp"))
@@ -220,8 +222,7 @@ def _band_subsets(layout) -> list[tuple[int, int, int]]:
     return out
 
 
-# Inclusion-exclusion needs 2^bands - 1 masked keys per row; above this many bands
-# the candidate pairs are counted instead.
+# Inclusion-exclusion needs 2^bands - 1 masked keys per row: more bands are refused.
 MAX_COUNT_BANDS = 8
 
 
@@ -261,7 +262,9 @@ def candidate_counts(targets: DataFrame, index: DataFrame, mode: str = "lsh", th
     distinct candidate pairs are counted.
     """
     layout = band_layout(bands or LSH_BANDS)
-    if mode == "lsh" and len(layout) <= MAX_COUNT_BANDS:
+    if mode == "lsh" and len(layout) > MAX_COUNT_BANDS:
+        raise ValueError(f"candidate counts take at most {MAX_COUNT_BANDS} bands, got {len(layout)}")
+    if mode == "lsh":
         per_fp = _lsh_candidate_counts(targets, index, layout)
     else:
         per_fp = candidates(targets, index, mode, threshold, bands).groupBy("fp").agg(

@@ -13,32 +13,34 @@ passes the driver):
    fingerprint still matches, else built and persisted (this also cuts lineage);
 4. classify the targets lazily (size-gated hash, exact lookup, banded
    near-duplicate join over distinct fingerprints);
-5. not a dry run: copy plan against the output tree, then executors copy;
-6. results are written once (CSV); the stats aggregate the *written* results,
-   so the classification is not executed twice.
+5. not a dry run: copy plan against the output tree, then executors copy (files) or
+   the accepted content is written as a table (in-table sides); copy failures are
+   joined back into the results;
+6. results are written once as Parquet; the CSV and the stats read the *written*
+   results, so the classification is not executed twice.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CHUNK_SIZE, DEFAULT_THRESHOLD, RESULT_COLUMNS
-from ..functions.providers import FingerprintProvider
+from ..functions.paths import local_path
+from ..functions.providers import FingerprintProvider, column_fingerprint
 from ..operators.classify import match_targets, to_results
 from ..operators.copyplan import copy_plan, selection
 from ..operators.filters import prepare_side
 from ..operators.stats import run_stats
-from ..session import checkpoint_dir
-from ..sinks.results import RESULT_SCHEMA, read_results_csv, write_results_csv
+from ..session import scratch_folder
+from ..sinks.results import RESULT_SCHEMA, write_accepted, write_results_csv, write_results_parquet
 from ..sources.content import copy_files, hash_paths
 from ..sources.filetree import scan_tree
 from ..sources.images import phash_provider
-from .index import build_or_load, path_exists
+from .index import build_or_load
 
 
 @dataclass
@@ -48,16 +50,17 @@ class DedupeRun:
     plan: DataFrame | None
     results_dir: str | None
     index_reused: dict
+    accepted_dir: str | None = None
 
 
 def _norm(p: str) -> str:
-    return os.path.realpath(p) if "://" not in p else p.rstrip("/")
+    return os.path.realpath(local_path(p))
 
 
 def validate_paths(ref: str, target: str, out: str | None) -> None:
-    """Inputs exist; the output is neither an input nor inside one."""
+    """Inputs exist; the output is neither an input nor inside one (``file:`` URIs included)."""
     for label, p in (("Reference", ref), ("Target", target)):
-        if "://" not in p and not os.path.exists(p):
+        if not os.path.exists(local_path(p)):
             raise ValueError(f"{label} directory does not exist: {p}")
     if out is None:
         return
@@ -87,22 +90,30 @@ def dedupe(
     dry_run: bool = True,
     rebuild_index: bool = False,
     chunk_size: int = DEFAULT_CHUNK_SIZE,
+    existing: DataFrame | None = None,
 ) -> DedupeRun:
+    """``existing`` (rel_path, size, content_hash): what the destination of an in-table run already holds."""
     if isinstance(ref, str) and isinstance(target, str):
         validate_paths(ref, target, out)
     ref_root = ref if isinstance(ref, str) else "ref"
     ref_files = prepare_side(scan_tree(spark, ref) if isinstance(ref, str) else ref, extensions)
     tgt_files = prepare_side(scan_tree(spark, target) if isinstance(target, str) else target, extensions)
     out_dir = out or "out"
-    results_dir = results_dir or f"{checkpoint_dir(spark).rstrip('/')}/twinsieve-results-{uuid.uuid4().hex}"
+    in_table = "content" in tgt_files.columns
+    if not dry_run and not in_table:
+        local_path(out_dir)  # executors can only copy into a mounted tree
+    if enable_phash and fingerprint is None:
+        if isinstance(ref, str) and isinstance(target, str):
+            fingerprint = phash_provider(spark, max_image_pixels)
+        elif "fp" in ref_files.columns and "fp" in tgt_files.columns:
+            fingerprint = column_fingerprint()
+        else:
+            raise ValueError("the near pass needs a fingerprint provider (or a column fp on both sides); pass enable_phash=False to go without")
 
     if tgt_files.isEmpty():  # R7: nothing to do, no index work
         empty = spark.createDataFrame([], RESULT_SCHEMA)
         return DedupeRun(empty, run_stats(empty), None, None, {})
 
-    if fingerprint is None and enable_phash and isinstance(ref, str) and isinstance(target, str):
-        fingerprint = phash_provider(spark, [ref, target], max_image_pixels, extensions)
-
     reused = {}
     exact_index = fp_index = None
     if index_dir:
@@ -117,6 +128,7 @@ def dedupe(
             max_image_pixels=max_image_pixels,
             enable_near=enable_phash,
             rebuild=rebuild_index,
+            chunk_size=chunk_size,
         )
         exact_index, fp_index, reused = idx.exact, idx.near, idx.reused
 
@@ -131,33 +143,45 @@ def dedupe(
         algo=hash_algo,
         exact_index=exact_index,
         fp_index=fp_index if enable_phash else None,
+        chunk_size=chunk_size,
     )
+    results_dir = results_dir or scratch_folder(spark, "results")
 
-    plan = None
+    plan = accepted_dir = None
     if not dry_run:
         # Materialise the (narrow) selection once: the plan reads it several times.
-        selected = selection(matched, algo=hash_algo).checkpoint(eager=True)
-        existing = _existing_tree(spark, out_dir, selected, hash_algo, chunk_size)
-        plan = copy_plan(selected, existing, algo=hash_algo).checkpoint(eager=True)
-        if "content" not in matched.columns:
-            failed = copy_files(plan, out_dir).filter(F.col("error").isNotNull())
-            failed.write.mode("overwrite").parquet(f"{results_dir}/copy_errors")
+        selected = selection(matched).checkpoint(eager=True)
+        if in_table:
+            there = existing if existing is not None else spark.createDataFrame([], EXISTING_SCHEMA)
+            plan = copy_plan(selected, there, algo=hash_algo).checkpoint(eager=True)
+            accepted_dir = f"{results_dir}/accepted"
+            write_accepted(tgt_files, plan, accepted_dir)
+        else:
+            there = _existing_tree(spark, out_dir, selected, hash_algo, chunk_size)
+            read = lambda df, gate: hash_paths(df, algo=hash_algo, gate=gate, chunk_size=chunk_size)
+            plan = copy_plan(selected, there, algo=hash_algo, hash_sources=read).checkpoint(eager=True)
+            copy_files(plan, out_dir).write.mode("overwrite").parquet(f"{results_dir}/copied")
+            outcome = spark.read.parquet(f"{results_dir}/copied").select("src", "error")
+            plan = plan.join(outcome, "src", "left")
 
     results = to_results(matched, dry_run=dry_run, out_dir=out_dir, plan=plan)
-    write_results_csv(results, f"{results_dir}/results")
-    written = read_results_csv(spark, f"{results_dir}/results")
-    return DedupeRun(written.select(*RESULT_COLUMNS), run_stats(written), plan, results_dir, reused)
+    write_results_parquet(results, f"{results_dir}/table")
+    written = spark.read.schema(RESULT_SCHEMA).parquet(f"{results_dir}/table")
+    write_results_csv(written, f"{results_dir}/results")
+    return DedupeRun(written.select(*RESULT_COLUMNS), run_stats(written), plan, results_dir, reused, accepted_dir)
+
+
+EXISTING_SCHEMA = "rel_path string, size bigint, content_hash string"
 
 
 def _existing_tree(spark: SparkSession, out_dir: str, selected: DataFrame, algo: str, chunk_size: int) -> DataFrame:
-    """(rel_path, size, content_hash) of the output tree; only same-path, same-size
-    collisions are hashed (the only ones the plan compares)."""
-    if "://" not in out_dir and not os.path.exists(out_dir):
-        return spark.createDataFrame([], "rel_path string, size bigint, content_hash string")
-    if "://" in out_dir and not path_exists(spark, out_dir):
-        return spark.createDataFrame([], "rel_path string, size bigint, content_hash string")
-    tree = scan_tree(spark, out_dir).select("path", "rel_path", "size")
+    """(rel_path, size, content_hash) of everything in the output tree - links and directories
+    too, with no size: they occupy their name.  Only same-path, same-size collisions are
+    hashed (the only ones the plan compares)."""
+    if not os.path.exists(local_path(out_dir)):
+        return spark.createDataFrame([], EXISTING_SCHEMA)
+    tree = scan_tree(spark, out_dir, everything=True).select("path", "rel_path", "size")
     sizes = selected.select(F.col("rel_path"), F.col("size").alias("_sel_size"))
     gated = tree.join(sizes, "rel_path", "left").withColumn("_same", F.col("_sel_size") == F.col("size"))
     gated = gated.withColumn("_same", F.coalesce(F.col("_same"), F.lit(False)))
-    return hash_paths(gated, algo=algo, gate="_same", chunk_size=chunk_size).select("rel_path", "size", "content_hash")
+    return hash_paths(gated, algo=algo, gate="_same", chunk_size=chunk_size).select("rel_path", "size", "content_hash").checkpoint(eager=True)

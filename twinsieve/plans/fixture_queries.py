@@ -7,7 +7,6 @@ column names and types equal the DuckDB statement of the same key in
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +20,10 @@ from ..functions.providers import text_simhash
 from ..operators import exact as X
 from ..operators import near as N
 from ..operators import stats as S
-from ..operators.classify import classify, match_targets, near_index
+from ..operators.classify import candidate_fingerprints, classify, match_targets, near_index
 from ..operators.copyplan import copy_plan, selection
 from ..operators.filters import drop_ignored, filter_extensions, is_image, prepare_side
-from ..session import checkpoint_dir
+from ..session import scratch_folder
 from ..sources.fixtures import documents_files, existing_destinations
 from ..sources.tables import read_table, spread
 from .oracle_sql import EXT_FILTER_SPEC, OUT_DIR
@@ -43,7 +42,7 @@ def _sides(spark: SparkSession, sf: str, extensions=None) -> tuple[DataFrame, Da
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/twinsieve-{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, name) + "/data"
 
 
 # --- scans, filters, scalars --------------------------------------------------
@@ -82,14 +81,19 @@ def size_buckets(spark, sf):
 
 def content_hash_q(spark, sf):
     ref, tgt = _sides(spark, sf)
-    both = spread(ref.unionByName(tgt))
+    both = ref.unionByName(tgt)
     return both.select("side", "path", "size", content_hash("content", "sha256").alias("content_hash"))
 
 
 def content_hash_blake2b(spark, sf):
+    """P5 with blake2b: the digest's length and the smallest path that shares it (what an oracle without
+    blake2b can derive from equal contents)."""
     ref, tgt = _sides(spark, sf)
-    both = spread(ref.unionByName(tgt))
-    return both.select("side", "path", "size", content_hash("content", "blake2b").alias("content_hash"))
+    rows = ref.unionByName(tgt).select("side", "path", "size", content_hash("content", "blake2b").alias("digest"))
+    rows.write.parquet(where := _scratch(spark, "blake2b"))  # narrow rows, hashed once
+    rows = spark.read.parquet(where)
+    first = rows.groupBy("digest").agg(F.min("path").alias("first_path"))
+    return rows.join(first, "digest").select("side", "path", "size", F.length("digest").alias("digest_chars"), "first_path")
 
 
 def hash_groups(spark, sf):
@@ -133,10 +137,8 @@ def _near_setup(spark, sf):
     fp = text_simhash()
     # Both sides feed several joins: fingerprint each once (see operators.classify).
     idx = near_index(ref, fp).checkpoint(eager=True)
-    m = X.exact_matches(tgt, ref)
-    cand = m.filter(F.col("exact_path").isNull() & is_image("ext"))
-    tfp = fp(cand).filter(F.col("fp").isNotNull()).checkpoint(eager=True)
-    return idx, tfp
+    tfp = candidate_fingerprints(tgt, X.exact_matches(tgt, ref), fp)
+    return idx, tfp.filter(F.col("fp").isNotNull())
 
 
 def phash_groups(spark, sf):
@@ -259,6 +261,35 @@ def copy_plan_q(spark, sf):
     return copy_plan(selected, existing)
 
 
+def _unreadable(tgt: DataFrame) -> DataFrame:
+    """The full run's fixture: some targets cannot be read."""
+    bad = F.col("doc_id") % 50 == 21
+    return tgt.withColumn("error", F.when(bad, F.concat(F.lit("Failed to hash "), F.col("path"), F.lit(": unreadable"))))
+
+
+def _run(spark, sf):
+    """R5 in full on the fixture: index, classification, copy plan, accepted-content sink, results, stats."""
+    from .dedupe import dedupe
+
+    ref, tgt = _sides(spark, sf)
+    existing = existing_destinations(tgt).checkpoint(eager=True)
+    return dedupe(spark, ref, _unreadable(tgt), OUT_DIR, index_dir=_scratch(spark, "run-index"), fingerprint=text_simhash(),
+                  hash_algo="sha256", dry_run=False, existing=existing)
+
+
+def dedupe_run(spark, sf):
+    """The results of a full run, joined back to the content it accepted."""
+    run = _run(spark, sf)
+    kept = spark.read.parquet(run.accepted_dir).select(F.col("src").alias("target_path"), F.sha2("content", 256).alias("accepted_sha256"))
+    return run.results.join(kept, "target_path", "left")
+
+
+def accepted_content(spark, sf):
+    """K3: the accepted-content table of a full run."""
+    kept = spark.read.parquet(_run(spark, sf).accepted_dir)
+    return kept.select("rel_path", "src", "size", F.sha2("content", 256).alias("sha256"), F.unix_millis("mtime").alias("mtime_ms"))
+
+
 def results_csv_roundtrip(spark, sf):
     from ..sinks.results import read_results_csv, write_results_csv
 
@@ -305,6 +336,8 @@ def all_queries() -> dict[str, Query]:
         "classify_complete": classify_complete,
         "run_stats": run_stats,
         "copy_plan": copy_plan_q,
+        "dedupe_run": dedupe_run,
+        "accepted_content": accepted_content,
         "results_csv_roundtrip": results_csv_roundtrip,
         "stream_classify": stream_classify,
         "image_phash": image_phash,
@@ -314,12 +347,16 @@ def all_queries() -> dict[str, Query]:
 def image_phash(spark, sf):
     """S3 + P7 on images Spark derives from the ``embeddings`` table: every vector is
     rendered as a greyscale PNG by the executors into the shared folder, decoded by
-    the ``image`` source and hashed (rows-only check: no oracle decodes images)."""
+    the ``image`` source and hashed.  Returned is what SQL can derive too: every image
+    decodes, and equal vectors give equal fingerprints (``first_equal`` groups by both)."""
     from ..sources.images import image_fingerprints, write_vector_images
 
     folder = _scratch(spark, "images")
-    written = write_vector_images(read_table(spark, sf, "embeddings"), folder)
+    vectors = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    written = write_vector_images(vectors, folder)
     written.write.mode("overwrite").parquet(folder + "-manifest")
     fps = image_fingerprints(spark, folder)
     manifest = spark.read.parquet(folder + "-manifest")
-    return manifest.join(fps, "path", "left").select("vec_id", *chunk_columns("fp"))
+    hashed = manifest.join(fps, "path", "left").join(vectors, "vec_id").select("vec_id", "embedding", "fp")
+    first = hashed.groupBy("embedding", "fp").agg(F.min("vec_id").alias("first_equal"))
+    return hashed.join(first, ["embedding", "fp"]).select("vec_id", F.col("fp").isNotNull().alias("decoded"), "first_equal")

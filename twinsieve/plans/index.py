@@ -24,9 +24,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..config import DEFAULT_CHUNK_SIZE
 from ..operators.classify import near_index
 from ..operators.exact import hash_index
 from ..operators.filters import normalise_extensions
@@ -107,13 +107,14 @@ def build_or_load(
     max_image_pixels: int | None = None,
     enable_near: bool = True,
     rebuild: bool = False,
+    chunk_size: int = DEFAULT_CHUNK_SIZE,
 ) -> ReferenceIndex:
     """Reuse or rebuild each index table; ``ref`` is the filtered ref ``files`` frame."""
     exts = ",".join(normalise_extensions(extensions) or ())
     index_dir = index_dir.rstrip("/")
     exact_opts = f"algo={algo};ext={exts}"
     exact, exact_reused = _load_or_build(
-        spark, f"{index_dir}/exact", reference_fingerprint(ref, ref_path, exact_opts), lambda: hash_index(ref, algo), rebuild
+        spark, f"{index_dir}/exact", reference_fingerprint(ref, ref_path, exact_opts), lambda: hash_index(ref, algo, chunk_size), rebuild
     )
     near = None
     near_reused = False
@@ -124,15 +125,3 @@ def build_or_load(
             spark, f"{index_dir}/near", reference_fingerprint(ref, ref_path, near_opts), lambda: near_index(ref, fingerprint), rebuild
         )
     return ReferenceIndex(exact=exact, near=near, reused={"exact": exact_reused, "near": near_reused})
-
-
-def fingerprint_matches(spark: SparkSession, index_dir: str, table: str, current: DataFrame) -> bool:
-    """P13 on a stored table: does its fingerprint equal ``current``?"""
-    stored = _stored_row(spark, f"{index_dir.rstrip('/')}/{table}/fingerprint")
-    if stored is None:
-        return False
-    cur = current.collect()[0]
-    return all(stored[f] == cur[f] for f in FINGERPRINT_FIELDS)
-
-
-__all__ = ["ReferenceIndex", "build_or_load", "fingerprint_matches", "read_fingerprint", "write_fingerprint", "F"]

@@ -16,7 +16,6 @@ from ..config import (
     IGNORED_FILE_NAMES,
     IGNORED_NAME_PREFIXES,
     IMAGE_EXTENSIONS,
-    MAX_COLLISION_ATTEMPTS,
 )
 from ..sources.fixtures import FIXTURE_SUFFIXES
 
@@ -157,10 +156,9 @@ FROM (
 ) y"""
 
 
-def copy_plan_sql() -> str:
-    return f"""WITH {classify_ctes()},
-selected AS (SELECT t.path AS src, t.rel_path AS planned_dst, t.size, t.content, t.doc_id
-             FROM res JOIN tgt t ON res.target_path = t.path WHERE res.action = 'copied'),
+def _copy_ctes(selected: str) -> str:
+    """CTEs of the copy plan of ``selected`` (src, planned_dst, size, content), ending in ``plan``."""
+    return f"""selected AS ({selected}),
 alltgt AS (SELECT * FROM tgt),
 parts AS (
   SELECT doc_id, rel_path, content,
@@ -196,16 +194,44 @@ ren AS (
 occupied AS (SELECT rel_path FROM existing UNION SELECT planned_dst FROM selected),
 k_ok AS (
   SELECT r.src, k.k
-  FROM ren r, range(1, {MAX_COLLISION_ATTEMPTS + 1}) k(k)
+  FROM ren r, range(1, (SELECT count(*) + 2 FROM occupied)) k(k)
   WHERE (CASE WHEN r.d = '' THEN '' ELSE r.d || '/' END || r.stem || '_' || CAST(k.k AS VARCHAR) || r.sf)
         NOT IN (SELECT rel_path FROM occupied)),
-first_k AS (SELECT src, min(k) AS k FROM k_ok GROUP BY src)
-SELECT p.src, p.planned_dst,
+first_k AS (SELECT src, min(k) AS k FROM k_ok GROUP BY src),
+plan AS (SELECT p.src, p.planned_dst,
   CASE WHEN p.op <> 'rename' THEN p.planned_dst
-       WHEN f.k IS NULL THEN ''
        ELSE (CASE WHEN r.d = '' THEN '' ELSE r.d || '/' END || r.stem || '_' || CAST(f.k AS VARCHAR) || r.sf) END AS final_dst,
-  CASE WHEN p.op <> 'rename' THEN p.op WHEN f.k IS NULL THEN 'too_many' ELSE 'rename' END AS op
-FROM planned p LEFT JOIN ren r ON p.src = r.src LEFT JOIN first_k f ON p.src = f.src"""
+  p.op
+FROM planned p LEFT JOIN ren r ON p.src = r.src LEFT JOIN first_k f ON p.src = f.src)"""
+
+
+def copy_plan_sql() -> str:
+    return f"""WITH {classify_ctes()},
+{_copy_ctes("""SELECT t.path AS src, t.rel_path AS planned_dst, t.size, t.content, t.doc_id
+             FROM res JOIN tgt t ON res.target_path = t.path WHERE res.action = 'copied'""")}
+SELECT * FROM plan"""
+
+
+# The full run's fixture: these targets cannot be read.
+UNREADABLE = "doc_id % 50 = 21"
+
+
+def run_ctes() -> str:
+    """The full run (not dry) up to ``final``: one row per target with its outcome."""
+    return f"""{classify_ctes()},
+bad AS (SELECT path FROM tgt WHERE {UNREADABLE}),
+{_copy_ctes("""SELECT t.path AS src, t.rel_path AS planned_dst, t.size, t.content, t.doc_id
+             FROM res JOIN tgt t ON res.target_path = t.path WHERE res.action = 'copied' AND t.path NOT IN (SELECT path FROM bad)""")},
+final AS (
+  SELECT res.target_path,
+    CASE WHEN bad.path IS NOT NULL THEN 'skipped' ELSE action END AS action,
+    CASE WHEN bad.path IS NOT NULL THEN '' ELSE match_path END AS match_path,
+    CASE WHEN bad.path IS NOT NULL THEN '' ELSE match_type END AS match_type,
+    CASE WHEN bad.path IS NOT NULL THEN '' ELSE distance_or_hash END AS distance_or_hash,
+    CASE WHEN bad.path IS NOT NULL THEN 'Error: Failed to hash ' || res.target_path || ': unreadable'
+         WHEN action = 'copied' THEN 'Copied to {OUT_DIR}/' || p.final_dst ELSE reason END AS reason,
+    p.op, p.final_dst
+  FROM res LEFT JOIN bad ON res.target_path = bad.path LEFT JOIN plan p ON res.target_path = p.src)"""
 
 
 def all_sql() -> dict[str, str]:
@@ -268,6 +294,16 @@ SELECT count(*) AS total_scanned, count(*) FILTER (WHERE action = 'copied') AS c
     q["unique_rows"] = f"""WITH {classify_ctes(t, "lsh")}
 SELECT t.path, t.rel_path, t.size FROM tgt t JOIN res ON t.path = res.target_path WHERE res.action = 'copied'"""
     q["copy_plan"] = copy_plan_sql()
+    q["dedupe_run"] = f"""WITH {run_ctes()}
+SELECT target_path, action, match_path, match_type, distance_or_hash, reason,
+  CASE WHEN op IN ('write', 'rename') THEN sha256(t.content) END AS accepted_sha256
+FROM final f JOIN tgt t ON f.target_path = t.path"""
+    q["accepted_content"] = f"""WITH {run_ctes()}
+SELECT final_dst AS rel_path, target_path AS src, t.size, sha256(t.content) AS sha256, epoch_ms(t.mtime) AS mtime_ms
+FROM final f JOIN tgt t ON f.target_path = t.path WHERE op IN ('write', 'rename')"""
+    q["content_hash_blake2b"] = _with("", """SELECT side, path, size, 128 AS digest_chars,
+  min(path) OVER (PARTITION BY content) AS first_path FROM (SELECT * FROM ref UNION ALL SELECT * FROM tgt) x""")
+    q["image_phash"] = """SELECT vec_id, TRUE AS decoded, min(vec_id) OVER (PARTITION BY embedding) AS first_equal FROM embeddings"""
     q["results_csv_roundtrip"] = classify_sql(t, "lsh")
     q["stream_classify"] = classify_sql(t, "lsh")
     return q

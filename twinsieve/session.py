@@ -95,6 +95,23 @@ def ship_package(spark: SparkSession, folder: str) -> None:
     _SHIPPED.add(key)
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared checkpoint folder, removed when the application ends."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/twinsieve-{label}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:

@@ -48,8 +48,7 @@ def write_results_parquet(results: DataFrame, path: str) -> None:
 def write_accepted(rows: DataFrame, plan: DataFrame, path: str) -> None:
     """K3: selected rows under their final relative destination, content and source mtime.
 
-    Rows planned ``already_present`` or ``too_many`` are not written.  Never
-    touches the input trees.
+    Rows planned ``already_present`` are not written.  Never touches the input trees.
     """
     p = plan.filter(F.col("op").isin("write", "rename")).select(F.col("src").alias("path"), "final_dst")
     cols = [c for c in ("content", "mtime", "size") if c in rows.columns]

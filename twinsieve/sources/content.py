@@ -85,6 +85,9 @@ def copy_files(plan: DataFrame, out_root: str) -> DataFrame:
     import shutil
     import uuid
 
+    from ..functions.paths import local_path
+
+    out_root = local_path(out_root)
     schema = T.StructType(
         [T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("error", T.StringType())]
     )

@@ -1,23 +1,21 @@
-"""File-tree listing as a Spark data source.
+"""File-tree listing as Spark jobs.
 
 Ways to scan a tree into the ``files`` schema (metadata only; content is read
-later, on executors, only for the rows that need it).  All follow ``os.lstat``
-semantics: directory links are not followed, symlinks and non-regular files
-are skipped, ignored directories are pruned during the walk, hidden,
-``_``-prefixed and empty files are kept.  They need the tree mounted at the
-same path on every executor.
-
-* :func:`scan_tree` (default ``method="walk"``) - a breadth-first walk run as
-  Spark jobs, one per depth: the frontier directories are spread over all
-  tasks, each task lists its directories, and the level is written to a table
-  in the shared checkpoint folder (lineage cut; the next frontier is read
-  back from it).  A subtree holding a third of the tree is thus split across
+later, on executors, only for the rows that need it).
+
+* :func:`scan_tree` - a breadth-first walk, one Spark job per depth: the
+  frontier directories are spread over all tasks, each task lists its
+  directories in bounded pieces, and the level is written to a table in the
+  shared checkpoint folder (the next frontier is read back from it) until no
+  directory is left.  A subtree holding a third of the tree is thus split across
   tasks at every level.  ``lstat`` - the costly call on a network filesystem -
-  runs afterwards over the spread list of found files, so even one huge flat
-  directory is stat-ed by many tasks (only its ``scandir`` is one task).
-* ``method="source"`` - the Python Data Source ``filetree``: subtrees planned on
-  the driver by listing the top levels, each walked whole by one task; fine
-  for small and even trees.
+  runs afterwards over the spread list of found files and its rows are written
+  once, so every later use sees the same answer.  ``os.lstat`` semantics:
+  directory links are not followed, symlinks and non-regular files are skipped,
+  ignored directories are pruned, hidden, ``_``-prefixed and empty files are kept.
+  The tree must be mounted at the same path on the driver and every executor; a
+  ``file:`` URI is such a path, other schemes are refused, and so is a root that
+  cannot be listed.
 * :func:`scan_binary` - Spark's ``binaryFile`` source with only metadata
   columns selected (content is pruned from the read).  Works on any Hadoop
   filesystem, but drops names starting with ``.``/``_`` and empty files and
@@ -30,61 +28,33 @@ import os
 import stat as st
 from datetime import datetime, timezone
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import IGNORED_DIR_NAMES
-from ..functions.paths import ext_of, name_of, normalise_uri, relative_to
-from ..session import checkpoint_dir
-from .tables import spread
+from ..functions.paths import ext_of, local_path, name_of, normalise_uri, relative_to
+from ..session import remove_folder, scratch_folder
 
 LISTING_SCHEMA = "path string, size bigint, mtime timestamp, error string"
-# Split the tree on the driver until there are this many subtrees per core.
+# Tasks of a walk, for each core.
 PARTITIONS_PER_CORE = 4
+# Entries a listing task holds at a time.
+PIECE = 10_000
 
 
-class _Subtree(InputPartition):
-    def __init__(self, directory: str, recursive: bool):
-        super().__init__(directory)
-        self.directory = directory
-        self.recursive = recursive
-
-
-def _list_dir(path: str):
-    """(files, subdirs) directly below ``path``, without following links."""
-    files, dirs = [], []
+def _entries(directory: str):
+    """(path, is_dir) directly below ``directory``, without following links; ignored directories left out."""
     try:
-        with os.scandir(path) as it:
+        with os.scandir(directory) as it:
             for e in it:
                 try:
-                    if e.is_dir(follow_symlinks=False):
-                        if e.name not in IGNORED_DIR_NAMES:
-                            dirs.append(e.path)
-                    else:
-                        files.append(e.path)
+                    is_dir = e.is_dir(follow_symlinks=False)
                 except OSError:
-                    files.append(e.path)
-    except OSError:
-        pass
-    return files, dirs
-
-
-def plan_subtrees(root: str, target: int, max_depth: int = 3) -> list[tuple[str, bool]]:
-    """Breadth-first split: directories whose files are listed alone, plus subtrees walked whole."""
-    shallow: list[str] = []
-    frontier = [root]
-    depth = 0
-    while frontier and len(frontier) + len(shallow) < target and depth < max_depth:
-        nxt = []
-        for d in frontier:
-            shallow.append(d)
-            nxt.extend(_list_dir(d)[1])
-        frontier = nxt
-        depth += 1
-    return [(d, False) for d in shallow] + [(d, True) for d in frontier]
+                    is_dir = False
+                if not (is_dir and e.name in IGNORED_DIR_NAMES):
+                    yield e.path, is_dir
+    except OSError:  # a directory that vanished or cannot be read below a readable root
+        return
 
 
 def _stat_row(path: str):
@@ -97,48 +67,8 @@ def _stat_row(path: str):
     return (path, int(s.st_size), datetime.fromtimestamp(s.st_mtime, tz=timezone.utc), None)
 
 
-class _FileTreeReader(DataSourceReader):
-    def __init__(self, options):
-        self.root = os.path.abspath(options["path"])
-        self.target = int(options.get("partitions", "32"))
-
-    def partitions(self):
-        return [_Subtree(d, r) for d, r in plan_subtrees(self.root, self.target)]
-
-    def read(self, partition):
-        if not partition.recursive:
-            files, _ = _list_dir(partition.directory)
-            for f in files:
-                row = _stat_row(f)
-                if row is not None:
-                    yield row
-            return
-        for dirpath, dirnames, filenames in os.walk(partition.directory, followlinks=False):
-            dirnames[:] = [d for d in dirnames if d not in IGNORED_DIR_NAMES]
-            for name in filenames:
-                row = _stat_row(os.path.join(dirpath, name))
-                if row is not None:
-                    yield row
-
-
-class FileTreeDataSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "filetree"
-
-    def schema(self):
-        return LISTING_SCHEMA
-
-    def reader(self, schema):
-        return _FileTreeReader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(FileTreeDataSource)
-
-
 def _as_files(listing: DataFrame, root: str, side: str | None) -> DataFrame:
-    root = os.path.abspath(root).rstrip("/") if "://" not in root else root.rstrip("/")
+    root = os.path.abspath(local_path(root)).rstrip("/")
     rel = relative_to("path", root)
     df = listing.select(
         *([F.lit(side).alias("side")] if side else []),
@@ -154,61 +84,76 @@ def _as_files(listing: DataFrame, root: str, side: str | None) -> DataFrame:
 
 
 def _list_children(batches):
-    """mapInPandas: (dir) -> (path, is_dir) for every entry below each directory."""
-    import pandas as pd
-
-    for pdf in batches:
-        paths, is_dir = [], []
-        for d in pdf["dir"]:
-            files, dirs = _list_dir(d)
-            paths.extend(files)
-            is_dir.extend([False] * len(files))
-            paths.extend(dirs)
-            is_dir.extend([True] * len(dirs))
-        yield pd.DataFrame({"path": pd.Series(paths, dtype=object), "is_dir": pd.Series(is_dir, dtype=bool)})
-
-
-def _stat_files(batches):
-    """mapInPandas: (path) -> LISTING_SCHEMA rows; links and non-regular files dropped."""
-    import pandas as pd
-
-    for pdf in batches:
-        rows = [r for r in (_stat_row(p) for p in pdf["path"]) if r is not None]
-        yield pd.DataFrame(
-            {
-                "path": pd.Series([r[0] for r in rows], dtype=object),
-                "size": pd.Series([r[1] for r in rows], dtype="Int64"),
-                "mtime": pd.Series([r[2] for r in rows], dtype="datetime64[us, UTC]"),
-                "error": pd.Series([r[3] for r in rows], dtype=object),
-            }
-        )
-
-
-def walk_tree(spark: SparkSession, root: str, tasks: int | None = None, max_depth: int = 4096) -> DataFrame:
-    """LISTING_SCHEMA rows of every regular file below ``root`` (distributed BFS)."""
+    """mapInArrow: (dir) -> (path, is_dir) for every entry below each directory, in bounded pieces."""
+    import pyarrow as pa
+
+    paths, is_dir = [], []
+
+    def piece():
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(is_dir, pa.bool_())], names=["path", "is_dir"])
+
+    for batch in batches:
+        for d in batch.column("dir").to_pylist():
+            for p, is_d in _entries(d):
+                paths.append(p)
+                is_dir.append(is_d)
+                if len(paths) == PIECE:
+                    yield piece()
+                    paths.clear()
+                    is_dir.clear()
+    if paths:
+        yield piece()
+
+
+def _stat_files(everything: bool):
+    """mapInPandas: (path, is_dir) -> LISTING_SCHEMA rows; with ``everything`` links, directories
+    and other non-regular entries stay, with no size."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(p, None if d else _stat_row(p)) for p, d in zip(pdf["path"], pdf["is_dir"])]
+            rows = [r or (p, None, None, None) for p, r in rows if r is not None or everything]
+            yield pd.DataFrame(
+                {
+                    "path": pd.Series([r[0] for r in rows], dtype=object),
+                    "size": pd.Series([r[1] for r in rows], dtype="Int64"),
+                    "mtime": pd.Series([r[2] for r in rows], dtype="datetime64[us, UTC]"),
+                    "error": pd.Series([r[3] for r in rows], dtype=object),
+                }
+            )
+
+    return run
+
+
+def walk_tree(spark: SparkSession, root: str, tasks: int | None = None, everything: bool = False) -> DataFrame:
+    """LISTING_SCHEMA rows of every regular file below ``root`` (distributed BFS), written once.
+
+    ``everything``: also links, directories and other entries (size NULL)."""
+    root = os.path.abspath(local_path(root))
+    with os.scandir(root):  # an unreadable root is an error, never an empty tree
+        pass
     n = tasks or spark.sparkContext.defaultParallelism * PARTITIONS_PER_CORE
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/twinsieve-listing-{uuid.uuid4().hex}"
-    frontier = spark.createDataFrame([(os.path.abspath(root),)], "dir string")
-    for depth in range(max_depth):
-        level = f"{folder}/depth={depth}"
-        frontier.repartition(n).mapInPandas(_list_children, "path string, is_dir boolean").write.parquet(level)
-        frontier = spark.read.parquet(level).filter(F.col("is_dir")).select(F.col("path").alias("dir"))
+    levels, folder = scratch_folder(spark, "levels"), scratch_folder(spark, "listing")
+    frontier, depth = spark.createDataFrame([(root,)], "dir string"), 0
+    while True:
+        level = f"{levels}/depth={depth}"
+        frontier.repartition(n).mapInArrow(_list_children, "path string, is_dir boolean").write.parquet(level)
+        frontier, depth = spark.read.parquet(level).filter(F.col("is_dir")).select(F.col("path").alias("dir")), depth + 1
         if frontier.isEmpty():
             break
-    found = spark.read.parquet(folder).filter(~F.col("is_dir")).select("path")
-    return spread(found).mapInPandas(_stat_files, LISTING_SCHEMA)
-
-
-def scan_tree(spark: SparkSession, root: str, side: str | None = None, partitions: int | None = None, method: str = "walk") -> DataFrame:
-    """``files`` rows of a local/mounted tree (see the module notes for ``method``)."""
-    if method == "walk":
-        return _as_files(walk_tree(spark, root, partitions), root, side)
-    if method != "source":
-        raise ValueError(f"method must be 'walk' or 'source', got {method!r}")
-    register(spark)
-    n = partitions or spark.sparkContext.defaultParallelism * PARTITIONS_PER_CORE
-    listing = spark.read.format("filetree").option("path", root).option("partitions", str(n)).load()
-    return _as_files(listing, root, side)
+    found = spark.read.parquet(levels).select("path", "is_dir")
+    if not everything:
+        found = found.filter(~F.col("is_dir"))
+    found.repartition(n).mapInPandas(_stat_files(everything), LISTING_SCHEMA).write.parquet(f"{folder}/stat")
+    remove_folder(spark, levels)
+    return spark.read.schema(LISTING_SCHEMA).parquet(f"{folder}/stat")
+
+
+def scan_tree(spark: SparkSession, root: str, side: str | None = None, partitions: int | None = None, everything: bool = False) -> DataFrame:
+    """``files`` rows of a mounted tree."""
+    return _as_files(walk_tree(spark, root, partitions, everything), root, side)
 
 
 def scan_binary(spark: SparkSession, root: str, side: str | None = None) -> DataFrame:

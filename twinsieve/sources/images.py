@@ -4,17 +4,21 @@ Spark's ``image`` source decodes on the executors (Java ImageIO: bmp, gif,
 jpeg, png, tiff, wbmp; no webp/heic - those get no fingerprint and fall through
 to ``copied``, as images the mirrored tool cannot open do).  Undecodable files
 are kept as rows with no data (``dropInvalid`` off) so they get a NULL
-fingerprint instead of vanishing.  The pixel limit is a column predicate
-applied before the hashing UDF.
-
-The source is pointed at whole trees, so it is restricted to image names by a
-case-insensitive Hadoop glob (``pathGlobFilter``, character classes per
-letter): videos and other files are never read or decoded, and neither are
-images the user's extension filter excludes.
+fingerprint instead of vanishing.
+
+A provider decodes exactly the paths it is given.  Tasks read each file's header,
+drop images above the pixel limit before anything is inflated, and link the others
+under plain names into a folder of the shared checkpoint folder, which the image
+source then reads: hidden and ``_``-prefixed files (which Spark's listing skips)
+are decoded like any other, files that need no fingerprint are not decoded at all.
+The pixel limit is checked again after decoding, for formats whose header is not
+understood.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import struct
 import zlib
 
@@ -24,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_MAX_IMAGE_PIXELS, IMAGE_EXTENSIONS
-from ..functions.paths import normalise_uri
+from ..functions.paths import local_path, normalise_uri
 from ..functions.phash import image_phash
-from ..operators.filters import normalise_extensions, within_pixel_limit
+from ..operators.filters import is_image, normalise_extensions, within_pixel_limit
+from ..session import scratch_folder
 
 _GLOB_SPECIAL = set("{}[]*?,\\")
 
@@ -60,32 +65,90 @@ def read_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = IM
     )
 
 
-def image_fingerprints(spark: SparkSession, root: str, max_image_pixels: int | None = None, extensions=None) -> DataFrame:
-    """(path, fp) for every image file (by extension) the image source lists under ``root``."""
-    limit = max_image_pixels or DEFAULT_MAX_IMAGE_PIXELS
-    exts = image_extensions(extensions)
-    if not exts:
-        return spark.createDataFrame([], "path string, fp bigint")
-    imgs = read_images(spark, root, exts)
-    ok = within_pixel_limit("image.width", "image.height", limit) & (F.col("image.height") > 0)
-    return imgs.select("path", F.when(ok, image_phash(F.when(ok, F.col("image")))).alias("fp"))
-
+def header_size(path: str) -> tuple[int, int] | None:
+    """(width, height) from the header of a PNG, GIF, BMP or JPEG; None when it is none of them."""
+    with open(path, "rb") as f:
+        head = f.read(32)
+        if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR":
+            return struct.unpack(">II", head[16:24])
+        if head[:4] == b"GIF8":
+            return struct.unpack("<HH", head[6:10])
+        if head[:2] == b"BM" and len(head) >= 26:
+            w, h = struct.unpack("<ii", head[18:26])
+            return abs(w), abs(h)
+        if head[:2] != b"\xff\xd8":
+            return None
+        at = 2
+        while True:  # JPEG segments up to the frame header
+            f.seek(at)
+            mark = f.read(9)
+            if len(mark) < 9 or mark[0] != 0xFF:
+                return None
+            if 0xC0 <= mark[1] <= 0xCF and mark[1] not in (0xC4, 0xC8, 0xCC):
+                h, w = struct.unpack(">HH", mark[5:9])
+                return w, h
+            at += 2 if mark[1] in (0x01, 0xFF) or 0xD0 <= mark[1] <= 0xD8 else 2 + struct.unpack(">H", mark[2:4])[0]
+
+
+def _link_images(folder: str, limit: int):
+    """mapInArrow: (path) -> (path, name of its link below ``folder``; NULL: too large or unreadable)."""
 
-def phash_provider(spark: SparkSession, roots, max_image_pixels: int | None = None, extensions=None):
-    """Fingerprint provider for the classifier: left-joins decoded-image hashes by path."""
-    roots = [roots] if isinstance(roots, str) else list(roots)
-    table = None
-    for r in roots:
-        t = image_fingerprints(spark, r, max_image_pixels, extensions)
-        table = t if table is None else table.unionByName(t)
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            paths, names = batch.column("path").to_pylist(), []
+            for p in paths:
+                try:
+                    size = header_size(p)
+                    if size is not None and size[0] * size[1] > 2 * limit:
+                        names.append(None)
+                        continue
+                    name = hashlib.blake2b(p.encode("utf-8", "surrogateescape"), digest_size=16).hexdigest() + ".img"
+                    os.makedirs(f"{folder}/{name[:2]}", exist_ok=True)
+                    if not os.path.lexists(f"{folder}/{name[:2]}/{name}"):
+                        os.symlink(p, f"{folder}/{name[:2]}/{name}")
+                    names.append(name)
+                except FileExistsError:  # another attempt of this task made it
+                    names.append(name)
+                except OSError:
+                    names.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(names, pa.string())], names=["path", "name"])
+
+    return run
+
+
+def phash_provider(spark: SparkSession, max_image_pixels: int | None = None):
+    """Fingerprint provider for the classifier: pHash of exactly the given paths, NULL where there is none."""
+    limit = DEFAULT_MAX_IMAGE_PIXELS if max_image_pixels is None else max_image_pixels
 
     def provide(df: DataFrame) -> DataFrame:
-        return df.select("path").join(table, "path", "left").select("path", "fp")
+        base = scratch_folder(spark, "images")
+        folder = local_path(f"{base}/links")
+        os.makedirs(folder, exist_ok=True)
+        df.select("path").mapInArrow(_link_images(folder, limit), "path string, name string").write.parquet(f"{base}/names")
+        names = spark.read.parquet(f"{base}/names")
+        imgs = (
+            spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", "true").load(f"{base}/links")
+            .select(F.regexp_extract("image.origin", "[^/]+$", 0).alias("name"), "image")
+        )
+        ok = within_pixel_limit("image.width", "image.height", limit) & (F.col("image.height") > 0)
+        fps = imgs.select("name", F.when(ok, image_phash(F.when(ok, F.col("image")))).alias("fp"))
+        return names.join(fps, "name", "left").select("path", "fp")
 
     provide.__name__ = f"image_phash(max_pixels={max_image_pixels})"
     return provide
 
 
+def image_fingerprints(spark: SparkSession, root: str, max_image_pixels: int | None = None, extensions=None) -> DataFrame:
+    """(path, fp) for every image file (by extension) of the tree ``root``."""
+    from .filetree import scan_tree
+
+    exts = image_extensions(extensions)
+    files = scan_tree(spark, root).filter(is_image("ext") & F.col("ext").isin(*exts))
+    return phash_provider(spark, max_image_pixels)(files)
+
+
 # --- PNG encoding (used to derive image files from table data) --------------
 
 def png_bytes(grey: np.ndarray) -> bytes:
@@ -103,16 +166,17 @@ def png_bytes(grey: np.ndarray) -> bytes:
 def write_vector_images(vectors: DataFrame, out_dir: str, key: str = "vec_id", vec: str = "embedding", side: int = 8, scale: int = 8) -> DataFrame:
     """Render each vector as a ``side x side`` greyscale image (min-max scaled,
     upscaled ``scale`` times) and write ``<out_dir>/<key>.png`` from the executors.
-    Returns (key, path) of the written files."""
-    import os
+    Returns (key, path) of the written files.  Every vector must have ``side * side`` elements."""
+    out_dir = local_path(out_dir)
 
     def run(batches):
         os.makedirs(out_dir, exist_ok=True)
         for pdf in batches:
             paths = []
             for k, v in zip(pdf[key], pdf[vec]):
-                a = np.asarray(v, dtype=np.float64)[: side * side]
-                a = np.pad(a, (0, side * side - len(a)))
+                a = np.asarray(v, dtype=np.float64)
+                if len(a) != side * side:
+                    raise ValueError(f"{key} {k}: {len(a)} elements, not {side * side}")
                 lo, hi = a.min(), a.max()
                 g = np.zeros_like(a) if hi <= lo else np.round((a - lo) / (hi - lo) * 255)
                 img = np.kron(g.reshape(side, side), np.ones((scale, scale)))

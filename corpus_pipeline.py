@@ -22,7 +22,7 @@ def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with ``n_chars`` of the text as it is now."""
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,9 @@ def unpacked(df: DataFrame, columns: list[str], new: dict, row: str = "__row") -
     """The input's ``columns`` again, those named in ``new`` replaced, the rest of ``new`` appended."""
     keep = [(new.pop(c) if c in new else field(c, row)).alias(c) for c in columns]
     return df.select(*keep, *[v.alias(k) for k, v in new.items()])
+
+
+def by_position(df: DataFrame) -> DataFrame:
+    """Columns named c0, c1, ...: Python stages address them by position, whatever the input calls them
+    (a name with a dot cannot be passed to them)."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

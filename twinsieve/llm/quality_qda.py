@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.common import Scratch
+from twinsieve.llm.common import Scratch, by_position
 
 BUCKETS = 1 << 16
 #: Pseudo-documents that pull a word's log odds to zero.
@@ -124,20 +124,21 @@ class Discriminant:
 
 def _features(df: DataFrame, weights: np.ndarray | None, model: Discriminant | None) -> DataFrame:
     """(``keep`` columns, x array) or, with a model, (``keep`` columns, score)."""
-    keep = [c for c in df.columns if c != "text"]
+    at = df.columns.index("text")
+    keep = [(i, c) for i, c in enumerate(df.columns) if i != at]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x = np.array([statistics(t.as_py() or b"", weights) for t in batch.column("text")], dtype=np.float64)
+            x = np.array([statistics(t.as_py() or b"", weights) for t in batch.column(at)], dtype=np.float64)
             if not len(x):
                 continue
             last = pa.array(model.scores(x)) if model else pa.array(x.tolist(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), last], names=[*keep, "out"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, _ in keep), last], names=[*(c for _, c in keep), "out"])
 
-    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, f"{types}, out {'double' if model else 'array<double>'}")
+    types = ", ".join(f"`{c}` {df.schema[i].dataType.simpleString()}" for i, c in keep)
+    return by_position(df.withColumn("text", F.col("text").cast("binary"))).mapInArrow(run, f"{types}, out {'double' if model else 'array<double>'}")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 32_768) -> Discriminant:
@@ -185,8 +186,7 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
     """``docs`` without the documents scored below ``threshold``; all columns kept."""
     model = train(docs, labels, **params)
-    names, schema = docs.columns, docs.schema
-    at = names.index("text")
+    at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches):
         import pyarrow as pa
@@ -195,6 +195,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **para
             texts = batch.column(at)
             x = np.array([statistics((t.as_py() or "").encode(), model.weights) for t in texts], dtype=np.float64)
             if len(x):
-                yield batch.filter(pa.array(model.scores(x) >= threshold))
+                kept = batch.filter(pa.array(model.scores(x) >= threshold))
+                yield pa.RecordBatch.from_arrays(kept.columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return by_position(docs).mapInArrow(run, schema)

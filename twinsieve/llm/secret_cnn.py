@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.common import Scratch
+from twinsieve.llm.common import Scratch, by_position
 
 KINDS = ("assign", "access", "hex")
 # The base patterns.
@@ -297,6 +297,6 @@ def redact(docs: DataFrame, model: CharCnn, mark: str = "[SECRET]") -> DataFrame
                 out.append("".join([*parts, t[pos:]]) if parts else t)
             columns = batch.columns
             columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return by_position(docs).mapInArrow(run, schema)

@@ -34,6 +34,8 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
+from twinsieve.llm.common import by_position
+
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Added to the least piece score for a character that only bytes can spell.
@@ -268,16 +270,16 @@ def encode(docs: DataFrame, n: int = 4, model: str | None = None, digest: bool =
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """The rows of ``encoded`` with ``text``, decoded from their ``ids`` (null ids: null; invalid bytes are replaced)."""
-    names = encoded.columns
+    at = encoded.columns.index("ids")
+    keep = [(i, c) for i, c in enumerate(encoded.columns) if c != "text"]
 
     def run(batches):
         import pyarrow as pa
 
         lat = lattice(model)
         for batch in batches:
-            texts = [None if x is None else lat.decode_bytes(x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
-            keep = [batch.column(c) for c in names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, pa.string())], names=[*(c for c in names if c != "text"), "text"])
+            texts = [None if x is None else lat.decode_bytes(x).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, _ in keep), pa.array(texts, pa.string())], names=[*(c for _, c in keep), "text"])
 
-    kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names if c != "text")
-    return encoded.mapInArrow(run, f"{kinds}, text string")
+    kinds = ", ".join(f"`{c}` {encoded.schema[i].dataType.simpleString()}" for i, c in keep)
+    return by_position(encoded).mapInArrow(run, f"{kinds}, text string")

@@ -226,22 +226,25 @@ def build_graph(nodes: DataFrame, scratch: Scratch, k: int = 32, rounds: int = 8
 
 
 def adjacency(state: DataFrame, scratch: Scratch, k: int) -> DataFrame:
-    """(id, nb): each node's neighbours and a sample of the nodes that list it, at most 2k; for the search."""
+    """(id, nb): each node's neighbours and up to 2k of the nodes that list it, those that list it first before others.
+
+    A node that few others list is reached through the nodes it lists: its nearest ones keep the way back to it."""
     parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = state.select("id", F.explode("ids").alias("o"))
-    both = edges.select(F.col("id").alias("c"), F.lit(0).alias("kind"), F.col("o").alias("m")).unionByName(
-        edges.select(F.col("o").alias("c"), F.lit(1).alias("kind"), F.col("id").alias("m")))
+    edges = state.select("id", F.posexplode("ids").alias("pos", "o"))
+    both = edges.select(F.col("id").alias("c"), F.lit(0).alias("kind"), "pos", F.col("o").alias("m")).unionByName(
+        edges.select(F.col("o").alias("c"), F.lit(1).alias("kind"), "pos", F.col("id").alias("m")))
 
     def run(batches):
         import pyarrow as pa
 
         out = []
         for c, (kind, m) in runs(batches, "c", ["kind", "m"]):
-            out.append((c, list(dict.fromkeys(m[: kind.count(0) + k]))))
+            out.append((c, list(dict.fromkeys(m[: kind.count(0) + 2 * k]))))
         if out:
             yield pa.RecordBatch.from_pydict({"id": pa.array([c for c, _ in out], pa.int64()), "nb": pa.array([m for _, m in out], pa.list_(pa.int64()))})
 
-    return scratch.save(both.repartition(parts, "c").sortWithinPartitions("c", "kind", F.xxhash64("c", "m")).mapInArrow(run, "id long, nb array<long>"), "graph")
+    ordered = both.repartition(parts, "c").sortWithinPartitions("c", "kind", "pos", F.xxhash64("c", "m"))
+    return scratch.save(ordered.mapInArrow(run, "id long, nb array<long>"), "graph")
 
 
 SEARCH = "qid long, q binary, ids array<long>, sims array<float>, open array<boolean>, seen array<long>, frontier array<long>"
@@ -297,7 +300,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scra
         state, path = scratch.save_replacing(state.drop("frontier").join(gathered, "qid", "left").mapInArrow(merge, SEARCH), "beams", path)
 
 
-def nearest(vectors: DataFrame, is_query, top: int = 5, k: int = 32, rounds: int = 8, beam: int = 96,
+def nearest(vectors: DataFrame, is_query, top: int = 5, k: int = 32, rounds: int = 8, beam: int = 128,
             id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest rows found for every row where ``is_query(id)`` holds."""
     scratch = Scratch(vectors.sparkSession, "neighbours")

@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 32_768) -> Discrim
         weights[counted["k"].to_numpy(dtype=np.int64)] = (
             np.log((counted["n0"].to_numpy(float) + WORD_PRIOR * p0) / (counted["n1"].to_numpy(float) + WORD_PRIOR * (1 - p0))) - np.log(n0 / n1))
     rows = _features(chosen.where(~part).select("y", "doc_id", "text"), weights, None).orderBy("doc_id").toPandas()  # max_rows x statistics
-    x = np.array(rows["out"].tolist(), dtype=np.float64).reshape(len(rows), -1)
+    x = np.array(rows["out"].tolist(), dtype=np.float64) if len(rows) else np.empty((0, 1))
     model = Discriminant.fit(x, (rows["y"].to_numpy() > 0).astype(int))
     model.weights = weights
     return model

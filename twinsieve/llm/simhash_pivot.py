@@ -165,12 +165,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, pivots
 def keep_representatives(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one document of each group: the one whose ``doc_id`` is the group's id.
 
-    Rows that repeat that ``doc_id`` are reduced to one; groups that have no ``doc_id`` at all keep their rows."""
-    marked = near_duplicates(docs, **params)
-    keep = marked.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = Scratch(docs.sparkSession, "keep").save(keep, "keep")
-    out = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-    if keep.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    nameless = marked.where("doc_id is null and component_id is null").limit(1).count()
-    return out.unionByName(docs.where("doc_id is null")) if nameless else out
+    The ids to remove - normally far fewer than those that stay - are anti-joined, so the texts are
+    shuffled only when that list is too large to broadcast.  Rows that repeat the id that stays are
+    reduced to one; documents without ``doc_id`` cannot be named and all stay."""
+    marked = near_duplicates(docs, **params).where("doc_id is not null")
+    ids = marked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    ids = Scratch(docs.sparkSession, "keep").save(ids.where("not stays or n > 1"), "ids")
+    out = docs.join(ids.where("not stays").select("doc_id"), "doc_id", "left_anti")
+    if not ids.where("stays and n > 1").limit(1).count():
+        return out
+    named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(out.where("doc_id is null"))

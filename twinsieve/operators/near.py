@@ -153,7 +153,10 @@ def _pairs_hot_refined(targets: DataFrame, index: DataFrame, mode: str, threshol
     sizes = rb.groupBy(*key).agg(F.count(F.lit(1)).alias("r_n")).join(probes.groupBy(*key).agg(F.count(F.lit(1)).alias("t_n")), key)
     if refine == "work":
         sizes = sizes.filter(F.col("r_n") * F.col("t_n") > (m - 1) * (F.col("r_n") + ball * F.col("t_n")))
-    hot = sizes.select(*key)
+    # Narrow keys, read by four joins: written once.  Without any, the plain join is all there is.
+    hot = sizes.select(*key).checkpoint(eager=True)
+    if hot.isEmpty():
+        return probes.join(rb, key).select("fp", "ref_fp", "ref_path")
     cold = probes.join(rb.join(hot, key, "left_anti"), key).select("fp", "ref_fp", "ref_path")
 
     others = F.array(*[F.lit(j) for j in range(m)])

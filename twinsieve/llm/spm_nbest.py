@@ -63,6 +63,7 @@ class _Memo(dict):
 
 class PieceLattice:
     def __init__(self, path: str | None = None, memo_size: int = 300_000):
+        import ahocorasick
         import sentencepiece
 
         if path is None:
@@ -89,10 +90,19 @@ class PieceLattice:
         self.unknown_score = min((s for s, _ in self.piece.values() if s > UNRANKED), default=0.0) - UNKNOWN_PENALTY
         #: Pieces and, with None, the beginnings of longer pieces: a miss ends the extension of a match.
         self.table = dict.fromkeys((p[:k] for p in self.piece for k in range(1, len(p))), None) | self.piece
+        self.alone = {p for p in self.piece if len(p) == 1}
+        self.matcher = ahocorasick.Automaton()
+        for p, (score, i) in self.piece.items():
+            self.matcher.add_word(p, (len(p), score, i))
+        self.matcher.make_automaton()
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.piece)
         self.memo = _Memo(self.summary, memo_size)
         self.searched = _Memo(lambda key: self.n_best(*key), memo_size // 10)
 
+    def _unknown(self, char: str) -> tuple[float, tuple[int, ...]]:
+        """Score and ids of a character that no piece covers alone."""
+        return self.unknown_score, tuple(self.byte[b] for b in char.encode()) if len(self.byte) == 256 else (self.unknown,)
+
     def edges(self, s: str) -> list[list[tuple[int, float, object]]]:
         """By start, the edges (end, score, id or ids) of the lattice of ``s``."""
         table, n, out = self.table, len(s), []
@@ -101,8 +111,7 @@ class PieceLattice:
             if hit:
                 own = [(i + 1, *hit)]
             else:
-                raw = s[i].encode()
-                own = [(i + 1, self.unknown_score, tuple(self.byte[b] for b in raw) if len(self.byte) == 256 else (self.unknown,))]
+                own = [(i + 1, *self._unknown(s[i]))]
             for j in range(i + 2, n + 1):
                 hit = table.get(s[i:j], False)
                 if hit:
@@ -158,26 +167,34 @@ class PieceLattice:
 
     def summary(self, s: str) -> tuple[bytes, float, float]:
         """(ids of the best path, its score, what the second-best path costs against it)."""
-        edges = self.edges(s)
-        best, back = self.forward(edges)
         n = at = len(s)
+        # Every piece that matches anywhere, by its end: (start, end, score, id).
+        edges = [(e + 1 - k, e + 1, sc, ids) for e, (k, sc, ids) in self.matcher.iter(s)]
+        if not self.alone.issuperset(s):
+            edges += [(i, i + 1, *self._unknown(c)) for i, c in enumerate(s) if c not in self.alone]
+            edges.sort(key=lambda x: x[1])
+        best, back = [-1e300] * (n + 1), [None] * (n + 1)
+        best[0] = 0.0
+        for edge in edges:
+            v = best[edge[0]] + edge[2]
+            if v > best[edge[1]]:
+                best[edge[1]] = v
+                back[edge[1]] = edge
         path, follow = [], [0] * n
         while at:
-            i, _, ids = back[at]
+            i, _, _, ids = back[at]
             follow[i] = at
             path.append(ids)
             at = i
         # The second-best path leaves the best one somewhere: it has an edge that is not on it.
-        second, ahead = -np.inf, [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            top, on, b = -1e300, follow[i], best[i]
-            for j, sc, _ in edges[i]:
-                v = sc + ahead[j]
-                if v > top:
-                    top = v
-                if j != on and b + v > second:
-                    second = b + v
-            ahead[i] = top
+        second, ahead = -np.inf, [-1e300] * (n + 1)
+        ahead[n] = 0.0
+        for i, j, sc, _ in reversed(edges):
+            v = sc + ahead[j]
+            if v > ahead[i]:
+                ahead[i] = v
+            if follow[i] != j and best[i] + v > second:
+                second = best[i] + v
         ids = np.array(self._flat(reversed(path)), dtype=self.dtype).tobytes()
         return ids, best[n], best[n] - second
 

@@ -273,12 +273,15 @@ def test_content_is_never_shuffled(spark):
 
     from twinsieve.functions.providers import text_simhash
     from twinsieve.operators.classify import match_targets
-    from twinsieve.plans.fixture_queries import _sides
+    from twinsieve.operators.filters import prepare_side
+    from twinsieve.sources.fixtures import files_from_documents
+    from twinsieve.sources.tables import read_table
 
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        ref, tgt = _sides(spark, SF0001)
+        files = files_from_documents(read_table(spark, SF0001, "documents"))  # not spread: a plain scan
+        ref, tgt = (prepare_side(files.filter(files["side"] == s)) for s in ("ref", "target"))
         df = match_targets(ref, tgt, fingerprint=text_simhash())
         text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     finally:

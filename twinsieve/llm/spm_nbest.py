@@ -30,6 +30,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -73,6 +74,7 @@ class PieceLattice:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.sp.get_piece_size()
         self.dtype = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.piece: dict[str, tuple[float, int]] = {}
         self.spell: list[bytes] = []
         self.byte = {}
@@ -170,7 +172,8 @@ class PieceLattice:
         n = at = len(s)
         # Every piece that matches anywhere, by its end: (start, end, score, id).
         edges = [(e + 1 - k, e + 1, sc, ids) for e, (k, sc, ids) in self.matcher.iter(s)]
-        if not self.alone.issuperset(s):
+        plain = self.alone.issuperset(s)
+        if not plain:
             edges += [(i, i + 1, *self._unknown(c)) for i, c in enumerate(s) if c not in self.alone]
             edges.sort(key=lambda x: x[1])
         best, back = [-1e300] * (n + 1), [None] * (n + 1)
@@ -195,7 +198,8 @@ class PieceLattice:
                 ahead[i] = v
             if follow[i] != j and best[i] + v > second:
                 second = best[i] + v
-        ids = np.array(self._flat(reversed(path)), dtype=self.dtype).tobytes()
+        path.reverse()
+        ids = array(self.code, path if plain else self._flat(path)).tobytes()
         return ids, best[n], best[n] - second
 
     def chunks(self, text: str) -> list[str]:

@@ -330,6 +330,30 @@ def test_network_finds_other_secrets():
     assert net.threshold <= 1 and (net.probabilities(x[400:]) >= net.threshold).mean() < 0.02 and net.probabilities(hidden).mean() > 0.5
 
 
+def test_secret_after_the_first_forty_characters(spark):
+    rng = np.random.default_rng(4)
+    hexes = lambda: "".join(rng.choice(list("0123456789abcdef"), 32))
+    words = lambda n: "-".join("".join(rng.choice(list("aeiourstn"), rng.integers(4, 9))) for _ in range(n))
+    runs = lambda t: [t[s:e] for s, e in secret_cnn.pieces(0, len(t))]
+    for n in (1, 8, 40, 41, 60, 79, 80, 81, 1000):
+        cut = list(secret_cnn.pieces(3, 3 + n))
+        assert cut[0][0] == 3 and cut[-1][1] == 3 + n and all(0 < e - s <= secret_cnn.BODY for s, e in cut)
+        assert all(b[0] < a[1] and b[0] - a[0] <= secret_cnn.BODY // 2 for a, b in zip(cut, cut[1:], strict=False))
+    pos = [(t := f"{words(1)} {hexes()} {words(1)}", t.index(" ") + 1, t.index(" ") + 33) for _ in range(300)]
+    neg = [(t := f"see {words(12)} there", 4, 44) for _ in range(300)]
+    net = secret_cnn.CharCnn.fit(np.array([secret_cnn.window(*p) for p in pos + neg]), np.array([1] * 300 + [0] * 300))
+    late, plain = f"{words(30)}/A1{hexes().upper()}", f"{words(30)}-2a"
+    assert len(late) > 100 and len(runs(late)) > 3
+    (_, found), (_, none) = secret_cnn.all_spans([f"go {late} on", f"go {plain} on"], net)
+    assert found == [(3, 3 + len(late), "assign")] and none == []
+    # A base match beyond the first characters marks the pieces that overlap it, not the run's start.
+    text = f"{words(30)}/{hexes()}"
+    got = secret_cnn.findings(spark.createDataFrame([(1, text), (2, "ab12cd34 x")], "doc_id long, text string")).collect()
+    base = secret_cnn.base_spans(text)
+    assert len(base) == 1 and [r["y"] for r in got if r["doc_id"] == 1][0] == 0 and sum(r["y"] for r in got) >= 1
+    assert [r["at"] for r in got if r["doc_id"] == 2] == [0]
+
+
 # --- SentencePiece -------------------------------------------------------------------------------------------
 
 

@@ -1,11 +1,12 @@
 """Secret scan: base patterns, plus a character convolutional network over every other candidate.
 
 Candidates are the runs of token characters of ``MIN_CANDIDATE`` or more that hold
-both a letter and a digit.  Each is seen with its surroundings (``LEFT`` characters
-before, ``BODY`` of the candidate, ``RIGHT`` after) by a small network written in
+both a letter and a digit.  Each is seen whole: cut into pieces of at most ``BODY``
+characters that overlap by half, each with its surroundings (``LEFT`` characters
+before, ``RIGHT`` after), and scored by its best piece.  The network is written in
 numpy: character classes -> convolution -> ReLU -> maximum and mean over positions ->
-logistic.  It is trained on labelled findings: candidates that the base patterns
-mark are positive, other candidates (and, for lack of those, plain long words)
+logistic.  It is trained on labelled findings: pieces that overlap a base pattern's
+span are positive, other pieces (and, for lack of those, plain long words)
 negative.  Scores are calibrated on held-out findings (Platt scaling) and the
 threshold is the largest that keeps ``min_recall`` of the held-out positives.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,9 +36,9 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 WORDS = ("password", "passwd", "secret", "token", "api")
-MIN_VALUE, MIN_ACCESS, MIN_CANDIDATE = 8, 16, 16
+MIN_VALUE, MIN_ACCESS, MIN_CANDIDATE = 8, 16, 8
 LEFT, BODY, RIGHT = 16, 40, 8
 WIDTH = LEFT + BODY + RIGHT
 MIN_POSITIVES = 20
@@ -76,9 +78,18 @@ for _i, _c in enumerate(CLASSES):
 N_CLASSES = len(CLASSES) + 2
 
 
+def pieces(a: int, b: int):
+    """(start, end) of the pieces of a candidate: at most ``BODY`` long, overlapping by half, together all of it."""
+    at = a
+    while at + BODY < b:
+        yield at, at + BODY
+        at = min(at + BODY // 2, b - BODY)
+    yield at, b
+
+
 def window(text: str, a: int, b: int) -> np.ndarray:
-    """Class codes of a candidate and its surroundings, the candidate at a fixed place."""
-    left, body, right = text[max(0, a - LEFT) : a], text[a : min(b, a + BODY)], text[b : b + RIGHT]
+    """Class codes of a piece and its surroundings, the piece at a fixed place."""
+    left, body, right = text[max(0, a - LEFT) : a], text[a:b], text[b : b + RIGHT]
     out = np.zeros(WIDTH, dtype=np.int8)
     for at, part in ((LEFT - len(left), left), (LEFT, body), (LEFT + BODY, right)):
         code = np.frombuffer(part.encode("utf-32-le"), dtype="<u4")
@@ -171,23 +182,25 @@ class CharCnn:
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """Every candidate with its label: (doc_id, at, y, x): y = 1 where a base pattern marks it."""
+    """Every piece of a candidate with its label: (doc_id, at, y, x): y = 1 where it overlaps a base pattern's span."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            doc, at, ys, xs = [], [], [], []
-            for i, t in enumerate(batch.column("text")):
+        def found(texts):
+            for i, t in enumerate(texts):
                 text = t.as_py() or ""
                 spans = base_spans(text)
                 for a, b in candidates(text):
-                    doc.append(i)
-                    at.append(a)
-                    ys.append(int(overlaps(a, b, spans)))
-                    xs.append(window(text, a, b).tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc, pa.int64())), "at": pa.array(at, pa.int64()),
-                                              "y": pa.array(ys, pa.int32()), "x": pa.array(xs, pa.binary())})
+                    for s, e in pieces(a, b):
+                        yield i, s, int(overlaps(s, e, spans)), window(text, s, e).tobytes()
+
+        for batch in batches:
+            rows = found(batch.column("text"))
+            while part := list(islice(rows, 4096)):
+                doc, at, ys, xs = zip(*part, strict=True)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc, pa.int64())), "at": pa.array(at, pa.int64()),
+                                                  "y": pa.array(ys, pa.int32()), "x": pa.array(xs, pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, at long, y int, x binary")
@@ -208,7 +221,7 @@ def plain_words(docs: DataFrame) -> DataFrame:
                 if m:
                     doc.append(i)
                     at.append(m.start())
-                    xs.append(window(text, m.start(), m.end()).tobytes())
+                    xs.append(window(text, *next(pieces(m.start(), m.end()))).tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc, pa.int64())), "at": pa.array(at, pa.int64()),
                                               "y": pa.array([0] * len(at), pa.int32()), "x": pa.array(xs, pa.binary())})
 
@@ -244,16 +257,19 @@ def kind_of(value: str) -> str:
 
 
 def all_spans(texts: list[str], model: CharCnn) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text; the network sees the candidates of the whole batch at once."""
+    """(base spans, all spans) of each text; the network sees the candidates of the whole batch in chunks of pieces.
+
+    A candidate is added where any of its pieces reaches the threshold."""
     base = [base_spans(t) for t in texts]
-    asked = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t) if not overlaps(a, b, base[i])]
+    asked = ((i, a, b, s, e) for i, t in enumerate(texts) for a, b in candidates(t) if not overlaps(a, b, base[i]) for s, e in pieces(a, b))
     spans = [list(s) for s in base]
-    for at in range(0, len(asked), 4096):
-        part = asked[at : at + 4096]
-        p = model.probabilities(np.array([window(texts[i], a, b) for i, a, b in part]))
-        for (i, a, b), q in zip(part, p.tolist(), strict=True):
-            if q >= model.threshold:
+    last = None
+    while part := list(islice(asked, 4096)):
+        p = model.probabilities(np.array([window(texts[i], s, e) for i, _, _, s, e in part]))
+        for (i, a, b, _, _), q in zip(part, p.tolist(), strict=True):
+            if q >= model.threshold and (i, a) != last:
                 spans[i].append((a, b, kind_of(texts[i][a:b])))
+                last = i, a
     return [(b, sorted(s, key=lambda v: (v[0], KINDS.index(v[2])))) for b, s in zip(base, spans, strict=True)]
 
 

@@ -354,6 +354,25 @@ def test_secret_after_the_first_forty_characters(spark):
     assert [r["at"] for r in got if r["doc_id"] == 2] == [0]
 
 
+def test_secret_threshold_keeps_recall(spark):
+    # Positives and negatives that hardly differ: the 1% quantile of the positives lies far below 0.5.
+    rng = np.random.default_rng(6)
+    net = secret_cnn.CharCnn.learn(rng.integers(1, 8, (64, secret_cnn.WIDTH)).astype(np.int8), np.array([0, 1] * 32))
+    y, z = np.repeat([0, 1], [40000, 4000]), np.concatenate([rng.normal(-1, 2, 40000), rng.normal(0, 2, 4000)])
+    at, n = np.unique(np.stack([y, np.floor(z * secret_cnn.BINS).astype(int)]), axis=1, return_counts=True)
+    net.settle(at[0], at[1], n, 0.99)
+    kept = (net._probability(z[y == 1]) >= net.threshold).mean()
+    assert 0.99 <= kept < 0.993 and net.threshold < 0.5
+    # Few positives, spread over all documents: each held-out one counts, whatever the number of documents.
+    words = lambda: " ".join("".join(rng.choice(list("aeiourstn"), rng.integers(8, 18))) for _ in range(3))
+    data = [(i, f"{words()} {''.join(rng.choice(list('0123456789abcdef'), 32)) if i % 4 == 0 else words()} {words()}") for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    net = secret_cnn.train(df)
+    held = [r["x"] for r in secret_cnn.findings(df).where("y = 1").where(F.pmod(F.xxhash64(F.lit(1), "x"), F.lit(4)) == 0).collect()]
+    p = net.probabilities(np.array([np.frombuffer(x, dtype=np.int8) for x in held]))
+    assert len(held) >= 10 and net.threshold <= 1 and (p >= net.threshold).mean() >= 0.99
+
+
 # --- SentencePiece -------------------------------------------------------------------------------------------
 
 

@@ -8,13 +8,17 @@ numpy: character classes -> convolution -> ReLU -> maximum and mean over positio
 logistic.  It is trained on labelled findings: pieces that overlap a base pattern's
 span are positive, other pieces (and, for lack of those, plain long words)
 negative.  Scores are calibrated on held-out findings (Platt scaling) and the
-threshold is the largest that keeps ``min_recall`` of the held-out positives.
+threshold is the largest, to 1/``BINS`` of a logit, that keeps ``min_recall`` of the
+held-out positives.
 
-Fitting reads at most ``max_findings`` findings of either label (smallest hashes
-first); scanning covers every candidate of every whole text.
+A quarter of all findings, by the hash of what the network sees, is held out; Spark
+scores all of them into a histogram that calibration and threshold are taken from.
+Weights are fitted on at most ``max_findings`` other findings of either label
+(smallest hashes first); scanning covers every candidate of every whole text.
 
 Defined results: null text is empty and has no span; repeated rows give equal rows;
-with fewer than ``MIN_POSITIVES`` labelled findings no span is added; base spans always stay;
+with fewer than ``MIN_POSITIVES`` positive findings, or without positives on both sides
+of the split or negatives to fit on, no span is added; base spans always stay;
 an added span that overlaps a base span is dropped; null ids and other columns pass through.
 """
 
@@ -42,6 +46,7 @@ MIN_VALUE, MIN_ACCESS, MIN_CANDIDATE = 8, 16, 8
 LEFT, BODY, RIGHT = 16, 40, 8
 WIDTH = LEFT + BODY + RIGHT
 MIN_POSITIVES = 20
+BINS, LIMIT = 64, 64  # of the histogram of logits: bins to a unit; beyond +-LIMIT one bin takes all
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -123,22 +128,33 @@ class CharCnn:
             parts.append(np.concatenate([h.max(1), h.mean(1)], axis=1) @ self.out + self.out_bias)
         return np.concatenate(parts) if parts else np.empty(0)
 
+    def _probability(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -50, 50)))
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -50, 50)))
+        return self._probability(self.logits(x))
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray, seed: int = 5, min_recall: float = 0.99) -> CharCnn:
+        """Weights on three quarters of the findings, calibration and threshold on the others."""
+        order = np.random.default_rng(seed).permutation(len(y))
+        held, used = order[: len(y) // 4], order[len(y) // 4 :]
+        net = cls.learn(x[used], y[used], seed=seed)
+        at, n = np.unique(np.stack([y[held], net.bins(x[held])]), axis=1, return_counts=True)
+        net.settle(at[0], at[1], n, min_recall)
+        return net
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, filters: int = 12, epochs: int = 5, batch: int = 64,
-            rate: float = 0.01, seed: int = 5, min_recall: float = 0.99) -> CharCnn:
+    def learn(cls, x: np.ndarray, y: np.ndarray, filters: int = 12, epochs: int = 5, batch: int = 64,
+              rate: float = 0.01, seed: int = 5) -> CharCnn:
         rng = np.random.default_rng(seed)
         net = cls(rng.normal(0, 0.1, (5 * N_CLASSES, filters)).astype(np.float32), np.zeros(filters, np.float32),
                   rng.normal(0, 0.1, 2 * filters).astype(np.float32), 0.0)
-        order = rng.permutation(len(y))
-        held, used = order[: len(y) // 4], order[len(y) // 4 :]
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (net.kernel, net.bias, net.out, np.zeros(1))]
         step = 0
         for _ in range(epochs):
-            for at in range(0, len(used), batch):
-                i = used[rng.permutation(len(used))[:batch]]
+            for _ in range(0, len(y), batch):
+                i = rng.permutation(len(y))[:batch]
                 cols = net._columns(x[i])
                 pre = cols @ net.kernel + net.bias
                 h = np.maximum(pre, 0)
@@ -161,23 +177,37 @@ class CharCnn:
                 net.bias = (net.bias - moved[1]).astype(np.float32)
                 net.out = (net.out - moved[2]).astype(np.float32)
                 net.out_bias -= float(moved[3][0])
-        net._calibrate(net.logits(x[held]), y[held].astype(float))
-        p = net.probabilities(x[held])[y[held] == 1]
-        if len(p):
-            net.threshold = max(0.5, float(np.sort(p)[int((1 - min_recall) * len(p))]))
         return net
 
-    def _calibrate(self, z: np.ndarray, y: np.ndarray, steps: int = 500) -> None:
-        """Platt scaling with smoothed targets, by gradient descent on standardised logits."""
-        n1, n0 = y.sum(), len(y) - y.sum()
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        return np.floor(np.clip(self.logits(x), -LIMIT, LIMIT) * BINS).astype(np.int64)
+
+    def settle(self, y: np.ndarray, bins: np.ndarray, n: np.ndarray, min_recall: float) -> None:
+        """Calibration and threshold from a histogram of logits: ``n`` findings of label ``y`` in each of ``bins``."""
+        if not n[y == 1].sum():
+            return
+        self._calibrate((bins + 0.5) / BINS, y, n.astype(float))
+        low = np.where(bins <= -LIMIT * BINS, -np.inf, bins / BINS)
+        high = np.where(bins >= LIMIT * BINS, np.inf, (bins + 1) / BINS)
+        # What the findings of a bin reach at least.
+        p = self._probability(low if self.scale >= 0 else high)
+        down = np.argsort(-p[y == 1], kind="stable")
+        kept = np.cumsum(n[y == 1][down])
+        self.threshold = float(p[y == 1][down][np.searchsorted(kept, min_recall * kept[-1])])
+
+    def _calibrate(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 500) -> None:
+        """Platt scaling with smoothed targets, by gradient descent on standardised logits; ``n``: weights."""
+        n1, n0 = n[y == 1].sum(), n[y == 0].sum()
         if not n1 or not n0:
             return
         target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-        m, s = z.mean(), z.std() + 1e-6
+        w = n / n.sum()
+        m = (w * z).sum()
+        s = np.sqrt((w * (z - m) ** 2).sum()) + 1e-6
         u, a, b = (z - m) / s, 1.0, 0.0
         for _ in range(steps):
             e = 1 / (1 + np.exp(-np.clip(a * u + b, -50, 50))) - target
-            a, b = a - (e * u).mean(), b - e.mean()
+            a, b = a - (w * e * u).sum(), b - (w * e).sum()
         self.scale, self.shift = a / s, b - a * m / s
 
 
@@ -229,25 +259,32 @@ def plain_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, at long, y int, x binary")
 
 
-def train(docs: DataFrame, max_findings: int = 1536, min_recall: float = 0.99, sample_one_in: int = 16) -> CharCnn:
-    """Fit on at most ``max_findings`` findings of either label, read from the documents whose id hash
-    falls in one of ``sample_one_in`` classes (all documents when those hold too few)."""
+def train(docs: DataFrame, max_findings: int = 1536, min_recall: float = 0.99) -> CharCnn:
+    """Weights from at most ``max_findings`` findings of either label, calibration and threshold from all held-out ones."""
     scratch = Scratch(docs.sparkSession, "secrets")
     narrow = docs.select("doc_id", "text")
-
-    def gather(df: DataFrame) -> dict[int, list]:
-        got = scratch.save(findings(df).unionByName(plain_words(df)), "findings")
-        take = lambda y: got.where(F.col("y") == y).orderBy(F.xxhash64("x", "doc_id", "at"), "doc_id", "at").limit(max_findings).collect()
-        return {y: take(y) for y in (0, 1)}
-
-    rows = gather(narrow.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample_one_in)) == 0))
-    if len(rows[1]) < max_findings // 8:
-        rows = gather(narrow)
-    if len(rows[1]) < MIN_POSITIVES or not rows[0]:
-        return CharCnn(np.zeros((5 * N_CLASSES, 1), np.float32), np.zeros(1, np.float32), np.zeros(2, np.float32), 0.0)
+    # One column for the split: equal windows are on the same side of it.
+    got = scratch.save(findings(narrow).unionByName(plain_words(narrow)).withColumn("held", F.pmod(F.xxhash64(F.lit(1), "x"), F.lit(4)) == 0), "findings")
+    take = lambda y: got.where((F.col("y") == y) & ~F.col("held")).orderBy(F.xxhash64("x", "doc_id", "at"), "doc_id", "at").limit(max_findings).collect()
+    rows = {y: take(y) for y in (0, 1)}
+    none = CharCnn(np.zeros((5 * N_CLASSES, 1), np.float32), np.zeros(1, np.float32), np.zeros(2, np.float32), 0.0)
+    if not rows[0] or not rows[1] or got.where("y = 1").limit(MIN_POSITIVES).count() < MIN_POSITIVES:
+        return none
     both = [*rows[0], *rows[1]]
     x = np.array([np.frombuffer(r["x"], dtype=np.int8) for r in both])
-    return CharCnn.fit(x, np.array([r["y"] for r in both]), min_recall=min_recall)
+    net = CharCnn.learn(x, np.array([r["y"] for r in both]))
+
+    def binned(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            seen = [np.frombuffer(v, dtype=np.int8) for v in batch.column("x").to_pylist()]
+            if seen:
+                yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(net.bins(np.array(seen)), pa.int64())], names=["y", "bin"])
+
+    counts = got.where("held").select("y", "x").mapInArrow(binned, "y int, bin long").groupBy("y", "bin").count().collect()
+    net.settle(np.array([r["y"] for r in counts]), np.array([r["bin"] for r in counts]), np.array([r["count"] for r in counts]), min_recall)
+    return net
 
 
 def kind_of(value: str) -> str:

@@ -113,6 +113,28 @@ def test_nearest_cases(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in one) == [(0, 1, 20), (20, 1, 0)]
 
 
+def test_a_node_that_all_others_list_stays_bounded(spark):
+    # Centre plus noise: the centre is in nearly every list.
+    rng = np.random.default_rng(3)
+    k, n = 8, 600
+    centre = rng.normal(size=64)
+    x = [centre, *(centre + rng.normal(scale=0.3, size=(n, 64)))]
+    nodes = spark.createDataFrame([(i, bytearray(nn_descent.quantise(cap_filters.unit(v)))) for i, v in enumerate(x)], "id long, q binary")
+    scratch = Scratch(spark, "t")
+    lists = nn_descent.build_graph(nodes, scratch, k=k)
+    listing = lists.selectExpr("explode(ids) as c").where("c = 0").count()
+    assert listing > n / 2
+    most = max(r["n"] for r in nn_descent._neighbourhoods(lists, 8, k).groupBy("c").agg({"*": "count"}).toDF("c", "n").collect())
+    assert most <= 2 * k + 1
+    assert max(len(r["nb"]) for r in nn_descent.adjacency(lists, scratch, k).collect()) <= 3 * k
+    import pyarrow as pa
+    many = pa.RecordBatch.from_pydict({"id": [1] * 5000, "q": [None] * 5000, "ids": [[i, i + 1] for i in range(5000)], "sims": [[i / 5000, (i + 1) / 5000] for i in range(5000)]})
+    (_, _, old, top), = nn_descent.folded([many], 4)
+    assert old == [0, 1] and [i for i, _ in top] == [5000, 4999, 4998, 4997]
+    rows = [pa.RecordBatch.from_pydict({"c": [1] * 50, "m": list(range(50))})] * 4
+    assert [(c, len(m)) for c, (m,) in nn_descent.runs(rows, "c", ["m"], 17)] == [(1, 17)]
+
+
 def pages(spark):
     rows = [(1, "http://a", "x"), (2, None, "x"), (None, "u\nv", "x"), (3, "q", None), (4, "q", ""), (5, "z", "é" * 200000), (5, "z", "é" * 200000),
             (None, "n", "solo"), (None, "n", "solo")]

@@ -6,8 +6,9 @@ sorted alike under random hyperplanes.  A round joins the neighbour lists with
 themselves: each node gathers its neighbours and a sample of the nodes that list it,
 the members of such a neighbourhood are compared with each other (pairs that an
 earlier round compared are skipped), and improvements go to the lists of both.  Rounds end
-when few lists change.  Tasks stream over sorted rows and hold one neighbourhood - at
-most twice ``k`` members - at a time.
+when few lists change.  However many nodes list one node, tasks hold at most about twice ``k``
+members of its neighbourhood: Spark cuts them to ``k`` by a salted two-step top-k first, and
+offers are folded into the ``k`` best per node and salt, then per node, as they stream.
 
 A search keeps for each query a beam of the ``beam`` best nodes known.  A round expands its
 best unexpanded nodes: joins fetch their neighbour lists, drop the nodes already seen,
@@ -59,8 +60,40 @@ def cosines(rows: list[bytes]) -> np.ndarray:
     return out
 
 
-def runs(batches, key: str, columns: list[str]):
-    """Rows of a partition sorted by ``key``, a run of equal keys at a time: (key, lists of the columns)."""
+SALTS = 64
+
+
+def first_rows(edges: DataFrame, order: list, n: int) -> DataFrame:
+    """The ``n`` first rows (c, m, ...) of every ``c`` by ``order``: cut within salts first, so that the
+    rows of a ``c`` that many others list meet in no task."""
+    part, whole = Window.partitionBy("c", "salt").orderBy(*order), Window.partitionBy("c").orderBy(*order)
+    near = edges.withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(SALTS))).withColumn("r", F.row_number().over(part)).where(F.col("r") <= n)
+    return near.drop("salt", "r").withColumn("r", F.row_number().over(whole)).where(F.col("r") <= n).drop("r")
+
+
+def folded(batches, k: int):
+    """(id, q, ids of the first row, the ``k`` best of all) of each run of equal ids; holds few times ``k`` entries."""
+
+    def top():
+        best.pop(node, None)
+        return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+    node, q, old, best = None, None, [], {}
+    for batch in batches:
+        for i, v, ids, sims in zip(*(batch.column(c).to_pylist() for c in ("id", "q", "ids", "sims")), strict=True):
+            if i != node:
+                if node is not None:
+                    yield node, q, old, top()
+                node, q, old, best = i, v, ids, {}
+            best.update(zip(ids, sims, strict=True))
+            if len(best) > 64 * k:
+                best = dict(top())
+    if node is not None:
+        yield node, q, old, top()
+
+
+def runs(batches, key: str, columns: list[str], most: int):
+    """Rows of a partition sorted by ``key``, a run of equal keys at a time: (key, lists of the columns, ``most`` rows at most)."""
     held_key, held = None, [[] for _ in columns]
     for batch in batches:
         keys = batch.column(key).to_pylist()
@@ -73,7 +106,7 @@ def runs(batches, key: str, columns: list[str]):
                         yield held_key, held
                     held_key, held = keys[at], [[] for _ in columns]
                 for h, c in zip(held, cols, strict=True):
-                    h.extend(c[at:i])
+                    h.extend(c[at : min(i, at + most - len(h))])
                 at = i
     if held_key is not None:
         yield held_key, held
@@ -141,6 +174,20 @@ def _first_offers(nodes: DataFrame, parts: int, k: int, tables: int, window: int
 def _merge(state: DataFrame, found: DataFrame, parts: int, k: int) -> DataFrame:
     """Each node's list with the offers to it: the ``k`` best, those not held before marked fresh."""
     none = F.lit(None)
+
+    def fold(batches):
+        out = []
+        for node, _, _, top in folded(batches, k):
+            out.append((node, [x for x, _ in top], [s for _, s in top]))
+            if len(out) == 4096:
+                yield offers(out)
+                out = []
+        if out:
+            yield offers(out)
+
+    # The offers to one node are dealt over salts, cut to the k best there, and only then meet.
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS))).withColumn("q", none.cast("binary"))
+    found = salted.repartition(parts, "id", "salt").sortWithinPartitions("id").select("id", "q", "ids", "sims").mapInArrow(fold, OFFER)
     both = state.select("id", F.lit(0).alias("kind"), "q", "ids", "sims", "fresh").unionByName(
         found.select("id", F.lit(1).alias("kind"), none.cast("binary").alias("q"), "ids", "sims", none.cast("array<boolean>").alias("fresh")))
 
@@ -155,14 +202,9 @@ def _merge(state: DataFrame, found: DataFrame, parts: int, k: int) -> DataFrame:
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int64())),
                  pa.array(cols[3], pa.list_(pa.float32())), pa.array(cols[4], pa.list_(pa.bool_()))], names=["id", "q", "ids", "sims", "fresh"])
 
-        for node, (q, ids, sims) in runs(batches, "id", ["q", "ids", "sims"]):
-            old = set(ids[0])
-            best = dict(zip(ids[0], sims[0], strict=True))
-            for a, b in zip(ids[1:], sims[1:], strict=True):
-                best.update(zip(a, b, strict=True))
-            best.pop(node, None)
-            top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
-            out.append((node, q[0], [x for x, _ in top], [s for _, s in top], [x not in old for x, _ in top]))
+        for node, q, ids, top in folded(batches, k):
+            old = set(ids)
+            out.append((node, q, [x for x, _ in top], [s for _, s in top], [x not in old for x, _ in top]))
             if len(out) == 4096:
                 yield emit()
                 out = []
@@ -172,21 +214,21 @@ def _merge(state: DataFrame, found: DataFrame, parts: int, k: int) -> DataFrame:
     return both.repartition(parts, "id").sortWithinPartitions("id", "kind").mapInArrow(run, STATE)
 
 
-def _neighbourhoods(state: DataFrame, parts: int) -> DataFrame:
-    """(c, kind, m, q, least, fresh): the members of every node's neighbourhood, sorted; kind 1: nodes that list it."""
-    edges = state.select("id", "q", F.coalesce(F.expr("sims[size(sims) - 1]"), F.lit(-2.0)).cast("float").alias("least"),
-                         F.explode(F.arrays_zip("ids", "fresh")).alias("e"))
-    back = edges.select(F.col("e.ids").alias("c"), F.lit(1).alias("kind"), F.col("id").alias("m"), "q", "least", F.col("e.fresh").alias("fresh"))
-    target = state.select(F.col("id").alias("m"), "q", F.coalesce(F.expr("sims[size(sims) - 1]"), F.lit(-2.0)).cast("float").alias("least"))
-    ahead = edges.select(F.col("id").alias("c"), F.col("e.ids").alias("m"), F.col("e.fresh").alias("fresh")).join(target, "m")
-    both = back.unionByName(ahead.select("c", F.lit(0).alias("kind"), "m", "q", "least", "fresh"))
-    return both.repartition(parts, "c").sortWithinPartitions("c", "kind", F.xxhash64("c", "m"))
+def _neighbourhoods(state: DataFrame, parts: int, k: int) -> DataFrame:
+    """(c, kind, m, q, least, fresh): the members of every node's neighbourhood, sorted; kind 1: a sample of
+    the nodes that list it, one more than ``k`` where there are more."""
+    edges = state.select("id", F.explode(F.arrays_zip("ids", "fresh")).alias("e"))
+    back = edges.select(F.col("e.ids").alias("c"), F.lit(1).alias("kind"), F.col("id").alias("m"), F.col("e.fresh").alias("fresh"))
+    target = state.select(F.col("id").alias("m"), "q", F.coalesce(F.try_element_at("sims", F.lit(-1)), F.lit(-2.0)).cast("float").alias("least"))
+    sample = [F.xxhash64("c", "m"), F.col("m")]
+    both = first_rows(back, sample, k + 1).unionByName(edges.select(F.col("id").alias("c"), F.lit(0).alias("kind"), F.col("e.ids").alias("m"), F.col("e.fresh").alias("fresh")))
+    return both.join(target, "m").select("c", "kind", "m", "q", "least", "fresh").repartition(parts, "c").sortWithinPartitions("c", "kind", *sample)
 
 
 def _local_joins(state: DataFrame, parts: int, k: int) -> DataFrame:
     def run(batches):
         out = []
-        for _, (kind, m, q, least, fresh) in runs(batches, "c", ["kind", "m", "q", "least", "fresh"]):
+        for _, (kind, m, q, least, fresh) in runs(batches, "c", ["kind", "m", "q", "least", "fresh"], 2 * k + 1):
             n = kind.count(0)
             stop = n + k  # the neighbours, and a hashed sample of the nodes that list this one
             pick = {x: i for i, x in reversed(list(enumerate(m[:stop])))}
@@ -207,7 +249,7 @@ def _local_joins(state: DataFrame, parts: int, k: int) -> DataFrame:
         if out:
             yield offers(out)
 
-    return _neighbourhoods(state, parts).mapInArrow(run, OFFER)
+    return _neighbourhoods(state, parts, k).mapInArrow(run, OFFER)
 
 
 def build_graph(nodes: DataFrame, scratch: Scratch, k: int = 32, rounds: int = 8, settle: float = 0.01,
@@ -231,19 +273,26 @@ def adjacency(state: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     A node that few others list is reached through the nodes it lists: its nearest ones keep the way back to it."""
     parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = state.select("id", F.posexplode("ids").alias("pos", "o"))
+    order = [F.col("pos"), F.xxhash64("c", "m"), F.col("m")]
     both = edges.select(F.col("id").alias("c"), F.lit(0).alias("kind"), "pos", F.col("o").alias("m")).unionByName(
-        edges.select(F.col("o").alias("c"), F.lit(1).alias("kind"), "pos", F.col("id").alias("m")))
+        first_rows(edges.select(F.col("o").alias("c"), F.lit(1).alias("kind"), "pos", F.col("id").alias("m")), order, 2 * k))
 
     def run(batches):
         import pyarrow as pa
 
+        def emit():
+            return pa.RecordBatch.from_pydict({"id": pa.array([c for c, _ in out], pa.int64()), "nb": pa.array([m for _, m in out], pa.list_(pa.int64()))})
+
         out = []
-        for c, (kind, m) in runs(batches, "c", ["kind", "m"]):
-            out.append((c, list(dict.fromkeys(m[: kind.count(0) + 2 * k]))))
+        for c, (m,) in runs(batches, "c", ["m"], 3 * k):
+            out.append((c, list(dict.fromkeys(m))))
+            if len(out) == 4096:
+                yield emit()
+                out = []
         if out:
-            yield pa.RecordBatch.from_pydict({"id": pa.array([c for c, _ in out], pa.int64()), "nb": pa.array([m for _, m in out], pa.list_(pa.int64()))})
+            yield emit()
 
-    ordered = both.repartition(parts, "c").sortWithinPartitions("c", "kind", "pos", F.xxhash64("c", "m"))
+    ordered = both.repartition(parts, "c").sortWithinPartitions("c", "kind", *order)
     return scratch.save(ordered.mapInArrow(run, "id long, nb array<long>"), "graph")
 
 

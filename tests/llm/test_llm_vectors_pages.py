@@ -135,6 +135,19 @@ def test_a_node_that_all_others_list_stays_bounded(spark):
     assert [(c, len(m)) for c, (m,) in nn_descent.runs(rows, "c", ["m"], 17)] == [(1, 17)]
 
 
+def test_rounds_try_other_reverse_links_until_settled(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 16)) + 2
+    nodes = spark.createDataFrame([(i, bytearray(nn_descent.quantise(cap_filters.unit(v)))) for i, v in enumerate(x)], "id long, q binary")
+    lists = nn_descent.build_graph(nodes, Scratch(spark, "t"), k=4, tables=1, window=8)
+    changed, entries = lists.selectExpr("sum(size(filter(fresh, x -> x)))", "sum(size(ids))").first()
+    assert changed <= 0.01 * entries
+    sizes = lists.selectExpr("explode(ids) as c").groupBy("c").count().orderBy("count", ascending=False).first()
+    assert sizes["count"] > 10
+    seen = [{r["m"] for r in nn_descent._neighbourhoods(lists, 8, 4, t).where(f"c = {sizes['c']} and kind = 1").collect()} for t in range(6)]
+    assert all(len(m) == 5 for m in seen) and len(set.union(*seen)) > 5
+
+
 def pages(spark):
     rows = [(1, "http://a", "x"), (2, None, "x"), (None, "u\nv", "x"), (3, "q", None), (4, "q", ""), (5, "z", "é" * 200000), (5, "z", "é" * 200000),
             (None, "n", "solo"), (None, "n", "solo")]

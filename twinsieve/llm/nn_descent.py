@@ -24,6 +24,8 @@ fewer candidates than asked all are returned; other columns do not matter.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,18 +216,18 @@ def _merge(state: DataFrame, found: DataFrame, parts: int, k: int) -> DataFrame:
     return both.repartition(parts, "id").sortWithinPartitions("id", "kind").mapInArrow(run, STATE)
 
 
-def _neighbourhoods(state: DataFrame, parts: int, k: int) -> DataFrame:
-    """(c, kind, m, q, least, fresh): the members of every node's neighbourhood, sorted; kind 1: a sample of
-    the nodes that list it, one more than ``k`` where there are more."""
+def _neighbourhoods(state: DataFrame, parts: int, k: int, turn: int = 0) -> DataFrame:
+    """(c, kind, m, q, least, fresh): the members of every node's neighbourhood, sorted; kind 1: a sample, another
+    one each ``turn``, of the nodes that list it, one more than ``k`` where there are more."""
     edges = state.select("id", F.explode(F.arrays_zip("ids", "fresh")).alias("e"))
     back = edges.select(F.col("e.ids").alias("c"), F.lit(1).alias("kind"), F.col("id").alias("m"), F.col("e.fresh").alias("fresh"))
     target = state.select(F.col("id").alias("m"), "q", F.coalesce(F.try_element_at("sims", F.lit(-1)), F.lit(-2.0)).cast("float").alias("least"))
-    sample = [F.xxhash64("c", "m"), F.col("m")]
+    sample = [F.xxhash64(F.lit(turn), "c", "m"), F.col("m")]
     both = first_rows(back, sample, k + 1).unionByName(edges.select(F.col("id").alias("c"), F.lit(0).alias("kind"), F.col("e.ids").alias("m"), F.col("e.fresh").alias("fresh")))
     return both.join(target, "m").select("c", "kind", "m", "q", "least", "fresh").repartition(parts, "c").sortWithinPartitions("c", "kind", *sample)
 
 
-def _local_joins(state: DataFrame, parts: int, k: int) -> DataFrame:
+def _local_joins(state: DataFrame, parts: int, k: int, turn: int = 0) -> DataFrame:
     def run(batches):
         out = []
         for _, (kind, m, q, least, fresh) in runs(batches, "c", ["kind", "m", "q", "least", "fresh"], 2 * k + 1):
@@ -236,7 +238,8 @@ def _local_joins(state: DataFrame, parts: int, k: int) -> DataFrame:
             if len(at) < 2:
                 continue
             s = cosines([q[i] for i in at])
-            new = np.array([fresh[i] for i in at])
+            # Of more nodes than the sample takes, earlier rounds may have left these out: all pairs with them count as new.
+            new = np.array([fresh[i] or (kind[i] and len(m) > stop) for i in at], dtype=bool)
             better = s > np.array([least[i] for i in at], dtype=np.float32)[:, None]
             better &= new[:, None] | new[None, :]
             np.fill_diagonal(better, False)
@@ -249,18 +252,19 @@ def _local_joins(state: DataFrame, parts: int, k: int) -> DataFrame:
         if out:
             yield offers(out)
 
-    return _neighbourhoods(state, parts, k).mapInArrow(run, OFFER)
+    return _neighbourhoods(state, parts, k, turn).mapInArrow(run, OFFER)
 
 
-def build_graph(nodes: DataFrame, scratch: Scratch, k: int = 32, rounds: int = 8, settle: float = 0.01,
+def build_graph(nodes: DataFrame, scratch: Scratch, k: int = 32, rounds: int | None = None, settle: float = 0.01,
                 tables: int = 6, window: int = 128) -> DataFrame:
-    """Neighbour lists (id, q, ids, sims, fresh) of ``nodes`` (id, q): NN-descent until at most ``settle`` of the entries change."""
+    """Neighbour lists (id, q, ids, sims, fresh) of ``nodes`` (id, q): NN-descent until at most ``settle`` of the entries
+    change (lists only get better, so that comes), or for ``rounds`` if given."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     empty = nodes.select("id", "q", F.expr("cast(array() as array<long>)").alias("ids"), F.expr("cast(array() as array<float>)").alias("sims"),
                          F.expr("cast(array() as array<boolean>)").alias("fresh"))
     state, path = scratch.save_replacing(_merge(empty, _first_offers(nodes, parts, k, tables, window), parts, k), "lists", None)
-    for _ in range(rounds):
-        state, path = scratch.save_replacing(_merge(state, _local_joins(state, parts, k), parts, k), "lists", path)
+    for turn in count() if rounds is None else range(rounds):
+        state, path = scratch.save_replacing(_merge(state, _local_joins(state, parts, k, turn), parts, k), "lists", path)
         changed, entries = state.agg(F.sum(F.expr("size(filter(fresh, x -> x))")), F.sum(F.size("ids"))).first()
         if not entries or changed <= settle * entries:
             break
@@ -349,7 +353,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scra
         state, path = scratch.save_replacing(state.drop("frontier").join(gathered, "qid", "left").mapInArrow(merge, SEARCH), "beams", path)
 
 
-def nearest(vectors: DataFrame, is_query, top: int = 5, k: int = 32, rounds: int = 8, beam: int = 128,
+def nearest(vectors: DataFrame, is_query, top: int = 5, k: int = 32, rounds: int | None = None, beam: int = 128,
             id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest rows found for every row where ``is_query(id)`` holds."""
     scratch = Scratch(vectors.sparkSession, "neighbours")

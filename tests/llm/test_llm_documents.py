@@ -51,7 +51,7 @@ def test_line_runs_equal_brute_force(spark, batches, fan_in):
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF0001}/{t}.parquet')")
     cur = con.execute(oracle.ORACLE[name])
     cols = [d[0] for d in cur.description]

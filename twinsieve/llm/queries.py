@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import cap_filters, line_runs, mixture_packing, nn_descent, pii_weak, quality_qda, secret_cnn, simhash_pivot, spm_nbest, warc_zstd
+from twinsieve.llm import (
+    cap_filters,
+    fim_swar,
+    lexical_scan,
+    line_runs,
+    mixture_packing,
+    nn_descent,
+    pii_weak,
+    prefix_counts,
+    quality_qda,
+    secret_cnn,
+    simhash_pivot,
+    spm_nbest,
+    warc_zstd,
+)
 from twinsieve.llm.common import read
 
 
@@ -61,6 +75,22 @@ def op10_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_scan.rank(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"), top=10)
+
+
+def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_counts.count(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op13_fim_swar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim_swar.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim_swar.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_simhash_pivots": op1_simhash_pivots,
     "op2_quality_qda": op2_quality_qda,
@@ -72,4 +102,7 @@ QUERIES = {
     "op8_nn_descent": op8_nn_descent,
     "op9_pii_weak": op9_pii_weak,
     "op10_secret_cnn": op10_secret_cnn,
+    "op11_lexical_scan": op11_lexical_scan,
+    "op12_prefix_counts": op12_prefix_counts,
+    "op13_fim_swar": op13_fim_swar,
 }

@@ -66,15 +66,3 @@ def normalise_uri(path: str | Column) -> Column:
     different sources (binaryFile, image, Python data source) join on one key."""
     p = F.regexp_replace(_c(path), r"^file:(//)?", "")
     return F.regexp_replace(p, r"/{2,}", "/")
-
-
-def local_path(path: str) -> str:
-    """The mounted path behind ``path``: plain or with a ``file:`` scheme; any other scheme is an error.
-
-    Trees are listed, read and written by the executors' own file calls, which reach mounted
-    file systems only."""
-    if path.startswith("file:"):
-        path = "/" + path[len("file:"):].lstrip("/")
-    elif "://" in path:
-        raise ValueError(f"{path}: only mounted trees can be walked (mount it, or pass its files as a DataFrame, e.g. from scan_binary)")
-    return path

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CHUNK_SIZE, DEFAULT_THRESHOLD, RESULT_COLUMNS
-from ..functions.paths import local_path
 from ..functions.providers import FingerprintProvider, column_fingerprint
 from ..operators.classify import match_targets, to_results
 from ..operators.copyplan import copy_plan, selection
@@ -38,6 +37,7 @@ from ..operators.stats import run_stats
 from ..session import scratch_folder
 from ..sinks.results import RESULT_SCHEMA, write_accepted, write_results_csv, write_results_parquet
 from ..sources.content import copy_files, hash_paths
+from ..sources.filesystems import is_remote, mounted, tree_of
 from ..sources.filetree import scan_tree
 from ..sources.images import phash_provider
 from .index import build_or_load
@@ -54,13 +54,17 @@ class DedupeRun:
 
 
 def _norm(p: str) -> str:
-    return os.path.realpath(local_path(p))
+    return p.rstrip("/") if is_remote(p) else os.path.realpath(mounted(p))
 
 
 def validate_paths(ref: str, target: str, out: str | None) -> None:
     """Inputs exist; the output is neither an input nor inside one (``file:`` URIs included)."""
     for label, p in (("Reference", ref), ("Target", target)):
-        if not os.path.exists(local_path(p)):
+        try:
+            there = tree_of(p).exists()
+        except Exception as e:  # no such file system, no client for it, no answer
+            raise ValueError(f"{label} directory cannot be opened: {p}: {e}") from e
+        if not there:
             raise ValueError(f"{label} directory does not exist: {p}")
     if out is None:
         return
@@ -100,8 +104,6 @@ def dedupe(
     tgt_files = prepare_side(scan_tree(spark, target) if isinstance(target, str) else target, extensions)
     out_dir = out or "out"
     in_table = "content" in tgt_files.columns
-    if not dry_run and not in_table:
-        local_path(out_dir)  # executors can only copy into a mounted tree
     if enable_phash and fingerprint is None:
         if isinstance(ref, str) and isinstance(target, str):
             fingerprint = phash_provider(spark, max_image_pixels)
@@ -178,7 +180,7 @@ def _existing_tree(spark: SparkSession, out_dir: str, selected: DataFrame, algo:
     """(rel_path, size, content_hash) of everything in the output tree - links and directories
     too, with no size: they occupy their name.  Only same-path, same-size collisions are
     hashed (the only ones the plan compares)."""
-    if not os.path.exists(local_path(out_dir)):
+    if not tree_of(out_dir).exists():
         return spark.createDataFrame([], EXISTING_SCHEMA)
     tree = scan_tree(spark, out_dir, everything=True).select("path", "rel_path", "size")
     sizes = selected.select(F.col("rel_path"), F.col("size").alias("_sel_size"))

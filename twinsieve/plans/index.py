@@ -1,19 +1,16 @@
 """Reference index lifecycle.
 
-The index is two Parquet tables in a shared folder, each with its own
-one-row fingerprint table written *after* the data (D6: one fingerprint per
-table; a crash between the two leaves no valid fingerprint, so the next run
-rebuilds):
+The index is two versioned tables (see :mod:`.versions`) in a shared folder, one row a ref file:
 
-    <index_dir>/exact/data         content_hash, size, path
-    <index_dir>/exact/fingerprint  ref_path, file_count, total_bytes, max_mtime, options
-    <index_dir>/near/data          fp, ref_path, n_files
-    <index_dir>/near/fingerprint   ...
+    <index_dir>/exact   path, size, mtime, content_hash, error
+    <index_dir>/near    path, size, mtime, fp                    (images)
 
-A table is reused iff no rebuild is forced and its stored fingerprint equals
+A table is reused as it is iff no rebuild is forced and its tree fingerprint equals
 the current one (ref path, file count, total bytes, newest mtime and the
 options that shape the table: hash algorithm, extension filter, fingerprint
-kind, pixel limit).  An empty near table is a valid index (D11).
+kind, pixel limit).  Otherwise only the files that are new or have another size or time
+are read again and the change is committed as a delta; other options or another root start anew.
+An empty near table is a valid index (D11).
 
 Reading the index back from the written files also cuts the lineage: later
 stages never recompute hashes from the raw tree.
@@ -24,13 +21,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..config import DEFAULT_CHUNK_SIZE
-from ..operators.classify import near_index
-from ..operators.exact import hash_index
-from ..operators.filters import normalise_extensions
-from ..operators.stats import FINGERPRINT_FIELDS, reference_fingerprint
+from ..functions.hashing import content_hash
+from ..operators.filters import is_image, normalise_extensions
+from ..operators.near import fingerprint_index
+from ..operators.stats import FINGERPRINT_FIELDS
+from .versions import MAX_GENERATIONS, Refreshed, refresh
 
 FINGERPRINT_SCHEMA = "ref_path string, file_count bigint, total_bytes bigint, max_mtime timestamp, options string"
 
@@ -40,23 +39,8 @@ class ReferenceIndex:
     exact: DataFrame
     near: DataFrame | None
     reused: dict = field(default_factory=dict)
-
-
-def _fs_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    fs, p = _fs_path(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs_path(spark, path)
-    return bool(fs.exists(p))
+    #: By table: files worked out anew, files removed.
+    changes: dict = field(default_factory=dict)
 
 
 def write_fingerprint(fp: DataFrame, path: str) -> None:
@@ -71,27 +55,36 @@ def read_fingerprint(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def _stored_row(spark: SparkSession, path: str):
-    df = read_fingerprint(spark, path)
-    if df is None:
-        return None
-    try:
-        rows = df.limit(2).collect()
-    except Exception:  # unreadable files read as "no index"
-        return None
-    return rows[0] if len(rows) == 1 else None
+def _only(files: DataFrame, todo: DataFrame | None) -> DataFrame:
+    return files if todo is None else files.join(todo, "path", "left_semi")
+
+
+def exact_facts(algo: str, chunk_size: int = DEFAULT_CHUNK_SIZE):
+    """(path, size, mtime, content_hash, error) of files: read by path, or hashed in the scan of in-table content."""
+
+    def facts(files: DataFrame, todo: DataFrame | None) -> DataFrame:
+        error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+        if "content" in files.columns:  # before any join: content is never shuffled
+            digest = F.when(error.isNull(), content_hash("content", algo))
+            return _only(files.select("path", "size", "mtime", digest.alias("content_hash"), error.alias("error")), todo)
+        from ..sources.content import hash_paths
+
+        narrow = _only(files.select("path", "size", "mtime", error.alias("error")), todo)
+        return hash_paths(narrow, algo=algo, chunk_size=chunk_size).select("path", "size", "mtime", "content_hash", "error")
+
+    return facts
+
+
+def near_facts(fingerprint):
+    """(path, size, mtime, fp) of images; fp is NULL where there is none."""
 
+    def facts(files: DataFrame, todo: DataFrame | None) -> DataFrame:
+        narrow = _only(files.select("path", "size", "mtime"), todo)
+        if "content" in files.columns:
+            return narrow.join(fingerprint(files).select("path", "fp"), "path", "left")
+        return narrow.join(fingerprint(_only(files, todo)).select("path", "fp"), "path", "left")
 
-def _load_or_build(spark, base: str, current_fp: DataFrame, build, rebuild: bool) -> tuple[DataFrame, bool]:
-    data_path, fp_path = f"{base}/data", f"{base}/fingerprint"
-    current = current_fp.collect()[0]  # one row: count, bytes, newest mtime
-    stored = None if rebuild else _stored_row(spark, fp_path)
-    if stored is not None and all(stored[f] == current[f] for f in FINGERPRINT_FIELDS) and path_exists(spark, data_path):
-        return spark.read.parquet(data_path), True
-    remove_path(spark, fp_path)  # invalidate first: data and fingerprint never disagree
-    build().write.mode("overwrite").parquet(data_path)
-    write_fingerprint(spark.createDataFrame([current], FINGERPRINT_SCHEMA), fp_path)
-    return spark.read.parquet(data_path), False
+    return facts
 
 
 def build_or_load(
@@ -107,21 +100,25 @@ def build_or_load(
     max_image_pixels: int | None = None,
     enable_near: bool = True,
     rebuild: bool = False,
+    verify: bool = False,
+    max_generations: int = MAX_GENERATIONS,
     chunk_size: int = DEFAULT_CHUNK_SIZE,
 ) -> ReferenceIndex:
-    """Reuse or rebuild each index table; ``ref`` is the filtered ref ``files`` frame."""
+    """Reuse each index table, bring it up to date or build it; ``ref`` is the filtered ref ``files`` frame."""
     exts = ",".join(normalise_extensions(extensions) or ())
     index_dir = index_dir.rstrip("/")
-    exact_opts = f"algo={algo};ext={exts}"
-    exact, exact_reused = _load_or_build(
-        spark, f"{index_dir}/exact", reference_fingerprint(ref, ref_path, exact_opts), lambda: hash_index(ref, algo, chunk_size), rebuild
-    )
+    how = {"ref_path": ref_path, "tree_of": ref, "rebuild": rebuild, "verify": verify, "max_generations": max_generations}
+    got: dict[str, Refreshed] = {}
+    got["exact"] = refresh(spark, ref, f"{index_dir}/exact", exact_facts(algo, chunk_size), options=f"algo={algo};ext={exts}",
+                           retry="error IS NOT NULL", **how)
+    exact = got["exact"].version.rows().filter(F.col("content_hash").isNotNull()).select("content_hash", "size", "path")
     near = None
-    near_reused = False
     if enable_near and fingerprint is not None:
         name = fingerprint_name or getattr(fingerprint, "__name__", "fingerprint")
-        near_opts = f"fp={name};ext={exts};max_pixels={max_image_pixels}"
-        near, near_reused = _load_or_build(
-            spark, f"{index_dir}/near", reference_fingerprint(ref, ref_path, near_opts), lambda: near_index(ref, fingerprint), rebuild
-        )
-    return ReferenceIndex(exact=exact, near=near, reused={"exact": exact_reused, "near": near_reused})
+        imgs = ref.filter(is_image("ext"))
+        if "error" in imgs.columns:
+            imgs = imgs.filter(F.col("error").isNull())
+        got["near"] = refresh(spark, imgs, f"{index_dir}/near", near_facts(fingerprint), options=f"fp={name};ext={exts};max_pixels={max_image_pixels}", **how)
+        near = fingerprint_index(got["near"].version.rows().select("path", "fp"))
+    return ReferenceIndex(exact=exact, near=near, reused={"exact": got["exact"].reused, "near": "near" in got and got["near"].reused},
+                          changes={k: (v.changed, v.gone) for k, v in got.items()})

@@ -19,20 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_CHUNK_SIZE
-
-
-def _open(path: str):
-    if "://" in path:
-        from pyarrow import fs as pafs
-
-        filesystem, p = pafs.FileSystem.from_uri(path)
-        return filesystem.open_input_stream(p)
-    return open(path, "rb")
+from .filesystems import copy_file, is_remote, mounted, open_input
 
 
 def hash_file(path: str, algo: str = "blake2b", chunk_size: int = DEFAULT_CHUNK_SIZE) -> str:
     h = hashlib.blake2b() if algo == "blake2b" else hashlib.sha256()
-    with _open(path) as f:
+    with open_input(path) as f:
         while True:
             chunk = f.read(chunk_size)
             if not chunk:
@@ -77,17 +69,12 @@ def copy_files(plan: DataFrame, out_root: str) -> DataFrame:
     """K3 for real trees: copy ``src`` to ``out_root/final_dst`` on the executors for
     rows planned ``write`` or ``rename``; returns (src, dst, error) per attempted row.
 
-    Each file is copied to a unique temporary name next to its destination and
-    moved into place with ``os.replace`` (atomic), so a task lost mid-copy never
-    leaves a partial file under a final name; its retry simply copies again.
+    Each file is copied under a unique temporary name next to its destination and
+    moved into place (see :func:`.filesystems.copy_file`), so a task lost mid-copy never
+    leaves a partial file under a final name; its retry simply copies again.  Source and
+    destination may be mounted or remote.
     """
-    import os
-    import shutil
-    import uuid
-
-    from ..functions.paths import local_path
-
-    out_root = local_path(out_root)
+    out_root = out_root.rstrip("/") if is_remote(out_root) else mounted(out_root)
     schema = T.StructType(
         [T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("error", T.StringType())]
     )
@@ -97,17 +84,12 @@ def copy_files(plan: DataFrame, out_root: str) -> DataFrame:
         for b in batches:
             srcs, dsts, errs = [], [], []
             for s, d in zip(b.column("src").to_pylist(), b.column("final_dst").to_pylist()):
-                dst = os.path.join(out_root, d)
-                tmp = f"{dst}.part-{uuid.uuid4().hex}"
+                dst = f"{out_root.rstrip('/')}/{d}"
                 try:
-                    os.makedirs(os.path.dirname(dst), exist_ok=True)
-                    shutil.copy2(s, tmp)
-                    os.replace(tmp, dst)
+                    copy_file(s, dst)
                     err = None
-                except Exception as ex:  # noqa: BLE001
+                except Exception as ex:  # noqa: BLE001 - the row becomes skipped
                     err = str(ex)
-                    if os.path.exists(tmp):
-                        os.remove(tmp)
                 srcs.append(s)
                 dsts.append(dst)
                 errs.append(err)

@@ -8,8 +8,8 @@ fingerprint instead of vanishing.
 
 A provider decodes exactly the paths it is given.  Tasks read each file's header,
 drop images above the pixel limit before anything is inflated, and link the others
-under plain names into a folder of the shared checkpoint folder, which the image
-source then reads: hidden and ``_``-prefixed files (which Spark's listing skips)
+under plain names into a folder of the shared checkpoint folder (copy them there where
+tree or folder is not mounted), which the image source then reads: hidden and ``_``-prefixed files (which Spark's listing skips)
 are decoded like any other, files that need no fingerprint are not decoded at all.
 The pixel limit is checked again after decoding, for formats whose header is not
 understood.
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_MAX_IMAGE_PIXELS, IMAGE_EXTENSIONS
-from ..functions.paths import local_path, normalise_uri
+from ..functions.paths import normalise_uri
 from ..functions.phash import image_phash
 from ..operators.filters import is_image, normalise_extensions, within_pixel_limit
-from ..session import scratch_folder
+from ..session import qualified, scratch_folder
+from .filesystems import copy_file, is_remote, mounted, open_seekable
 
 _GLOB_SPECIAL = set("{}[]*?,\\")
 
@@ -67,7 +68,7 @@ def read_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = IM
 
 def header_size(path: str) -> tuple[int, int] | None:
     """(width, height) from the header of a PNG, GIF, BMP or JPEG; None when it is none of them."""
-    with open(path, "rb") as f:
+    with open_seekable(path) as f:
         head = f.read(32)
         if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR":
             return struct.unpack(">II", head[16:24])
@@ -105,9 +106,12 @@ def _link_images(folder: str, limit: int):
                         names.append(None)
                         continue
                     name = hashlib.blake2b(p.encode("utf-8", "surrogateescape"), digest_size=16).hexdigest() + ".img"
-                    os.makedirs(f"{folder}/{name[:2]}", exist_ok=True)
-                    if not os.path.lexists(f"{folder}/{name[:2]}/{name}"):
-                        os.symlink(p, f"{folder}/{name[:2]}/{name}")
+                    if is_remote(folder) or is_remote(p):
+                        copy_file(p, f"{folder}/{name[:2]}/{name}")
+                    else:
+                        os.makedirs(f"{folder}/{name[:2]}", exist_ok=True)
+                        if not os.path.lexists(f"{folder}/{name[:2]}/{name}"):
+                            os.symlink(mounted(p), f"{folder}/{name[:2]}/{name}")
                     names.append(name)
                 except FileExistsError:  # another attempt of this task made it
                     names.append(name)
@@ -124,12 +128,13 @@ def phash_provider(spark: SparkSession, max_image_pixels: int | None = None):
 
     def provide(df: DataFrame) -> DataFrame:
         base = scratch_folder(spark, "images")
-        folder = local_path(f"{base}/links")
-        os.makedirs(folder, exist_ok=True)
+        folder = qualified(spark, f"{base}/links")
+        folder = folder if is_remote(folder) else mounted(folder)
+        spark.createDataFrame([], "path string").write.parquet(f"{base}/links/none")  # the folder exists without images too
         df.select("path").mapInArrow(_link_images(folder, limit), "path string, name string").write.parquet(f"{base}/names")
         names = spark.read.parquet(f"{base}/names")
         imgs = (
-            spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", "true").load(f"{base}/links")
+            spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.img").load(f"{base}/links")
             .select(F.regexp_extract("image.origin", "[^/]+$", 0).alias("name"), "image")
         )
         ok = within_pixel_limit("image.width", "image.height", limit) & (F.col("image.height") > 0)
@@ -167,7 +172,7 @@ def write_vector_images(vectors: DataFrame, out_dir: str, key: str = "vec_id", v
     """Render each vector as a ``side x side`` greyscale image (min-max scaled,
     upscaled ``scale`` times) and write ``<out_dir>/<key>.png`` from the executors.
     Returns (key, path) of the written files.  Every vector must have ``side * side`` elements."""
-    out_dir = local_path(out_dir)
+    out_dir = mounted(out_dir)
 
     def run(batches):
         os.makedirs(out_dir, exist_ok=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.session import checkpoint_dir, ensure_checkpoint_dir
 
+WORD = "[0-9A-Za-zÀ-ɏ]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -17,6 +19,37 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+class Memo(dict):
+    """Remembers ``compute`` of keys of up to ``longest`` characters in two generations of at most ``size`` entries:
+    the memory is bounded in bytes, recurring keys stay."""
+
+    def __init__(self, compute, size: int, longest: int = 48):
+        self.compute, self.size, self.longest, self.old = compute, size, longest, {}
+
+    def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
+        got = self.old.get(key)
+        if got is None:
+            got = self.compute(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
+def word_borders(pieces, mark: str) -> re.Pattern:
+    """Finds the chunks that no piece crosses: before a ``mark`` that follows another character, around a line end that is
+    in no piece, and between a letter or digit and punctuation that no piece has after one."""
+    beside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+    ends = "".join(c for c in ".,;:!?" if not any(x[1] == c and re.match(WORD, x) for x in beside))
+    line = "\n" if not any("\n" in p for p in pieces) else ""
+    more = f"[^{mark}{line}{ends}]*"
+    tail = f"(?:(?<!{WORD})[{ends}]{more})*" if ends else ""
+    return re.compile(f"{mark}*[^{mark}{line}]{more}{tail}|{mark}+" + f"|{line}" * bool(line))
+
+
 class Scratch:
     """One folder below ``spark.checkpoint.dir`` for the written tables of one run.
 

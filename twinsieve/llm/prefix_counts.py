@@ -26,40 +26,18 @@ long word, takes time and memory linear in its length; an empty table gives no r
 
 from __future__ import annotations
 
-import re
 from array import array
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsieve.llm.common import Memo, word_borders
+
 SPACE = "▁"
-#: Chunks of up to so many characters are remembered.
-REMEMBERED = 48
-PUNCTUATION = ".,;:!?"
-WORD = "[0-9A-Za-zÀ-ɏ]"
 NEVER = float("-inf")
 
 
-class Generations(dict):
-    """Remembers ``compute`` of keys up to ``REMEMBERED`` long, in two generations of at most ``size`` entries: recurring keys stay."""
-
-    def __init__(self, compute, size: int):
-        self.compute, self.size, self.old = compute, size, {}
-
-    def __missing__(self, key):
-        if len(key) > REMEMBERED:
-            return self.compute(key)
-        got = self.old.get(key)
-        if got is None:
-            got = self.compute(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = got
-        return got
-
-
 class Follows(dict):
     """By a piece: may it stand right after ``left``?  Worked out by merging the two, once."""
 
@@ -102,20 +80,10 @@ class PrefixCounter:
         for p, after in self.after.items():
             self.matcher.add_word(p, (len(p) - 1, p, after))
         self.matcher.make_automaton()
-        self.chunk = self.borders()
-        self.table = Generations(lambda s: array("I", self.counts(s)), memo_size)
-        self.length = Generations(lambda s: self.counts(s)[-1], memo_size)
-        self.word = Generations(lambda w: sum(map(self.length.__getitem__, self.chunk.findall(SPACE + w))), memo_size)
-
-    def borders(self) -> re.Pattern:
-        """Chunks: before a white-space mark that follows another character, around a line end that is in no piece,
-        and between a letter or digit and punctuation that no piece has after one."""
-        beside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        ends = "".join(c for c in PUNCTUATION if not any(x[1] == c and re.match(WORD, x) for x in beside))
-        line = "\n" if not any("\n" in p for p in self.score) else ""
-        more = f"[^{SPACE}{line}{ends}]*"
-        tail = f"(?:(?<!{WORD})[{ends}]{more})*" if ends else ""
-        return re.compile(f"{SPACE}*[^{SPACE}{line}]{more}{tail}|{SPACE}+" + f"|{line}" * bool(line))
+        self.chunk = word_borders(self.score, SPACE)
+        self.table = Memo(lambda s: array("I", self.counts(s)), memo_size)
+        self.length = Memo(lambda s: self.counts(s)[-1], memo_size)
+        self.word = Memo(lambda w: sum(map(self.length.__getitem__, self.chunk.findall(SPACE + w))), memo_size)
 
     def forget(self) -> None:
         """Forget what is known of pairs: bounds the memory."""

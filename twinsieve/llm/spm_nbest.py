@@ -35,7 +35,7 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame
 
-from twinsieve.llm.common import by_position
+from twinsieve.llm.common import Memo, by_position, word_borders
 
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -45,23 +45,6 @@ UNKNOWN_PENALTY = 10.0
 UNRANKED = -1e8
 
 
-class _Memo(dict):
-    """Remembers ``compute`` in two generations of at most ``size`` entries: the memory is bounded, recurring keys stay."""
-
-    def __init__(self, compute, size):
-        self.compute, self.size, self.old = compute, size, {}
-
-    def __missing__(self, key):
-        got = self.old.get(key)
-        if got is None:
-            got = self.compute(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = got
-        return got
-
-
 class PieceLattice:
     def __init__(self, path: str | None = None, memo_size: int = 300_000):
         import ahocorasick
@@ -98,8 +81,13 @@ class PieceLattice:
             self.matcher.add_word(p, (len(p), score, i))
         self.matcher.make_automaton()
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.piece)
-        self.memo = _Memo(self.summary, memo_size)
-        self.searched = _Memo(lambda key: self.n_best(*key), memo_size // 10)
+        self.parts = word_borders(self.piece, SPACE)
+        self.part = Memo(self.summary, memo_size)
+        self.memo = Memo(self.chunk_summary, memo_size)
+        self.word = Memo(lambda w: self.chunk_summary(SPACE + w), memo_size)
+        self.memo_size, self.searched = memo_size, {}
+        #: The normaliser only marks white space: words can be told apart in the text itself.
+        self.verbatim = self.splits and self.sp.normalize("a  b\ncﬁ ") == "▁a▁▁b\ncﬁ▁"
 
     def _unknown(self, char: str) -> tuple[float, tuple[int, ...]]:
         """Score and ids of a character that no piece covers alone."""
@@ -167,40 +155,46 @@ class PieceLattice:
                 heapq.heappush(heap, (-(best[i] + sc + behind), tick, i, behind + sc, (ids, path)))
         return out
 
+    def chunk_summary(self, s: str) -> tuple[bytes, float, float]:
+        """:meth:`summary` of a chunk, put together from parts that no piece crosses (words recur without their punctuation)."""
+        parts = self.parts.findall(s) if self.splits else [s]
+        if len(parts) == 1:
+            return self.part[s]
+        ids, score, cost = zip(*map(self.part.__getitem__, parts))
+        return b"".join(ids), sum(score), min(cost)
+
     def summary(self, s: str) -> tuple[bytes, float, float]:
         """(ids of the best path, its score, what the second-best path costs against it)."""
         n = at = len(s)
-        # Every piece that matches anywhere, by its end: (start, end, score, id).
-        edges = [(e + 1 - k, e + 1, sc, ids) for e, (k, sc, ids) in self.matcher.iter(s)]
         plain = self.alone.issuperset(s)
+        edges = self.matcher.iter(s)  # every piece that matches anywhere, by its end
         if not plain:
-            edges += [(i, i + 1, *self._unknown(c)) for i, c in enumerate(s) if c not in self.alone]
-            edges.sort(key=lambda x: x[1])
-        best, back = [-1e300] * (n + 1), [None] * (n + 1)
+            edges = sorted([*edges, *((i, (1, *self._unknown(c))) for i, c in enumerate(s) if c not in self.alone)], key=lambda x: x[0])
+        # The two best scores of the paths to every node, and the edge that the best one comes by.
+        best, second, back = [-1e300] * (n + 1), [-np.inf] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
-        for edge in edges:
-            v = best[edge[0]] + edge[2]
-            if v > best[edge[1]]:
-                best[edge[1]] = v
-                back[edge[1]] = edge
-        path, follow = [], [0] * n
+        for j, edge in edges:
+            j += 1
+            i = j - edge[0]
+            v = best[i] + edge[1]
+            if v > best[j]:
+                w = second[i] + edge[1]
+                if back[j] is not None and best[j] > w:
+                    w = best[j]
+                if w > second[j]:
+                    second[j] = w
+                best[j] = v
+                back[j] = edge
+            elif v > second[j]:
+                second[j] = v
+        path = []
         while at:
-            i, _, _, ids = back[at]
-            follow[i] = at
-            path.append(ids)
-            at = i
-        # The second-best path leaves the best one somewhere: it has an edge that is not on it.
-        second, ahead = -np.inf, [-1e300] * (n + 1)
-        ahead[n] = 0.0
-        for i, j, sc, _ in reversed(edges):
-            v = sc + ahead[j]
-            if v > ahead[i]:
-                ahead[i] = v
-            if follow[i] != j and best[i] + v > second:
-                second = best[i] + v
+            edge = back[at]
+            path.append(edge[2])
+            at -= edge[0]
         path.reverse()
         ids = array(self.code, path if plain else self._flat(path)).tobytes()
-        return ids, best[n], best[n] - second
+        return ids, best[n], best[n] - second[n]
 
     def chunks(self, text: str) -> list[str]:
         s = self.sp.normalize(text)
@@ -213,18 +207,24 @@ class PieceLattice:
         return [SPACE + w for w in s.split(SPACE)[1:]]
 
     def segmentations(self, text: str, n: int) -> tuple[list[bytes], list[tuple[float, dict[int, tuple[bytes, int]]]], list[str]]:
-        """(ids of every chunk's best path, the ``n`` best as (score, {chunk: other ids}), chunks)."""
-        chunks = self.chunks(text)
-        known = list(map(self.memo.__getitem__, chunks))
-        total = sum(k[1] for k in known)
-        cost = np.array([k[2] for k in known])
-        pick = np.argsort(cost, kind="stable")[: n - 1].tolist() if len(cost) else []
+        """(ids of every chunk's best path, the ``n`` best as (score, {chunk: other ids}), chunks - or words, each with a mark before it)."""
+        if self.verbatim and text and not ("  " in text or SPACE in text or text[0] == " " or text[-1] == " "):
+            chunks, mark, known = text.split(" "), SPACE, self.word
+        else:
+            chunks, mark, known = self.chunks(text), "", self.memo
+        if not chunks:
+            return [], [(0, {})], chunks
+        best, score, cost = zip(*map(known.__getitem__, chunks))
+        if n not in self.searched:
+            self.searched[n] = Memo(lambda s: self.n_best(s, n), self.memo_size // 10)
+        total, cost = sum(score), np.array(cost)
+        pick = np.argsort(cost, kind="stable")[: n - 1].tolist()
         ranked = [(0.0, {})]
         for c in sorted(c for c in pick if cost[c] < np.inf):
-            options = self.searched[chunks[c], n]
+            options = self.searched[n][mark + chunks[c]]
             own = [(s - options[0][0], np.array(ids, dtype=self.dtype).tobytes()) for s, ids in options]
             ranked = sorted(((a + d, {**m, c: ids}) for a, m in ranked for d, ids in own), key=lambda x: -x[0])[:n]
-        return [k[0] for k in known], [(total + d, m) for d, m in ranked], chunks
+        return list(best), [(total + d, m) for d, m in ranked], chunks
 
     def spelled(self, ids: bytes) -> bytes:
         return b"".join(map(self.spell.__getitem__, np.frombuffer(ids, dtype=self.dtype).tolist()))

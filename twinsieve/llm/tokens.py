@@ -10,25 +10,17 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 
 import numpy as np
 
+from twinsieve.llm.common import Memo
+
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: Above this code point the two libraries may carry different Unicode tables.
 LATIN_END = "ɏ"
 
 
-class _Memo(dict):
-    def __init__(self, encode, limit):
-        self.encode, self.limit = encode, limit
-
-    def __missing__(self, chunk):
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[chunk] = self.encode(chunk)
-        return out
-
-
 class ChunkTokenizer:
     """``encode(text)`` gives the ids as little-endian bytes of ``dtype``; memory is bounded by ``memo_size`` chunks."""
 
@@ -41,7 +33,8 @@ class ChunkTokenizer:
         self._json_path, self._full = json_path, None
         top = max(ranks.values()) + 2
         self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
-        self._spaced = _Memo(lambda c: self._chunk(" " + c), memo_size)
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._spaced = Memo(lambda c: self._chunk(" " + c), memo_size)
 
     @property
     def full(self):
@@ -53,13 +46,15 @@ class ChunkTokenizer:
         return self._full
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return array(self._code, ids).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self.full.encode(text, add_special_tokens=False).ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        return self._pack(self._bpe.encode_ordinary(chunk)) if max(chunk, default="") <= LATIN_END else self._whole(chunk)
+        if chunk.isascii() or max(chunk) <= LATIN_END:
+            return array(self._code, self._bpe.encode_ordinary(chunk)).tobytes()
+        return self._whole(chunk)
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or UNSAFE.search(text):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,38 @@ def test_refused_parameters(spark):
     wide = spark.createDataFrame([([float(x) for x in range(65)],)], "v array<double>")
     with pytest.raises(Exception, match="64 elements"):
         with_median_bits(wide, "v").collect()
+
+
+@pytest.mark.parametrize("mode,threshold,bands", [("lsh", 8, None), ("complete", 8, 9), ("complete", 8, None), ("complete", 3, None), ("lsh", 0, None)])
+def test_groups_that_share_two_bands_are_dealt_out_again(spark, mode, threshold, bands):
+    """A third of all fingerprints agree on two bands: the answer is that of brute force and the pairs stay far below all of the group's."""
+    rnd = np.random.default_rng(5)
+    n = 2400
+    def some(k):
+        free = rnd.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + rnd.integers(0, 2, k, dtype=np.uint64)
+        hot = np.arange(k) % 3 == 0
+        free[hot] = (free[hot] & np.uint64(0x00000000FFFFFFFF)) | np.uint64(0xABCD123400000000)
+        return free
+    refs, targets = some(n), some(n)
+    targets[:60] = refs[:60] ^ (np.uint64(1) << rnd.integers(0, 64, 60).astype(np.uint64))
+    targets[60:75] = refs[60:75]
+    signed = lambda x: x.view(np.int64).tolist()
+    idx = N.fingerprint_index(spark.createDataFrame([(f"r{i:05d}", f) for i, f in enumerate(signed(refs))], "path string, fp long"))
+    tdf = spark.createDataFrame([(f,) for f in signed(targets)], "fp long").distinct()
+    distance = np.bitwise_count(targets[:, None] ^ refs[None, :])
+    ok = distance <= threshold
+    if mode == "lsh":
+        parts = lambda x: np.stack([(x >> np.uint64(16 * b)) & np.uint64(0xFFFF) for b in range(4)], 1)
+        ok &= (parts(targets)[:, None, :] == parts(refs)[None, :, :]).any(2)
+    ok |= distance == 0
+    want = {}
+    for i, f in enumerate(signed(targets)):
+        near = np.flatnonzero(ok[i])
+        if len(near):
+            d, r = min((int(distance[i, k]), int(k)) for k in near)
+            want[f] = (f"r{r:05d}", d)
+    got = {r.fp: (r.near_path, r.distance) for r in N.best_matches(tdf, idx, threshold=threshold, mode=mode, bands=bands).collect()}
+    assert got == want and want
+    pairs = N._pairs_hot_refined(tdf, idx, mode, threshold, bands, "work").count()
+    if threshold < 8:  # elsewhere probing another band costs more than this group's pairs
+        assert pairs < n * n / 9 / 2  # less than half of what the hot group alone would emit once, let alone a band

@@ -10,17 +10,17 @@ per target - identical target files that are absent from the ref are all
 Physical shape: the exact pass works on narrow rows written once (see
 :mod:`.exact`); the non-exact images are fingerprinted, collapsed to distinct
 fingerprints for the band join, and the answers are joined back by path.  In-table
-content is fingerprinted in its scan for every image and joined to the
-candidates as (path, fp); files of a tree are decoded only where they are
-candidates.
+content is fingerprinted in its scan - only the candidates where their paths fit a
+broadcast, else every image - and joined as (path, fp); files of a tree are decoded only
+where they are candidates.
 
 Freshly computed fingerprint tables - the ref index and the target
 ``(path, fp)`` rows - are each read by several branches of the plan (band
 join, hot-band refinement, join back by value), and Spark does not reuse the
 exchanges of a tokenising/decoding subtree across them.  They are therefore
-materialised once with a reliable ``checkpoint()`` (the session's shared
-checkpoint folder): narrow rows, computed once, and a lineage cut so a lost
-executor does not re-run fingerprinting.
+materialised once as narrow tables below the session's shared checkpoint folder:
+computed once, lineage cut so a lost executor does not re-run fingerprinting, and of
+known size, so that later joins pick their side by it.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from ..config import DEFAULT_CHUNK_SIZE, DEFAULT_THRESHOLD
 from ..functions.hashing import hash_prefix
 from ..functions.paths import destination
 from ..functions.providers import FingerprintProvider
+from ..session import broadcast_if_small, materialise
 from .exact import exact_matches
 from .filters import is_image
 from .near import best_matches, fingerprint_index
@@ -63,12 +64,13 @@ def match_targets(
     exact_index: DataFrame | None = None,
     fp_index: DataFrame | None = None,
     chunk_size: int = DEFAULT_CHUNK_SIZE,
+    hash_all: bool = False,
 ) -> DataFrame:
     """Targets with ``size_hit``, ``content_hash``, ``exact_path``, ``near_path``, ``distance``."""
-    ex = exact_matches(targets, ref, algo=algo, index=exact_index, chunk_size=chunk_size)
+    ex = exact_matches(targets, ref, algo=algo, index=exact_index, chunk_size=chunk_size, hash_all=hash_all)
     if not (enable_near and (fingerprint is not None or fp_index is not None)):
         return ex.withColumn("near_path", F.lit(None).cast("string")).withColumn("distance", F.lit(None).cast("int"))
-    idx = fp_index if fp_index is not None else near_index(ref, fingerprint).checkpoint(eager=True)
+    idx = fp_index if fp_index is not None else materialise(near_index(ref, fingerprint), "near-index")
     tfp = candidate_fingerprints(targets, ex, fingerprint)
     best = best_matches(tfp, idx, threshold=threshold, mode=match_mode, bands=bands)
     near = tfp.join(best, "fp").select("path", "near_path", "distance")
@@ -83,10 +85,15 @@ def candidate_fingerprints(targets: DataFrame, ex: DataFrame, fingerprint: Finge
     if fingerprint is None:
         return cand.select("path", "fp")
     if "content" in targets.columns:
-        # In the scan, before any join: content is never shuffled to the candidates.
-        fps = fingerprint(targets.filter(is_image("ext")))
-        return fps.join(cand.select("path"), "path", "left_semi").checkpoint(eager=True)
-    return fingerprint(cand).checkpoint(eager=True)
+        # In the scan, before any shuffle: content is never moved to the candidates.  Where their paths are
+        # few enough (by written size) they are broadcast into the scan and only they are fingerprinted;
+        # otherwise every image is, and the narrow rows are joined.
+        imgs, paths = targets.filter(is_image("ext")), materialise(cand.select("path"), "candidates")
+        small = broadcast_if_small(paths)
+        if small is not None:
+            return materialise(fingerprint(imgs.join(small, "path", "left_semi")), "fingerprints")
+        return materialise(fingerprint(imgs).join(paths, "path", "left_semi"), "fingerprints")
+    return materialise(fingerprint(cand), "fingerprints")
 
 
 def to_results(matched: DataFrame, *, dry_run: bool = True, out_dir: str = "out", plan: DataFrame | None = None) -> DataFrame:

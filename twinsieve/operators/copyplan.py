@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash
 from ..functions.paths import name_of, parent_of, stem_of, suffix_of
+from ..session import materialise
 
 KEY = ["dir", "stem", "suffix"]
 COUNTER_PATTERN = r"^(.*)_([1-9][0-9]*)$"
@@ -113,7 +114,7 @@ def copy_plan(
     op = F.when(F.col("there").isNull(), "write").when(equal, "already_present").otherwise("rename")
     planned = j.select("src", "planned_dst", op.alias("op"))
     if hash_sources is not None:
-        planned = planned.checkpoint(eager=True)  # narrow rows; no source file is read twice
+        planned = materialise(planned, "planned")  # narrow rows; no source file is read twice
 
     renames = planned.filter(F.col("op") == "rename").select(
         "src",

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CHUNK_SIZE
 from ..functions.hashing import content_hash
+from ..session import broadcast_if_small, materialise
 
 
 def ref_sizes(ref: DataFrame) -> DataFrame:
@@ -37,18 +38,19 @@ def size_semi_join(targets: DataFrame, ref: DataFrame) -> DataFrame:
     return targets.join(ref_sizes(ref), "size", "left_semi")
 
 
-def flag_size_hits(targets: DataFrame, ref: DataFrame) -> DataFrame:
-    """Adds boolean ``size_hit`` (size occurs in ``ref``, a frame with ``size``) without dropping rows."""
-    hits = ref_sizes(ref).withColumn("size_hit", F.lit(True))
+def flag_size_hits(targets: DataFrame, ref: DataFrame, distinct: bool = False) -> DataFrame:
+    """Adds boolean ``size_hit`` (size occurs in ``ref``, a frame with ``size``, each once if ``distinct``) without dropping rows."""
+    hits = ref.withColumn("size_hit", F.lit(True)) if distinct else ref_sizes(ref).withColumn("size_hit", F.lit(True))
     return targets.join(hits, "size", "left").withColumn("size_hit", F.coalesce(F.col("size_hit"), F.lit(False)))
 
 
-def narrow_rows(files: DataFrame, algo: str = "sha256") -> DataFrame:
+def narrow_rows(files: DataFrame, algo: str = "sha256", gate=None) -> DataFrame:
     """``files`` without ``content``: one scan turns in-table content into ``full_hash``, so
-    no join or shuffle ever carries file bytes.  Frames without content pass through."""
+    no join or shuffle ever carries file bytes; with a ``gate`` only where it holds.  Frames without content pass through."""
     if "content" not in files.columns:
         return files
-    return files.select(*[c for c in files.columns if c != "content"], content_hash("content", algo).alias("full_hash"))
+    digest = content_hash(F.col("content") if gate is None else F.when(gate, F.col("content")), algo)
+    return files.select(*[c for c in files.columns if c != "content"], digest.alias("full_hash"))
 
 
 def hash_index(ref: DataFrame, algo: str = "sha256", chunk_size: int = DEFAULT_CHUNK_SIZE) -> DataFrame:
@@ -90,26 +92,35 @@ def exact_matches(
     algo: str = "sha256",
     index: DataFrame | None = None,
     chunk_size: int = DEFAULT_CHUNK_SIZE,
+    hash_all: bool = False,
 ) -> DataFrame:
     """Size-gated hash of the targets and the exact lookup, on narrow rows.
 
     Adds ``size_hit``, ``content_hash`` (NULL when the size does not occur) and
     ``exact_path`` (NULL when no byte-identical ref file exists); ``content`` is
-    replaced by ``full_hash``.  The hashed rows are written once (checkpoint): every
+    replaced by ``full_hash``.  The hashed rows are written once: every
     file is read and hashed once, whatever reads them later.  Rows without a
     size match - normally most - go round the hash join by ``union``, so they never
     meet in one partition as a NULL key.  With a persisted ``index`` the size buckets
     come from it (readable ref files only, as in the mirrored tool) and ``ref`` may be None.
+    ``hash_all``: ``full_hash`` of every in-table row, for a copy plan that compares it with destinations.
     """
     idx = index if index is not None else hash_index(ref, algo, chunk_size)
-    flagged = flag_size_hits(narrow_rows(targets, algo), (idx if index is not None else ref).select("size"))
-    if "full_hash" in flagged.columns:
+    sized = (idx if index is not None else ref).select("size")
+    if "content" in targets.columns:
+        sizes = materialise(ref_sizes(sized), "sizes")
+        small = None if hash_all else broadcast_if_small(sizes)
+        if small is not None:  # in the scan: only content of a size that occurs is hashed
+            flagged = narrow_rows(flag_size_hits(targets, small, distinct=True), algo, F.col("size_hit"))
+        else:
+            flagged = flag_size_hits(narrow_rows(targets, algo), sizes, distinct=True)
         hashed = flagged.withColumn("content_hash", F.when(F.col("size_hit"), F.col("full_hash")))
     else:
+        flagged = flag_size_hits(targets, sized)
         from ..sources.content import hash_paths
 
         hashed = hash_paths(flagged, algo=algo, gate="size_hit", chunk_size=chunk_size)
-    hashed = hashed.checkpoint(eager=True)
+    hashed = materialise(hashed, "hashed")
     found = hashed.filter(F.col("content_hash").isNotNull()).join(exact_lookup(idx), "content_hash", "left")
     rest = hashed.filter(F.col("content_hash").isNull()).withColumn("exact_path", F.lit(None).cast("string"))
     return found.unionByName(rest)

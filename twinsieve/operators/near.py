@@ -29,9 +29,14 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_THRESHOLD, LSH_BANDS
 from ..functions.fingerprints import band_array, band_layout, bits_field, hamming, neighbour_masks
+from ..session import materialise
 
 MATCH_MODES = ("lsh", "complete")
 REFINE_MODES = ("work", "always", "never")
+# Probes of a band beyond which no group is dealt out again (they would outnumber its pairs in all but absurd groups).
+MAX_BALL = 4096
+# How many times less work the next level must be: a pair can be met again by every band its group shares.
+GAIN = 4
 
 
 def fingerprint_index(ref_fps: DataFrame) -> DataFrame:
@@ -70,7 +75,7 @@ def default_complete_bands(threshold: int) -> int:
 def _width_masks(layout, band_col, radius: int):
     """array<int> of all masks of popcount <= radius for the width of band ``band_col``."""
     widths = sorted({w for _, w in layout})
-    mask_arr = {w: F.array(*[F.lit(x) for x in neighbour_masks(w, radius)]) for w in widths}
+    mask_arr = {w: F.expr(f"array({','.join(map(str, neighbour_masks(w, radius)))})") for w in widths}
     if len(widths) == 1:
         return mask_arr[widths[0]]
     width_of_band = F.element_at(F.array(*[F.lit(w) for _, w in layout]), band_col + 1)
@@ -128,57 +133,67 @@ def candidates(targets: DataFrame, index: DataFrame, mode: str = "lsh", threshol
     return pairs.select("fp", "ref_fp", "ref_path", hamming("fp", "ref_fp").alias("distance"))
 
 
+def _bit(band: str):
+    return F.call_function("shiftleft", F.lit(1), F.col(band))
+
+
 def _pairs_hot_refined(targets: DataFrame, index: DataFrame, mode: str, threshold: int, bands: int | None, refine: str) -> DataFrame:
     """Candidate pairs that can pass the threshold, without emitting all pairs of a
-    hot (band, value) group.
-
-    Cold groups join on (band, value) as usual.  In a hot group every pair shares
-    band ``band`` (lsh) or differs there by at most the probe radius (complete);
-    if its distance is <= t, the other m - 1 bands differ in at most t bits
-    together, so one of them differs in at most floor(t / (m - 1)) bits
-    (pigeonhole).  Hot groups therefore join on (band, value, j, probe), where
-    the target probes every value within that radius of its band j != band -
-    exact for every pair within the threshold, and each sub-group is about
-    2^w / C(w, <=r) times smaller.  Each group is refined when
-    that is estimated to be less work: refs x targets against the rows and probes of
-    the refinement, both counted by one partial-combined aggregation a side
-    (``refine="work"``; "always" and "never" give the same pairs).
+    hot group, however many bands its members agree on.
+
+    Level one groups by (band, value).  In a group every pair agrees on the bands
+    ``used`` so far up to the probe radii; if its distance is <= t, the other
+    ``m - |used|`` bands differ in at most t bits together, so one of them differs in at
+    most floor(t / (m - |used|)) bits (pigeonhole).  A hot group is therefore dealt out
+    once more by every unused band, the target probing all values within that radius -
+    exact for every pair within the threshold - and what is still hot after that once
+    more, until no group is or every band is used.  A group is refined when that is
+    estimated to be a fraction of the work: refs x targets against the rows, the probes and - were the
+    other bands random - the pairs of the next level, both counted by one partial-combined aggregation a side (``refine="work"``; "always" takes
+    the first level whatever it costs, "never" none: the same answer).  A group's bands and values are kept as one 64-bit hash: two groups
+    that collide only add pairs, whose distance is checked like any other's.
     """
     probes, layout = _probes(targets, mode, threshold, bands)
     rb = _ref_bands(index, layout)
-    key = ["band", "val"]
     m = len(layout)
-    radius = max(threshold, 0) // (m - 1)
-    ball = len(neighbour_masks(max(w for _, w in layout), radius))
-    sizes = rb.groupBy(*key).agg(F.count(F.lit(1)).alias("r_n")).join(probes.groupBy(*key).agg(F.count(F.lit(1)).alias("t_n")), key)
-    if refine == "work":
-        sizes = sizes.filter(F.col("r_n") * F.col("t_n") > (m - 1) * (F.col("r_n") + ball * F.col("t_n")))
-    # Narrow keys, read by four joins: written once.  Without any, the plain join is all there is.
-    hot = sizes.select(*key).checkpoint(eager=True)
-    if hot.isEmpty():
-        return probes.join(rb, key).select("fp", "ref_fp", "ref_path")
-    cold = probes.join(rb.join(hot, key, "left_anti"), key).select("fp", "ref_fp", "ref_path")
-
     others = F.array(*[F.lit(j) for j in range(m)])
-
-    def band_j(col):
-        return F.element_at(band_array(col, layout), F.col("j") + 1)
-
-    th = (
-        probes.join(hot, key, "left_semi")
-        .select("fp", "band", "val", F.explode(others).alias("j"))
-        .filter(F.col("j") != F.col("band"))
-        .select("fp", "band", "val", "j", band_j("fp").alias("w0"), F.explode(_width_masks(layout, F.col("j"), radius)).alias("_m"))
-        .select("fp", "band", "val", "j", F.col("w0").bitwiseXOR(F.col("_m")).alias("w"))
-    )
-    rh = (
-        rb.join(hot, key, "left_semi")
-        .select("ref_fp", "ref_path", "band", "val", F.explode(others).alias("j"))
-        .filter(F.col("j") != F.col("band"))
-        .select("ref_fp", "ref_path", "band", "val", "j", band_j("ref_fp").alias("w"))
-    )
-    hot_pairs = th.join(rh, ["band", "val", "j", "w"]).select("fp", "ref_fp", "ref_path")
-    return cold.unionByName(hot_pairs)
+    start = [_bit("band").alias("used"), F.xxhash64("band", "val").alias("key")]
+    t, r = probes.select("fp", *start), rb.select("ref_fp", "ref_path", *start)
+    out = None
+    for depth in range(1, m):
+        # A group's bands are part of its key: every group has one ``used``.
+        radius = max(threshold, 0) // (m - depth)
+        ball = len(neighbour_masks(max(w for _, w in layout), radius))
+        if ball > MAX_BALL:
+            break
+        sizes = r.groupBy("key").agg(F.count(F.lit(1)).alias("r_n")).join(t.groupBy("key").agg(F.count(F.lit(1)).alias("t_n")), "key")
+        if refine == "work" or depth > 1:
+            pairs, kept = F.col("r_n") * F.col("t_n"), min(1.0, ball / (1 << min(w for _, w in layout)))
+            sizes = sizes.filter(pairs > GAIN * (m - depth) * (F.col("r_n") + ball * F.col("t_n") + pairs * kept))
+        # Narrow keys, read by four joins: written once.  Without any, the plain join is all there is.
+        hot = materialise(sizes.select("key"), "hot-groups")
+        if hot.isEmpty():
+            break
+        cold = t.join(hot, "key", "left_anti").join(r, "key").select("fp", "ref_fp", "ref_path")
+        out = cold if out is None else out.unionByName(cold)
+
+        def deal(side: DataFrame, hot: DataFrame = hot) -> DataFrame:
+            """The hot rows of a side by every band that their group has not used."""
+            free = side.join(hot, "key", "left_semi").select("*", F.explode(others).alias("j"))
+            return free.filter(F.col("used").bitwiseAND(_bit("j")) == 0)
+
+        def step(w) -> list:
+            return [F.col("used").bitwiseOR(_bit("j")).alias("used"), F.col("key").bitwiseXOR(F.xxhash64("j", w)).alias("key")]
+
+        def band_j(col: str):
+            return F.element_at(band_array(col, layout), F.col("j") + 1)
+
+        near = deal(t).select("fp", "used", "key", "j", band_j("fp").alias("w"), F.explode(_width_masks(layout, F.col("j"), radius)).alias("_m"))
+        # The same bands in another order are the same group.
+        t = near.select("fp", *step(F.col("w").bitwiseXOR(F.col("_m")))).distinct()
+        r = deal(r).select("ref_fp", "ref_path", *step(band_j("ref_fp"))).distinct()
+    rest = t.join(r, "key").select("fp", "ref_fp", "ref_path")
+    return rest if out is None else out.unionByName(rest)
 
 
 def best_matches(

@@ -34,7 +34,7 @@ from ..operators.classify import match_targets, to_results
 from ..operators.copyplan import copy_plan, selection
 from ..operators.filters import prepare_side
 from ..operators.stats import run_stats
-from ..session import scratch_folder
+from ..session import materialise, scratch_folder
 from ..sinks.results import RESULT_SCHEMA, write_accepted, write_results_csv, write_results_parquet
 from ..sources.content import copy_files, hash_paths
 from ..sources.filesystems import is_remote, mounted, tree_of
@@ -146,22 +146,23 @@ def dedupe(
         exact_index=exact_index,
         fp_index=fp_index if enable_phash else None,
         chunk_size=chunk_size,
+        hash_all=not dry_run,
     )
     results_dir = results_dir or scratch_folder(spark, "results")
 
     plan = accepted_dir = None
     if not dry_run:
         # Materialise the (narrow) selection once: the plan reads it several times.
-        selected = selection(matched).checkpoint(eager=True)
+        selected = materialise(selection(matched), "selected")
         if in_table:
             there = existing if existing is not None else spark.createDataFrame([], EXISTING_SCHEMA)
-            plan = copy_plan(selected, there, algo=hash_algo).checkpoint(eager=True)
+            plan = materialise(copy_plan(selected, there, algo=hash_algo), "plan")
             accepted_dir = f"{results_dir}/accepted"
             write_accepted(tgt_files, plan, accepted_dir)
         else:
             there = _existing_tree(spark, out_dir, selected, hash_algo, chunk_size)
             read = lambda df, gate: hash_paths(df, algo=hash_algo, gate=gate, chunk_size=chunk_size)
-            plan = copy_plan(selected, there, algo=hash_algo, hash_sources=read).checkpoint(eager=True)
+            plan = materialise(copy_plan(selected, there, algo=hash_algo, hash_sources=read), "plan")
             copy_files(plan, out_dir).write.mode("overwrite").parquet(f"{results_dir}/copied")
             outcome = spark.read.parquet(f"{results_dir}/copied").select("src", "error")
             plan = plan.join(outcome, "src", "left")
@@ -186,4 +187,4 @@ def _existing_tree(spark: SparkSession, out_dir: str, selected: DataFrame, algo:
     sizes = selected.select(F.col("rel_path"), F.col("size").alias("_sel_size"))
     gated = tree.join(sizes, "rel_path", "left").withColumn("_same", F.col("_sel_size") == F.col("size"))
     gated = gated.withColumn("_same", F.coalesce(F.col("_same"), F.lit(False)))
-    return hash_paths(gated, algo=algo, gate="_same", chunk_size=chunk_size).select("rel_path", "size", "content_hash").checkpoint(eager=True)
+    return materialise(hash_paths(gated, algo=algo, gate="_same", chunk_size=chunk_size).select("rel_path", "size", "content_hash"), "existing")

@@ -23,7 +23,7 @@ from ..operators import stats as S
 from ..operators.classify import candidate_fingerprints, classify, match_targets, near_index
 from ..operators.copyplan import copy_plan, selection
 from ..operators.filters import drop_ignored, filter_extensions, is_image, prepare_side
-from ..session import scratch_folder
+from ..session import materialise, scratch_folder
 from ..sources.fixtures import documents_files, existing_destinations
 from ..sources.tables import read_table, spread
 from .oracle_sql import EXT_FILTER_SPEC, OUT_DIR
@@ -136,7 +136,7 @@ def _near_setup(spark, sf):
     ref, tgt = _sides(spark, sf)
     fp = text_simhash()
     # Both sides feed several joins: fingerprint each once (see operators.classify).
-    idx = near_index(ref, fp).checkpoint(eager=True)
+    idx = materialise(near_index(ref, fp), "near-index")
     tfp = candidate_fingerprints(tgt, X.exact_matches(tgt, ref), fp)
     return idx, tfp.filter(F.col("fp").isNotNull())
 
@@ -253,11 +253,11 @@ def unique_rows(spark, sf):
 
 def copy_plan_q(spark, sf):
     ref, tgt = _sides(spark, sf)
-    m = match_targets(ref, tgt, fingerprint=text_simhash())
+    m = match_targets(ref, tgt, fingerprint=text_simhash(), hash_all=True)
     # The plan reads the selection several times (collision join, occupied names,
     # renames): materialise its narrow rows once in the shared checkpoint folder.
-    selected = selection(m).checkpoint(eager=True)
-    existing = existing_destinations(tgt).checkpoint(eager=True)
+    selected = materialise(selection(m), "selected")
+    existing = materialise(existing_destinations(tgt), "existing")
     return copy_plan(selected, existing)
 
 
@@ -272,7 +272,7 @@ def _run(spark, sf):
     from .dedupe import dedupe
 
     ref, tgt = _sides(spark, sf)
-    existing = existing_destinations(tgt).checkpoint(eager=True)
+    existing = materialise(existing_destinations(tgt), "existing")
     return dedupe(spark, ref, _unreadable(tgt), OUT_DIR, index_dir=_scratch(spark, "run-index"), fingerprint=text_simhash(),
                   hash_algo="sha256", dry_run=False, existing=existing)
 

@@ -138,8 +138,9 @@ def open_version(spark: SparkSession, path: str, number: int | None = None) -> V
         return None
 
 
-def _commit(folder: Folder, number: int, tree: dict, generations: list[dict], schema: str, changed: int, gone: int) -> Version:
-    m = {"version": number, "tree": tree, "generations": generations, "schema": schema, "changed": changed, "gone": gone}
+def _commit(folder: Folder, number: int, tree: dict, generations: list[dict], schema: str, changed: int, gone: int, delta: str | None = None) -> Version:
+    """``delta``: the generation whose files are new in this version (none when it only merges older ones)."""
+    m = {"version": number, "tree": tree, "generations": generations, "schema": schema, "changed": changed, "gone": gone, "delta": delta}
     folder.commit(f"manifest/v{number:010d}.json", json.dumps(m, indent=1))
     return Version(folder, number, tree, tuple(generations), schema, changed, gone)
 
@@ -193,7 +194,7 @@ def refresh(
     if old is None:
         rows = facts(files, None)
         n = _write(rows, f"{base}/files")
-        done = _commit(folder, number, tree, [{"folder": name, "files": n, "gone": 0}], _ddl(rows), n, 0)
+        done = _commit(folder, number, tree, [{"folder": name, "files": n, "gone": 0}], _ddl(rows), n, 0, name)
         return Refreshed(done, False, n, 0)
     now, before = files.select(*KEY), old.rows()
     sound = before if retry is None else before.where(F.coalesce(~F.expr(retry), F.lit(True)))
@@ -207,7 +208,7 @@ def refresh(
         return Refreshed(_commit(folder, number, tree, list(old.generations), old.schema, 0, 0), False)
     changed = _write(facts(files, todo), f"{base}/files")
     generations = [*old.generations, {"folder": name, "files": changed, "gone": gone}]
-    done = _commit(folder, number, tree, generations, old.schema, changed, gone)
+    done = _commit(folder, number, tree, generations, old.schema, changed, gone, name)
     if len(generations) > max_generations:
         done = compact(done)
     return Refreshed(done, False, changed, gone)

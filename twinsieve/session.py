@@ -8,10 +8,13 @@ default is set only when the session has none (tests, bench).
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -95,8 +98,53 @@ def ship_package(spark: SparkSession, folder: str) -> None:
     _SHIPPED.add(key)
 
 
+class _Scopes(threading.local):
+    """The open scopes of a thread, each with the folders made in it."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Scratch folders made inside are removed when the block ends: what it computed must be written by then."""
+    _SCOPES.open.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.open.pop():
+            remove_folder(spark, path)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back: computed once, lineage cut, survives lost executors, and its size is known."""
+    path = f"{scratch_folder(df.sparkSession, label)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a frame that :func:`materialise` gave."""
+    files = df.inputFiles()
+    if not files:
+        return 0
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    return p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame | None:
+    """A materialised ``df`` marked for broadcast where its written size is within the session's broadcast threshold; else None.
+
+    The threshold counts bytes in memory: narrow rows take a few times their written size, so a fifth of it is asked for."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return F.broadcast(df) if 0 <= written_bytes(df) * 5 <= limit else None
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared checkpoint folder, removed when the application ends."""
+    """A new folder below the shared checkpoint folder, removed when the application (or the :func:`scope` it is made in) ends."""
     import uuid
 
     path = f"{checkpoint_dir(spark).rstrip('/')}/twinsieve-{label}-{uuid.uuid4().hex}"
@@ -104,6 +152,8 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(p)
     fs.deleteOnExit(p)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append(path)
     return path
 
 

@@ -7,6 +7,8 @@ recompute ref hashes).  ``foreachBatch`` runs the ordinary batch classifier
 watermark).  Each batch overwrites its own ``batch_id=<n>`` folder, so a
 replay after an executor or driver failure is idempotent, and the checkpoint
 in the shared folder lets a restarted query resume without adding rows.
+Targets may be rows (:func:`start_classify_stream`) or the files of a tree
+(:func:`start_tree_stream`).
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from ..config import DEFAULT_THRESHOLD
 from ..functions.providers import FingerprintProvider, text_simhash
 from ..operators.classify import classify
 from ..operators.filters import prepare_side
-from ..plans.index import build_or_load
+from ..plans.index import ReferenceIndex, build_or_load
+from ..session import scope
+from ..sources.filestream import Follower, discover, read_file_stream
 from ..sources.fixtures import documents_files, files_from_documents
 from ..sources.tables import table_path
 
@@ -40,29 +44,61 @@ def start_classify_stream(
     algo: str = "sha256",
     out_dir: str = "out",
     available_now: bool = True,
+    seconds: float = 10,
 ) -> StreamingQuery:
     """Start the stream; ``to_targets`` turns a micro-batch into filtered target ``files`` rows."""
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        targets = to_targets(batch)
-        res = classify(
-            None,
-            targets,
-            fingerprint=fingerprint,
-            threshold=threshold,
-            match_mode=match_mode,
-            algo=algo,
-            exact_index=exact_index,
-            fp_index=fp_index,
-            out_dir=out_dir,
-        )
-        res.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        with scope(batch.sparkSession):  # what the batch writes on the way goes when it ends
+            res = classify(
+                None,
+                to_targets(batch),
+                fingerprint=fingerprint,
+                threshold=threshold,
+                match_mode=match_mode,
+                algo=algo,
+                exact_index=exact_index,
+                fp_index=fp_index,
+                out_dir=out_dir,
+            )
+            res.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     writer = targets_stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")
     return writer.start()
 
 
+def start_tree_stream(
+    spark: SparkSession,
+    root: str,
+    log: str,
+    index: ReferenceIndex,
+    out_path: str,
+    checkpoint: str,
+    *,
+    extensions=None,
+    every: float | None = None,
+    **options,
+) -> StreamingQuery:
+    """Classify the files that appear below ``root``, each state of a file once.
+
+    One pass over what is there now, or with ``every`` a discovery every so many seconds for as long as the
+    query runs (``query.follower``; stop both).  ``log`` is the stream's offset log (see :mod:`..sources.filestream`);
+    ``options`` are those of :func:`start_classify_stream`."""
+    follower = None
+    if every is None:
+        discover(spark, root, log)
+    else:
+        follower = Follower(spark, root, log, every)
+        follower.start()
+    query = start_classify_stream(
+        read_file_stream(spark, log), lambda batch: prepare_side(batch, extensions), index.exact, index.near, out_path, checkpoint,
+        available_now=every is None, **options,
+    )
+    query.follower = follower
+    return query
+
+
 def read_stream_results(spark: SparkSession, out_path: str) -> DataFrame:
     return spark.read.parquet(out_path).drop("batch_id")
 

@@ -7,7 +7,7 @@ from conftest import SF0001
 
 import __spark_entry__ as E
 
-TABLES = ["documents", "embeddings", "pages"]
+TABLES = ["documents", "embeddings", "pages", "benchmark"]
 
 
 @pytest.fixture(scope="module")

@@ -27,6 +27,7 @@ from ..session import materialise, scratch_folder
 from ..sources.fixtures import documents_files, existing_destinations
 from ..sources.tables import read_table, spread
 from .oracle_sql import EXT_FILTER_SPEC, OUT_DIR
+from .tree_queries import TREE_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 REF_ROOT = "ref"
@@ -305,7 +306,7 @@ def stream_classify(spark, sf):
 
 
 def all_queries() -> dict[str, Query]:
-    return {
+    return TREE_QUERIES | {
         "file_manifest": file_manifest,
         "filter_ignored": filter_ignored,
         "filter_extensions": filter_extensions_q,

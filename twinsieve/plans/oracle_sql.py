@@ -22,6 +22,7 @@ from ..sources.fixtures import FIXTURE_SUFFIXES
 EXT_FILTER_SPEC = ".jpg, PNG,"  # normalised to ('.jpg', '.png')
 EXT_FILTER = (".jpg", ".png")
 OUT_DIR = "out"
+TREE_EXTENSIONS, TREE_LEAST = (".jpg", ".png", ".heic"), 400  # what tree_scan asks for
 
 
 def _q(s: str) -> str:
@@ -306,4 +307,16 @@ FROM final f JOIN tgt t ON f.target_path = t.path WHERE op IN ('write', 'rename'
     q["image_phash"] = """SELECT vec_id, TRUE AS decoded, min(vec_id) OVER (PARTITION BY embedding) AS first_equal FROM embeddings"""
     q["results_csv_roundtrip"] = classify_sql(t, "lsh")
     q["stream_classify"] = classify_sql(t, "lsh")
+    q["tree_scan"] = f"""WITH {FILES_CTE}
+SELECT side, rel_path, name, ext, size, epoch_ms(mtime) AS mtime_ms FROM files WHERE {KEEP} AND ext IN {_in_list(TREE_EXTENSIONS)} AND size >= {TREE_LEAST}"""
+    q["tree_run"] = f"""WITH r AS ({q["classify_bytes_only"]})
+SELECT target_path, action, match_path, match_type, distance_or_hash,
+  CASE WHEN action = 'copied' THEN 'Copied to {OUT_DIR}/' || target_path ELSE reason END AS reason,
+  CASE WHEN action = 'copied' THEN sha256(t.content) END AS copied_sha256
+FROM r JOIN (WITH {SIDES} SELECT path, content FROM tgt) t ON r.target_path = t.path"""
+    q["index_update"] = f"""WITH {SIDES}
+SELECT path, size, sha256(content) AS content_hash,
+  (SELECT count(*) FROM ref WHERE doc_id % 7 = 0 OR doc_id % 11 = 0) AS n_changed,
+  (SELECT count(*) FROM tgt WHERE doc_id % 30 = 1) AS n_gone FROM ref"""
+    q["stream_files"] = q["classify_bytes_only"]
     return q

@@ -187,3 +187,25 @@ def copy_file(src: str, dst: str, through: bool = False) -> None:
         except OSError:
             pass
         raise
+
+
+def write_file(path: str, data: bytes, mtime: float | None = None) -> None:
+    """Write ``data`` under a name of its own, then move it into place; ``mtime`` where the tree is mounted."""
+    import uuid
+
+    tmp = f"{path}.part-{uuid.uuid4().hex}"
+    if is_remote(path):
+        fs, final = file_system(path)
+        part = final + tmp[len(path):]
+        fs.create_dir(final.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(part) as out:
+            out.write(data)
+        fs.move(part, final)
+        return
+    path, tmp = mounted(path), mounted(tmp)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(tmp, "wb") as f:
+        f.write(data)
+    if mtime is not None:
+        os.utime(tmp, (mtime, mtime))
+    os.replace(tmp, path)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash
 from ..functions.paths import ext_of, name_of, parent_of, stem_of, suffix_of
+from .filesystems import is_remote, mounted, write_file
 from .tables import read_table, spread
 
 # fixed values of the fixture layout
@@ -94,3 +95,25 @@ def existing_destinations(files: DataFrame, algo: str = "sha256") -> DataFrame:
         )
 
     return same.unionByName(differ).unionByName(taken(1, i % 20 == 3)).unionByName(taken(3, i % 60 == 3))
+
+
+def write_tree(files: DataFrame, root: str) -> DataFrame:
+    """Write ``files`` (doc_id, rel_path, mtime, content) below ``root`` from the executors, ``doc_id % 50 = 17`` with a
+    symbolic link ``link_<doc_id>.jpg`` beside it (where ``root`` is mounted); returns (path) of every written file."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        for b in batches:
+            paths = [f"{root}/{r}" for r in b.column("rel_path").to_pylist()]
+            for i, p, t, c in zip(b.column("doc_id").to_pylist(), paths, b.column("mtime").to_pylist(), b.column("content").to_pylist()):
+                write_file(p, (c or "").encode(), t.timestamp())
+                if i % 50 == 17 and not is_remote(p):
+                    link = f"{os.path.dirname(mounted(p))}/link_{i}.jpg"
+                    if not os.path.lexists(link):
+                        os.symlink(mounted(p), link)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    return files.select("doc_id", "rel_path", "mtime", "content").mapInArrow(run, "path string")

@@ -103,7 +103,8 @@ def drop_repeated_lines(
     cuts = sorted(set(known.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     batch = sum((F.when(F.col("d") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     narrow = (
-        known.select("d", F.xxhash64(F.coalesce("t", F.lit(""))).alias("th"), F.posexplode(_lines(F.col("t"))).alias("pos", "line"))
+        known.select("d", F.xxhash64(F.coalesce("t", F.lit(""))).alias("th"), "t")  # before the lines part: once a text, not once a line
+        .select("d", "th", F.posexplode(_lines(F.col("t"))).alias("pos", "line"))
         .withColumn("key", line_key(F.col("line")))
         .where(F.length("key") >= min_chars)
         .select("d", "th", "pos", *_hashes(F.col("key")), batch.alias("b"))
@@ -137,7 +138,8 @@ def drop_repeated_lines(
         .withColumn("lines", _lines(text))
     )
     kept = F.when(F.col("gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(
-        F.array_join(F.filter("lines", lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+        # By hash, so that a text of very many lines takes time in proportion.
+        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i)), "\n"))
     return unpacked(out, docs.columns, {
         text_col: kept,
         "n_lines": F.size("lines").cast("long"),

@@ -25,6 +25,7 @@ an added span that overlaps a base span is dropped; null ids and other columns p
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import islice
 
@@ -71,8 +72,21 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def overlaps(a: int, b: int, spans: list[tuple[int, int, str]]) -> bool:
-    return any(s < b and a < e for s, e, _ in spans)
+class Cover:
+    """What the spans (by start) cover, for overlap tests by binary search."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends = [], []
+        for s, e, _ in spans:
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def overlaps(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.ends) and self.starts[i] < b
 
 
 # Character classes the network sees (index 0: padding, last: any other character).
@@ -220,10 +234,10 @@ def findings(docs: DataFrame) -> DataFrame:
         def found(texts):
             for i, t in enumerate(texts):
                 text = t.as_py() or ""
-                spans = base_spans(text)
+                cover = Cover(base_spans(text))
                 for a, b in candidates(text):
                     for s, e in pieces(a, b):
-                        yield i, s, int(overlaps(s, e, spans)), window(text, s, e).tobytes()
+                        yield i, s, int(cover.overlaps(s, e)), window(text, s, e).tobytes()
 
         for batch in batches:
             rows = found(batch.column("text"))
@@ -246,8 +260,8 @@ def plain_words(docs: DataFrame) -> DataFrame:
             doc, at, xs = [], [], []
             for i, t in enumerate(batch.column("text")):
                 text = t.as_py() or ""
-                spans = base_spans(text)
-                m = next((m for m in re.finditer(r"\S{8,}", text) if not overlaps(m.start(), m.end(), spans)), None)
+                cover = Cover(base_spans(text))
+                m = next((m for m in re.finditer(r"\S{8,}", text) if not cover.overlaps(m.start(), m.end())), None)
                 if m:
                     doc.append(i)
                     at.append(m.start())
@@ -298,7 +312,8 @@ def all_spans(texts: list[str], model: CharCnn) -> list[tuple[list, list]]:
 
     A candidate is added where any of its pieces reaches the threshold."""
     base = [base_spans(t) for t in texts]
-    asked = ((i, a, b, s, e) for i, t in enumerate(texts) for a, b in candidates(t) if not overlaps(a, b, base[i]) for s, e in pieces(a, b))
+    cover = [Cover(s) for s in base]
+    asked = ((i, a, b, s, e) for i, t in enumerate(texts) for a, b in candidates(t) if not cover[i].overlaps(a, b) for s, e in pieces(a, b))
     spans = [list(s) for s in base]
     last = None
     while part := list(islice(asked, 4096)):

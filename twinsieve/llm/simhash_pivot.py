@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.common import Scratch
+from twinsieve.llm.common import Scratch, field, packed
 from twinsieve.llm.components import components
 
 BITS = 64
@@ -146,10 +146,8 @@ def links(distinct: DataFrame, scratch: Scratch, max_bits: int = 3, pivots: int
     return meet(cold, ["c", "k"]).unionByName(meet(fine, ["c", "k", "j", "kj"]).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, pivots: int = 16,
-                    hot_group: int = 128, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id): one row per row of ``docs``; the id is the smallest ``doc_id`` reachable by links."""
-    scratch = Scratch(docs.sparkSession, "simhash")
+def _grouped(docs: DataFrame, scratch: Scratch, shingle: int, max_bits: int, pivots: int, hot_group: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, component, component_id) of every fingerprint."""
     fps = scratch.save(fingerprints(docs.select("doc_id", "text"), shingle, seed), "fingerprints")
     distinct = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     found = components(links(distinct, scratch, max_bits, pivots, hot_group), scratch)
@@ -157,22 +155,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, pivots
         "fp", "low", F.coalesce("component", "fp").alias("component"))
     named = scratch.save(named, "named")
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    lookup = scratch.save(named.join(least, "component").select("fp", "component_id"), "lookup")
+    return fps, scratch.save(named.join(least, "component").select("fp", "component", "component_id"), "lookup")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, pivots: int = 16,
+                    hot_group: int = 128, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, component_id): one row per row of ``docs``; the id is the smallest ``doc_id`` reachable by links."""
+    fps, lookup = _grouped(docs, Scratch(docs.sparkSession, "simhash"), shingle, max_bits, pivots, hot_group, seed)
     # A fingerprint shared by very many rows: both sides are shuffled for this join alone, AQE splits it.
     return fps.join(lookup, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each group: the one whose ``doc_id`` is the group's id.
+def keep_representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 3, pivots: int = 16,
+                         hot_group: int = 128, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each group of linked texts: one whose ``doc_id`` is the group's smallest.
 
     The ids to remove - normally far fewer than those that stay - are anti-joined, so the texts are
-    shuffled only when that list is too large to broadcast.  Rows that repeat the id that stays are
-    reduced to one; documents without ``doc_id`` cannot be named and all stay."""
-    marked = near_duplicates(docs, **params).where("doc_id is not null")
-    ids = marked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
-    ids = Scratch(docs.sparkSession, "keep").save(ids.where("not stays or n > 1"), "ids")
-    out = docs.join(ids.where("not stays").select("doc_id"), "doc_id", "left_anti")
-    if not ids.where("stays and n > 1").limit(1).count():
-        return out
-    named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(out.where("doc_id is null"))
+    shuffled only when that list is too large to broadcast.  An id names a group only where it is
+    unique: rows whose ``doc_id`` is null or repeated are decided by their text.  Of the rows that carry a
+    group's smallest id, one stays; rows of other texts under the same id are groups of their own; a row without id goes
+    where its group has a named row, and one of a nameless group stays."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    fps, lookup = _grouped(docs, scratch, shingle, max_bits, pivots, hot_group, seed)
+    marked = fps.join(lookup, "fp")
+    ids = marked.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    ids = scratch.save(ids.where("not stays or n > 1"), "ids")
+    repeated = ids.where("n > 1").select("doc_id")
+    nameless = fps.where("doc_id is null").limit(1).count()
+    if not nameless and not repeated.limit(1).count():
+        return docs.join(ids.select("doc_id"), "doc_id", "left_anti")
+    alone = docs.where("doc_id is not null").join(ids.select("doc_id"), "doc_id", "left_anti")
+    unsure = docs.where("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi"))
+    text = F.coalesce(field("text"), F.lit(""))
+    rows = packed(unsure).withColumn("th", F.xxhash64(text))
+    # The texts in question once more, told apart by their hash: (th, fp, component) of each.
+    again = fingerprints(rows.select(F.col("th").alias("doc_id"), text.alias("text")), shingle, seed).distinct().withColumnRenamed("doc_id", "th")
+    rows = rows.join(again.join(lookup, "fp"), "th").where(field("doc_id").eqNullSafe(F.col("component_id")))
+    first = rows.groupBy("component").agg(F.min("th").alias("th"))
+    one = rows.join(first, ["component", "th"]).dropDuplicates(["component"])
+    return alone.unionByName(one.select(*[field(c).alias(c) for c in docs.columns]))

@@ -103,13 +103,10 @@ def token_hash(token: str | Column) -> Column:
     return hex_to_fp(F.substring(F.md5(_c(token)), 1, 16))
 
 
-def _majority_to_fp(sum_cols: Sequence[Column], n: Column) -> Column:
-    """Bit i set when more than half of the n tokens have it set."""
-    acc = None
-    for i, s in enumerate(sum_cols):
-        term = F.shiftleft((s * 2 > n).cast("bigint"), i)
-        acc = term if acc is None else acc.bitwiseOR(term)
-    return acc
+def _or_bits(terms: Sequence[str]) -> Column:
+    """Bit i from the i-th boolean SQL expression.  As one parsed text: 64 terms built column by column
+    cost the driver seconds of calls a query."""
+    return F.expr(" | ".join(f"shiftleft(cast({t} AS bigint), {i})" for i, t in enumerate(terms)))
 
 
 def simhash_table(df: DataFrame, key: str, text: str, out: str = "fp") -> DataFrame:
@@ -124,12 +121,9 @@ def simhash_table(df: DataFrame, key: str, text: str, out: str = "fp") -> DataFr
     exploded = df.select(F.col(key), F.explode_outer(raw_tokens(text)).alias("_tok")).select(
         key, token_hash(F.when(F.col("_tok") != "", F.col("_tok"))).alias("_h")
     )
-    sums = [
-        F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1).cast("bigint")).cast("int")).alias(f"_s{i}")
-        for i in range(FINGERPRINT_BITS)
-    ]
+    sums = [F.expr(f"sum(cast(shiftrightunsigned(_h, {i}) & 1L AS int)) AS _s{i}") for i in range(FINGERPRINT_BITS)]
     g = exploded.groupBy(key).agg(F.count("_h").alias("_n"), *sums)
-    fp = _majority_to_fp([F.col(f"_s{i}") for i in range(FINGERPRINT_BITS)], F.col("_n"))
+    fp = _or_bits([f"(_s{i} * 2 > _n)" for i in range(FINGERPRINT_BITS)])  # more than half of the n tokens have it set
     return g.select(key, F.when(F.col("_n") > 0, fp).cast("bigint").alias(out))
 
 
@@ -145,18 +139,15 @@ def vector_median(vec: str | Column) -> Column:
     return (lo + hi) / 2.0
 
 
-def median_bits(vec: str | Column, med: str | Column, dims: int = FINGERPRINT_BITS) -> Column:
+def median_bits(vec: str, med: str, dims: int = FINGERPRINT_BITS) -> Column:
     """bit i = (vec[i] > med), element i -> bit i (lowest first); strict comparison.
 
     A vector of more than ``dims`` elements is an error (a prefix would silently drop elements);
     a shorter one leaves the upper bits 0; null and empty vectors have no fingerprint."""
-    v, m = _c(vec), _c(med)
-    acc = None
-    for i in range(dims):
-        term = F.shiftleft(F.coalesce(F.get(v, i).cast("double") > m, F.lit(False)).cast("bigint"), i)
-        acc = term if acc is None else acc.bitwiseOR(term)
+    v = F.col(vec)
+    bits = _or_bits([f"coalesce(CAST(get(`{vec}`, {i}) AS double) > `{med}`, false)" for i in range(dims)])
     wrong = F.raise_error(F.concat(F.lit(f"median bits take at most {dims} elements, got "), F.size(v).cast("string")))
-    return F.when(F.size(v) > dims, wrong.cast("bigint")).when(F.size(v) > 0, acc)
+    return F.when(F.size(v) > dims, wrong.cast("bigint")).when(F.size(v) > 0, bits)
 
 
 def with_median_bits(df: DataFrame, vec: str, out: str = "fp") -> DataFrame:

@@ -2,12 +2,15 @@
 
 Recipe (the public ``imagehash.phash`` defaults): grey = ITU-R 601 luma in
 integer arithmetic; resize to 32x32 with a Lanczos (a = 3) kernel, horizontal
-then vertical pass, rounded to 8 bits in between; 2-D DCT-II as ``C @ X @ C.T``;
-keep the top-left 8x8; bit = coefficient > median of the 64; row-major, first
-bit most significant.  Exact bit parity with Pillow's fixed-point resampler is
-not guaranteed (no Pillow here); tests check the properties that matter
-(identity, small distance after resizing, large distance between unrelated
-images).
+then vertical pass; 2-D DCT-II as ``C @ X @ C.T``; keep the top-left 8x8; bit =
+coefficient > median of the 64; row-major, first bit most significant.
+
+The resize is the fixed-point one of the imaging library that this recipe is defined on: kernel
+weights are normalised in double and rounded (half away from zero) to 22 fractional
+bits, each pass sums integers, adds one half, shifts and clips to 8 bits, and the second pass
+starts from the first one's bytes.  The sums stay far below 2^53, so they are done as double matrix
+products of whole numbers: exact in any order.  Stored fingerprints therefore compare with
+those of that library bit by bit, up to its own decoder's pixels.
 
 Input is Spark's ``image`` struct (BGR(A) bytes, row-major).  One Python call
 per Arrow batch; the per-image work is NumPy.
@@ -51,6 +54,20 @@ def resample_matrix(in_size: int, out_size: int) -> np.ndarray:
     return w
 
 
+FRACTION_BITS = 22  # of the fixed-point kernel weights
+
+
+def fixed_matrix(in_size: int, out_size: int) -> np.ndarray:
+    """:func:`resample_matrix` in units of 2^-22, whole numbers held as doubles."""
+    w = resample_matrix(in_size, out_size) * (1 << FRACTION_BITS)
+    return np.trunc(w + np.copysign(0.5, w))
+
+
+def to_bytes(sums: np.ndarray) -> np.ndarray:
+    """Fixed-point sums as clipped 8-bit values."""
+    return np.clip(np.floor((sums + (1 << (FRACTION_BITS - 1))) / (1 << FRACTION_BITS)), 0, 255)
+
+
 STRIP = 256  # image rows widened at a time
 
 
@@ -65,11 +82,11 @@ def luma(px: np.ndarray) -> np.ndarray:
 def phash_pixels(px: np.ndarray) -> int:
     """Signed 64-bit pHash of 8-bit pixels; widened to 64 bits in strips of rows only."""
     h, w = px.shape[:2]
-    across = resample_matrix(w, IMG_SIZE).T
+    across = fixed_matrix(w, IMG_SIZE).T
     tmp = np.empty((h, IMG_SIZE))
     for y in range(0, h, STRIP):
-        tmp[y : y + STRIP] = np.clip(np.round(luma(px[y : y + STRIP]) @ across), 0, 255)
-    small = np.clip(np.round(resample_matrix(h, IMG_SIZE) @ tmp), 0, 255)
+        tmp[y : y + STRIP] = to_bytes(luma(px[y : y + STRIP]).astype(np.float64) @ across)
+    small = to_bytes(fixed_matrix(h, IMG_SIZE) @ tmp)
     dct = DCT_MATRIX @ small @ DCT_MATRIX.T
     low = dct[:HASH_SIZE, :HASH_SIZE]
     bits = (low > np.median(low)).flatten()

@@ -348,8 +348,8 @@ def all_queries() -> dict[str, Query]:
 def image_phash(spark, sf):
     """S3 + P7 on images Spark derives from the ``embeddings`` table: every vector is
     rendered as a greyscale PNG by the executors into the shared folder, decoded by
-    the ``image`` source and hashed.  Returned is what SQL can derive too: every image
-    decodes, and equal vectors give equal fingerprints (``first_equal`` groups by both)."""
+    the ``image`` source and hashed.  Every image decodes, equal vectors give equal fingerprints
+    (``first_equal`` groups by both), and the bits (as chunks) are those that SQL works out from the vectors."""
     from ..sources.images import image_fingerprints, write_vector_images
 
     folder = _scratch(spark, "images")
@@ -360,4 +360,4 @@ def image_phash(spark, sf):
     manifest = spark.read.parquet(folder + "-manifest")
     hashed = manifest.join(fps, "path", "left").join(vectors, "vec_id").select("vec_id", "embedding", "fp")
     first = hashed.groupBy("embedding", "fp").agg(F.min("vec_id").alias("first_equal"))
-    return hashed.join(first, ["embedding", "fp"]).select("vec_id", F.col("fp").isNotNull().alias("decoded"), "first_equal")
+    return hashed.join(first, ["embedding", "fp"]).select("vec_id", F.col("fp").isNotNull().alias("decoded"), "first_equal", *chunk_columns("fp"))

@@ -8,6 +8,7 @@ which is what the Spark band joins must reproduce.
 
 from __future__ import annotations
 
+import math
 import re
 
 from ..config import (
@@ -235,6 +236,43 @@ final AS (
   FROM res LEFT JOIN bad ON res.target_path = bad.path LEFT JOIN plan p ON res.target_path = p.src)"""
 
 
+def image_phash_sql(side: int = 8, scale: int = 8, out: int = 32) -> str:
+    """pHash bits of the vectors' images, from kernel and cosine tables written out as numbers.
+
+    An image is ``side x side`` blocks of equal pixels, so a pass needs one weight a block: the sum of the kernel's
+    rounded 22-bit weights over its pixels.  Independent of the Spark side: plain integer and double arithmetic."""
+    size, support = side * scale, 3.0 * side * scale / out
+
+    def lanczos(x: float) -> float:
+        if x == 0:
+            return 1.0
+        return math.sin(math.pi * x) / (math.pi * x) * math.sin(math.pi * x / 3) / (math.pi * x / 3) if abs(x) < 3 else 0.0
+
+    kernel, cosine = [], []
+    for i in range(out):
+        center = (i + 0.5) * size / out
+        span = range(max(0, int(center - support + 0.5)), min(size, int(center + support + 0.5)))
+        k = {x: lanczos((x - center + 0.5) * out / size) for x in span}
+        whole = {x: int(v / sum(k.values()) * (1 << 22) + (0.5 if v >= 0 else -0.5)) for x, v in k.items()}
+        kernel += [f"({i}, {b}, {sum(whole.get(x, 0) for x in range(b * scale, (b + 1) * scale))})" for b in range(side)]
+        cosine += [f"({u}, {i}, {math.cos(math.pi * u * (2 * i + 1) / (2 * out))!r}::DOUBLE)" for u in range(8)]
+    byte = "greatest(0, least(255, (2097152 + sum({} * w)::BIGINT) >> 22))"
+    bits = "sum(CASE WHEN d > med AND 8 * u + v BETWEEN {} AND {} THEN 1 << (63 - 8 * u - v - {}) ELSE 0 END)::INTEGER AS c{}"
+    chunks = ", ".join(bits.format(48 - 16 * c, 63 - 16 * c, 16 * c, c) for c in range(4))
+    return f"""WITH kernel(o, b, w) AS (VALUES {", ".join(kernel)}),
+cosine(u, i, c) AS (VALUES {", ".join(cosine)}),
+pixels AS (
+  SELECT vec_id, p // {side} AS y, p % {side} AS x,
+    CASE WHEN hi > lo THEN round((embedding[p + 1]::DOUBLE - lo) / (hi - lo) * 255)::BIGINT ELSE 0 END AS g
+  FROM (SELECT vec_id, embedding, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi, unnest(range({side * side})) AS p FROM embeddings) e),
+across AS (SELECT vec_id, y, o AS x, {byte.format("g")} AS g FROM pixels JOIN kernel ON x = b GROUP BY vec_id, y, o),
+down AS (SELECT vec_id, o AS y, x, {byte.format("g")} AS g FROM across JOIN kernel ON y = b GROUP BY vec_id, o, x),
+rows_ AS (SELECT vec_id, y, u AS v, sum(g * c) AS s FROM down JOIN cosine ON x = i GROUP BY vec_id, y, u),
+dct AS (SELECT vec_id, u, v, sum(s * c) AS d FROM rows_ JOIN cosine ON y = i GROUP BY vec_id, u, v),
+hashed AS (SELECT vec_id, {chunks} FROM (SELECT *, median(d) OVER (PARTITION BY vec_id) AS med FROM dct) m GROUP BY vec_id)
+SELECT e.vec_id, TRUE AS decoded, min(e.vec_id) OVER (PARTITION BY embedding) AS first_equal, c0, c1, c2, c3 FROM embeddings e JOIN hashed USING (vec_id)"""
+
+
 def all_sql() -> dict[str, str]:
     t = DEFAULT_THRESHOLD
     near_base = f"""{EXACT_CTES},
@@ -304,7 +342,7 @@ SELECT final_dst AS rel_path, target_path AS src, t.size, sha256(t.content) AS s
 FROM final f JOIN tgt t ON f.target_path = t.path WHERE op IN ('write', 'rename')"""
     q["content_hash_blake2b"] = _with("", """SELECT side, path, size, 128 AS digest_chars,
   min(path) OVER (PARTITION BY content) AS first_path FROM (SELECT * FROM ref UNION ALL SELECT * FROM tgt) x""")
-    q["image_phash"] = """SELECT vec_id, TRUE AS decoded, min(vec_id) OVER (PARTITION BY embedding) AS first_equal FROM embeddings"""
+    q["image_phash"] = image_phash_sql()
     q["results_csv_roundtrip"] = classify_sql(t, "lsh")
     q["stream_classify"] = classify_sql(t, "lsh")
     q["tree_scan"] = f"""WITH {FILES_CTE}

@@ -11,8 +11,8 @@ drop images above the pixel limit before anything is inflated, and link the othe
 under plain names into a folder of the shared checkpoint folder (copy them there where
 tree or folder is not mounted), which the image source then reads: hidden and ``_``-prefixed files (which Spark's listing skips)
 are decoded like any other, files that need no fingerprint are not decoded at all.
-The pixel limit is checked again after decoding, for formats whose header is not
-understood.
+Sizes are read from PNG, GIF, BMP, JPEG, TIFF (also 64-bit, all pages), WebP and HEIF headers; the
+pixel limit is checked again after decoding, for files whose header is not understood.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from ..session import qualified, scratch_folder
 from .filesystems import copy_file, is_remote, mounted, open_seekable
 
 _GLOB_SPECIAL = set("{}[]*?,\\")
+# Header reading stops here: a file of more pages or entries has no known size before decoding.
+MAX_PAGES, MAX_ENTRIES = 4096, 65536
 
 
 def extension_glob(extensions) -> str:
@@ -67,28 +69,128 @@ def read_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = IM
 
 
 def header_size(path: str) -> tuple[int, int] | None:
-    """(width, height) from the header of a PNG, GIF, BMP or JPEG; None when it is none of them."""
+    """(width, height) from the header of a PNG, GIF, BMP, JPEG, TIFF, WebP or HEIF; None when it is none of them, or broken."""
     with open_seekable(path) as f:
-        head = f.read(32)
-        if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR":
-            return struct.unpack(">II", head[16:24])
-        if head[:4] == b"GIF8":
-            return struct.unpack("<HH", head[6:10])
-        if head[:2] == b"BM" and len(head) >= 26:
-            w, h = struct.unpack("<ii", head[18:26])
-            return abs(w), abs(h)
-        if head[:2] != b"\xff\xd8":
+        try:
+            return _size_in(f)
+        except (struct.error, IndexError, ValueError, OverflowError):
             return None
-        at = 2
-        while True:  # JPEG segments up to the frame header
-            f.seek(at)
-            mark = f.read(9)
-            if len(mark) < 9 or mark[0] != 0xFF:
-                return None
-            if 0xC0 <= mark[1] <= 0xCF and mark[1] not in (0xC4, 0xC8, 0xCC):
-                h, w = struct.unpack(">HH", mark[5:9])
-                return w, h
-            at += 2 if mark[1] in (0x01, 0xFF) or 0xD0 <= mark[1] <= 0xD8 else 2 + struct.unpack(">H", mark[2:4])[0]
+
+
+def _size_in(f) -> tuple[int, int] | None:
+    head = f.read(32)
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR":
+        return struct.unpack(">II", head[16:24])
+    if head[:4] == b"GIF8":
+        return struct.unpack("<HH", head[6:10])
+    if head[:2] == b"BM" and len(head) >= 26:
+        w, h = struct.unpack("<ii", head[18:26])
+        return abs(w), abs(h)
+    if head[:2] in (b"II", b"MM"):
+        return _tiff_size(f, head)
+    if head[:4] == b"RIFF" and head[8:12] == b"WEBP":
+        return _webp_size(head)
+    if head[4:8] == b"ftyp":
+        return _heif_size(f)
+    if head[:2] != b"\xff\xd8":
+        return None
+    at = 2
+    while True:  # JPEG segments up to the frame header
+        f.seek(at)
+        mark = f.read(9)
+        if len(mark) < 9 or mark[0] != 0xFF:
+            return None
+        if 0xC0 <= mark[1] <= 0xCF and mark[1] not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack(">HH", mark[5:9])
+            return w, h
+        at += 2 if mark[1] in (0x01, 0xFF) or 0xD0 <= mark[1] <= 0xD8 else 2 + struct.unpack(">H", mark[2:4])[0]
+
+
+def _tiff_size(f, head: bytes) -> tuple[int, int] | None:
+    """The largest page: the directories are followed one by one, entries only."""
+    order = "<" if head[:2] == b"II" else ">"
+    kind = struct.unpack(order + "H", head[2:4])[0]
+    if kind not in (42, 43):
+        return None
+    # (offset and count format, entry length, value position) of plain and of 64-bit files
+    at_fmt, n_fmt, length, value = ("I", "H", 12, 8) if kind == 42 else ("Q", "Q", 20, 12)
+    at = struct.unpack(order + at_fmt, head[4:8] if kind == 42 else head[8:16])[0]
+    best, seen = None, set()
+    while at and at not in seen and len(seen) < MAX_PAGES:
+        seen.add(at)
+        f.seek(at)
+        n = struct.unpack(order + n_fmt, _exactly(f, struct.calcsize(n_fmt)))[0]
+        if n > MAX_ENTRIES:
+            return best
+        page = {}
+        for _ in range(n):
+            entry = _exactly(f, length)
+            tag, type_ = struct.unpack(order + "HH", entry[:4])
+            if tag in (256, 257) and type_ in (3, 4, 16):  # image width and length, as 16, 32 or 64 bits
+                fmt = {3: "H", 4: "I", 16: "Q"}[type_]
+                page[tag] = struct.unpack(order + fmt, entry[value : value + struct.calcsize(fmt)])[0]
+        if len(page) == 2 and (best is None or page[256] * page[257] > best[0] * best[1]):
+            best = page[256], page[257]
+        at = struct.unpack(order + at_fmt, _exactly(f, struct.calcsize(at_fmt)))[0]
+    return best
+
+
+def _webp_size(head: bytes) -> tuple[int, int] | None:
+    kind = head[12:16]
+    if kind == b"VP8X":
+        return 1 + int.from_bytes(head[24:27], "little"), 1 + int.from_bytes(head[27:30], "little")
+    if kind == b"VP8L" and head[20] == 0x2F:
+        bits = int.from_bytes(head[21:25], "little")
+        return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+    if kind == b"VP8 " and head[23:26] == b"\x9d\x01\x2a":
+        w, h = struct.unpack("<HH", head[26:30])
+        return w & 0x3FFF, h & 0x3FFF
+    return None
+
+
+def _boxes(f, at: int, end: int | None):
+    """(kind, content start, end) of the boxes between two positions; only their headers are read."""
+    while end is None or at + 8 <= end:
+        f.seek(at)
+        head = f.read(16)
+        if len(head) < 8:
+            return
+        size, kind, start = struct.unpack(">I", head[:4])[0], head[4:8], at + 8
+        if size == 1 and len(head) == 16:
+            size, start = struct.unpack(">Q", head[8:16])[0], at + 16
+        stop = (1 << 62 if end is None else end) if size == 0 else at + size
+        if stop < start or (end is not None and stop > end):
+            return
+        yield kind, start, stop
+        at = stop
+
+
+def _heif_size(f) -> tuple[int, int] | None:
+    """The largest extent among the item properties (tiles are smaller than the grid they make up)."""
+    best = None
+
+    def look(at: int, end: int | None, path: tuple[bytes, ...]) -> None:
+        nonlocal best
+        for kind, start, stop in _boxes(f, at, end):
+            if path and kind == path[0]:
+                look(start + (4 if kind == b"meta" else 0), stop, path[1:])
+                if kind == b"meta":
+                    return
+            elif not path and kind == b"ispe":
+                f.seek(start + 4)
+                w, h = struct.unpack(">II", _exactly(f, 8))
+                if best is None or w * h > best[0] * best[1]:
+                    best = w, h
+
+    look(0, None, (b"meta", b"iprp", b"ipco"))
+    return best
+
+
+def _exactly(f, n: int) -> bytes:
+    data = f.read(n)
+    if len(data) != n:
+        raise struct.error("header ends early")
+    return data
 
 
 def _link_images(folder: str, limit: int):

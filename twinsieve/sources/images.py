@@ -73,7 +73,7 @@ def header_size(path: str) -> tuple[int, int] | None:
     with open_seekable(path) as f:
         try:
             return _size_in(f)
-        except (struct.error, IndexError, ValueError, OverflowError):
+        except (OSError, struct.error, IndexError, ValueError, OverflowError):
             return None
 
 

@@ -297,3 +297,16 @@ def test_contract_values():
     assert C.IGNORED_DIR_NAMES == (".Trash", ".Spotlight-V100", ".fseventsd")
     assert C.IMAGE_EXTENSIONS == (".jpg", ".jpeg", ".png", ".heic", ".webp", ".tif", ".tiff")
     assert C.DEFAULT_THRESHOLD == 8 and C.DEFAULT_CHUNK_SIZE == 262144
+
+
+def test_a_run_leaves_only_its_results(spark, trees, tmpdir_path):
+    from twinsieve.session import checkpoint_dir
+
+    ref, tgt, base = trees
+    root = checkpoint_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    run = dedupe(spark, ref, tgt, f"{base}/kept", results_dir=f"{base}/results", dry_run=False)
+    left = [n for n in set(os.listdir(root)) - before if not n.endswith(".zip")]
+    assert left == [], left
+    assert run.results.count() == 7 and run.stats.first().total_scanned == 7 and run.plan.count() == 4
+    assert {"plan", "table", "results", "copied"} <= set(os.listdir(f"{base}/results"))

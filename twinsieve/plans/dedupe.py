@@ -34,7 +34,7 @@ from ..operators.classify import match_targets, to_results
 from ..operators.copyplan import copy_plan, selection
 from ..operators.filters import prepare_side
 from ..operators.stats import run_stats
-from ..session import materialise, scratch_folder
+from ..session import materialise, scope, scratch_folder
 from ..sinks.results import RESULT_SCHEMA, write_accepted, write_results_csv, write_results_parquet
 from ..sources.content import copy_files, hash_paths
 from ..sources.filesystems import is_remote, mounted, tree_of
@@ -96,9 +96,25 @@ def dedupe(
     chunk_size: int = DEFAULT_CHUNK_SIZE,
     existing: DataFrame | None = None,
 ) -> DedupeRun:
-    """``existing`` (rel_path, size, content_hash): what the destination of an in-table run already holds."""
+    """``existing`` (rel_path, size, content_hash): what the destination of an in-table run already holds.
+
+    What stays is below ``results_dir`` (a scratch folder unless given): table, CSV, plan, copies' outcome, accepted
+    content.  Everything else that the run writes on the way is removed when it ends."""
     if isinstance(ref, str) and isinstance(target, str):
         validate_paths(ref, target, out)
+    results_dir = results_dir or scratch_folder(spark, "results")
+    with scope(spark):
+        return _run(spark, ref, target, out, index_dir, results_dir, threshold, enable_phash, fingerprint, extensions, max_image_pixels,
+                    hash_algo, match_mode, bands, dry_run, rebuild_index, chunk_size, existing)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _run(spark, ref, target, out, index_dir, results_dir, threshold, enable_phash, fingerprint, extensions, max_image_pixels,
+         hash_algo, match_mode, bands, dry_run, rebuild_index, chunk_size, existing) -> DedupeRun:
     ref_root = ref if isinstance(ref, str) else "ref"
     ref_files = prepare_side(scan_tree(spark, ref) if isinstance(ref, str) else ref, extensions)
     tgt_files = prepare_side(scan_tree(spark, target) if isinstance(target, str) else target, extensions)
@@ -148,7 +164,6 @@ def dedupe(
         chunk_size=chunk_size,
         hash_all=not dry_run,
     )
-    results_dir = results_dir or scratch_folder(spark, "results")
 
     plan = accepted_dir = None
     if not dry_run:
@@ -156,13 +171,13 @@ def dedupe(
         selected = materialise(selection(matched), "selected")
         if in_table:
             there = existing if existing is not None else spark.createDataFrame([], EXISTING_SCHEMA)
-            plan = materialise(copy_plan(selected, there, algo=hash_algo), "plan")
+            plan = _written(copy_plan(selected, there, algo=hash_algo), f"{results_dir}/plan")
             accepted_dir = f"{results_dir}/accepted"
             write_accepted(tgt_files, plan, accepted_dir)
         else:
             there = _existing_tree(spark, out_dir, selected, hash_algo, chunk_size)
             read = lambda df, gate: hash_paths(df, algo=hash_algo, gate=gate, chunk_size=chunk_size)
-            plan = materialise(copy_plan(selected, there, algo=hash_algo, hash_sources=read), "plan")
+            plan = _written(copy_plan(selected, there, algo=hash_algo, hash_sources=read), f"{results_dir}/plan")
             copy_files(plan, out_dir).write.mode("overwrite").parquet(f"{results_dir}/copied")
             outcome = spark.read.parquet(f"{results_dir}/copied").select("src", "error")
             plan = plan.join(outcome, "src", "left")

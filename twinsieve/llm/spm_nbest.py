@@ -207,13 +207,18 @@ class PieceLattice:
         return [SPACE + w for w in s.split(SPACE)[1:]]
 
     def segmentations(self, text: str, n: int) -> tuple[list[bytes], list[tuple[float, dict[int, tuple[bytes, int]]]], list[str]]:
-        """(ids of every chunk's best path, the ``n`` best as (score, {chunk: other ids}), chunks - or words, each with a mark before it)."""
+        """(ids of every chunk's best path, the ``n`` best as (score, {chunk: other ids}), chunks)."""
+        best, ranked, mark, chunks = self.ranked(text, n)
+        return best, ranked, [mark + c for c in chunks]
+
+    def ranked(self, text: str, n: int) -> tuple[list[bytes], list[tuple[float, dict[int, tuple[bytes, int]]]], str, list[str]]:
+        """:meth:`segmentations`, the chunks as a mark and what follows it in each."""
         if self.verbatim and text and not ("  " in text or SPACE in text or text[0] == " " or text[-1] == " "):
             chunks, mark, known = text.split(" "), SPACE, self.word
         else:
             chunks, mark, known = self.chunks(text), "", self.memo
         if not chunks:
-            return [], [(0, {})], chunks
+            return [], [(0, {})], mark, chunks
         best, score, cost = zip(*map(known.__getitem__, chunks))
         if n not in self.searched:
             self.searched[n] = Memo(lambda s: self.n_best(s, n), self.memo_size // 10)
@@ -224,7 +229,7 @@ class PieceLattice:
             options = self.searched[n][mark + chunks[c]]
             own = [(s - options[0][0], np.array(ids, dtype=self.dtype).tobytes()) for s, ids in options]
             ranked = sorted(((a + d, {**m, c: ids}) for a, m in ranked for d, ids in own), key=lambda x: -x[0])[:n]
-        return list(best), [(total + d, m) for d, m in ranked], chunks
+        return list(best), [(total + d, m) for d, m in ranked], mark, chunks
 
     def spelled(self, ids: bytes) -> bytes:
         return b"".join(map(self.spell.__getitem__, np.frombuffer(ids, dtype=self.dtype).tolist()))
@@ -258,7 +263,7 @@ def encode(docs: DataFrame, n: int = 4, model: str | None = None, digest: bool =
                 batch = whole.slice(at, 512)
                 row, rank, score, count, last, shas = [], [], [], [], [], []
                 for i, t in enumerate(batch.column("text")):
-                    best, ranked, _ = lat.segmentations(t.as_py() or "", n)
+                    best, ranked, _, _ = lat.ranked(t.as_py() or "", n)
                     for r, (s, other) in enumerate(ranked):
                         parts = best
                         if other:

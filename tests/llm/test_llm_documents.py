@@ -226,6 +226,57 @@ def test_schedule_carries_and_drains():
         assert all(x == 1024 for x in full) and sum(cover.values()) == sum(supply)
 
 
+def served_by_window(schedule, pool, sizes):
+    """Tokens of every pooled source in every full window."""
+    out, at = np.zeros((schedule.full, len(sizes)), dtype=np.int64), 0
+    for i, n in enumerate(sizes):
+        start, seq, _ = schedule.cut_pool(pool, at, n)
+        length = np.diff(np.append(start, n))
+        full = seq < schedule.full
+        np.add.at(out[:, i], seq[full], length[full])
+        at += n
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[4000] * 1000, [4 * (1 + i * i % 997) for i in range(900)], [7, 1, 40001, 3, 90000, *range(1, 600)]])
+def test_pool_follows_a_replayed_round_robin(sizes):
+    rest = sum(sizes)
+    schedule = mixture_packing.Schedule.plan([rest, 3 * rest], [float(rest), 3.0 * rest], 1024)
+    pool = mixture_packing.Interleave(rest, 4)
+    places = pool.places(0, rest)
+    assert np.array_equal(np.sort(places), np.arange(rest))  # every token once
+    seq, off = schedule.locate(places)
+    assert len(np.unique(seq * 1024 + off)) == rest
+    served = served_by_window(schedule, pool, sizes)
+    assert set(served.sum(1).tolist()) <= {255, 256, 257}
+    # Replay, a window at a time: every source is given its quantum and pays for what it was served.
+    quantum, deficit = np.array(sizes) * 256 / rest, np.zeros(len(sizes))
+    for window in served:
+        deficit += quantum - window
+        assert np.abs(deficit).max() <= 4 * 4  # four lumps at most, after any window
+    assert (served > 0).sum(1).min() > 30  # not a few sources at a time
+
+
+def test_pool_places_do_not_overflow():
+    pool = mixture_packing.Interleave(10**14 + 3, 4)
+    at = 10**14 - 4 * 10**5
+    got = pool.places(at, 4 * 10**5 + 3)
+    for i in (0, 5, 123_456, 399_999):
+        t = at + i
+        assert got[i] == t // 4 * pool.step % pool.slots * 4 + t % 4
+    assert got[-3:].tolist() == [10**14, 10**14 + 1, 10**14 + 2]
+
+
+def test_packing_of_many_small_sources(spark):
+    data = [(i, f"s{i % 500:03d}", f"word{i} " * (1 + i % 40)) for i in range(2000)] + [(2000, "s0", "a long text " * 3000)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string").repartition(5)
+    got = mixture_packing.pack(df)
+    seqs = check_packing(got.pieces().collect(), token_ids([(d, t) for d, _, t in data]))
+    assert got.pool.tokens > 0
+    for k in range(got.schedule.full):
+        assert len({r["doc_id"] % 500 for r in seqs[k]}) > 50
+
+
 def test_packing_cases(spark):
     assert mixture_packing.pack(empty(spark)).pieces().count() == 0
     pieces = mixture_packing.pack(docs(spark)).pieces()

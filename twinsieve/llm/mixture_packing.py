@@ -17,9 +17,15 @@ tokenizes and writes its ids with running positions; the per-(partition, source)
 totals - a summary of at most partitions + sources rows - give queue offsets and
 the phase table; each task cuts its documents.
 
-Queues are bounded: a source with less than 1/256 of all tokens joins the pooled
-queue (``rest``), whose documents are ordered by (source, doc_id); so there are
-at most 257 queues whatever the number of sources, and every token is packed.
+Queues are bounded: a source with less than 1/256 of all tokens, whose quantum is
+under ``window / 256`` tokens, joins the pooled queue, so there are at most 257
+whatever the number of sources.  Inside the pool every source still gets its own
+share of every window: it is served in lumps of ``window / 256`` tokens (its deficit
+runs on until a lump is due), and lump *p* of the pool's documents, in order of
+(source, doc_id), is served at place ``p x step mod lumps``, with a step near the
+golden section.  That spreads any run of lumps evenly over the pool (three-distance
+theorem), so a source is a few lumps at most from its target after any window, and a
+task knows the places of its documents from their position alone.
 
 Defined results: null text is empty (one terminator token); null source counts
 as ''; null ``doc_id`` sorts first in its queue; repeated rows are packed as
@@ -28,6 +34,7 @@ often as they occur; an empty table gives no piece; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass, field
 
@@ -41,7 +48,8 @@ from twinsieve.llm.common import Scratch
 #: Shares are integers out of this (k x window x SHARES stays within 63 bits up to 10^14 tokens).
 SHARES = 1 << 16
 POOL_BELOW = 1 / 256
-REST = ""
+#: Tokens of a pooled document placed at a time.
+BLOCK = 1 << 18
 
 
 def integer_shares(weights: list[float]) -> list[int]:
@@ -54,6 +62,40 @@ def integer_shares(weights: list[float]) -> list[int]:
     return out
 
 
+def quotients(a: int, b: int) -> int:
+    """Sum of the partial quotients of a / b: it bounds how unevenly multiples of ``a`` lie modulo ``b``."""
+    out = 0
+    while b:
+        out, a, b = out + a // b, b, a % b
+    return out
+
+
+@dataclass
+class Interleave:
+    """The order in which the pooled queue serves its ``tokens``: full lumps dealt out evenly, the rest last."""
+
+    tokens: int
+    lump: int
+
+    def __post_init__(self):
+        self.slots = self.tokens // self.lump
+        near = int(self.slots * (math.sqrt(5) - 1) / 2)
+        steps = [a for a in range(max(1, near - 100), near + 101) if math.gcd(a, self.slots) == 1]
+        self.step = min(steps, key=lambda a: (quotients(a, self.slots), a), default=1)
+
+    def places(self, at: int, n: int) -> np.ndarray:
+        """Places in the pooled queue of the tokens [at, at + n) of its documents."""
+        t = np.arange(at, at + n, dtype=np.int64)
+        if not self.slots:
+            return t
+        first = at // self.lump
+        lump = t // self.lump
+        # In two digits: no product leaves 63 bits.
+        high, low = np.divmod(lump - first, 4096)
+        slot = (first * self.step % self.slots + high * (self.step * 4096 % self.slots) % self.slots + low * self.step) % self.slots
+        return np.where(lump < self.slots, slot * self.lump + t % self.lump, t)
+
+
 @dataclass
 class Phase:
     """``windows`` windows from ``first`` on; ``base``: tokens served before, by queue.
@@ -160,6 +202,38 @@ class Schedule:
             return (np.empty(0, np.int64),) * 3
         return tuple(np.concatenate(v) for v in zip(*out, strict=True))
 
+    def locate(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of single places of the first queue, whose part opens every regular window."""
+        seq, off = np.empty_like(place), np.empty_like(place)
+        for p in self.phases:
+            got = np.flatnonzero(place >= p.base[0])  # later phases write over what is theirs
+            y = place[got] - p.base[0]
+            if p.shares is not None:
+                per = self.window * p.shares[1]
+                if not per:
+                    continue
+                k = ((y + 1) * SHARES - 1) // per
+                seq[got], off[got] = p.first + k, y - k * per // SHARES
+            elif p.first == self.full:
+                sizes = [1 << i for i in reversed(range(self.tail.bit_length())) if self.tail >> i & 1]
+                begin = np.concatenate([[0], np.cumsum(sizes)])
+                k = np.searchsorted(begin, y, side="right") - 1
+                seq[got], off[got] = p.first + k, y - begin[k]
+            else:
+                seq[got], off[got] = p.first, y
+        return seq, off
+
+    def cut_pool(self, pool: Interleave, at: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`cut` for a stretch of the pooled queue's documents, in blocks of bounded size."""
+        out = []
+        for block in range(0, length, BLOCK):
+            seq, off = self.locate(pool.places(at + block, min(BLOCK, length - block)))
+            new = np.ones(len(seq), dtype=bool)
+            new[1:] = (seq[1:] != seq[:-1]) | (off[1:] != off[:-1] + 1)
+            k = np.flatnonzero(new)
+            out.append((k + block, seq[k], off[k]))
+        return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
 
 def tokenize(docs: DataFrame, scratch: Scratch, tokenizer: dict | None = None, end_id: int = 0) -> DataFrame:
     """Documents in queue order with ids and running positions, written once: (pid, src, doc_id, local_start, n, ids)."""
@@ -202,11 +276,12 @@ class Packed:
 
     placed: DataFrame
     schedule: Schedule
+    pool: Interleave
     kind: str
 
     def pieces(self, with_ids: bool = False) -> DataFrame:
         """One row per piece; ``with_ids`` adds its ids (little-endian unsigned 32-bit)."""
-        schedule = self.schedule
+        schedule, pool = self.schedule, self.pool
 
         def cut(batches):
             import pyarrow as pa
@@ -216,7 +291,7 @@ class Packed:
                 queue, at, length, ids = (batch.column(c).to_pylist() for c in ("queue", "at", "n", "ids"))
                 for i, (q, a, n, x) in enumerate(zip(queue, at, length, ids, strict=True)):
                     wide = np.frombuffer(x, dtype=f"<u{len(x) // n}").astype("<u4").tobytes()
-                    start, seq, off = schedule.cut(q, a, n)
+                    start, seq, off = schedule.cut(q, a, n) if q else schedule.cut_pool(pool, a, n)
                     stop = np.append(start[1:], n)
                     parts.append((start, stop - start, np.full(len(start), n, dtype=np.int64), seq, off))
                     row.append(np.full(len(start), i, dtype=np.int64))
@@ -287,7 +362,13 @@ def pack(docs: DataFrame, window: int = 1024, mixture: dict[str, float] | None =
     queue = F.lit(0)
     for i, (s, _) in enumerate(own):
         queue = F.when(F.col("src") == s, i + 1).otherwise(queue)
-    w = Window.partitionBy("queue").orderBy("src", "pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("queue", queue).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).select("pid", "src", "queue", "before")
+    # Partitions follow (source, doc_id), so a queue's order is (pid, src): a prefix over partitions, then one inside each.
+    queued = totals.withColumn("queue", queue)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    outer = queued.groupBy("queue", "pid").agg(F.sum("n").alias("n"))
+    outer = outer.select("queue", "pid", before(Window.partitionBy("queue").orderBy("pid")).alias("parts_before"))
+    inner = queued.select("pid", "src", "queue", before(Window.partitionBy("queue", "pid").orderBy("src")).alias("here_before"))
+    offsets = inner.join(outer, ["queue", "pid"]).select("pid", "src", "queue", (F.col("parts_before") + F.col("here_before")).alias("before"))
     placed = toks.join(offsets, ["pid", "src"]).select("doc_id", "queue", (F.col("before") + F.col("local_start")).alias("at"), "n", "ids")
-    return Packed(placed, schedule, docs.schema["doc_id"].dataType.simpleString())
+    pool = Interleave(rest, max(1, int(window * POOL_BELOW)))
+    return Packed(placed, schedule, pool, docs.schema["doc_id"].dataType.simpleString())

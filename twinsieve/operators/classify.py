@@ -65,9 +65,10 @@ def match_targets(
     fp_index: DataFrame | None = None,
     chunk_size: int = DEFAULT_CHUNK_SIZE,
     hash_all: bool = False,
+    split_bytes: int | None = None,
 ) -> DataFrame:
     """Targets with ``size_hit``, ``content_hash``, ``exact_path``, ``near_path``, ``distance``."""
-    ex = exact_matches(targets, ref, algo=algo, index=exact_index, chunk_size=chunk_size, hash_all=hash_all)
+    ex = exact_matches(targets, ref, algo=algo, index=exact_index, chunk_size=chunk_size, hash_all=hash_all, split_bytes=split_bytes)
     if not (enable_near and (fingerprint is not None or fp_index is not None)):
         return ex.withColumn("near_path", F.lit(None).cast("string")).withColumn("distance", F.lit(None).cast("int"))
     idx = fp_index if fp_index is not None else materialise(near_index(ref, fingerprint), "near-index")

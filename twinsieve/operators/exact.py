@@ -53,7 +53,7 @@ def narrow_rows(files: DataFrame, algo: str = "sha256", gate=None) -> DataFrame:
     return files.select(*[c for c in files.columns if c != "content"], digest.alias("full_hash"))
 
 
-def hash_index(ref: DataFrame, algo: str = "sha256", chunk_size: int = DEFAULT_CHUNK_SIZE) -> DataFrame:
+def hash_index(ref: DataFrame, algo: str = "sha256", chunk_size: int = DEFAULT_CHUNK_SIZE, split_bytes: int | None = None) -> DataFrame:
     """The exact index, one row per readable ref file: (content_hash, size, path)."""
     if "content" in ref.columns:
         # Filter on the content, not on its hash: the filter would be pushed below the
@@ -64,7 +64,7 @@ def hash_index(ref: DataFrame, algo: str = "sha256", chunk_size: int = DEFAULT_C
         return readable.select(content_hash("content", algo).alias("content_hash"), "size", "path")
     from ..sources.content import hash_paths
 
-    hashed = hash_paths(ref, algo=algo, chunk_size=chunk_size)
+    hashed = hash_paths(ref, algo=algo, chunk_size=chunk_size, split_bytes=split_bytes)
     return hashed.filter(F.col("error").isNull() & F.col("content_hash").isNotNull()).select("content_hash", "size", "path")
 
 
@@ -93,6 +93,7 @@ def exact_matches(
     index: DataFrame | None = None,
     chunk_size: int = DEFAULT_CHUNK_SIZE,
     hash_all: bool = False,
+    split_bytes: int | None = None,
 ) -> DataFrame:
     """Size-gated hash of the targets and the exact lookup, on narrow rows.
 
@@ -104,8 +105,10 @@ def exact_matches(
     meet in one partition as a NULL key.  With a persisted ``index`` the size buckets
     come from it (readable ref files only, as in the mirrored tool) and ``ref`` may be None.
     ``hash_all``: ``full_hash`` of every in-table row, for a copy plan that compares it with destinations.
+    ``split_bytes``: larger files are compared by range keys (many tasks a file; an ``index`` must have been
+    made with the same setting); those that match get their digest afterwards, the others keep the key.
     """
-    idx = index if index is not None else hash_index(ref, algo, chunk_size)
+    idx = index if index is not None else hash_index(ref, algo, chunk_size, split_bytes)
     sized = (idx if index is not None else ref).select("size")
     if "content" in targets.columns:
         sizes = materialise(ref_sizes(sized), "sizes")
@@ -117,10 +120,15 @@ def exact_matches(
         hashed = flagged.withColumn("content_hash", F.when(F.col("size_hit"), F.col("full_hash")))
     else:
         flagged = flag_size_hits(targets, sized)
-        from ..sources.content import hash_paths
+        from ..sources.content import hash_paths, is_split
 
-        hashed = hash_paths(flagged, algo=algo, gate="size_hit", chunk_size=chunk_size)
+        hashed = hash_paths(flagged, algo=algo, gate="size_hit", chunk_size=chunk_size, split_bytes=split_bytes)
     hashed = materialise(hashed, "hashed")
     found = hashed.filter(F.col("content_hash").isNotNull()).join(exact_lookup(idx), "content_hash", "left")
+    if split_bytes and "content" not in targets.columns:
+        found = materialise(found, "found")
+        large = is_split(split_bytes) & F.col("exact_path").isNotNull()
+        digested = materialise(hash_paths(found.filter(large).drop("content_hash"), algo=algo, chunk_size=chunk_size), "digested")
+        found = found.filter(~large).unionByName(digested)
     rest = hashed.filter(F.col("content_hash").isNull()).withColumn("exact_path", F.lit(None).cast("string"))
     return found.unionByName(rest)

@@ -6,7 +6,7 @@ row-sized reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import STATS_COLUMNS
@@ -47,16 +47,34 @@ def fingerprints_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def run_stats(results: DataFrame) -> DataFrame:
-    """Total scanned and the count per action, from the results table."""
+def _stats() -> list[Column]:
     a = F.col("action")
-    return results.agg(
+    return [
         F.count(F.lit(1)).alias(STATS_COLUMNS[0]),
         F.count_if(a == "copied").alias(STATS_COLUMNS[1]),
         F.count_if(a == "exact_dup").alias(STATS_COLUMNS[2]),
         F.count_if(a == "phash_dup").alias(STATS_COLUMNS[3]),
         F.count_if(a == "skipped").alias(STATS_COLUMNS[4]),
-    )
+    ]
+
+
+def run_stats(results: DataFrame) -> DataFrame:
+    """Total scanned and the count per action, from the results table."""
+    return results.agg(*_stats())
+
+
+def observe_stats(results: DataFrame) -> tuple[Observation, DataFrame]:
+    """A6 as metrics of whatever job writes the returned frame: no second pass over the results.
+
+    Write it as it is: in a job's last stage every partition counts once, tasks that are run again included."""
+    observed = Observation()
+    return observed, results.observe(observed, *_stats())
+
+
+def observed_stats(spark: SparkSession, observed: Observation) -> DataFrame:
+    """The one row of :func:`run_stats` from a written :func:`observe_stats` frame."""
+    got = observed.get
+    return spark.createDataFrame([tuple(int(got[c]) for c in STATS_COLUMNS)], ", ".join(f"{c} bigint" for c in STATS_COLUMNS))
 
 
 def index_stats(ref: DataFrame, exact_index: DataFrame, fp_index: DataFrame | None) -> DataFrame:

@@ -16,8 +16,8 @@ passes the driver):
 5. not a dry run: copy plan against the output tree, then executors copy (files) or
    the accepted content is written as a table (in-table sides); copy failures are
    joined back into the results;
-6. results are written once as Parquet; the CSV and the stats read the *written*
-   results, so the classification is not executed twice.
+6. results are written once as Parquet, and the stats are metrics of that write; the CSV reads the
+   *written* results, so the classification is not executed twice.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from ..functions.providers import FingerprintProvider, column_fingerprint
 from ..operators.classify import match_targets, to_results
 from ..operators.copyplan import copy_plan, selection
 from ..operators.filters import prepare_side
-from ..operators.stats import run_stats
+from ..operators.stats import observe_stats, observed_stats, run_stats
 from ..session import materialise, scope, scratch_folder
 from ..sinks.results import RESULT_SCHEMA, write_accepted, write_results_csv, write_results_parquet
 from ..sources.content import copy_files, hash_paths
@@ -95,9 +95,13 @@ def dedupe(
     rebuild_index: bool = False,
     chunk_size: int = DEFAULT_CHUNK_SIZE,
     existing: DataFrame | None = None,
+    split_bytes: int | None = None,
 ) -> DedupeRun:
     """``existing`` (rel_path, size, content_hash): what the destination of an in-table run already holds.
 
+    ``split_bytes``: files above it are read in ranges by many tasks each and compared by range keys; a matched one is
+    reported with its digest, another one with the first digits of its key.
+
     What stays is below ``results_dir`` (a scratch folder unless given): table, CSV, plan, copies' outcome, accepted
     content.  Everything else that the run writes on the way is removed when it ends."""
     if isinstance(ref, str) and isinstance(target, str):
@@ -105,7 +109,7 @@ def dedupe(
     results_dir = results_dir or scratch_folder(spark, "results")
     with scope(spark):
         return _run(spark, ref, target, out, index_dir, results_dir, threshold, enable_phash, fingerprint, extensions, max_image_pixels,
-                    hash_algo, match_mode, bands, dry_run, rebuild_index, chunk_size, existing)
+                    hash_algo, match_mode, bands, dry_run, rebuild_index, chunk_size, existing, split_bytes)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -114,7 +118,7 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 def _run(spark, ref, target, out, index_dir, results_dir, threshold, enable_phash, fingerprint, extensions, max_image_pixels,
-         hash_algo, match_mode, bands, dry_run, rebuild_index, chunk_size, existing) -> DedupeRun:
+         hash_algo, match_mode, bands, dry_run, rebuild_index, chunk_size, existing, split_bytes) -> DedupeRun:
     ref_root = ref if isinstance(ref, str) else "ref"
     ref_files = prepare_side(scan_tree(spark, ref) if isinstance(ref, str) else ref, extensions)
     tgt_files = prepare_side(scan_tree(spark, target) if isinstance(target, str) else target, extensions)
@@ -147,6 +151,7 @@ def _run(spark, ref, target, out, index_dir, results_dir, threshold, enable_phas
             enable_near=enable_phash,
             rebuild=rebuild_index,
             chunk_size=chunk_size,
+            split_bytes=split_bytes,
         )
         exact_index, fp_index, reused = idx.exact, idx.near, idx.reused
 
@@ -163,6 +168,7 @@ def _run(spark, ref, target, out, index_dir, results_dir, threshold, enable_phas
         fp_index=fp_index if enable_phash else None,
         chunk_size=chunk_size,
         hash_all=not dry_run,
+        split_bytes=split_bytes,
     )
 
     plan = accepted_dir = None
@@ -175,24 +181,25 @@ def _run(spark, ref, target, out, index_dir, results_dir, threshold, enable_phas
             accepted_dir = f"{results_dir}/accepted"
             write_accepted(tgt_files, plan, accepted_dir)
         else:
-            there = _existing_tree(spark, out_dir, selected, hash_algo, chunk_size)
-            read = lambda df, gate: hash_paths(df, algo=hash_algo, gate=gate, chunk_size=chunk_size)
+            there = _existing_tree(spark, out_dir, selected, hash_algo, chunk_size, split_bytes)
+            read = lambda df, gate: hash_paths(df, algo=hash_algo, gate=gate, chunk_size=chunk_size, split_bytes=split_bytes)
             plan = _written(copy_plan(selected, there, algo=hash_algo, hash_sources=read), f"{results_dir}/plan")
             copy_files(plan, out_dir).write.mode("overwrite").parquet(f"{results_dir}/copied")
             outcome = spark.read.parquet(f"{results_dir}/copied").select("src", "error")
             plan = plan.join(outcome, "src", "left")
 
     results = to_results(matched, dry_run=dry_run, out_dir=out_dir, plan=plan)
+    observed, results = observe_stats(results)
     write_results_parquet(results, f"{results_dir}/table")
     written = spark.read.schema(RESULT_SCHEMA).parquet(f"{results_dir}/table")
     write_results_csv(written, f"{results_dir}/results")
-    return DedupeRun(written.select(*RESULT_COLUMNS), run_stats(written), plan, results_dir, reused, accepted_dir)
+    return DedupeRun(written.select(*RESULT_COLUMNS), observed_stats(spark, observed), plan, results_dir, reused, accepted_dir)
 
 
 EXISTING_SCHEMA = "rel_path string, size bigint, content_hash string"
 
 
-def _existing_tree(spark: SparkSession, out_dir: str, selected: DataFrame, algo: str, chunk_size: int) -> DataFrame:
+def _existing_tree(spark: SparkSession, out_dir: str, selected: DataFrame, algo: str, chunk_size: int, split_bytes: int | None) -> DataFrame:
     """(rel_path, size, content_hash) of everything in the output tree - links and directories
     too, with no size: they occupy their name.  Only same-path, same-size collisions are
     hashed (the only ones the plan compares)."""
@@ -202,4 +209,4 @@ def _existing_tree(spark: SparkSession, out_dir: str, selected: DataFrame, algo:
     sizes = selected.select(F.col("rel_path"), F.col("size").alias("_sel_size"))
     gated = tree.join(sizes, "rel_path", "left").withColumn("_same", F.col("_sel_size") == F.col("size"))
     gated = gated.withColumn("_same", F.coalesce(F.col("_same"), F.lit(False)))
-    return materialise(hash_paths(gated, algo=algo, gate="_same", chunk_size=chunk_size).select("rel_path", "size", "content_hash"), "existing")
+    return materialise(hash_paths(gated, algo=algo, gate="_same", chunk_size=chunk_size, split_bytes=split_bytes).select("rel_path", "size", "content_hash"), "existing")

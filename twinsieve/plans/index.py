@@ -59,7 +59,7 @@ def _only(files: DataFrame, todo: DataFrame | None) -> DataFrame:
     return files if todo is None else files.join(todo, "path", "left_semi")
 
 
-def exact_facts(algo: str, chunk_size: int = DEFAULT_CHUNK_SIZE):
+def exact_facts(algo: str, chunk_size: int = DEFAULT_CHUNK_SIZE, split_bytes: int | None = None):
     """(path, size, mtime, content_hash, error) of files: read by path, or hashed in the scan of in-table content."""
 
     def facts(files: DataFrame, todo: DataFrame | None) -> DataFrame:
@@ -70,7 +70,7 @@ def exact_facts(algo: str, chunk_size: int = DEFAULT_CHUNK_SIZE):
         from ..sources.content import hash_paths
 
         narrow = _only(files.select("path", "size", "mtime", error.alias("error")), todo)
-        return hash_paths(narrow, algo=algo, chunk_size=chunk_size).select("path", "size", "mtime", "content_hash", "error")
+        return hash_paths(narrow, algo=algo, chunk_size=chunk_size, split_bytes=split_bytes).select("path", "size", "mtime", "content_hash", "error")
 
     return facts
 
@@ -103,13 +103,15 @@ def build_or_load(
     verify: bool = False,
     max_generations: int = MAX_GENERATIONS,
     chunk_size: int = DEFAULT_CHUNK_SIZE,
+    split_bytes: int | None = None,
 ) -> ReferenceIndex:
     """Reuse each index table, bring it up to date or build it; ``ref`` is the filtered ref ``files`` frame."""
     exts = ",".join(normalise_extensions(extensions) or ())
     index_dir = index_dir.rstrip("/")
+    split = f";split={split_bytes}" if split_bytes else ""
     how = {"ref_path": ref_path, "tree_of": ref, "rebuild": rebuild, "verify": verify, "max_generations": max_generations}
     got: dict[str, Refreshed] = {}
-    got["exact"] = refresh(spark, ref, f"{index_dir}/exact", exact_facts(algo, chunk_size), options=f"algo={algo};ext={exts}",
+    got["exact"] = refresh(spark, ref, f"{index_dir}/exact", exact_facts(algo, chunk_size, split_bytes), options=f"algo={algo};ext={exts}{split}",
                            retry="error IS NOT NULL", **how)
     exact = got["exact"].version.rows().filter(F.col("content_hash").isNotNull()).select("content_hash", "size", "path")
     near = None

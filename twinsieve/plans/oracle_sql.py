@@ -352,6 +352,8 @@ SELECT target_path, action, match_path, match_type, distance_or_hash,
   CASE WHEN action = 'copied' THEN 'Copied to {OUT_DIR}/' || target_path ELSE reason END AS reason,
   CASE WHEN action = 'copied' THEN sha256(t.content) END AS copied_sha256
 FROM r JOIN (WITH {SIDES} SELECT path, content FROM tgt) t ON r.target_path = t.path"""
+    q["tree_ranges"] = f"""WITH r AS ({q["classify_bytes_only"]})
+SELECT target_path, action, match_path, match_type, CASE WHEN action = 'exact_dup' THEN distance_or_hash ELSE '' END AS digest FROM r"""
     q["index_update"] = f"""WITH {SIDES}
 SELECT path, size, sha256(content) AS content_hash,
   (SELECT count(*) FROM ref WHERE doc_id % 7 = 0 OR doc_id % 11 = 0) AS n_changed,

@@ -18,6 +18,9 @@ from ..sources.filetree import scan_tree
 from ..sources.treesource import read_tree
 from .oracle_sql import OUT_DIR, TREE_EXTENSIONS, TREE_LEAST
 
+#: Files of the document trees above this many bytes are read in ranges (on real trees: some hundred MB).
+RANGE_BYTES = 1024
+
 
 def _folder(spark: SparkSession, label: str) -> str:
     return qualified(spark, scratch_folder(spark, label)).replace("file://", "file:").removeprefix("file:")
@@ -58,6 +61,18 @@ def tree_run(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(copied, "target_path", "left")
 
 
+def tree_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``tree_run`` (dry), every file of over ``RANGE_BYTES`` read in ranges by several tasks; matched files with their digest."""
+    from .dedupe import dedupe
+
+    base, ref, tgt = _trees(spark, sf)
+    run = dedupe(spark, ref, tgt, f"{base}/{OUT_DIR}", index_dir=f"{base}/index", enable_phash=False, hash_algo="sha256", split_bytes=RANGE_BYTES)
+    strip = lambda c, root: F.replace(F.col(c), F.lit(f"{root}/"), F.lit(""))
+    digest = F.when(F.col("action") == "exact_dup", F.col("distance_or_hash")).otherwise("")
+    return run.results.select(
+        strip("target_path", tgt).alias("target_path"), "action", strip("match_path", ref).alias("match_path"), "match_type", digest.alias("digest"))
+
+
 def index_update(spark: SparkSession, sf: str) -> DataFrame:
     """The index of an earlier state of the ref (files missing, others since changed, some since removed), brought up to date by a delta."""
     from .index import exact_facts
@@ -92,4 +107,4 @@ def stream_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_stream_results(spark, f"{base}/results").withColumn("target_path", path)
 
 
-TREE_QUERIES = {"tree_scan": tree_scan, "tree_run": tree_run, "index_update": index_update, "stream_files": stream_files}
+TREE_QUERIES = {"tree_scan": tree_scan, "tree_run": tree_run, "tree_ranges": tree_ranges, "index_update": index_update, "stream_files": stream_files}

@@ -45,8 +45,9 @@ def start_classify_stream(
     out_dir: str = "out",
     available_now: bool = True,
     seconds: float = 10,
+    split_bytes: int | None = None,
 ) -> StreamingQuery:
-    """Start the stream; ``to_targets`` turns a micro-batch into filtered target ``files`` rows."""
+    """Start the stream; ``to_targets`` turns a micro-batch into filtered target ``files`` rows; ``split_bytes`` as the index was made with."""
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         with scope(batch.sparkSession):  # what the batch writes on the way goes when it ends
@@ -60,6 +61,7 @@ def start_classify_stream(
                 exact_index=exact_index,
                 fp_index=fp_index,
                 out_dir=out_dir,
+                split_bytes=split_bytes,
             )
             res.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 

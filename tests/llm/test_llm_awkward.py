@@ -88,3 +88,14 @@ def test_one_row_of_every_group_stays(spark):
 
 def test_stage_keeps_texts_under_a_repeated_id(spark):
     check_kept(spark, [(r[0], r[1]) for r in rows()])
+
+
+def test_secrets_are_learned_from_few_findings_and_from_late_words(spark):
+    # Eight labelled findings are enough to train on: no switch by their number.
+    rows = [(i, "ordinary sentences here " * 5 + f"token = {'%032x' % ((i + 1) * 7919**8)} and then more") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secret_cnn.train(df).threshold <= 1
+    # A long word of every place of a text may be the negative, not only the first.
+    texts = [(i, " ".join(f"ordinary{chr(97 + (i * j) % 26)}{chr(97 + j)}" for j in range(20))) for i in range(40)]
+    at = [r["at"] for r in secret_cnn.plain_words(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    assert len(at) == 40 and len(set(at)) > 5 and max(at) > 100

@@ -6,8 +6,8 @@ characters that overlap by half, each with its surroundings (``LEFT`` characters
 before, ``RIGHT`` after), and scored by its best piece.  The network is written in
 numpy: character classes -> convolution -> ReLU -> maximum and mean over positions ->
 logistic.  It is trained on labelled findings: pieces that overlap a base pattern's
-span are positive, other pieces (and, for lack of those, plain long words)
-negative.  Scores are calibrated on held-out findings (Platt scaling) and the
+span are positive, other pieces and a plain long word of every text (the one
+with the smallest hash, wherever it stands) negative.  Scores are calibrated on held-out findings (Platt scaling) and the
 threshold is the largest, to 1/``BINS`` of a logit, that keeps ``min_recall`` of the
 held-out positives.
 
@@ -17,14 +17,15 @@ Weights are fitted on at most ``max_findings`` other findings of either label
 (smallest hashes first); scanning covers every candidate of every whole text.
 
 Defined results: null text is empty and has no span; repeated rows give equal rows;
-with fewer than ``MIN_POSITIVES`` positive findings, or without positives on both sides
-of the split or negatives to fit on, no span is added; base spans always stay;
+without positives on both sides of the split or negatives to fit on there is nothing
+to learn from or to set a threshold by, and no span is added; base spans always stay;
 an added span that overlaps a base span is dropped; null ids and other columns pass through.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import islice
@@ -46,7 +47,6 @@ WORDS = ("password", "passwd", "secret", "token", "api")
 MIN_VALUE, MIN_ACCESS, MIN_CANDIDATE = 8, 16, 8
 LEFT, BODY, RIGHT = 16, 40, 8
 WIDTH = LEFT + BODY + RIGHT
-MIN_POSITIVES = 20
 BINS, LIMIT = 64, 64  # of the histogram of logits: bins to a unit; beyond +-LIMIT one bin takes all
 
 
@@ -251,7 +251,9 @@ def findings(docs: DataFrame) -> DataFrame:
 
 
 def plain_words(docs: DataFrame) -> DataFrame:
-    """Long plain words as further negatives: (doc_id, at, y, x)."""
+    """A long plain word of every text as a further negative, one piece of it: (doc_id, at, y, x).
+
+    Word and piece are those of the smallest hash, so any place of a whole text may be the one."""
 
     def run(batches):
         import pyarrow as pa
@@ -261,11 +263,13 @@ def plain_words(docs: DataFrame) -> DataFrame:
             for i, t in enumerate(batch.column("text")):
                 text = t.as_py() or ""
                 cover = Cover(base_spans(text))
-                m = next((m for m in re.finditer(r"\S{8,}", text) if not cover.overlaps(m.start(), m.end())), None)
+                words = (m for m in re.finditer(r"\S{8,}", text) if not cover.overlaps(m.start(), m.end()))
+                m = min(words, key=lambda m: (zlib.crc32(m[0].encode()), m.start()), default=None)
                 if m:
+                    a, b = min(pieces(m.start(), m.end()), key=lambda p: (zlib.crc32(text[p[0] : p[1]].encode()), p))
                     doc.append(i)
-                    at.append(m.start())
-                    xs.append(window(text, *next(pieces(m.start(), m.end()))).tobytes())
+                    at.append(a)
+                    xs.append(window(text, a, b).tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc, pa.int64())), "at": pa.array(at, pa.int64()),
                                               "y": pa.array([0] * len(at), pa.int32()), "x": pa.array(xs, pa.binary())})
 
@@ -282,7 +286,7 @@ def train(docs: DataFrame, max_findings: int = 1536, min_recall: float = 0.99) -
     take = lambda y: got.where((F.col("y") == y) & ~F.col("held")).orderBy(F.xxhash64("x", "doc_id", "at"), "doc_id", "at").limit(max_findings).collect()
     rows = {y: take(y) for y in (0, 1)}
     none = CharCnn(np.zeros((5 * N_CLASSES, 1), np.float32), np.zeros(1, np.float32), np.zeros(2, np.float32), 0.0)
-    if not rows[0] or not rows[1] or got.where("y = 1").limit(MIN_POSITIVES).count() < MIN_POSITIVES:
+    if not rows[0] or not rows[1]:
         return none
     both = [*rows[0], *rows[1]]
     x = np.array([np.frombuffer(r["x"], dtype=np.int8) for r in both])

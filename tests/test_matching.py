@@ -1,12 +1,14 @@
 """Banded Hamming joins against brute force on random fingerprints."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from twinsieve.operators import near as N
+from twinsieve.session import materialise
 
 
 def _to_signed(v):
@@ -243,3 +245,30 @@ def test_groups_that_share_two_bands_are_dealt_out_again(spark, mode, threshold,
     pairs = N._pairs_hot_refined(tdf, idx, mode, threshold, bands, "work").count()
     if threshold < 8:  # elsewhere probing another band costs more than this group's pairs
         assert pairs < n * n / 9 / 2  # less than half of what the hot group alone would emit once, let alone a band
+
+
+def _broadcast_generators(df):
+    """Generators below a broadcast in the plan of ``df``."""
+    lines = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple").splitlines()
+    depth = lambda line: re.search(r"[A-Za-z]", line).start()
+    out, under = [], None
+    for line in (x for x in lines if re.search(r"[A-Za-z]", x)):
+        if under is not None and depth(line) <= under:
+            under = None
+        if under is None and "BroadcastExchange" in line:
+            under = depth(line)
+        elif under is not None and "Generate " in line:
+            out.append(line)
+    return out
+
+
+def test_bands_and_probes_are_never_broadcast(spark):
+    """The written tables are far below the broadcast threshold, their probes need not be."""
+    ref, tgt = _data()
+    targets = materialise(spark.createDataFrame(tgt, "path string, fp bigint"), "t")
+    index = materialise(N.fingerprint_index(spark.createDataFrame(ref, "path string, fp bigint")), "r")
+    for mode in N.MATCH_MODES:
+        for refine in N.REFINE_MODES:
+            assert not _broadcast_generators(N.best_matches(targets, index, 8, mode=mode, refine=refine)), (mode, refine)
+        assert not _broadcast_generators(N.candidates(targets, index, mode=mode)), mode
+    assert not _broadcast_generators(N._lsh_candidate_counts(targets, index, N.band_layout(4)))

@@ -63,3 +63,15 @@ def test_cluster_without_shared_checkpoint_folder_is_refused():
     sc = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=sc))
+
+
+def test_documents_stream_over_part_files(spark, tmpdir_path):
+    """The table as a folder of part files gives the rows of the table as one file."""
+    from twinsieve.sources.tables import table_path
+    from twinsieve.streaming.classify_stream import classify_documents_stream
+
+    docs = spark.read.parquet(table_path("/root/testdata/sf0.001", "documents"))
+    docs.repartition(6).write.parquet(f"{tmpdir_path}/parts/documents.parquet")
+    got = classify_documents_stream(spark, f"{tmpdir_path}/parts", f"{tmpdir_path}/a")
+    want = classify_documents_stream(spark, "/root/testdata/sf0.001", f"{tmpdir_path}/b")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []

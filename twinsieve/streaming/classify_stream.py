@@ -24,10 +24,13 @@ from ..functions.providers import FingerprintProvider, text_simhash
 from ..operators.classify import classify
 from ..operators.filters import prepare_side
 from ..plans.index import ReferenceIndex, build_or_load
-from ..session import scope
+from ..session import is_folder, scope
 from ..sources.filestream import Follower, discover, read_file_stream
 from ..sources.fixtures import documents_files, files_from_documents
-from ..sources.tables import table_path
+from ..sources.tables import read_table, table_path
+
+#: Micro-batches of the fixture stream, at most.
+FIXTURE_BATCHES = 4
 
 
 def start_classify_stream(
@@ -112,13 +115,14 @@ def classify_documents_stream(spark: SparkSession, sf_dir: str, scratch: str, *,
     ref = prepare_side(files.filter(F.col("side") == "ref"))
     fp = text_simhash()
     idx = build_or_load(spark, ref, f"{scratch}/index", ref_path="ref", fingerprint=fp)
-    docs_schema = spark.read.parquet(table_path(sf_dir, "documents")).schema
-    stream = (
-        spark.readStream.schema(docs_schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
+    docs = read_table(spark, sf_dir, "documents")
+    # Every batch reads the index: their number must not follow the number of files.
+    reader = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", max(1, -(-len(docs.inputFiles()) // FIXTURE_BATCHES)))
+    table = table_path(sf_dir, "documents")
+    if is_folder(spark, table):  # a folder of part files is streamed itself; a single file from the folder that holds it
+        stream = reader.parquet(table)
+    else:
+        stream = reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
 
     def to_targets(batch: DataFrame) -> DataFrame:
         f = files_from_documents(batch)

@@ -272,3 +272,16 @@ def test_bands_and_probes_are_never_broadcast(spark):
             assert not _broadcast_generators(N.best_matches(targets, index, 8, mode=mode, refine=refine)), (mode, refine)
         assert not _broadcast_generators(N.candidates(targets, index, mode=mode)), mode
     assert not _broadcast_generators(N._lsh_candidate_counts(targets, index, N.band_layout(4)))
+
+
+@pytest.mark.parametrize("mode", N.MATCH_MODES)
+def test_labelled_candidates_shuffle_no_pairs(spark, mode):
+    ref, tgt = _data()
+    targets = materialise(spark.createDataFrame([*tgt, ("t/copy.jpg", tgt[0][1]), ("t/none.jpg", None)], "path string, fp bigint"), "t")
+    index = materialise(N.fingerprint_index(spark.createDataFrame(ref, "path string, fp bigint")), "r")
+    joined = targets.join(N.candidates(targets, index, mode=mode), "fp")
+    labelled = N.candidates(targets, index, mode=mode, label="path")
+    rows = lambda df: sorted(map(tuple, df.select("path", "fp", "ref_fp", "ref_path", "distance").collect()))
+    assert rows(labelled) == rows(joined) != []
+    plan = spark._jvm.PythonSQLUtils.explainString(labelled._jdf.queryExecution(), "simple")
+    assert "Exchange" not in plan[: plan.index("Join")]

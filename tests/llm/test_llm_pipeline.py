@@ -10,7 +10,7 @@ from llm_cases import docs, empty, rows, table_dir
 from test_llm_documents import brute_fingerprint, brute_lines, brute_secrets, check_packing, token_ids
 
 from twinsieve.llm import quality_qda
-from twinsieve.llm.common import read
+from twinsieve.llm.common import BATCH_BYTES, BATCH_CONF, Scratch, read
 
 
 def pairs(df):
@@ -83,3 +83,26 @@ def test_stage_cases(spark):
             n = out.count()
             assert df.count() or n == 0
     assert corpus_pipeline.run(spark, folder).count() > 0 and len(rows()) == 13
+
+
+def test_batches_of_python_stages_are_bounded_in_bytes(spark):
+    """10,000 rows, the bound by rows, are any number of bytes where texts are long."""
+    texts = spark.range(3000, numPartitions=1).selectExpr("repeat(cast(id + 1000 as string), 2500) as text")  # 30 MB
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows]), "size": pa.array([b.nbytes])})
+
+    kept = spark.conf.get(BATCH_CONF, None)
+    try:
+        spark.conf.unset(BATCH_CONF)
+        Scratch(spark, "batches")
+        got = texts.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 3000 and all(r["size"] < 2 * BATCH_BYTES for r in got)
+        spark.conf.set(BATCH_CONF, "12345678")
+        Scratch(spark, "batches")
+        assert spark.conf.get(BATCH_CONF) == "12345678"  # the session's own bound stays
+    finally:
+        spark.conf.set(BATCH_CONF, kept) if kept else spark.conf.unset(BATCH_CONF)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsieve.operators import near as N
-from twinsieve.session import materialise
+from twinsieve.session import broadcast_if_small, materialise, written_bytes
 
 
 def _to_signed(v):
@@ -285,3 +285,29 @@ def test_labelled_candidates_shuffle_no_pairs(spark, mode):
     assert rows(labelled) == rows(joined) != []
     plan = spark._jvm.PythonSQLUtils.explainString(labelled._jdf.queryExecution(), "simple")
     assert "Exchange" not in plan[: plan.index("Join")]
+
+
+def test_packed_tables_are_not_broadcast_by_the_size_of_their_files(spark):
+    """Paths are packed in the files: what a broadcast would take of the driver is many times as much."""
+    old, limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), 1 << 20
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(limit))
+    try:
+        rows = spark.range(4000).select(F.concat(F.lit("d/" * 200), F.col("id").cast("string")).alias("path"), F.xxhash64("id").alias("fp"))
+        packed, few = materialise(rows, "packed"), materialise(rows.limit(10), "few")
+        assert written_bytes(packed) * 5 < limit
+        assert broadcast_if_small(packed) is None and broadcast_if_small(few) is not None
+        plan = lambda df: spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        best = N.best_matches(packed, materialise(N.fingerprint_index(packed), "index"), 8)
+        assert "Broadcast" not in plan(packed.join(best, "fp"))
+        assert "Broadcast" not in plan(rows.join(packed.select("path"), "path", "left_semi"))
+        assert "BroadcastHashJoin" in plan(rows.join(few.select("path"), "path", "left_semi"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_few_fingerprints_are_dealt_out_before_they_become_probes(spark):
+    """Adaptive execution would make one partition, and one task, of the few bytes of the targets' values."""
+    ref, tgt = _data()
+    targets, index = spark.createDataFrame(tgt, "path string, fp bigint"), N.fingerprint_index(spark.createDataFrame(ref, "path string, fp bigint"))
+    plan = spark._jvm.PythonSQLUtils.explainString(N.best_matches(targets, index, 8)._jdf.queryExecution(), "simple")
+    assert "REPARTITION_BY_NUM" in plan

@@ -127,7 +127,8 @@ def copy_plan(
     groups = renames.select(*KEY).distinct()
     taken = _taken_numbers(occupied, groups)
     cands = groups.withColumn("k", F.lit(1).cast("bigint")).unionByName(taken.select(*KEY, (F.col("k") + 1).alias("k")))
-    first_free = cands.join(taken, KEY + ["k"], "left_anti").groupBy(*KEY).agg(F.min("k").alias("k"))
+    # Shuffled: the estimate of the taken numbers is that of the packed tables their names were read from.
+    first_free = cands.join(taken.hint("merge"), KEY + ["k"], "left_anti").groupBy(*KEY).agg(F.min("k").alias("k"))
     renamed = renames.join(first_free, KEY).select(
         "src",
         "planned_dst",

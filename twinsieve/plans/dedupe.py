@@ -34,7 +34,7 @@ from ..operators.classify import match_targets, to_results
 from ..operators.copyplan import copy_plan, selection
 from ..operators.filters import prepare_side
 from ..operators.stats import observe_stats, observed_stats, run_stats
-from ..session import materialise, scope, scratch_folder
+from ..session import materialise, scope, scratch_folder, sized
 from ..sinks.results import RESULT_SCHEMA, write_accepted, write_results_csv, write_results_parquet
 from ..sources.content import copy_files, hash_paths
 from ..sources.filesystems import is_remote, mounted, tree_of
@@ -114,7 +114,7 @@ def dedupe(
 
 def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return sized(df.sparkSession.read.schema(df.schema).parquet(path))
 
 
 def _run(spark, ref, target, out, index_dir, results_dir, threshold, enable_phash, fingerprint, extensions, max_image_pixels,
@@ -185,7 +185,7 @@ def _run(spark, ref, target, out, index_dir, results_dir, threshold, enable_phas
             read = lambda df, gate: hash_paths(df, algo=hash_algo, gate=gate, chunk_size=chunk_size, split_bytes=split_bytes)
             plan = _written(copy_plan(selected, there, algo=hash_algo, hash_sources=read), f"{results_dir}/plan")
             copy_files(plan, out_dir).write.mode("overwrite").parquet(f"{results_dir}/copied")
-            outcome = spark.read.parquet(f"{results_dir}/copied").select("src", "error")
+            outcome = sized(spark.read.parquet(f"{results_dir}/copied").select("src", "error"))
             plan = plan.join(outcome, "src", "left")
 
     results = to_results(matched, dry_run=dry_run, out_dir=out_dir, plan=plan)

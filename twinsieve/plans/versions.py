@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stats import FINGERPRINT_FIELDS, reference_fingerprint
+from ..session import sized
 
 #: Deltas (with the first generation) that a version reads before they are merged.
 MAX_GENERATIONS = 8
@@ -99,7 +100,7 @@ class Version:
     gone: int = 0
 
     def _read(self, i: int, what: str, schema: str) -> DataFrame:
-        return self.folder.spark.read.schema(schema).parquet(f"{self.folder.path}/{self.generations[i]['folder']}/{what}")
+        return sized(self.folder.spark.read.schema(schema).parquet(f"{self.folder.path}/{self.generations[i]['folder']}/{what}"))
 
     def rows(self) -> DataFrame:
         """The rows of all files of this version, merged from its generations."""
@@ -201,7 +202,7 @@ def refresh(
     same = sound.select(F.col("path").alias("_p"), F.col("size").alias("_s"), F.col("mtime").alias("_m"))
     todo = now.join(same, (F.col("path") == F.col("_p")) & F.col("size").eqNullSafe(F.col("_s")) & F.col("mtime").eqNullSafe(F.col("_m")), "left_anti")
     todo.select("path").write.parquet(f"{base}/todo")  # compared once: facts may read it often
-    todo = spark.read.schema("path string").parquet(f"{base}/todo")
+    todo = sized(spark.read.schema("path string").parquet(f"{base}/todo"))
     gone = _write(before.select("path").join(now.select("path"), "path", "left_anti"), f"{base}/gone")
     if not gone and todo.isEmpty():
         folder.remove(name)

@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from conftest import SF0001
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from llm_cases import docs, empty, rows
 from twinsieve.llm import line_runs, mixture_packing, oracle, pii_weak, quality_qda, queries, secret_cnn, simhash_pivot, spm_nbest, tokens
-from twinsieve.llm.common import Scratch
+from twinsieve.llm.common import Memo, Scratch
 from twinsieve.llm.components import components
 
 # --- line de-duplication -------------------------------------------------------------------------------------
@@ -458,6 +459,51 @@ def test_n_best_equals_all_paths():
         assert len(seen) == len(ranked)
 
 
+def test_new_chunks_are_searched_together(monkeypatch):
+    lat, rng = spm_nbest.PieceLattice(), np.random.default_rng(4)
+    parts = ["a", "the", "in", "er", "on", ",", ".\n", "é", "漢", "字", "ing", "🙂", "ß", "▁t", "▁"]
+    chunks = list(dict.fromkeys("".join(rng.choice(parts, rng.integers(1, 12)).tolist()) for _ in range(500)))
+    want = [lat.summary(s) for s in chunks]
+    monkeypatch.setattr(spm_nbest.PieceTrie, "BLOCK", 100)
+    assert lat.entries("")(chunks) == want and lat.entries("")([]) == []
+    texts = ["", "the 🙂 on ering", " ", "  in", "a " * 300, "inger\ton 漢字", "the 🙂 on ering"]
+    alone = [(got.ranked, got.ids(), got.decoded()) for t in texts for got in lat.ranked([t], 4)]
+    fresh = spm_nbest.PieceLattice()
+    monkeypatch.setattr(fresh, "part", None)  # no short chunk is searched on its own
+    assert [(got.ranked, got.ids(), got.decoded()) for got in fresh.ranked(texts, 4)] == alone
+
+
+def test_rows_do_not_depend_on_the_texts_taken_together(monkeypatch):
+    import pyarrow as pa
+
+    class Docs:
+        schema = {"doc_id": StructField("doc_id", LongType())}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    batch = pa.record_batch({"doc_id": pa.array(range(60)), "text": pa.array([None, "", "the inger", "a  b", "é 漢 on", "on the ing " * 20] * 10)})
+
+    def got():
+        return [r for b in spm_nbest.encode(Docs(), digest=True)(iter([batch])) for r in b.to_pylist()]
+
+    want = got()
+    monkeypatch.setattr(spm_nbest, "TOGETHER", 50)
+    assert got() == want and {r["doc_id"] for r in want} == set(range(60))
+
+
+def test_memo_of_many_keys_stays_bounded():
+    memo = Memo(len, 4, longest=5)
+    asked = []
+    for keys in (["a", "bb"], ["bb", "ccc", "too long"], ["a", "d", "ee"], [f"x{i}" for i in range(9)], ["a"]):
+        assert memo.many(keys, lambda new: asked.extend(new) or [len(k) for k in new]) == [len(k) for k in keys]
+        assert len(memo) <= 4 and len(memo.old) <= 4 and "too long" not in memo
+    assert asked[:6] == ["a", "bb", "ccc", "too long", "d", "ee"]
+
+
 def test_encode_decode_round_trip(spark):
     df = docs(spark)
     back = spm_nbest.decode(spm_nbest.encode(df, n=2)).where("rank = 1").select("doc_id", "text").collect()

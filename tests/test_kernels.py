@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import functions as F
@@ -93,6 +94,36 @@ def test_simhash_against_python(spark):
     assert got == {i: py_simhash(t) for i, t in enumerate(texts)}
 
 
+def test_token_counts_against_python():
+    """Sums beyond one lane of 255, tokens of one md5 block and of several, slices, nulls."""
+    import pyarrow as pa
+
+    words = ["a", "é", "日本", "\r", "", "  ", "\n", "\t", *(c * n for c, n in zip("efgh", (54, 55, 56, 200)))]
+    rnd = random.Random(3)
+    texts = [None, "", " ", "a ", " a", "\n" * 600, "a " * 255, "a " * 256, "é " * 1000]
+    texts += [rnd.choice([" ", "\n", "\t"]).join(rnd.choices(words, k=k)) for k in (0, 1, 254, 255, 256, 700)]
+    want = []
+    for t in texts:
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in re.split("[ \n\t]", t or "") if w]
+        want.append((len(hashes), [sum(h >> i & 1 for h in hashes) for i in range(64)]))
+    n, sums = FP.token_counts(pa.array(texts))
+    assert list(zip(n.tolist(), sums.tolist())) == want
+    n, sums = FP.token_counts(pa.array(texts)[3:9])
+    assert list(zip(n.tolist(), sums.tolist())) == want[3:9]
+    assert FP.token_counts(pa.array([], pa.string()))[1].shape == (0, 64)
+
+
+def test_simhash_makes_no_row_of_a_token(spark):
+    """Rows of one key count together, a missing key is a key, and no token becomes a row of a plan."""
+    df = spark.createDataFrame([("k", "a b"), ("k", "c c"), (None, "a"), ("n", None), ("e", " ")], "`p.q` string, t string")
+    fps = FP.simhash_table(df.toDF("p", "t"), "p", "t")
+    got = {r.p: r.fp for r in fps.collect()}
+    joined = FP.simhash_table(spark.createDataFrame([("k", "a b c c"), (None, "a")], "p string, t string"), "p", "t").collect()
+    assert {r.p: r.fp for r in joined} == {k: got[k] for k in ("k", None)} and len(got) == 4
+    assert got["n"] is None and got["e"] is None
+    assert "Generate" not in spark._jvm.PythonSQLUtils.explainString(fps._jdf.queryExecution(), "simple")
+
+
 def test_median_bits(spark):
     vec = [float(x) for x in [5, 1, 4, 2, 3, 9, 0, 7]]
     df = spark.createDataFrame([(vec,)], "e array<float>")

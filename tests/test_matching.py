@@ -196,6 +196,35 @@ def test_refinement_modes_agree_on_a_shared_band(spark):
         assert got[0] == got[1] == got[2] and got[0]
 
 
+@pytest.mark.parametrize("threshold", [8, 3, -1])
+def test_blocks_of_all_pairs_are_exact(spark, monkeypatch, threshold):
+    """Many blocks, equal distances within a block and across blocks: the smallest path wins."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    ref, tgt = _hot_data(n_ref=200, n_tgt=120)
+    ref += [(f"r/{9 - i}-{p[2:]}", _to_signed((v ^ (1 << 20 + i)) & ((1 << 64) - 1))) for i in range(3) for p, v in ref[:60]]
+    tdf = spark.createDataFrame(tgt, "path string, fp long")
+    idx = N.fingerprint_index(spark.createDataFrame(ref, "path string, fp long"))
+    best = N._best_of_all(tdf.select("fp").distinct(), idx, threshold)
+    got = {r.path: (r.distance, r.near_path) for r in tdf.join(best, "fp").collect()}
+    assert got == _brute(ref, tgt, threshold, lsh=False) != {}
+    empty = tdf.limit(0)
+    assert N._best_of_all(empty.select("fp"), idx, threshold).count() == 0
+    assert N._best_of_all(tdf.select("fp"), N.fingerprint_index(empty), threshold).count() == 0
+
+
+def test_all_pairs_only_where_they_are_less_work(spark, monkeypatch):
+    """Values whose bands nearly all share are compared block against block, those that few share are probed."""
+    rnd = random.Random(11)
+    monkeypatch.setattr(N, "PROBE_ROW", 1)
+    alike = [(f"r/{i}", sum(rnd.randrange(20) // 19 << b for b in range(63))) for i in range(900)]
+    apart = [(f"r/{i}", rnd.getrandbits(63)) for i in range(1800)]
+    for rows, pays in ((alike, True), (apart, False)):
+        df = spark.createDataFrame(rows, "path string, fp long")
+        assert N._all_pairs_pay(df.select("fp"), N.fingerprint_index(df), 8, None) is pays
+        plan = spark._jvm.PythonSQLUtils.explainString(N.best_matches(df, N.fingerprint_index(df), 8, "complete")._jdf.queryExecution(), "simple")
+        assert ("Generate" not in plan) is pays
+
+
 def test_refused_parameters(spark):
     import pytest
 

@@ -17,8 +17,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import FINGERPRINT_BITS, LSH_BANDS
+from ..session import bound_batches
 
 
 def _c(col: str | Column) -> Column:
@@ -109,22 +111,131 @@ def _or_bits(terms: Sequence[str]) -> Column:
     return F.expr(" | ".join(f"shiftleft(cast({t} AS bigint), {i})" for i, t in enumerate(terms)))
 
 
+def md5_starts(words):
+    """The first 8 bytes of the md5 of every word of an Arrow array of large strings, as rows of a byte array."""
+    import hashlib
+
+    import numpy as np
+
+    if not len(words):
+        return np.zeros((0, 8), dtype=np.uint8)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    size = np.diff(offsets)
+    short = np.flatnonzero(size < 56)  # one block of 64 bytes with its length
+    block, at = np.zeros((len(short), 64), dtype=np.uint8), np.arange(56)
+    for n in np.unique(size[short]).tolist():
+        rows = np.flatnonzero(size[short] == n)
+        block[rows, :n] = data[offsets[short[rows], None] + at[:n]]
+    block[np.arange(len(short)), size[short]] = 0x80
+    block[:, 56:58] = (size[short] * 8).astype("<u2").view(np.uint8).reshape(-1, 2)
+    words32 = np.ascontiguousarray(block.view("<u4").T.astype(np.uint32))
+    out = np.empty((len(words), 8), dtype=np.uint8)
+    for i in range(0, len(short), 8192):
+        out[short[i : i + 8192]] = _md5_block(words32[:, i : i + 8192])
+    for i in np.flatnonzero(size >= 56).tolist():
+        out[i] = np.frombuffer(hashlib.md5(data[offsets[i] : offsets[i + 1]].tobytes(), usedforsecurity=False).digest()[:8], np.uint8)
+    return out
+
+
+def _md5_block(m):
+    """The first 8 bytes of the md5 of one-block messages, given as 16 rows of 32-bit words (RFC 1321)."""
+    import math
+
+    import numpy as np
+
+    start = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+    a, b, c, d = (np.full(m.shape[1], x, dtype=np.uint32) for x in start)
+    turns = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+    for i in range(64):
+        turn = i // 16
+        if turn == 0:
+            f, g = d ^ (b & (c ^ d)), i
+        elif turn == 1:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif turn == 2:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += m[g]
+        f += np.uint32(int(abs(math.sin(i + 1)) * 2**32))
+        r = turns[turn][i % 4]
+        a, b, c, d = d, b + ((f << np.uint32(r)) | (f >> np.uint32(32 - r))), b, c
+    return np.stack([a + np.uint32(start[0]), b + np.uint32(start[1])], axis=1).astype("<u4").view(np.uint8)
+
+
+def token_counts(texts) -> tuple:
+    """(number of tokens, how many of them have each of the 64 bits set) of every text of an Arrow array.
+
+    Arrow splits the texts and numbers their tokens; each distinct one is hashed once.  A token's 64 bits are
+    64 bytes, added up eight at a time as the lanes of a ``uint64``: 255 tokens fill no lane."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    text = texts.cast(pa.large_string())
+    for blank in "\n\t":
+        text = pc.replace_substring(text, blank, " ")
+    split = pc.split_pattern(text.fill_null(""), " ")
+    coded, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    bits = np.unpackbits(md5_starts(coded.dictionary)[:, ::-1], axis=1, bitorder="little")
+    filled = pc.binary_length(coded.dictionary).to_numpy() > 0
+    bits[~filled] = 0
+    lanes, code = bits.view(np.uint64), coded.indices.to_numpy()
+
+    def per_text(values, ends):
+        """Sums of the ``values`` between each end and the next."""
+        out = np.zeros((len(ends) - 1, *values.shape[1:]), dtype=np.int64)
+        some = np.flatnonzero(np.diff(ends))
+        if len(some):
+            out[some] = np.add.reduceat(values, ends[some], axis=0, dtype=np.int64)
+        return out
+
+    n = per_text(filled[code], ends)
+    parts = -(-np.diff(ends) // 255)  # of every text
+    first = np.concatenate([[0], np.cumsum(parts)])
+    starts = np.repeat(ends[:-1], parts) + (np.arange(first[-1]) - np.repeat(first[:-1], parts)) * 255
+    sums = np.empty((len(starts), FINGERPRINT_BITS), dtype=np.uint8)
+    for i in range(0, len(starts), 256):
+        lo, hi = starts[i], starts[i + 256] if i + 256 < len(starts) else len(code)
+        sums[i : i + 256] = np.add.reduceat(lanes.take(code[lo:hi], axis=0), starts[i : i + 256] - lo, axis=0).view(np.uint8)
+    return n, per_text(sums, first)
+
+
+#: Bytes of text that are split at once.
+TEXT_BYTES = 4 << 20
+
+
 def simhash_table(df: DataFrame, key: str, text: str, out: str = "fp") -> DataFrame:
     """(key, fp) with the 64-bit SimHash of ``text`` per ``key``; NULL when there are no tokens.
 
-    One row per token, then 64 integer sums grouped by key.  The aggregate is
-    partial-combined inside each task (all tokens of a row live in the task that
-    read it), so only 65 ints per row are shuffled.  ``key`` must be unique.
+    Every text becomes its number of tokens and 64 sums in the task that read it (:func:`token_counts`); these
+    65 numbers are grouped by key, so texts under one key count together.
     """
-    # Empty tokens become NULL rather than being filtered (a plain CASE, no lambda);
-    # explode_outer keeps rows without tokens: NULL hash -> count 0 -> NULL fp.
-    exploded = df.select(F.col(key), F.explode_outer(raw_tokens(text)).alias("_tok")).select(
-        key, token_hash(F.when(F.col("_tok") != "", F.col("_tok"))).alias("_h")
-    )
-    sums = [F.expr(f"sum(cast(shiftrightunsigned(_h, {i}) & 1L AS int)) AS _s{i}") for i in range(FINGERPRINT_BITS)]
-    g = exploded.groupBy(key).agg(F.count("_h").alias("_n"), *sums)
+    bound_batches(df.sparkSession)
+    counted = ["_n", *[f"_s{i}" for i in range(FINGERPRINT_BITS)]]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            texts = batch.column(1)
+            size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // TEXT_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                n, sums = token_counts(texts[lo:hi])
+                cols = [pa.array(n), *[pa.array(np.ascontiguousarray(c)) for c in sums.T]]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *cols], names=["k", *counted])
+
+    schema = StructType([StructField("k", df.schema[key].dataType), *[StructField(c, LongType()) for c in counted]])
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
+    g = rows.groupBy("k").agg(*[F.sum(c).alias(c) for c in counted])
     fp = _or_bits([f"(_s{i} * 2 > _n)" for i in range(FINGERPRINT_BITS)])  # more than half of the n tokens have it set
-    return g.select(key, F.when(F.col("_n") > 0, fp).cast("bigint").alias(out))
+    return g.select(F.col("k").alias(key), F.when(F.col("_n") > 0, fp).cast("bigint").alias(out))
 
 
 # --- vector median bits -------------------------------------------------------

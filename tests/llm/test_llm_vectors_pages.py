@@ -151,6 +151,57 @@ def test_a_node_that_all_others_list_stays_bounded(spark):
     assert [(c, len(m)) for c, (m,) in nn_descent.runs(rows, "c", ["m"], 17)] == [(1, 17)]
 
 
+def test_best_entries_of_nodes():
+    """Equal ids once with their largest similarity, ties by id, both zeros equal, runs over several batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    rows = [(int(n), rng.integers(-40, 40, m).tolist(), (rng.integers(-5, 6, m) / np.float32(7)).tolist()) for n, m in zip(np.sort(rng.integers(0, 9, 60)), rng.integers(0, 50, 60), strict=True)]
+    rows[0] = (0, [7, 5], [-0.0, 0.0])
+    want = {}
+    for n, ids, sims in rows:
+        best = want.setdefault(n, {})
+        for i, s in zip(ids, sims, strict=True):
+            best[i] = max(s, best.get(i, -9))
+    want = {n: sorted(best.items(), key=lambda x: (-x[1], x[0]))[:6] for n, best in want.items()}
+
+    def batch(part):
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()))
+        cols = list(zip(*((n, None, ids, sims) for n, ids, sims in part), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "q", "ids", "sims"])
+
+    for size in (60, 7, 1):
+        got = list(nn_descent.folded([batch(rows[i : i + size]) for i in range(0, 60, size)], 6))
+        assert [(n, [i for i, _ in top]) for n, _, _, top in got] == [(n, [i for i, _ in best]) for n, best in sorted(want.items())]
+    firsts = {}
+    for n, ids, _ in rows:
+        firsts.setdefault(n, ids)
+    assert all(old == firsts[n] for n, _, old, _ in got)
+    got = {}
+    some = [r for r in rows if r[1]]
+    for n, ids, sims in zip(*nn_descent.offers(np.array([r[0] for r in some]), np.array([len(r[1]) for r in some]), np.concatenate([r[1] for r in some]),
+                                               np.concatenate([r[2] for r in some]).astype(np.float32), 6).to_pydict().values(), strict=True):
+        got.setdefault(n, []).append(list(zip(ids, sims, strict=True)))
+    total = {n: sum(len(r[1]) for r in some if r[0] == n) for n in got}
+    assert any(t > 48 for t in total.values())
+    for n, lists in got.items():
+        if total[n] > 48:  # many entries in one task: left with the best
+            assert [i for i, _ in lists[0]] == [i for i, _ in want[n]] and len(lists) == 1
+        else:
+            assert sum(map(len, lists)) == total[n]
+
+
+def test_a_round_shuffles_offers_and_reverse_links_once(spark):
+    rows = [(i, bytearray(4), [1], [0.5], [True]) for i in range(4)]
+    state = spark.createDataFrame(rows, nn_descent.STATE)
+    shuffles = lambda df: spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple").count("Exchange hash")
+    assert shuffles(nn_descent._merge(state, state.select("id", "ids", "sims"), 8, 4)) == 1
+    edges = state.selectExpr("ids[0] as c", "id as m")
+    cut = nn_descent.first_rows(edges, ["m"], 4)
+    assert shuffles(cut) == 1 and cut.count() == 4
+    assert "WindowGroupLimit" in spark._jvm.PythonSQLUtils.explainString(cut._jdf.queryExecution(), "simple")
+
+
 def test_rounds_try_other_reverse_links_until_settled(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 16)) + 2

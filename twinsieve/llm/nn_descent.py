@@ -7,8 +7,9 @@ themselves: each node gathers its neighbours and a sample of the nodes that list
 the members of such a neighbourhood are compared with each other (pairs that an
 earlier round compared are skipped), and improvements go to the lists of both.  Rounds end
 when few lists change.  However many nodes list one node, tasks hold at most about twice ``k``
-members of its neighbourhood: Spark cuts them to ``k`` by a salted two-step top-k first, and
-offers are folded into the ``k`` best per node and salt, then per node, as they stream.
+members of its neighbourhood: every task cuts them to the first ``k`` before they are shuffled, as it does
+offers to a node that it has many for, and offers are folded into the ``k`` best per node as they stream.
+Entries of lists are handled as arrays, by sorting; no entry becomes a Python object but those of the lists kept.
 
 A search keeps for each query a beam of the ``beam`` best nodes known.  A round expands its
 best unexpanded nodes: joins fetch their neighbour lists, drop the nodes already seen,
@@ -62,36 +63,101 @@ def cosines(rows: list[bytes]) -> np.ndarray:
     return out
 
 
-SALTS = 64
-
-
 def first_rows(edges: DataFrame, order: list, n: int) -> DataFrame:
-    """The ``n`` first rows (c, m, ...) of every ``c`` by ``order``: cut within salts first, so that the
-    rows of a ``c`` that many others list meet in no task."""
-    part, whole = Window.partitionBy("c", "salt").orderBy(*order), Window.partitionBy("c").orderBy(*order)
-    near = edges.withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(SALTS))).withColumn("r", F.row_number().over(part)).where(F.col("r") <= n)
-    return near.drop("salt", "r").withColumn("r", F.row_number().over(whole)).where(F.col("r") <= n).drop("r")
+    """The ``n`` first rows (c, m, ...) of every ``c`` by the columns ``order``, numbered from 1 in ``r``.  Spark cuts to them
+    within every task that makes rows, before the shuffle (window group limit), so that the rows of a ``c`` that many others
+    list meet in no task.  (Columns: an expression would be worked out anew for every comparison of a sort.)"""
+    whole = Window.partitionBy("c").orderBy(*order)
+    return edges.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= n)
+
+
+def best_of(node: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best entries of every node (small numbers), each id once with its largest similarity: falling, ties by id."""
+    if not len(node):
+        return node, ids, sims
+    high = node.astype(np.uint64) << np.uint64(32)
+    key = high | np.unique(ids, return_inverse=True)[1].astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sims = np.maximum.reduceat(sims[order], at) + np.float32(0)  # one zero
+    order = order[at]
+    node, ids, high = node[order], ids[order], high[order]
+    bits = sims.view(np.uint32)
+    falling = np.where(bits >> np.uint32(31), bits, ~bits & np.uint32(0x7FFFFFFF))
+    order = np.argsort(high | falling, kind="stable")
+    node, ids, sims = node[order], ids[order], sims[order]
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    rank = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
+    kept = rank < k
+    return node[kept], ids[kept], sims[kept]
 
 
 def folded(batches, k: int):
-    """(id, q, ids of the first row, the ``k`` best of all) of each run of equal ids; holds few times ``k`` entries."""
-
-    def top():
-        best.pop(node, None)
-        return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+    """(id, q, ids of the first row, the ``k`` best of all) of each run of equal ids; holds a batch and ``k`` entries."""
+    held = None  # the last run so far: id, q, ids of its first row, ids and similarities of its best
+    for batch in batches:
+        key = batch.column("id").to_numpy()
+        if not len(key):
+            continue
+        run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        lists = batch.column("ids")
+        node = np.repeat(run, np.diff(lists.offsets.to_numpy()))
+        ids, sims = lists.flatten().to_numpy(), batch.column("sims").flatten().to_numpy().astype(np.float32, copy=False)
+        heads = list(zip(key[first].tolist(), batch.column("q").take(first).to_pylist(), lists.take(first).to_pylist(), strict=True))
+        if held is not None and held[0] == heads[0][0]:
+            heads[0] = held[:3]
+            node, ids, sims = np.concatenate([np.zeros(len(held[3]), dtype=node.dtype), node]), np.concatenate([held[3], ids]), np.concatenate([held[4], sims])
+        elif held is not None:
+            yield (*held[:3], list(zip(held[3].tolist(), held[4].tolist(), strict=True)))
+        node, ids, sims = best_of(node, ids, sims, k)
+        ends = np.searchsorted(node, np.arange(len(heads) + 1))
+        held = (*heads[-1], ids[ends[-2] :], sims[ends[-2] :])
+        flat_ids, flat_sims = ids.tolist(), sims.tolist()
+        for head, a, b in zip(heads[:-1], ends.tolist(), ends[1:].tolist()):
+            yield (*head, list(zip(flat_ids[a:b], flat_sims[a:b], strict=True)))
+    if held is not None:
+        yield (*held[:3], list(zip(held[3].tolist(), held[4].tolist(), strict=True)))
+
+
+def whole_runs(batches, key: str):
+    """Batches of a partition sorted by ``key`` in which no run of equal keys is split, and where their runs start and end."""
+    import pyarrow as pa
 
-    node, q, old, best = None, None, [], {}
+    held = None
     for batch in batches:
-        for i, v, ids, sims in zip(*(batch.column(c).to_pylist() for c in ("id", "q", "ids", "sims")), strict=True):
-            if i != node:
-                if node is not None:
-                    yield node, q, old, top()
-                node, q, old, best = i, v, ids, {}
-            best.update(zip(ids, sims, strict=True))
-            if len(best) > 64 * k:
-                best = dict(top())
-    if node is not None:
-        yield node, q, old, top()
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not len(batch):
+            continue
+        keys = batch.column(key).to_numpy()
+        ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        last = int(ends[-1]) if len(ends) else 0
+        held = batch.slice(last)
+        if last:
+            yield batch.slice(0, last), [0, *ends.tolist()]
+    if held is not None:
+        yield held, [0, len(held)]
+
+
+def vectors_of(column) -> np.ndarray | None:
+    """The 16-bit vectors of a binary column as rows; None where dimensions differ."""
+    sizes = np.unique(np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]))
+    if len(sizes) != 1:
+        return None
+    start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], "<i2", len(column) * int(sizes[0]) // 2, int(start)).reshape(len(column), -1)
+
+
+def units(column) -> np.ndarray | None:
+    """Rows of a column of lists as unit vectors (see :func:`unit`); None where dimensions differ."""
+    sizes = np.unique(np.diff(column.offsets.to_numpy()))
+    if len(sizes) != 1:
+        return None
+    x = column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def runs(batches, key: str, columns: list[str], most: int):
@@ -114,16 +180,43 @@ def runs(batches, key: str, columns: list[str], most: int):
         yield held_key, held
 
 
-def offers(rows: list[tuple]):
-    """(id, ids, sims) rows as a batch."""
+def offers(to: np.ndarray, sizes: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int):
+    """(id, ids, sims) rows, ``sizes`` entries each, as a batch; a node that gets many entries is left with its ``k`` best."""
     import pyarrow as pa
 
-    return pa.RecordBatch.from_pydict({
-        "id": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-        "sims": pa.array([r[2] for r in rows], pa.list_(pa.float32()))})
+    node = np.unique(to, return_inverse=True)[1]
+    many = (np.bincount(node, weights=sizes) > 8 * k)[node]
+    if many.any():
+        of = np.repeat(many, sizes)
+        rows, best, s = best_of(np.repeat(node, sizes)[of], ids[of], sims[of], k)
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        names = np.empty(node.max() + 1, dtype=np.int64)
+        names[node] = to
+        to = np.concatenate([to[~many], names[rows[first]]])
+        sizes = np.concatenate([sizes[~many], np.diff(np.append(first, len(rows)))])
+        ids, sims = np.concatenate([ids[~of], best]), np.concatenate([sims[~of], s])
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(to, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(sims, pa.float32()))],
+        names=["id", "ids", "sims"])
 
 
 OFFER = "id long, ids array<long>, sims array<float>"
+#: Entries of offers that a task gathers before it hands them on.
+GATHERED = 1 << 18
+
+
+def gathered(found, k: int):
+    """The (to, sizes, ids, sims) of ``found`` as batches of about ``GATHERED`` entries."""
+    held, n = [], 0
+    for x in found:
+        held.append(x)
+        n += len(x[2])
+        if n >= GATHERED:
+            yield offers(*map(np.concatenate, zip(*held, strict=True)), k)
+            held, n = [], 0
+    if held:
+        yield offers(*map(np.concatenate, zip(*held, strict=True)), k)
 
 
 def _first_offers(nodes: DataFrame, parts: int, k: int, tables: int, window: int) -> DataFrame:
@@ -134,40 +227,43 @@ def _first_offers(nodes: DataFrame, parts: int, k: int, tables: int, window: int
 
         planes: dict = {}
         for batch in batches:
-            rows = batch.column("q").to_pylist()
-            out_id, out_t, out_code, out_q = [], [], [], []
-            for i, r in zip(batch.column("id").to_pylist(), rows, strict=True):
-                d = len(r) // 2
+            q = batch.column("q")
+            sizes = np.diff(np.frombuffer(q.buffers()[1], np.int32)[q.offset : q.offset + len(q) + 1])
+            code = np.empty((len(q), tables), dtype=np.int64)
+            for size in np.unique(sizes).tolist():
+                d, at = size // 2, np.flatnonzero(sizes == size)
                 if d not in planes:
                     planes[d] = np.random.default_rng((3, d)).normal(size=(d, tables * 32)).astype(np.float32)
-                y = (np.frombuffer(r, dtype="<i2").astype(np.float32) @ planes[d]).reshape(tables, 32) > 0
-                c = np.packbits(y, axis=1).view(">u4").ravel().astype(np.int64)
-                out_id += [i] * tables
-                out_t += list(range(tables))
-                out_code += c.tolist()
-                out_q += [r] * tables
-            yield pa.RecordBatch.from_pydict({"t": pa.array(out_t, pa.int32()), "code": pa.array(out_code, pa.int64()),
-                                              "id": pa.array(out_id, pa.int64()), "q": pa.array(out_q, pa.binary())})
+                x = vectors_of(q.take(at)).astype(np.float32)
+                code[at] = np.packbits((x @ planes[d]).reshape(len(at), tables, 32) > 0, axis=2).view(">u4").reshape(len(at), tables)
+            each = np.repeat(np.arange(len(q)), tables)
+            yield pa.RecordBatch.from_pydict({"t": pa.array(np.tile(np.arange(tables, dtype=np.int32), len(q))), "code": pa.array(code.ravel()),
+                                              "id": batch.column("id").take(each), "q": q.take(each)})
 
-    def compare(batches):
-        ids, rows = [], []
+    def windows(batches):
+        ids, rows = np.empty(0, dtype=np.int64), []
 
-        def best():
+        def best(ids, rows):
             s = cosines(rows)
             np.fill_diagonal(s, -3)
             n = min(k, len(ids) - 1)
             top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            return offers([(ids[i], [ids[j] for j in t if s[i, j] > -2], [float(s[i, j]) for j in t if s[i, j] > -2]) for i, t in enumerate(top.tolist())])
+            near = np.take_along_axis(s, top, 1)
+            ok = near > -2
+            return ids, ok.sum(1), ids[top][ok], near[ok]
 
         for batch in batches:
-            for i, q in zip(batch.column("id").to_pylist(), batch.column("q").to_pylist(), strict=True):
-                if len(ids) == window:
-                    yield best()
-                    ids, rows = ids[window // 2 :], rows[window // 2 :]  # windows overlap by half
-                ids.append(i)
-                rows.append(q)
+            ids, rows = np.concatenate([ids, batch.column("id").to_numpy()]), rows + batch.column("q").to_pylist()
+            at = 0
+            while len(ids) - at > window:
+                yield best(ids[at : at + window], rows[at : at + window])
+                at += window // 2  # windows overlap by half
+            ids, rows = ids[at:], rows[at:]
         if len(ids) > 1:
-            yield best()
+            yield best(ids, rows)
+
+    def compare(batches):
+        yield from gathered(windows(batches), k)
 
     coded = nodes.select("id", "q").mapInArrow(codes, "t int, code long, id long, q binary")
     return coded.repartitionByRange(parts, "t", "code", "id").sortWithinPartitions("t", "code", "id").mapInArrow(compare, OFFER)
@@ -175,23 +271,8 @@ def _first_offers(nodes: DataFrame, parts: int, k: int, tables: int, window: int
 
 def _merge(state: DataFrame, found: DataFrame, parts: int, k: int) -> DataFrame:
     """Each node's list with the offers to it: the ``k`` best, those not held before marked fresh."""
-    none = F.lit(None)
-
-    def fold(batches):
-        out = []
-        for node, _, _, top in folded(batches, k):
-            out.append((node, [x for x, _ in top], [s for _, s in top]))
-            if len(out) == 4096:
-                yield offers(out)
-                out = []
-        if out:
-            yield offers(out)
-
-    # The offers to one node are dealt over salts, cut to the k best there, and only then meet.
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS))).withColumn("q", none.cast("binary"))
-    found = salted.repartition(parts, "id", "salt").sortWithinPartitions("id").select("id", "q", "ids", "sims").mapInArrow(fold, OFFER)
-    both = state.select("id", F.lit(0).alias("kind"), "q", "ids", "sims", "fresh").unionByName(
-        found.select("id", F.lit(1).alias("kind"), none.cast("binary").alias("q"), "ids", "sims", none.cast("array<boolean>").alias("fresh")))
+    both = state.select("id", F.lit(0).alias("kind"), "q", "ids", "sims").unionByName(
+        found.select("id", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("q"), "ids", "sims"))
 
     def run(batches):
         import pyarrow as pa
@@ -220,37 +301,41 @@ def _neighbourhoods(state: DataFrame, parts: int, k: int, turn: int = 0) -> Data
     """(c, kind, m, q, least, fresh): the members of every node's neighbourhood, sorted; kind 1: a sample, another
     one each ``turn``, of the nodes that list it, one more than ``k`` where there are more."""
     edges = state.select("id", F.explode(F.arrays_zip("ids", "fresh")).alias("e"))
-    back = edges.select(F.col("e.ids").alias("c"), F.lit(1).alias("kind"), F.col("id").alias("m"), F.col("e.fresh").alias("fresh"))
+    back = edges.select(F.col("e.ids").alias("c"), F.lit(1).alias("kind"), F.col("id").alias("m"), F.col("e.fresh").alias("fresh"),
+                        F.xxhash64(F.lit(turn), "e.ids", "id").alias("h"))
     target = state.select(F.col("id").alias("m"), "q", F.coalesce(F.try_element_at("sims", F.lit(-1)), F.lit(-2.0)).cast("float").alias("least"))
-    sample = [F.xxhash64(F.lit(turn), "c", "m"), F.col("m")]
-    both = first_rows(back, sample, k + 1).unionByName(edges.select(F.col("id").alias("c"), F.lit(0).alias("kind"), F.col("e.ids").alias("m"), F.col("e.fresh").alias("fresh")))
-    return both.join(target, "m").select("c", "kind", "m", "q", "least", "fresh").repartition(parts, "c").sortWithinPartitions("c", "kind", *sample)
+    both = first_rows(back, ["h", "m"], k + 1).drop("h").unionByName(
+        edges.select(F.col("id").alias("c"), F.lit(0).alias("kind"), F.col("e.ids").alias("m"), F.col("e.fresh").alias("fresh"), F.lit(0).alias("r")))
+    return both.join(target, "m").select("c", "kind", "m", "q", "least", "fresh", "r").repartition(parts, "c").sortWithinPartitions("c", "r")
 
 
 def _local_joins(state: DataFrame, parts: int, k: int, turn: int = 0) -> DataFrame:
+    def found(batches):
+        for batch, ends in whole_runs(batches, "c"):
+            kinds, ms, leasts, freshs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "m", "least", "fresh"))
+            q = batch.column("q")
+            x = vectors_of(q)
+            if x is not None:
+                x = x.astype(np.float32)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+            for lo, hi in zip(ends, ends[1:]):
+                # the neighbours, and a hashed sample of the nodes that list this one
+                stop = int((kinds[lo:hi] == 0).sum()) + k
+                at = lo + np.sort(np.unique(ms[lo : min(hi, lo + stop)], return_index=True)[1])
+                # Of more nodes than the sample takes, earlier rounds may have left these out: all pairs with them count as new.
+                new = freshs[at] | (kinds[at] == 1) if hi - lo > stop else freshs[at]
+                if len(at) < 2 or not new.any():
+                    continue
+                s = cosines(q.take(at).to_pylist()) if x is None else x[at] @ x[at].T
+                better = s > leasts[at][:, None]
+                better &= new[:, None] | new[None, :]
+                np.fill_diagonal(better, False)
+                sizes, m = better.sum(1), ms[at]
+                some = sizes > 0
+                yield m[some], sizes[some], m[np.nonzero(better)[1]], s[better]
+
     def run(batches):
-        out = []
-        for _, (kind, m, q, least, fresh) in runs(batches, "c", ["kind", "m", "q", "least", "fresh"], 2 * k + 1):
-            n = kind.count(0)
-            stop = n + k  # the neighbours, and a hashed sample of the nodes that list this one
-            pick = {x: i for i, x in reversed(list(enumerate(m[:stop])))}
-            at = sorted(pick.values())
-            if len(at) < 2:
-                continue
-            s = cosines([q[i] for i in at])
-            # Of more nodes than the sample takes, earlier rounds may have left these out: all pairs with them count as new.
-            new = np.array([fresh[i] or (kind[i] and len(m) > stop) for i in at], dtype=bool)
-            better = s > np.array([least[i] for i in at], dtype=np.float32)[:, None]
-            better &= new[:, None] | new[None, :]
-            np.fill_diagonal(better, False)
-            for i in np.flatnonzero(better.any(1)).tolist():
-                js = np.flatnonzero(better[i])
-                out.append((m[at[i]], [m[at[j]] for j in js], s[i, js].tolist()))
-            if len(out) >= 8192:
-                yield offers(out)
-                out = []
-        if out:
-            yield offers(out)
+        yield from gathered(found(batches), k)
 
     return _neighbourhoods(state, parts, k, turn).mapInArrow(run, OFFER)
 
@@ -277,9 +362,9 @@ def adjacency(state: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     A node that few others list is reached through the nodes it lists: its nearest ones keep the way back to it."""
     parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = state.select("id", F.posexplode("ids").alias("pos", "o"))
-    order = [F.col("pos"), F.xxhash64("c", "m"), F.col("m")]
-    both = edges.select(F.col("id").alias("c"), F.lit(0).alias("kind"), "pos", F.col("o").alias("m")).unionByName(
-        first_rows(edges.select(F.col("o").alias("c"), F.lit(1).alias("kind"), "pos", F.col("id").alias("m")), order, 2 * k))
+    back = edges.select(F.col("o").alias("c"), F.lit(1).alias("kind"), "pos", F.col("id").alias("m")).withColumn("h", F.xxhash64("c", "m"))
+    both = edges.select(F.col("id").alias("c"), F.lit(0).alias("kind"), F.col("o").alias("m"), F.col("pos").alias("r")).unionByName(
+        first_rows(back, ["pos", "h", "m"], 2 * k).drop("pos", "h"))
 
     def run(batches):
         import pyarrow as pa
@@ -296,7 +381,7 @@ def adjacency(state: DataFrame, scratch: Scratch, k: int) -> DataFrame:
         if out:
             yield emit()
 
-    ordered = both.repartition(parts, "c").sortWithinPartitions("c", "kind", *order)
+    ordered = both.repartition(parts, "c").sortWithinPartitions("c", "kind", "r")
     return scratch.save(ordered.mapInArrow(run, "id long, nb array<long>"), "graph")
 
 
@@ -314,12 +399,17 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scra
         import pyarrow as pa
 
         for batch in batches:
-            a, b = batch.column("q").to_pylist(), batch.column("x").to_pylist()
-            s = np.full(len(a), -2, dtype=np.float32)
-            same = [i for i in range(len(a)) if len(a[i]) == len(b[i])]
-            for d in {len(a[i]) for i in same}:
-                at = [i for i in same if len(a[i]) == d]
-                s[at] = (unit16([a[i] for i in at]) * unit16([b[i] for i in at])).sum(1)
+            a, b = vectors_of(batch.column("q")), vectors_of(batch.column("x"))
+            if a is not None and b is not None and a.shape == b.shape:
+                a, b = a.astype(np.float32), b.astype(np.float32)
+                s = (a / np.linalg.norm(a, axis=1, keepdims=True) * (b / np.linalg.norm(b, axis=1, keepdims=True))).sum(1)
+            else:
+                a, b = batch.column("q").to_pylist(), batch.column("x").to_pylist()
+                s = np.full(len(a), -2, dtype=np.float32)
+                same = [i for i in range(len(a)) if len(a[i]) == len(b[i])]
+                for d in {len(a[i]) for i in same}:
+                    at = [i for i in same if len(a[i]) == d]
+                    s[at] = (unit16([a[i] for i in at]) * unit16([b[i] for i in at])).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("m"), pa.array(s)], names=["qid", "m", "s"])
 
     def merge(batches):
@@ -344,10 +434,9 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scra
         ahead = state.select("qid", F.explode("frontier").alias("id"))
         if not ahead.limit(1).count():
             return state.select("qid", "ids", "sims")
-        met = ahead.join(graph, "id").select("qid", F.explode("nb").alias("m")).distinct()
-        asked = state.select("qid", "q", F.explode("seen").alias("m"))
-        fresh = met.join(asked.select("qid", "m"), ["qid", "m"], "left_anti")
-        pairs = fresh.join(state.select("qid", "q"), "qid").join(nodes.select(F.col("id").alias("m"), F.col("q").alias("x")), "m")
+        met = ahead.join(graph, "id").groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("nb"))).alias("met"))  # expand x 3k at most
+        fresh = met.join(state.select("qid", "q", "seen"), "qid").select("qid", "q", F.explode(F.array_except("met", "seen")).alias("m"))
+        pairs = fresh.join(nodes.select(F.col("id").alias("m"), F.col("q").alias("x")), "m")
         scored = pairs.select("qid", "m", "q", "x").mapInArrow(compare, "qid long, m long, s float")
         gathered = scored.groupBy("qid").agg(F.collect_list("m").alias("new"), F.collect_list("s").alias("news"))
         state, path = scratch.save_replacing(state.drop("frontier").join(gathered, "qid", "left").mapInArrow(merge, SEARCH), "beams", path)
@@ -371,7 +460,9 @@ def nearest(vectors: DataFrame, is_query, top: int = 5, k: int = 32, rounds: int
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([quantise(unit(v)) for v in batch.column("v").to_pylist()], pa.binary())], names=["id", "q"])
+            x = units(batch.column("v"))
+            rows = x if x is not None else [unit(v) for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([quantise(v) for v in rows], pa.binary())], names=["id", "q"])
 
     nodes = scratch.save(classes.select("cid", "v").mapInArrow(shrink, "id long, q binary"), "nodes")
     lists = build_graph(nodes, scratch, k, rounds)
@@ -390,9 +481,13 @@ def nearest(vectors: DataFrame, is_query, top: int = 5, k: int = 32, rounds: int
         import pyarrow as pa
 
         for batch in batches:
-            s = []
-            for a, b in zip(batch.column("v").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                s.append(float(unit(a) @ unit(b)) if len(a) == len(b) else None)
+            a, b = units(batch.column("v")), units(batch.column("x"))
+            if a is not None and b is not None and a.shape == b.shape:
+                s = np.einsum("ij,ij->i", a, b)
+            else:
+                s = []
+                for a, b in zip(batch.column("v").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                    s.append(float(unit(a) @ unit(b)) if len(a) == len(b) else None)
             yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("rows"), pa.array(s, pa.float64())], names=["qid", "rows", "score"])
 
     scored = exact.mapInArrow(measure, "qid long, rows array<long>, score double").where("score is not null")

@@ -180,6 +180,20 @@ def test_candidates_are_distinct_and_complete(spark, mode, threshold, bands):
     assert set(got) == _brute_pairs(ref, tgt, band_layout(m), radius)
 
 
+@pytest.mark.parametrize("mode", N.MATCH_MODES)
+def test_pairs_of_hot_groups_are_dealt_over_tasks(spark, monkeypatch, mode):
+    """One band group holds most pairs: the same pairs, listed by many tasks."""
+    ref, tgt = _hot_data()
+    tdf, idx = spark.createDataFrame(tgt, "path string, fp long"), N.fingerprint_index(spark.createDataFrame(ref, "path string, fp long"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = [rows(N.candidates(tdf, idx, mode=mode, label=label)) for label in (None, "path")]
+    monkeypatch.setattr(N, "GROUP_PAIRS", 500)
+    assert [rows(N.candidates(tdf, idx, mode=mode, label=label)) for label in (None, "path")] == whole
+    pairs = N.candidates(tdf, idx, mode=mode, label="path")
+    most = max(r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect())
+    assert len(whole[1]) > 4000 and most < len(whole[1]) / 2
+
+
 def test_refinement_modes_agree_on_a_shared_band(spark):
     import random
 
